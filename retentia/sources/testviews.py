@@ -111,3 +111,57 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("domain_sessionid"),
         payload.alias("event"),
     )
+
+
+def tracker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as enriched tab-separated tracker lines, base64
+    encoded, one per event: the stream the ingest job consumes in tests.
+
+    Field order is ``model.TEST_TSV_FIELDS``; the user id travels top-level or
+    in the client-session context by the same rule as :func:`raw_events`, and
+    the application context carries the app version.
+    """
+    ev = events(spark, sf_dir)
+    ts = F.date_format(F.date_trunc("MILLISECOND", ev.ts), "yyyy-MM-dd HH:mm:ss.SSS")
+    uid = ev.user_id.cast("string")
+    itype = (
+        F.when(ev.event_id % 11 == 0, F.lit(None).cast("string"))
+        .when(ev.user_id % 7 % 2 == 0, "persona")
+        .otherwise("assistant")
+    )
+    se_property = F.to_json(F.struct((ev.user_id % 7).cast("string").alias("influencer_id"), itype.alias("influencer_type")))
+    ctx = lambda schema, data: F.struct(F.lit(schema).alias("schema"), data.alias("data"))
+    none = F.lit(None).cast("string")
+    # one struct type for both contexts; null members are left out of the JSON
+    session_ctx = ctx(
+        "iglu:com.snowplowanalytics.mobile/client_session/jsonschema/1-0-2",
+        F.struct(uid.alias("userId"), none.alias("version")),
+    )
+    app_ctx = ctx(
+        "iglu:com.snowplowanalytics.mobile/application/jsonschema/1-0-0",
+        F.struct(none.alias("userId"), (ev.event_id % 5).cast("string").alias("version")),
+    )
+    contexts = F.to_json(
+        F.struct(
+            F.lit("iglu:com.snowplowanalytics.snowplow/contexts/jsonschema/1-0-0").alias("schema"),
+            F.when(ev.user_id % 10 == 1, F.array(session_ctx, app_ctx)).otherwise(F.array(app_ctx)).alias("data"),
+        )
+    )
+    line = F.concat_ws(
+        "\t",
+        ev.event_id.cast("string"),
+        F.lit("event"),
+        ts,
+        ts,
+        F.lit("app"),
+        (ev.event_id % 3).cast("string"),
+        F.lit(""),
+        F.lit(""),
+        F.when(~(ev.user_id % 10).isin(0, 1), uid).otherwise(F.lit("")),
+        F.concat(F.lit("cat_"), (ev.event_id % 4).cast("string")),
+        F.when(ev.event_type == "view", "item_viewed").otherwise(ev.event_type),
+        se_property,
+        contexts,
+    )
+    # base64 may be MIME-chunked with line breaks; one record must stay one line
+    return ev.select(F.regexp_replace(F.base64(F.encode(line, "UTF-8")), r"[\r\n]", "").alias("value"))

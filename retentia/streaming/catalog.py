@@ -1,3 +1,83 @@
-"""Streaming queries registered for the driver (rows-only checks)."""
+"""Streaming queries registered for the driver.
 
-QUERIES: dict = {}
+Each runs a real Structured Streaming job to completion (``availableNow``)
+over input derived from the ``events`` table, then returns the sink read back
+as a batch DataFrame. Scratch folders live under ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..context import ensure_checkpoint_dir, ensure_utc
+from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
+from ..plans.catalog import AS_OF
+from ..sources import raw_events as rawv
+from ..sources import testviews as tv
+from . import ingest
+from .live_sessions import live_sessions
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentia-{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def run_ingest(spark: SparkSession, sf: str) -> dict:
+    """Write the tracker lines as text files, ingest them with the streaming
+    job, and return the output locations."""
+    ensure_utc(spark)
+    base = scratch(spark, "ingest")
+    tv.tracker_lines(spark, sf).write.text(f"{base}/in")
+    paths = {k: f"{base}/{k}" for k in ("raw_events", "dead_letter", "metrics", "checkpoint")}
+    q = ingest.start_ingest(
+        ingest.file_source(spark, f"{base}/in"),
+        TEST_TSV_FIELDS,
+        paths["raw_events"],
+        paths["dead_letter"],
+        paths["metrics"],
+        paths["checkpoint"],
+        available_now=True,
+    )
+    q.awaitTermination()
+    return paths
+
+
+def q_ingest_stream(spark: SparkSession, sf: str):
+    paths = run_ingest(spark, sf)
+    ev = rawv.event_view(rawv.read_store(spark, paths["raw_events"]), as_of=AS_OF)
+    return ev.select("event_id", "ts", "u", "se_category", "se_action", "platform", "app_version", "influencer", "itype")
+
+
+def q_live_sessions(spark: SparkSession, sf: str):
+    ensure_utc(spark)
+    base = scratch(spark, "live")
+    src = (
+        spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf)
+    )
+    ev = src.withColumn("ts", F.col("ts").cast("timestamp"))
+    msgs = ev.select(
+        ev.event_id.alias("id"),
+        (ev.user_id * 2 + ev.event_id % 2).cast("string").alias("conversation_id"),
+        F.when(ev.event_type.isin("click", "view"), "user").when(ev.event_type == "error", "system").otherwise("assistant").alias("role"),
+        ev.ts.alias("created_at"),
+    )
+    assert [f.name for f in MESSAGES_SCHEMA] == msgs.columns
+    out = live_sessions(msgs, tv.conversations(spark, sf), gap_minutes=24 * 60)
+    q = (
+        out.writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+QUERIES = {"ingest_stream": q_ingest_stream, "live_sessions": q_live_sessions}
