@@ -73,12 +73,15 @@ def funnel_levels(
     as_of=None,
     window_days: int = FUNNEL_WINDOW_DAYS,
     bucket_seconds: int | None = 3600,
+    window_seconds: int | None = None,
 ) -> DataFrame:
     """(u, level) for every user with at least one step event in the last
-    ``window_days`` days. ``bucket_seconds=None`` scans each user whole."""
+    ``window_days`` days. The chain window is ``window_days`` days unless
+    ``window_seconds`` is given. ``bucket_seconds=None`` scans each user whole."""
     if len(set(steps)) != len(steps):
         raise ValueError("funnel steps must be distinct")
-    n, window = len(steps), window_days * 86400
+    n = len(steps)
+    window = window_days * 86400 if window_seconds is None else int(window_seconds)
     rows = _step_rows(ev, steps, as_of, window_days)
     if not bucket_seconds:
         return _bucket_summary(rows, ["u"], n, window).select("u", F.col("L").alias("level"))
@@ -130,6 +133,7 @@ def window_funnel(
     as_of=None,
     window_days: int = FUNNEL_WINDOW_DAYS,
     bucket_seconds: int | None = 3600,
+    window_seconds: int | None = None,
 ) -> DataFrame:
-    return funnel_steps(funnel_levels(ev, steps, as_of, window_days, bucket_seconds), steps)
+    return funnel_steps(funnel_levels(ev, steps, as_of, window_days, bucket_seconds, window_seconds), steps)
 

@@ -146,17 +146,14 @@ def changed_conversations(
     """Conversations with a message strictly newer than watermark − lookback.
 
     ``watermark`` is the one-row DataFrame of :func:`high_water_mark`; it is
-    joined as a single-row broadcast, so nothing goes through the driver. No
-    conversation-type filter here, as in the source job.
+    used as a scalar subquery (evaluated once, then a plain filter), so nothing
+    goes through the driver and no join is planned. No conversation-type
+    filter here, as in the source job.
     """
-    cutoff = F.timestamp_micros(F.unix_micros("watermark") - int(lookback_minutes * 60 * _US))
-    wm = F.broadcast(watermark.select(cutoff.alias("_cutoff")))
-    return (
-        messages.select("conversation_id", "created_at")
-        .join(wm, F.col("created_at") > F.col("_cutoff"))
-        .select("conversation_id")
-        .distinct()
-    )
+    cutoff = watermark.select(
+        F.timestamp_micros(F.unix_micros("watermark") - int(lookback_minutes * 60 * _US)).alias("_cutoff")
+    ).scalar()
+    return messages.where(F.col("created_at") > cutoff).select("conversation_id").distinct()
 
 
 def refresh(
