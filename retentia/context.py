@@ -12,7 +12,7 @@ import datetime as _dt
 import os
 import tempfile
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,16 @@ def ts_lit(value: str | _dt.datetime | _dt.date | Column | None) -> Column:
     elif isinstance(value, _dt.date):
         value = value.isoformat() + " 00:00:00"
     return F.lit(str(value)).cast("timestamp")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned input across the cluster's cores.
+
+    A large unsplittable file (one parquet row group) scans as one task and
+    everything before the first shuffle — JSON parsing included — then runs
+    on one core. Only when the scan has fewer partitions than the default
+    parallelism is it spread; a normal multi-file input is left untouched, so
+    at scale this adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -9,7 +9,7 @@ plain count after the join: no distinct aggregation is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import ts_lit
@@ -72,16 +72,26 @@ def event_retention(events: DataFrame, as_of=None, weeks: int = EVENT_COHORT_WEE
     return cohort_table(first, activity)
 
 
-def _grid(long: DataFrame, max_col: F.Column, cell_for_missing, as_of, threshold: int) -> DataFrame:
+def _grid(long: DataFrame, max_col_of, cell_for_missing, as_of, threshold: int) -> DataFrame:
+    """Pivot to fixed columns n0..n8 / w0..w8. The pivot has one row per
+    cohort (at most weeks_back + 1 rows), so the grid-wide column limit is a
+    window over that bounded set rather than a second pass over the input."""
     offsets = list(range(GRID_MAX_COLUMN + 1))
-    wide = long.groupBy("cohort_week", "cohort_size").pivot("week_offset", offsets).agg(F.first("active_users"))
     current = monday(ts_lit(as_of))
-    age = weeks_between(current, F.col("cohort_week"))
+    wide = (
+        long.groupBy("cohort_week", "cohort_size")
+        .pivot("week_offset", offsets)
+        .agg(F.max("active_users"))
+        .withColumn("_age", weeks_between(current, F.col("cohort_week")))
+        .withColumn("_max_off", F.greatest(*[F.when(F.col(str(k)).isNotNull(), F.lit(k)) for k in offsets], F.lit(0)))
+    )
+    everything = Window.partitionBy()
+    max_col = F.least(F.lit(GRID_MAX_COLUMN), F.max(max_col_of).over(everything))
+    wide = wide.withColumn("_max_col", max_col)
     cols = []
     for k in offsets:
-        users = F.col(str(k))
-        shown = F.lit(k) <= max_col
-        users_out = cell_for_missing(users, k, age)
+        users_out = cell_for_missing(F.col(str(k)), k, F.col("_age"))
+        shown = F.lit(k) <= F.col("_max_col")
         cols.append(F.when(shown, users_out).cast("long").alias(f"n{k}"))
         cols.append(F.when(shown, pct_half_even(users_out, F.col("cohort_size"))).alias(f"w{k}"))
     return wide.select(
@@ -89,7 +99,7 @@ def _grid(long: DataFrame, max_col: F.Column, cell_for_missing, as_of, threshold
         "cohort_size",
         (F.col("cohort_size") >= threshold).alias("trusted"),
         *cols,
-    )
+    ).orderBy(F.col("cohort_week").desc())
 
 
 def session_grid(long: DataFrame, as_of=None, threshold: int = SMALL_SAMPLE_THRESHOLD) -> DataFrame:
@@ -97,23 +107,18 @@ def session_grid(long: DataFrame, as_of=None, threshold: int = SMALL_SAMPLE_THRE
     and n0..n8 (users). A cell the cohort is not old enough for is NULL
     (future); an old-enough cell without activity is 0. Columns past
     min(8, oldest cohort age) are NULL throughout."""
-    current = monday(ts_lit(as_of))
-    max_age = long.agg(F.max(weeks_between(current, F.col("cohort_week"))).alias("_max_age"))
-    max_col = F.least(F.lit(GRID_MAX_COLUMN), max_age.scalar())
 
     def cell(users, k, age):
         return F.when(F.lit(k) > age, F.lit(None)).otherwise(F.coalesce(users, F.lit(0)))
 
-    return _grid(long, max_col, cell, as_of, threshold).orderBy(F.col("cohort_week").desc())
+    return _grid(long, F.col("_age"), cell, as_of, threshold)
 
 
 def event_grid(long: DataFrame, as_of=None, threshold: int = SMALL_SAMPLE_THRESHOLD) -> DataFrame:
     """Pivot of :func:`event_retention`: columns up to min(8, largest offset
     present); a missing cell stays NULL."""
-    max_off = long.agg(F.coalesce(F.max("week_offset"), F.lit(0)).alias("_m"))
-    max_col = F.least(F.lit(GRID_MAX_COLUMN), max_off.scalar())
 
     def cell(users, k, age):
         return users
 
-    return _grid(long, max_col, cell, as_of, threshold).orderBy(F.col("cohort_week").desc())
+    return _grid(long, F.col("_max_off"), cell, as_of, threshold)

@@ -8,13 +8,15 @@ default RANGE frame, exactly like the SQL the dashboards were fed by. Two
 messages of one conversation at the same instant can therefore get index 0;
 ``tie_break="id"`` gives the clean numbering instead.
 
-Scale design. One conversation may hold a large share of all messages, so the
-ordered windows never run over a whole conversation. Messages are cut into
-(conversation, time slice) groups; the windows run per slice, a one-row-per-
-slice summary carries the previous slice's last timestamp and the running
-session count across slices, and the rows are stitched back with one join on
-(conversation, slice). The final aggregate is algebraic (min/max/count), so
-partial aggregation absorbs a hot session before the shuffle.
+Scale design. One conversation may hold a large share of all messages, so no
+ordered window runs over a conversation's messages. Time is cut into slices no
+wider than the gap, so a gap inside a slice can never start a session: only
+the first message of a slice can, and only when the previous slice's last
+message is more than the gap earlier. Each (conversation, slice) is therefore
+reduced with plain aggregates to at most two rows (rows inside / outside the
+running-sum frame of the slice's first message), the message rows are shuffled
+exactly once, and the cross-slice numbering is a window over these small
+per-slice rows (at most two per slice of the conversation's time span).
 """
 
 from __future__ import annotations
@@ -25,68 +27,53 @@ from pyspark.sql import functions as F
 from ..model import REFRESH_LOOKBACK_MINUTES, SESSION_GAP_MINUTES
 
 _US = 1_000_000
+_COUNTS = [("user_turns", "user"), ("bot_turns", "assistant"), ("system_turns", "system")]
 
 
-def _session_rows(
-    messages: DataFrame,
-    gap_minutes: float,
-    slice_seconds: int | None,
-    tie_break: str,
-) -> DataFrame:
-    """Message rows with their conversation-wide ``session_index``."""
-    gap_us = int(gap_minutes * 60 * _US)
-    m = messages.select(
-        "conversation_id",
-        "id",
-        "role",
-        "created_at",
-        F.unix_micros("created_at").alias("_t"),
-    )
+def _whole_conversation(m: DataFrame, gap_us: int, tie_break: str) -> DataFrame:
+    """Direct formulation (windows over whole conversations): reference path."""
     sum_order = ["created_at", "role"] if tie_break == "role" else ["created_at", "id"]
-
-    if not slice_seconds:
-        w_lag = Window.partitionBy("conversation_id").orderBy("created_at", "id")
-        w_sum = Window.partitionBy("conversation_id").orderBy(*sum_order)
-        prev = F.lag("_t").over(w_lag)
-        flagged = m.withColumn(
-            "_flag", F.when(prev.isNull() | (F.col("_t") - prev > gap_us), 1).otherwise(0)
-        )
-        return flagged.withColumn("session_index", F.sum("_flag").over(w_sum))
-
-    keys = ["conversation_id", "_slice"]
-    m = m.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_seconds * _US)).cast("long"))
-    w_lag = Window.partitionBy(*keys).orderBy("created_at", "id")
-    w_sum = Window.partitionBy(*keys).orderBy(*sum_order)
+    w_lag = Window.partitionBy("conversation_id").orderBy("created_at", "id")
+    w_sum = Window.partitionBy("conversation_id").orderBy(*sum_order)
     prev = F.lag("_t").over(w_lag)
-    local = (
-        m.withColumn("_first", prev.isNull().cast("int"))
-        # the first row's real flag depends on the previous slice: counted later
-        .withColumn("_flag0", F.when(prev.isNotNull() & (F.col("_t") - prev > gap_us), 1).otherwise(0))
-        .withColumn("_sum0", F.sum("_flag0").over(w_sum))
-        .withColumn("_first_in_frame", F.max("_first").over(w_sum))
+    rows = m.withColumn("_flag", F.when(prev.isNull() | (F.col("_t") - prev > gap_us), 1).otherwise(0))
+    rows = rows.withColumn("session_index", F.sum("_flag").over(w_sum))
+    return rows.groupBy("conversation_id", "session_index").agg(
+        F.min("created_at").alias("started_at"),
+        F.max("created_at").alias("ended_at"),
+        *[F.count_if(F.col("role") == r).alias(c) for c, r in _COUNTS],
     )
 
-    w_slices = Window.partitionBy("conversation_id").orderBy("_slice")
-    prev_last = F.lag("_last").over(w_slices)
-    summary = (
-        local.groupBy(*keys)
-        .agg(F.min("_t").alias("_first_t"), F.max("_t").alias("_last"), F.sum("_flag0").alias("_n0"))
-        .withColumn(
-            "_tf", F.when(prev_last.isNull() | (F.col("_first_t") - prev_last > gap_us), 1).otherwise(0)
-        )
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum(F.col("_n0") + F.col("_tf")).over(
-                    w_slices.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
+
+def _sliced(m: DataFrame, gap_us: int, slice_us: int, tie_break: str) -> DataFrame:
+    key = "role" if tie_break == "role" else "id"
+    m = m.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_us)).cast("long"))
+    in_slice = Window.partitionBy("conversation_id", "_slice")
+    first_t = F.min("_t").over(in_slice)
+    # sort key of the slice's first message (first by created_at, id)
+    first_key = F.min_by(key, F.struct("_t", "id")).over(in_slice)
+    # inside the RANGE frame of the first message: later instant, or same
+    # instant and a sort key at least the first message's
+    in_frame = ((F.col("_t") > first_t) | (F.col(key) >= first_key)).cast("int")
+    groups = (
+        m.select("conversation_id", "_slice", "role", "created_at", "_t", first_t.alias("_first_t"), in_frame.alias("_in"))
+        .groupBy("conversation_id", "_slice", "_first_t", "_in")
+        .agg(
+            F.min("created_at").alias("started_at"),
+            F.max("created_at").alias("ended_at"),
+            F.max("_t").alias("_last_t"),
+            *[F.count_if(F.col("role") == r).alias(c) for c, r in _COUNTS],
         )
-        .select(*keys, "_tf", "_offset")
     )
-    return local.join(summary, keys).withColumn(
-        "session_index", F.col("_offset") + F.col("_sum0") + F.col("_tf") * F.col("_first_in_frame")
+    before = Window.partitionBy("conversation_id").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    prev_last = F.max("_last_t").over(before)
+    groups = groups.withColumn("_tf", F.when(prev_last.isNull() | (F.col("_first_t") - prev_last > gap_us), 1).otherwise(0))
+    starts_before = F.coalesce(F.sum(F.when(F.col("_in") == 1, F.col("_tf"))).over(before), F.lit(0))
+    groups = groups.withColumn("session_index", starts_before + F.col("_tf") * F.col("_in"))
+    return groups.groupBy("conversation_id", "session_index").agg(
+        F.min("started_at").alias("started_at"),
+        F.max("ended_at").alias("ended_at"),
+        *[F.sum(c).alias(c) for c, _ in _COUNTS],
     )
 
 
@@ -102,21 +89,19 @@ def sessionize(
     """messages ⋈ conversations → one row per (conversation, session).
 
     ``scope``: optional DataFrame with a ``conversation_id`` column; only those
-    conversations are rebuilt, each from its full history.
+    conversations are rebuilt, each from its full history. ``slice_seconds``
+    is capped at the gap; ``None`` runs windows over whole conversations.
     """
     if tie_break not in ("role", "id"):
         raise ValueError("tie_break must be 'role' or 'id'")
-    msgs = messages.select("id", "conversation_id", "role", "created_at")
+    gap_us = int(gap_minutes * 60 * _US)
+    msgs = messages.select("id", "conversation_id", "role", "created_at", F.unix_micros("created_at").alias("_t"))
     if scope is not None:
         msgs = msgs.join(scope.select("conversation_id"), "conversation_id", "left_semi")
-    rows = _session_rows(msgs, gap_minutes, slice_seconds, tie_break)
-    sessions = rows.groupBy("conversation_id", "session_index").agg(
-        F.min("created_at").alias("started_at"),
-        F.max("created_at").alias("ended_at"),
-        F.count_if(F.col("role") == "user").cast("int").alias("user_turns"),
-        F.count_if(F.col("role") == "assistant").cast("int").alias("bot_turns"),
-        F.count_if(F.col("role") == "system").cast("int").alias("system_turns"),
-    )
+    if slice_seconds and gap_us >= 1:
+        sessions = _sliced(msgs, gap_us, min(int(slice_seconds * _US), gap_us), tie_break)
+    else:
+        sessions = _whole_conversation(msgs, gap_us, tie_break)
     chats = conversations.where(F.col("conversation_type") == chat_type).select(
         F.col("id").alias("conversation_id"), "user_id", "influencer_id"
     )
@@ -127,9 +112,7 @@ def sessionize(
         "influencer_id",
         "started_at",
         "ended_at",
-        "user_turns",
-        "bot_turns",
-        "system_turns",
+        *[F.col(c).cast("int").alias(c) for c, _ in _COUNTS],
     )
 
 

@@ -1,11 +1,26 @@
-"""Dashboard marts: the one-row glance and the latest-k list."""
+"""Dashboard marts: the one-row glance, the latest-k list, and the marts job
+that materialises every card as a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import AUDIT_K
+from ..model import (
+    AUDIT_K,
+    CHAT_START_ACTION,
+    ENGAGED_MIN_USER_TURNS,
+    FUNNEL_STEPS,
+    FUNNEL_WINDOW_DAYS,
+    MESSAGE_ACTION,
+    MONTH_COL,
+)
+from ..operators import cohorts, events, funnel, headline
+from ..sources import raw_events as rawv
+from ..sources.snapshots import count_on_write
 
 
 def kpi_glance(funnel_steps: DataFrame, active: DataFrame, returning: DataFrame) -> DataFrame:
@@ -34,3 +49,106 @@ def latest(df: DataFrame, ts_col: str, k: int = AUDIT_K, columns: list[str] | No
 def recent_logins(audit: DataFrame, k: int = AUDIT_K) -> DataFrame:
     """Latest login attempts without the surrogate id."""
     return latest(audit, "attempted_at", k, ["attempted_at", "email", "domain", "allowed", "ip", "user_agent"], tie="id")
+
+
+# ---- marts job --------------------------------------------------------------
+
+STATUS_SCHEMA = T.StructType(
+    [
+        T.StructField("card", T.StringType()),
+        T.StructField("ok", T.BooleanType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("seconds", T.DoubleType()),
+    ]
+)
+
+
+def run_cards(spark: SparkSession, cards: dict, out: str) -> DataFrame:
+    """Write each card to ``out/<card>``. A failing card gets an empty table
+    (its schema when it can still be planned) and a status row with the error;
+    the other cards still land. Status goes to ``out/_status``."""
+    status = []
+    for name, build in cards.items():
+        t0 = time.time()
+        try:
+            df, obs = count_on_write(build())
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+            status.append((name, True, None, int(obs.get["rows"]), time.time() - t0))
+        except Exception as exc:  # noqa: BLE001 - per-card isolation is the point
+            try:
+                spark.createDataFrame([], build().schema).write.mode("overwrite").parquet(f"{out}/{name}")
+            except Exception:  # noqa: BLE001
+                pass
+            status.append((name, False, f"{type(exc).__name__}: {str(exc)[:500]}", 0, time.time() - t0))
+    st = spark.createDataFrame(status, STATUS_SCHEMA)
+    st.coalesce(1).write.mode("overwrite").parquet(f"{out}/_status")
+    return st
+
+
+def materialize_event_view(raw: DataFrame, path: str, as_of=None, strict_json: bool = True) -> DataFrame:
+    """Parse, deduplicate and retain once; written by month and sorted by time
+    so every card prunes months and row groups. Re-reading it also cuts the
+    lineage, so a lost executor only re-runs card stages."""
+    view = rawv.event_view(raw, as_of=as_of, strict_json=strict_json)
+    if MONTH_COL not in view.columns:
+        view = view.withColumn(MONTH_COL, F.date_format("ts", "yyyyMM").cast("int"))
+    # no repartition by month (one month would be one task): each task sorts
+    # its own rows by (month, ts) and writes one file per month it holds
+    view.sortWithinPartitions(MONTH_COL, "ts").write.mode("overwrite").partitionBy(MONTH_COL).parquet(path)
+    return raw.sparkSession.read.parquet(path)
+
+
+def event_cards(
+    ev: DataFrame,
+    as_of=None,
+    steps: list[str] = FUNNEL_STEPS,
+    window_days: int = FUNNEL_WINDOW_DAYS,
+    start_action: str = CHAT_START_ACTION,
+    message_action: str = MESSAGE_ACTION,
+) -> dict:
+    fun = lambda: funnel.window_funnel(ev, steps, as_of, window_days)
+    vol = lambda: events.event_volume(ev, as_of)
+    ret = lambda: cohorts.event_retention(ev, as_of)
+    return {
+        "active_users": lambda: events.active_users(ev, as_of),
+        "dau_trend": lambda: events.dau_trend(ev, as_of),
+        "event_volume": vol,
+        "total_events": lambda: events.total_events(vol()),
+        "top_events": lambda: events.top_events(ev, as_of),
+        "top_views": lambda: events.top_views(ev, as_of),
+        "platform_breakdown": lambda: events.platform_breakdown(ev, as_of),
+        "data_span_days": lambda: events.data_span_days(ev, as_of),
+        "funnel": fun,
+        "influencer_engagement": lambda: events.influencer_engagement(
+            ev, as_of, start_action=start_action, message_action=message_action
+        ),
+        "message_depth": lambda: events.message_depth(ev, message_action=message_action),
+        "returning_user_rate": lambda: events.returning_user_rate(ev),
+        "event_retention": ret,
+        "event_retention_grid": lambda: cohorts.event_grid(ret(), as_of),
+        "wow": lambda: events.wow(ev, as_of),
+        "events_by_action": lambda: events.events_by_action(ev, as_of),
+        "recent_activity": lambda: events.recent_activity(ev, as_of),
+        "kpi_glance": lambda: kpi_glance(fun(), events.active_users(ev, as_of), events.returning_user_rate(ev)),
+    }
+
+
+def run_event_marts(spark: SparkSession, raw: DataFrame, out: str, as_of=None, **card_args) -> DataFrame:
+    ev = materialize_event_view(raw, f"{out}/_event_view", as_of=as_of)
+    return run_cards(spark, event_cards(ev, as_of, **card_args), out)
+
+
+def session_cards(sessions: DataFrame, as_of=None, today=None, min_turns: int = ENGAGED_MIN_USER_TURNS, second_days: int = 7) -> dict:
+    ret = lambda: cohorts.cohort_retention(sessions, as_of, min_turns=min_turns)
+    return {
+        "engaged_sessions_today": lambda: headline.engaged_sessions_today(sessions, today if today is not None else as_of, min_turns),
+        "second_message_rate": lambda: headline.second_message_rate(sessions, as_of, second_days),
+        "w1_return_rate": lambda: headline.w1_return_rate(sessions, as_of, min_turns),
+        "cohort_retention": ret,
+        "cohort_grid": lambda: cohorts.session_grid(ret(), as_of),
+    }
+
+
+def run_session_marts(spark: SparkSession, sessions: DataFrame, out: str, as_of=None, **card_args) -> DataFrame:
+    return run_cards(spark, session_cards(sessions, as_of, **card_args), out)

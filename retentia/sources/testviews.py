@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..context import ensure_utc
+from ..context import ensure_utc, spread
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table with ``ts`` as a TIMESTAMP (parquet gives TIMESTAMP_NTZ,
     which watermarks and timezone-aware functions reject)."""
-    return read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spread(read_table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _conversation_num(ev: DataFrame) -> Column:

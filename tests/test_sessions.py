@@ -94,3 +94,16 @@ def test_changed_conversations_strict_cutoff(spark):
     m, c = frames(spark, [(1, "a", "user", "2024-01-01 00:00:00"), (2, "b", "user", "2024-01-01 00:05:00")])
     wm = spark.createDataFrame([(T("2024-01-01 00:05:00"),)], "watermark timestamp")
     assert sorted(r[0] for r in S.changed_conversations(m, wm, 5).collect()) == ["b"]
+
+
+def test_sliced_equals_whole_with_many_ties(spark):
+    rnd = random.Random(11)
+    instants = [f"2024-01-01 {h:02d}:{m:02d}:00" for h in range(3) for m in (0, 10, 19, 20, 40, 59)]
+    msgs = [(i, f"c{rnd.randint(0, 2)}", rnd.choice(["user", "assistant", "system", "tool"]), rnd.choice(instants)) for i in range(300)]
+    m, c = frames(spark, msgs)
+    for tie in ("role", "id"):
+        for gap in (10, 20, 45):
+            whole = sorted(map(tuple, S.sessionize(m, c, gap_minutes=gap, slice_seconds=None, tie_break=tie).collect()))
+            for sl in (300, 3600):
+                got = sorted(map(tuple, S.sessionize(m, c, gap_minutes=gap, slice_seconds=sl, tie_break=tie).collect()))
+                assert got == whole, (tie, gap, sl)
