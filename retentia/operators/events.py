@@ -78,7 +78,8 @@ def _top(df: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def top_events(ev: DataFrame, as_of=None, k: int = TOP_EVENTS_K) -> DataFrame:
     w = since(ev, as_of, 7 * _DAY).where(F.col("se_action") != "")
-    return _top(w.select(F.col("se_category").alias("category"), F.col("se_action").alias("action")), ["category", "action"], k)
+    top = _top(w.select(F.col("se_category").alias("category"), F.col("se_action").alias("action")), ["category", "action"], k)
+    return top.select("category", "action", "n", F.concat_ws("/", "category", "action").alias("label"))
 
 
 def top_views(ev: DataFrame, as_of=None, k: int = TOP_VIEWS_K, suffix: str = "_viewed") -> DataFrame:

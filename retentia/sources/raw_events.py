@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..context import ensure_utc, ts_lit
 from ..functions import jsonx
@@ -28,16 +29,22 @@ from ..model import (
 DEDUP_KEY = ["collector_tstamp", "event_name", "event_id"]
 
 
+STORE_SCHEMA = T.StructType(
+    list(RAW_EVENTS_SCHEMA.fields)
+    + [T.StructField(INGEST_BATCH_COL, T.LongType()), T.StructField(MONTH_COL, T.IntegerType())]
+)
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Read the ingest sink (partitioned by ingest batch and month). A missing
-    store reads as an empty table with the declared schema."""
+    """Read the ingest sink (partitioned by ingest batch and month) with its
+    declared schema. A missing store reads as an empty table."""
     ensure_utc(spark)
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(STORE_SCHEMA).parquet(path)
     except Exception as exc:  # noqa: BLE001 - only "path does not exist" is expected
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
-        return spark.createDataFrame([], RAW_EVENTS_SCHEMA)
+        return spark.createDataFrame([], STORE_SCHEMA)
 
 
 def dedup(raw: DataFrame) -> DataFrame:
@@ -121,3 +128,26 @@ def event_view(raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS, stric
     others = [c for c in f.columns if c not in keys and c != INGEST_BATCH_COL]
     newest = F.max_by(F.struct(*others), F.col(INGEST_BATCH_COL)).alias("_row")
     return f.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+
+
+def expire_months(spark: SparkSession, store: str, as_of, ttl_days: int = EVENT_TTL_DAYS) -> list[str]:
+    """Delete whole month partitions of the ingest store whose every event is
+    past the TTL at ``as_of`` (the month's end + ttl_days <= as_of). Rows of
+    younger months are filtered at read time by :func:`retained`."""
+    import datetime as dt
+
+    now = spark.range(1).select(F.date_format(ts_lit(as_of), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()["t"]
+    now = dt.datetime.fromisoformat(now)
+    jvm = spark._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    statuses = fs.globStatus(Path(f"{store.rstrip('/')}/{INGEST_BATCH_COL}=*/{MONTH_COL}=*")) or []
+    removed = []
+    for st in statuses:
+        month = st.getPath().getName().split("=", 1)[1]
+        year, mon = int(month[:4]), int(month[4:6])
+        nxt = dt.datetime(year + (mon == 12), mon % 12 + 1, 1)
+        if nxt + dt.timedelta(days=ttl_days) <= now:
+            fs.delete(st.getPath(), True)
+            removed.append(str(st.getPath()))
+    return removed
