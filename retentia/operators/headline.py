@@ -66,13 +66,20 @@ def w1_return_rate(
         .agg(F.min("started_at").alias("first_at"))
         .where((F.col("first_at") < minus_seconds(now, 7 * _DAY)) & (F.col("first_at") >= minus_seconds(now, 21 * _DAY)))
     )
-    later = engaged.withColumnRenamed("user_id", "_u")
-    returned = cohort.join(
-        later,
-        (cohort.user_id == later._u)
-        & (later.started_at > cohort.first_at)
-        & (later.started_at <= minus_seconds(cohort.first_at, -7 * _DAY)),
-        "left_semi",
+    # Session rows stay on the left: an inner join lets AQE split a user with
+    # a huge share of the sessions (a semi join could only split the cohort
+    # side). The cohort has one row per user, so no row is multiplied, and the
+    # distinct is combined map-side.
+    c = cohort.withColumnRenamed("user_id", "_u")
+    returned = (
+        engaged.join(
+            c,
+            (engaged.user_id == c._u)
+            & (engaged.started_at > c.first_at)
+            & (engaged.started_at <= minus_seconds(c.first_at, -7 * _DAY)),
+        )
+        .select("user_id")
+        .distinct()
     )
     # one pass over both sets instead of two scalar subqueries
     counts = cohort.select(F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(

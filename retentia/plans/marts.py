@@ -64,23 +64,31 @@ STATUS_SCHEMA = T.StructType(
 )
 
 
-def run_cards(spark: SparkSession, cards: dict, out: str) -> DataFrame:
+def _run_card(spark: SparkSession, name: str, build, out: str) -> tuple:
+    t0 = time.time()
+    try:
+        df, obs = count_on_write(build())
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return (name, True, None, int(obs.get["rows"]), time.time() - t0)
+    except Exception as exc:  # noqa: BLE001 - per-card isolation is the point
+        try:
+            spark.createDataFrame([], build().schema).write.mode("overwrite").parquet(f"{out}/{name}")
+        except Exception:  # noqa: BLE001
+            pass
+        return (name, False, f"{type(exc).__name__}: {str(exc)[:500]}", 0, time.time() - t0)
+
+
+def run_cards(spark: SparkSession, cards: dict, out: str, parallel: int = 4) -> DataFrame:
     """Write each card to ``out/<card>``. A failing card gets an empty table
     (its schema when it can still be planned) and a status row with the error;
-    the other cards still land. Status goes to ``out/_status``."""
-    status = []
-    for name, build in cards.items():
-        t0 = time.time()
-        try:
-            df, obs = count_on_write(build())
-            df.write.mode("overwrite").parquet(f"{out}/{name}")
-            status.append((name, True, None, int(obs.get["rows"]), time.time() - t0))
-        except Exception as exc:  # noqa: BLE001 - per-card isolation is the point
-            try:
-                spark.createDataFrame([], build().schema).write.mode("overwrite").parquet(f"{out}/{name}")
-            except Exception:  # noqa: BLE001
-                pass
-            status.append((name, False, f"{type(exc).__name__}: {str(exc)[:500]}", 0, time.time() - t0))
+    the other cards still land. Cards are independent Spark jobs and are
+    submitted from ``parallel`` threads, so small cards do not wait on each
+    other's job latency. Status goes to ``out/_status``."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = [pool.submit(_run_card, spark, name, build, out) for name, build in cards.items()]
+        status = [f.result() for f in futures]
     st = spark.createDataFrame(status, STATUS_SCHEMA)
     st.coalesce(1).write.mode("overwrite").parquet(f"{out}/_status")
     return st

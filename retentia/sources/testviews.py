@@ -32,10 +32,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, spread_scan: bool = False) -> DataFrame:
     """The ``events`` table with ``ts`` as a TIMESTAMP (parquet gives TIMESTAMP_NTZ,
-    which watermarks and timezone-aware functions reject)."""
-    return spread(read_table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    which watermarks and timezone-aware functions reject). ``spread_scan``
+    when heavy per-row work (JSON) runs before the first shuffle."""
+    df = read_table(spark, sf_dir, "events")
+    return (spread(df) if spread_scan else df).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _conversation_num(ev: DataFrame) -> Column:
@@ -73,7 +75,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_events`` rows as the ingest job writes them (ms timestamps, JSON payload)."""
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, spread_scan=True)
     ts = F.date_trunc("MILLISECOND", ev.ts)
     uid = ev.user_id.cast("string")
     influencer = (ev.user_id % 7).cast("string")
@@ -121,7 +123,7 @@ def tracker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     in the client-session context by the same rule as :func:`raw_events`, and
     the application context carries the app version.
     """
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, spread_scan=True)
     ts = F.date_format(F.date_trunc("MILLISECOND", ev.ts), "yyyy-MM-dd HH:mm:ss.SSS")
     uid = ev.user_id.cast("string")
     itype = (
