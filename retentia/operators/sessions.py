@@ -8,15 +8,17 @@ default RANGE frame, exactly like the SQL the dashboards were fed by. Two
 messages of one conversation at the same instant can therefore get index 0;
 ``tie_break="id"`` gives the clean numbering instead.
 
-Scale design. One conversation may hold a large share of all messages, so no
-ordered window runs over a conversation's messages. Time is cut into slices no
-wider than the gap, so a gap inside a slice can never start a session: only
-the first message of a slice can, and only when the previous slice's last
-message is more than the gap earlier. Each (conversation, slice) is therefore
-reduced with plain aggregates to at most two rows (rows inside / outside the
-running-sum frame of the slice's first message), the message rows are shuffled
-exactly once, and the cross-slice numbering is a window over these small
-per-slice rows (at most two per slice of the conversation's time span).
+Scale design. One conversation — or one burst inside it — may hold a large
+share of all messages, so no window or sort runs over message rows. Time is
+cut into slices no wider than the gap, so a gap inside a slice can never start
+a session: only the first message of a slice can, and only when the previous
+slice's last message is more than the gap earlier. Message rows are reduced by
+aggregation only (map-side combined): per instant, then per slice, keeping the
+details of the slice's first instant, which is all the running-sum frame needs
+(rows at that instant with a smaller role fall outside it). The message rows
+are shuffled once, keyed by (conversation, slice, instant), so even a burst
+within one slice spreads over many tasks. Cross-slice numbering is a window
+over at most two rows per slice of a conversation's time span.
 """
 
 from __future__ import annotations
@@ -46,25 +48,52 @@ def _whole_conversation(m: DataFrame, gap_us: int, tie_break: str) -> DataFrame:
 
 
 def _sliced(m: DataFrame, gap_us: int, slice_us: int, tie_break: str) -> DataFrame:
-    key = "role" if tie_break == "role" else "id"
     m = m.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_us)).cast("long"))
-    in_slice = Window.partitionBy("conversation_id", "_slice")
-    first_t = F.min("_t").over(in_slice)
-    # sort key of the slice's first message (first by created_at, id)
-    first_key = F.min_by(key, F.struct("_t", "id")).over(in_slice)
-    # inside the RANGE frame of the first message: later instant, or same
-    # instant and a sort key at least the first message's
-    in_frame = ((F.col("_t") > first_t) | (F.col(key) >= first_key)).cast("int")
-    groups = (
-        m.select("conversation_id", "_slice", "role", "created_at", "_t", first_t.alias("_first_t"), in_frame.alias("_in"))
-        .groupBy("conversation_id", "_slice", "_first_t", "_in")
-        .agg(
-            F.min("created_at").alias("started_at"),
-            F.max("created_at").alias("ended_at"),
-            F.max("_t").alias("_last_t"),
-            *[F.count_if(F.col("role") == r).alias(c) for c, r in _COUNTS],
-        )
+    counts = [c for c, _ in _COUNTS]
+    # 1. one row per instant of a slice (messages at the same microsecond
+    #    merged); first_role = role of the instant's smallest id
+    instants = m.groupBy("conversation_id", "_slice", "_t").agg(
+        F.min("created_at").alias("created_at"),
+        *[F.count_if(F.col("role") == r).alias(c) for c, r in _COUNTS],
+        F.min("role").alias("_min_role"),
+        F.min_by("role", "id").alias("_first_role"),
+    )
+    # 2. one row per slice, with the details of its first instant
+    slices = instants.groupBy("conversation_id", "_slice").agg(
+        F.min("_t").alias("_first_t"),
+        F.max("_t").alias("_last_t"),
+        F.max("created_at").alias("ended_at"),
+        F.min_by(F.struct("created_at", "_min_role", "_first_role", *counts), "_t").alias("_f"),
+        *[F.sum(c).alias(c) for c in counts],
+    )
+    # 3. split the slice into the rows inside the running-sum frame of its
+    #    first message and the rows outside it: same instant, smaller role
+    #    (only possible with the (created_at, role) order)
+    f = F.col("_f")
+    if tie_break == "role":
+        out_n = {c: F.when(F.lit(r) < f["_first_role"], f[c]).otherwise(0) for c, r in _COUNTS}
+        out_exists = f["_min_role"] < f["_first_role"]
+    else:
+        out_n = {c: F.lit(0).cast("long") for c in counts}
+        out_exists = F.lit(False)
+    inside = F.struct(
+        F.lit(1).alias("_in"),
+        f["created_at"].alias("started_at"),
+        F.col("ended_at").alias("ended_at"),
+        *[(F.col(c) - out_n[c]).alias(c) for c in counts],
+    )
+    outside = F.struct(
+        F.lit(0).alias("_in"),
+        f["created_at"].alias("started_at"),
+        f["created_at"].alias("ended_at"),
+        *[out_n[c].alias(c) for c in counts],
+    )
+    parts = F.when(out_exists, F.array(inside, outside)).otherwise(F.array(inside))
+    groups = slices.select("conversation_id", "_slice", "_first_t", "_last_t", F.explode(parts).alias("g")).select(
+        "conversation_id", "_slice", "_first_t", "_last_t", "g.*"
     )
+    # 4. number sessions across slices: a slice starts a session when the
+    #    previous slice's last message is more than the gap earlier
     before = Window.partitionBy("conversation_id").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
     prev_last = F.max("_last_t").over(before)
     groups = groups.withColumn("_tf", F.when(prev_last.isNull() | (F.col("_first_t") - prev_last > gap_us), 1).otherwise(0))
@@ -73,7 +102,7 @@ def _sliced(m: DataFrame, gap_us: int, slice_us: int, tie_break: str) -> DataFra
     return groups.groupBy("conversation_id", "session_index").agg(
         F.min("started_at").alias("started_at"),
         F.max("ended_at").alias("ended_at"),
-        *[F.sum(c).alias(c) for c, _ in _COUNTS],
+        *[F.sum(c).alias(c) for c in counts],
     )
 
 
