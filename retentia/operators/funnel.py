@@ -67,6 +67,51 @@ def _bucket_summary(rows: DataFrame, part: list[str], n: int, window: int) -> Da
     return df.groupBy(*part).agg(*aggs)
 
 
+def _fields(n: int) -> list[str]:
+    return ["L"] + [f"c{j}" for j in range(1, n)] + [f"e{i}_{j}" for i in range(1, n) for j in range(i + 1, n + 1)]
+
+
+def _second_summary(n: int) -> list:
+    """Summary of one second from the bitmask of steps seen in it (events in
+    one second are taken in step order, so only the set matters)."""
+    mask = F.col("_mask")
+
+    def has(lo: int, hi: int):  # steps lo..hi all present
+        bits = sum(1 << (s - 1) for s in range(lo, hi + 1))
+        return (mask.bitwiseAND(F.lit(bits)) == F.lit(bits)) if hi >= lo else F.lit(True)
+
+    sec = F.col("sec")
+    cols = [F.greatest(*[F.when(has(1, j), F.lit(j)) for j in range(1, n + 1)], F.lit(0)).alias("L")]
+    cols += [F.when(has(1, j), sec).alias(f"c{j}") for j in range(1, n)]
+    cols += [F.when(has(i + 1, j), sec).alias(f"e{i}_{j}") for i in range(1, n) for j in range(i + 1, n + 1)]
+    return cols
+
+
+def _compose_sql(n: int, window: int) -> str:
+    """SQL lambda body composing summary ``acc`` (earlier) with ``x`` (later)."""
+    lvl = ["acc.L", "x.L"] + [
+        f"CASE WHEN x.e{i}_{j} - acc.c{i} <= {window} THEN {j} END" for i in range(1, n) for j in range(i + 1, n + 1)
+    ]
+    parts = [f"'L', greatest({', '.join(lvl)})"]
+    for j in range(1, n):
+        terms = [f"acc.c{j}", f"x.c{j}"] + [f"CASE WHEN x.e{i}_{j} IS NOT NULL THEN acc.c{i} END" for i in range(1, j)]
+        parts.append(f"'c{j}', greatest({', '.join(terms)})")
+    for i in range(1, n):
+        for j in range(i + 1, n + 1):
+            # done in acc if possible; else do as much as acc can (steps i+1..m) and finish m+1..j in x
+            whens = " ".join(f"WHEN acc.e{i}_{m} IS NOT NULL THEN x.e{m}_{j}" for m in range(j - 1, i, -1))
+            parts.append(f"'e{i}_{j}', coalesce(acc.e{i}_{j}, CASE {whens} ELSE x.e{i}_{j} END)" if whens else f"'e{i}_{j}', coalesce(acc.e{i}_{j}, x.e{i}_{j})")
+    return "named_struct(" + ", ".join(parts) + ")"
+
+
+def _fold(n: int, window: int) -> F.Column:
+    fields = _fields(n)
+    items = ", ".join(f"'{f}', {f}" for f in ["_k"] + fields)
+    zero = "named_struct(" + ", ".join(["'L', 0"] + [f"'{f}', CAST(NULL AS BIGINT)" for f in fields[1:]]) + ")"
+    body = _compose_sql(n, window)
+    return F.expr(f"aggregate(array_sort(collect_list(named_struct({items}))), {zero}, (acc, x) -> {body})")
+
+
 def funnel_levels(
     ev: DataFrame,
     steps: list[str] = FUNNEL_STEPS,
@@ -77,31 +122,36 @@ def funnel_levels(
 ) -> DataFrame:
     """(u, level) for every user with at least one step event in the last
     ``window_days`` days. The chain window is ``window_days`` days unless
-    ``window_seconds`` is given. ``bucket_seconds=None`` scans each user whole."""
+    ``window_seconds`` is given.
+
+    Default plan (aggregation only): per (user, second) a bitmask of the steps
+    seen (hash aggregate, map-side combined), turned into a one-second summary;
+    summaries are composed in time order per (user, minute), per (user,
+    ``bucket_seconds``) and per user. Each list holds at most 60, then
+    bucket/60, then range/bucket entries. ``bucket_seconds=None`` instead
+    scans each user's rows whole with window functions (reference path).
+    """
     if len(set(steps)) != len(steps):
         raise ValueError("funnel steps must be distinct")
     n = len(steps)
+    if n > 62:
+        raise ValueError("at most 62 funnel steps")
     window = window_days * 86400 if window_seconds is None else int(window_seconds)
     rows = _step_rows(ev, steps, as_of, window_days)
     if not bucket_seconds:
         return _bucket_summary(rows, ["u"], n, window).select("u", F.col("L").alias("level"))
-    rows = rows.withColumn("b", F.floor(F.col("sec") / F.lit(bucket_seconds)).cast("long"))
-    summary = _bucket_summary(rows, ["u", "b"], n, window)
-    if n == 1:
-        return summary.groupBy("u").agg(F.max("L").alias("level"))
-    fields = ["b", "L"] + [f"c{j}" for j in range(1, n)] + [f"e{i}_{j}" for i in range(1, n) for j in range(i + 1, n + 1)]
-    items = ", ".join(f"'{f}', {f}" for f in fields)
-    zero = "named_struct('lvl', 0" + "".join(f", 'a{j}', CAST(NULL AS BIGINT)" for j in range(1, n)) + ")"
-    lvl_terms = ["acc.lvl", "x.L"] + [
-        f"CASE WHEN x.e{i}_{j} - acc.a{i} <= {window} THEN {j} END" for i in range(1, n) for j in range(i + 1, n + 1)
-    ]
-    merge = f"named_struct('lvl', greatest({', '.join(lvl_terms)})"
-    for j in range(1, n):
-        terms = [f"acc.a{j}", f"x.c{j}"] + [f"CASE WHEN x.e{i}_{j} IS NOT NULL THEN acc.a{i} END" for i in range(1, j)]
-        merge += f", 'a{j}', greatest({', '.join(terms)})"
-    merge += ")"
-    fold = f"aggregate(array_sort(collect_list(named_struct({items}))), {zero}, (acc, x) -> {merge}, acc -> acc.lvl)"
-    return summary.groupBy("u").agg(F.expr(fold).cast("int").alias("level"))
+    seconds = rows.groupBy("u", "sec").agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), k - 1)")).alias("_mask"))
+    # _k = start second of the (sub)bucket; buckets keep time order, so any
+    # nesting of bucket sizes composes correctly
+    summary = seconds.select("u", F.col("sec").alias("_k"), *_second_summary(n))
+    fields = _fields(n)
+    for size in sorted({min(60, bucket_seconds), bucket_seconds}):
+        summary = (
+            summary.groupBy("u", (F.floor(F.col("_k") / F.lit(size)) * F.lit(size)).cast("long").alias("_b"))
+            .agg(_fold(n, window).alias("_s"))
+            .select("u", F.col("_b").alias("_k"), *[F.col(f"_s.{f}").alias(f) for f in fields])
+        )
+    return summary.groupBy("u").agg(_fold(n, window).alias("_s")).select("u", F.col("_s.L").cast("int").alias("level"))
 
 
 def funnel_steps(levels: DataFrame, steps: list[str] = FUNNEL_STEPS) -> DataFrame:

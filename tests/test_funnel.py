@@ -39,14 +39,14 @@ def test_window_edge_and_missing_first_step(spark):
     assert got == [("s1", 2, 1.0, None), ("s2", 1, 0.5, 0.5), ("s3", 0, 0.0, 1.0), ("s4", 0, 0.0, None)]
 
 
-def brute(events, window):
+def brute(events, window, nsteps=4):
     by = {}
     for u, sec, k in events:
         by.setdefault(u, []).append((sec, k))
     out = {}
     for u, evs in by.items():
         best = 0
-        for n in range(1, 5):
+        for n in range(1, nsteps + 1):
             cands = [sorted(s for s, k in evs if k == j) for j in range(1, n + 1)]
             if any(not c for c in cands):
                 break
@@ -74,3 +74,21 @@ def test_bucketed_matches_brute_force(spark):
     want = brute(evs, 30)
     for b in (None, 7, 60, 3600):
         assert levels(spark, rows, 30, b) == want
+
+
+def test_fewer_steps_and_wide_window_match_brute_force(spark):
+    rnd = random.Random(3)
+    for nsteps, window in ((2, 5), (3, 90), (4, 100000)):
+        steps = STEPS[:nsteps]
+        rows, evs = [], []
+        for _ in range(400):
+            u = f"u{rnd.randint(0, 15)}"
+            sec = rnd.randint(0, 7200)
+            k = rnd.randint(1, 4)
+            rows.append((u, f"2024-01-05 {sec // 3600:02d}:{sec % 3600 // 60:02d}:{sec % 60:02d}", f"s{k}"))
+            if k <= nsteps:
+                evs.append((u, sec, k))
+        want = brute(evs, window, nsteps)
+        for b in (None, 60, 1800):
+            got = funnel.funnel_levels(ev_df(spark, rows), steps, "2024-01-08", 7, b, window)
+            assert {r.u: r.level for r in got.collect()} == want, (nsteps, window, b)
