@@ -39,10 +39,16 @@ def refresh_sessions(
         table.publish(fresh, SORT)
         return int(obs.get["rows"])
     cutoff = F.timestamp_micros(F.lit(int(mark) - int(lookback_minutes * 60 * 1_000_000)))
-    scope = messages.where(F.col("created_at") > cutoff).select("conversation_id").distinct()
-    if scope.isEmpty():
-        return 0
-    kept = old.join(scope, "conversation_id", "left_anti")
-    fresh, obs = count_on_write(S.sessionize(messages, conversations, scope=scope, **sessionize_args))
-    table.publish(kept.unionByName(fresh), SORT)
-    return int(obs.get["rows"])
+    # the changed set is small (conversations active since the last run) and is
+    # used three times: keep it in executor memory; a lost block is recomputed
+    # from its lineage (a cached block is not a lineage cut)
+    scope = messages.where(F.col("created_at") > cutoff).select("conversation_id").distinct().persist()
+    try:
+        if scope.isEmpty():
+            return 0
+        kept = old.join(scope, "conversation_id", "left_anti")
+        fresh, obs = count_on_write(S.sessionize(messages, conversations, scope=scope, **sessionize_args))
+        table.publish(kept.unionByName(fresh), SORT)
+        return int(obs.get["rows"])
+    finally:
+        scope.unpersist()

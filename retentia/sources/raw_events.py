@@ -65,8 +65,10 @@ def dedup(raw: DataFrame) -> DataFrame:
 
 def retained(raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS) -> DataFrame:
     """Rows still inside the TTL at ``as_of``: trunc_second(ts) + ttl > as_of."""
+    # cutoff is a whole second, so trunc_second(ts) > cutoff <=> ts >= cutoff + 1 s,
+    # a plain bound on the column that reaches the parquet scan
     cutoff = F.timestamp_seconds(F.unix_seconds(ts_lit(as_of)) - ttl_days * 86400)
-    out = raw.where(F.date_trunc("SECOND", F.col("collector_tstamp")) > cutoff)
+    out = raw.where(F.col("collector_tstamp") >= F.timestamp_seconds(F.unix_seconds(ts_lit(as_of)) - ttl_days * 86400 + 1))
     return _month_floor(out, cutoff)
 
 
