@@ -80,3 +80,14 @@ def test_month_partitions(spark, tmp_path):
     _, out = run(spark, tmp_path, [b64(line("e1", ts="2024-01-31 23:59:59.999")), b64(line("e2", ts="2024-02-01 00:00:00.000"))])
     raw = rawv.read_store(spark, out["raw"])
     assert sorted((r.event_id, r.yyyymm) for r in raw.collect()) == [("e1", 202401), ("e2", 202402)]
+
+
+def test_replayed_batch_id_is_idempotent(spark, tmp_path):
+    lines = spark.createDataFrame([(b64(line("e1")),), (b64(line("e2")),), ("bad",)], "value string")
+    batch = ingest.prepare(lines, TEST_TSV_FIELDS)
+    out = {k: str(tmp_path / k) for k in ("raw", "dead", "metrics")}
+    for _ in range(2):  # the same batch id written twice, as after a failure before the commit
+        ingest.write_batch(batch, 7, out["raw"], out["dead"], out["metrics"])
+    assert rawv.read_store(spark, out["raw"]).count() == 2
+    assert spark.read.parquet(out["dead"]).count() == 1
+    assert spark.read.parquet(out["metrics"]).count() == 1
