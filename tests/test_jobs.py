@@ -51,3 +51,11 @@ def test_month_expiry(spark):
     removed = rawv.expire_months(spark, store, "2024-05-01 00:00:00")
     assert removed and all("yyyymm=202401" in p for p in removed)
     assert before > 0 and rawv.read_store(spark, store).where(F.col("yyyymm") == 202401).count() == 0
+
+
+def test_session_marts_job(spark, tmp_path):
+    sessions = catalog.q_sessionize_24h(spark, SF)
+    st = marts.run_session_marts(spark, sessions, str(tmp_path / "sm"), as_of=catalog.AS_OF, today=catalog.TODAY_AS_OF, min_turns=2)
+    assert all(r.ok for r in st.collect())
+    grid = spark.read.parquet(str(tmp_path / "sm" / "cohort_grid"))
+    assert grid.count() == catalog.q_cohort_grid(spark, SF).count()
