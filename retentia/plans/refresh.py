@@ -24,11 +24,17 @@ def sessions_table(spark, base: str) -> SnapshotTable:
     return SnapshotTable(spark, base, SESSIONS_SCHEMA)
 
 
+# Changed-conversation ids broadcast to every task when at most this many
+# (~40 bytes each); beyond it the semi/anti joins shuffle instead.
+BROADCAST_SCOPE_MAX = 2_000_000
+
+
 def refresh_sessions(
     table: SnapshotTable,
     messages: DataFrame,
     conversations: DataFrame,
     lookback_minutes: float = REFRESH_LOOKBACK_MINUTES,
+    broadcast_scope_max: int = BROADCAST_SCOPE_MAX,
     **sessionize_args,
 ) -> int:
     old = table.read()
@@ -44,10 +50,14 @@ def refresh_sessions(
     # from its lineage (a cached block is not a lineage cut)
     scope = messages.where(F.col("created_at") > cutoff).select("conversation_id").distinct().persist()
     try:
-        if scope.isEmpty():
+        n = scope.count()
+        if n == 0:
             return 0
-        kept = old.join(scope, "conversation_id", "left_anti")
-        fresh, obs = count_on_write(S.sessionize(messages, conversations, scope=scope, **sessionize_args))
+        # size-checked broadcast: the semi join then filters the message scan
+        # before any shuffle; a larger set falls back to a shuffle join
+        ids = F.broadcast(scope) if n <= broadcast_scope_max else scope
+        kept = old.join(ids, "conversation_id", "left_anti")
+        fresh, obs = count_on_write(S.sessionize(messages, conversations, scope=ids, **sessionize_args))
         table.publish(kept.unionByName(fresh), SORT)
         return int(obs.get["rows"])
     finally:

@@ -107,3 +107,14 @@ def test_sliced_equals_whole_with_many_ties(spark):
             for sl in (300, 3600):
                 got = sorted(map(tuple, S.sessionize(m, c, gap_minutes=gap, slice_seconds=sl, tie_break=tie).collect()))
                 assert got == whole, (tie, gap, sl)
+
+
+def test_refresh_without_broadcast_matches(spark, tmp_path):
+    base = [(1, "a", "user", "2024-01-01 00:00:00"), (2, "b", "user", "2024-01-01 00:30:00")]
+    later = base + [(3, "a", "user", "2024-01-01 00:35:00"), (4, "b", "system", "2024-01-01 00:40:00")]
+    m, c = frames(spark, base)
+    m2, c2 = frames(spark, later)
+    table = sessions_table(spark, str(tmp_path / "nb"))
+    refresh_sessions(table, m, c, broadcast_scope_max=0)
+    refresh_sessions(table, m2, c2, broadcast_scope_max=0)
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, S.sessionize(m2, c2).collect()))
