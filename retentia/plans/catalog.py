@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..context import ensure_checkpoint_dir
 from ..operators import cohorts, events, funnel, headline, sessions
 from ..sources import raw_events as rawv
 from ..sources import testviews as tv
@@ -29,12 +30,25 @@ FUNNEL = ["item_viewed", "click", "signup", "purchase"]
 START_ACTION, MESSAGE_ACTION = "signup", "purchase"
 
 
-def _sessions(spark: SparkSession, sf: str, gap: float = DAY_GAP) -> DataFrame:
-    return sessions.sessionize(tv.messages(spark, sf), tv.conversations(spark, sf), gap_minutes=gap)
+def _sessions(spark: SparkSession, sf: str, gap: float = DAY_GAP, stored: bool = False) -> DataFrame:
+    """Sessions built from the messages. ``stored``: materialise them once in
+    the checkpoint folder (a reliable checkpoint, like the published sessions
+    table the cards read in production) for queries that read them twice."""
+    out = sessions.sessionize(tv.messages(spark, sf), tv.conversations(spark, sf), gap_minutes=gap)
+    if stored:
+        ensure_checkpoint_dir(spark)
+        out = out.checkpoint()
+    return out
 
 
-def _ev(spark: SparkSession, sf: str) -> DataFrame:
-    return rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF)
+def _ev(spark: SparkSession, sf: str, stored: bool = False) -> DataFrame:
+    """The event view; ``stored`` materialises it once (the marts job writes
+    it as a table) for queries that read it several times."""
+    out = rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF)
+    if stored:
+        ensure_checkpoint_dir(spark)
+        out = out.checkpoint()
+    return out
 
 
 def q_sessionize_20m(spark, sf):
@@ -49,7 +63,8 @@ def _before_cut(spark, sf):
     """The sessions table as an earlier refresh left it: built from the
     messages that existed at REFRESH_CUT."""
     msgs = tv.messages(spark, sf).where(F.col("created_at") < F.lit(REFRESH_CUT).cast("timestamp"))
-    return sessions.sessionize(msgs, tv.conversations(spark, sf), gap_minutes=DAY_GAP)
+    ensure_checkpoint_dir(spark)
+    return sessions.sessionize(msgs, tv.conversations(spark, sf), gap_minutes=DAY_GAP).checkpoint()
 
 
 def q_changed_conversations(spark, sf):
@@ -73,11 +88,11 @@ def q_second_message_rate(spark, sf):
 
 
 def q_w1_return_rate(spark, sf):
-    return headline.w1_return_rate(_sessions(spark, sf), as_of=AS_OF, min_turns=ENGAGED)
+    return headline.w1_return_rate(_sessions(spark, sf, stored=True), as_of=AS_OF, min_turns=ENGAGED)
 
 
 def q_cohort_retention(spark, sf):
-    return cohorts.cohort_retention(_sessions(spark, sf), as_of=AS_OF, min_turns=ENGAGED)
+    return cohorts.cohort_retention(_sessions(spark, sf, stored=True), as_of=AS_OF, min_turns=ENGAGED)
 
 
 def q_cohort_grid(spark, sf):
@@ -161,7 +176,7 @@ def q_funnel_dropoff(spark, sf):
 
 
 def q_kpi_glance(spark, sf):
-    ev = _ev(spark, sf)
+    ev = _ev(spark, sf, stored=True)
     return marts.kpi_glance(
         funnel.window_funnel(ev, FUNNEL, AS_OF), events.active_users(ev, AS_OF), events.returning_user_rate(ev)
     )
