@@ -248,3 +248,53 @@ def start_ingest(
     elif trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
+
+
+class IngestProgress:
+    """Driver-side ingest health (the consumer's /health counters): collects
+    one record per micro-batch from the query's progress events — batch id,
+    input rows, good/bad rows from the ``observe`` metrics, batch duration —
+    for a status page or a small table (``to_df``)."""
+
+    def __init__(self, spark: SparkSession, query_name_or_id: str | None = None):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        self.records: list[dict] = []
+        outer = self
+
+        class _Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                p = event.progress
+                if query_name_or_id and query_name_or_id not in (p.name, str(p.id)):
+                    return
+                obs = p.observedMetrics.get("ingest") if p.observedMetrics else None
+                outer.records.append(
+                    {
+                        "batch_id": int(p.batchId),
+                        "input_rows": int(p.numInputRows),
+                        "good_rows": int(obs["good_rows"]) if obs is not None else None,
+                        "bad_rows": int(obs["bad_rows"]) if obs is not None else None,
+                        "duration_ms": int(p.batchDuration),
+                        "timestamp": p.timestamp,
+                    }
+                )
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self.spark = spark
+        self.listener = _Listener()
+        spark.streams.addListener(self.listener)
+
+    def stop(self) -> None:
+        self.spark.streams.removeListener(self.listener)
+
+    def to_df(self) -> DataFrame:
+        schema = "batch_id long, input_rows long, good_rows long, bad_rows long, duration_ms long, timestamp string"
+        return self.spark.createDataFrame([tuple(r.values()) for r in self.records], schema)

@@ -38,6 +38,23 @@ def run(spark, tmp_path, records, name="in", checkpoint=None):
     return q, out
 
 
+def test_progress_listener(spark, tmp_path):
+    import time
+
+    progress = ingest.IngestProgress(spark)
+    try:
+        run(spark, tmp_path, [b64(line("e1")), "junk"])
+        for _ in range(50):  # listener events arrive asynchronously
+            if any(r["input_rows"] for r in progress.records):
+                break
+            time.sleep(0.1)
+    finally:
+        progress.stop()
+    rows = [r for r in progress.records if r["input_rows"]]
+    assert rows and rows[0]["input_rows"] == 2 and rows[0]["good_rows"] == 1 and rows[0]["bad_rows"] == 1
+    assert progress.to_df().count() == len(progress.records)
+
+
 def test_good_and_dead_letter_rows(spark, tmp_path):
     records = [
         b64(line("e1", user="alice")),
