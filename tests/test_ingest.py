@@ -108,3 +108,18 @@ def test_replayed_batch_id_is_idempotent(spark, tmp_path):
     assert rawv.read_store(spark, out["raw"]).count() == 2
     assert spark.read.parquet(out["dead"]).count() == 1
     assert spark.read.parquet(out["metrics"]).count() == 1
+
+
+def test_stream_side_dedup_within_watermark(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    recs = [b64(line("e1")), b64(line("e1")), b64(line("e2")), "junk"]
+    (src / "part-0.txt").write_text("\n".join(recs) + "\n")
+    out = {k: str(tmp_path / k) for k in ("raw", "dead", "metrics")}
+    q = ingest.start_ingest(
+        ingest.file_source(spark, str(src)), TEST_TSV_FIELDS, out["raw"], out["dead"], out["metrics"],
+        str(tmp_path / "ckpt"), available_now=True, dedup_delay="10 minutes",
+    )
+    q.awaitTermination()
+    assert sorted(r.event_id for r in rawv.read_store(spark, out["raw"]).collect()) == ["e1", "e2"]
+    assert spark.read.parquet(out["dead"]).count() == 1
