@@ -1,6 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
 
 from conftest import T
 from retentia.model import RAW_EVENTS_SCHEMA, SESSIONS_SCHEMA
