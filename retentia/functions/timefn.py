@@ -33,3 +33,9 @@ def pct_half_even(num: Column, den: Column) -> Column:
 
 def minus_seconds(ts: Column, seconds: int) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) - int(seconds) * 1_000_000)
+
+
+def floor_div(col: Column, width: int) -> Column:
+    """Exact integer floor(col / width) for a bigint column (also below zero)."""
+    w = F.lit(int(width)).cast("long")
+    return ((col - F.pmod(col, w)) / w).cast("long")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefn import ratio
+from ..functions.timefn import floor_div, ratio
 from ..model import FUNNEL_STEPS, FUNNEL_WINDOW_DAYS
 from ..sources.raw_events import since
 
@@ -147,7 +147,7 @@ def funnel_levels(
     fields = _fields(n)
     for size in sorted({min(60, bucket_seconds), bucket_seconds}):
         summary = (
-            summary.groupBy("u", (F.floor(F.col("_k") / F.lit(size)) * F.lit(size)).cast("long").alias("_b"))
+            summary.groupBy("u", (floor_div(F.col("_k"), size) * F.lit(size)).alias("_b"))
             .agg(_fold(n, window).alias("_s"))
             .select("u", F.col("_b").alias("_k"), *[F.col(f"_s.{f}").alias(f) for f in fields])
         )

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timefn import floor_div
 from ..model import REFRESH_LOOKBACK_MINUTES, SESSION_GAP_MINUTES
 
 _US = 1_000_000
@@ -48,7 +49,7 @@ def _whole_conversation(m: DataFrame, gap_us: int, tie_break: str) -> DataFrame:
 
 
 def _sliced(m: DataFrame, gap_us: int, slice_us: int, tie_break: str) -> DataFrame:
-    m = m.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_us)).cast("long"))
+    m = m.withColumn("_slice", floor_div(F.col("_t"), slice_us))
     counts = [c for c, _ in _COUNTS]
     # 1. one row per instant of a slice (messages at the same microsecond
     #    merged); first_role = role of the instant's smallest id
