@@ -56,12 +56,20 @@ QUERIES = [
 ]
 
 
-def timed(fn) -> float:
-    """Warm wall time: one untimed run (class loading, codegen), then the timed run."""
-    fn()
-    t0 = time.perf_counter()
-    fn()
-    return round(time.perf_counter() - t0, 3)
+ERRORS: dict[str, str] = {}
+
+
+def timed(fn, name: str = "") -> float | None:
+    """Warm wall time: one untimed run (class loading, codegen), then the
+    timed run. A failure is recorded and reported instead of ending the bench."""
+    try:
+        fn()
+        t0 = time.perf_counter()
+        fn()
+        return round(time.perf_counter() - t0, 3)
+    except Exception as exc:  # noqa: BLE001
+        ERRORS[name] = f"{type(exc).__name__}: {str(exc)[:300]}"
+        return None
 
 
 def main() -> None:
@@ -71,7 +79,7 @@ def main() -> None:
 
     out: dict[str, float] = {}
     for name in QUERIES:
-        out[name] = timed(lambda: q[name](spark, SF).write.format("noop").mode("overwrite").save())
+        out[name] = timed(lambda: q[name](spark, SF).write.format("noop").mode("overwrite").save(), name)
 
     # the refresh job as deployed: full build, then an incremental run after new messages
     from pyspark.sql import functions as F
@@ -90,11 +98,14 @@ def main() -> None:
         refresh_sessions(t, msgs, convs)
         return t1 - t0, time.perf_counter() - t1
 
-    full_then_incremental()
-    full, incr = full_then_incremental()
-    out["refresh_job_full"], out["refresh_job_incremental"] = round(full, 3), round(incr, 3)
+    try:
+        full_then_incremental()
+        full, incr = full_then_incremental()
+        out["refresh_job_full"], out["refresh_job_incremental"] = round(full, 3), round(incr, 3)
+    except Exception as exc:  # noqa: BLE001
+        ERRORS["refresh_job"] = f"{type(exc).__name__}: {str(exc)[:300]}"
 
-    out["ingest_stream"] = timed(lambda: scat.q_ingest_stream(spark, SF).write.format("noop").mode("overwrite").save())
+    out["ingest_stream"] = timed(lambda: scat.q_ingest_stream(spark, SF).write.format("noop").mode("overwrite").save(), "ingest_stream")
     out["event_marts_job"] = timed(
         lambda: marts.run_event_marts(
             spark,
@@ -104,10 +115,11 @@ def main() -> None:
             steps=catalog.FUNNEL,
             start_action=catalog.START_ACTION,
             message_action=catalog.MESSAGE_ACTION,
-        )
+        ),
+        "event_marts_job",
     )
 
-    total = round(sum(out.values()), 3)
+    total = round(sum(v for v in out.values() if v is not None), 3)
     print(
         json.dumps(
             {
@@ -117,6 +129,7 @@ def main() -> None:
                 "queries": out,
                 "sf": SF.rstrip("/").rsplit("sf", 1)[-1],
                 "cpus": CPUS,
+                "errors": ERRORS,
             }
         )
     )
