@@ -36,3 +36,16 @@ def json_str(col: Column | str, path: str, strict: bool = True) -> Column:
 def identity(v: Column, user_path: str, fallback_path: str) -> Column:
     """``coalesce(nullif(user_id, ''), context user id)``; '' when both are missing."""
     return F.coalesce(F.nullif(variant_str(v, user_path), F.lit("")), variant_str(v, fallback_path))
+
+
+# SQL-text forms of the same rules, for building many fields in one
+# ``selectExpr`` (one plan-building call instead of one per sub-expression).
+
+
+def variant_str_sql(v: str, path: str) -> str:
+    x = f"try_variant_get({v}, '{path}', 'variant')"
+    return f"CASE WHEN schema_of_variant({x}) = 'STRING' THEN try_variant_get({x}, '$', 'string') ELSE '' END"
+
+
+def identity_sql(v: str, user_path: str, fallback_path: str) -> str:
+    return f"coalesce(nullif({variant_str_sql(v, user_path)}, ''), {variant_str_sql(v, fallback_path)})"

@@ -71,19 +71,17 @@ def _fields(n: int) -> list[str]:
     return ["L"] + [f"c{j}" for j in range(1, n)] + [f"e{i}_{j}" for i in range(1, n) for j in range(i + 1, n + 1)]
 
 
-def _second_summary(n: int) -> list:
+def _second_summary(n: int) -> list[str]:
     """Summary of one second from the bitmask of steps seen in it (events in
     one second are taken in step order, so only the set matters)."""
-    mask = F.col("_mask")
 
-    def has(lo: int, hi: int):  # steps lo..hi all present
+    def has(lo: int, hi: int) -> str:  # steps lo..hi all present
         bits = sum(1 << (s - 1) for s in range(lo, hi + 1))
-        return (mask.bitwiseAND(F.lit(bits)) == F.lit(bits)) if hi >= lo else F.lit(True)
+        return f"(_mask & {bits}) = {bits}"
 
-    sec = F.col("sec")
-    cols = [F.greatest(*[F.when(has(1, j), F.lit(j)) for j in range(1, n + 1)], F.lit(0)).alias("L")]
-    cols += [F.when(has(1, j), sec).alias(f"c{j}") for j in range(1, n)]
-    cols += [F.when(has(i + 1, j), sec).alias(f"e{i}_{j}") for i in range(1, n) for j in range(i + 1, n + 1)]
+    cols = ["greatest(" + ", ".join(f"CASE WHEN {has(1, j)} THEN {j} END" for j in range(1, n + 1)) + ", 0) AS L"]
+    cols += [f"CASE WHEN {has(1, j)} THEN sec END AS c{j}" for j in range(1, n)]
+    cols += [f"CASE WHEN {has(i + 1, j)} THEN sec END AS e{i}_{j}" for i in range(1, n) for j in range(i + 1, n + 1)]
     return cols
 
 
@@ -143,7 +141,7 @@ def funnel_levels(
     seconds = rows.groupBy("u", "sec").agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), k - 1)")).alias("_mask"))
     # _k = start second of the (sub)bucket; buckets keep time order, so any
     # nesting of bucket sizes composes correctly
-    summary = seconds.select("u", F.col("sec").alias("_k"), *_second_summary(n))
+    summary = seconds.selectExpr("u", "sec AS _k", *_second_summary(n))
     fields = _fields(n)
     for size in sorted({min(60, bucket_seconds), bucket_seconds}):
         summary = (
@@ -160,21 +158,21 @@ def funnel_steps(levels: DataFrame, steps: list[str] = FUNNEL_STEPS) -> DataFram
     previous step ((prev - cur) / prev; NULL for step 1 or prev = 0)."""
     if not steps:
         return levels.sparkSession.createDataFrame([], "step_no int, step string, users bigint, conversion double, dropoff double")
-    counts = levels.agg(*[F.count_if(F.col("level") >= i).alias(f"s{i}") for i in range(1, len(steps) + 1)])
+    n = len(steps)
+    counts = levels.agg(*[F.expr(f"count_if(level >= {i}) AS s{i}") for i in range(1, n + 1)])
+
+    def ratio_sql(num: str, den: str) -> str:
+        return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
+
     rows = []
     for i, name in enumerate(steps, start=1):
-        cur = F.col(f"s{i}")
-        drop = F.lit(None).cast("double") if i == 1 else ratio(F.col(f"s{i - 1}") - cur, F.col(f"s{i - 1}"))
+        drop = "CAST(NULL AS DOUBLE)" if i == 1 else ratio_sql(f"s{i - 1} - s{i}", f"s{i - 1}")
+        quoted = name.replace("'", "\\'")
         rows.append(
-            F.struct(
-                F.lit(i).alias("step_no"),
-                F.lit(name).alias("step"),
-                cur.alias("users"),
-                ratio(cur, F.col("s1")).alias("conversion"),
-                drop.alias("dropoff"),
-            )
+            f"named_struct('step_no', {i}, 'step', '{quoted}', 'users', s{i}, "
+            f"'conversion', {ratio_sql(f's{i}', 's1')}, 'dropoff', {drop})"
         )
-    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return counts.selectExpr(f"explode(array({', '.join(rows)})) AS r").selectExpr("r.*")
 
 
 def window_funnel(

@@ -49,61 +49,54 @@ def _whole_conversation(m: DataFrame, gap_us: int, tie_break: str) -> DataFrame:
 
 
 def _sliced(m: DataFrame, gap_us: int, slice_us: int, tie_break: str) -> DataFrame:
-    m = m.withColumn("_slice", floor_div(F.col("_t"), slice_us))
     counts = [c for c, _ in _COUNTS]
+    m = m.withColumn("_slice", floor_div(F.col("_t"), slice_us))
     # 1. one row per instant of a slice (messages at the same microsecond
-    #    merged); first_role = role of the instant's smallest id
+    #    merged); _first_role = role of the instant's smallest id
     instants = m.groupBy("conversation_id", "_slice", "_t").agg(
-        F.min("created_at").alias("created_at"),
-        *[F.count_if(F.col("role") == r).alias(c) for c, r in _COUNTS],
-        F.min("role").alias("_min_role"),
-        F.min_by("role", "id").alias("_first_role"),
+        *[
+            F.expr(e)
+            for e in ["min(created_at) AS created_at"]
+            + [f"count_if(role = '{r}') AS {c}" for c, r in _COUNTS]
+            + ["min(role) AS _min_role", "min_by(role, id) AS _first_role"]
+        ]
     )
     # 2. one row per slice, with the details of its first instant
+    first = f"min_by(named_struct('created_at', created_at, '_min_role', _min_role, '_first_role', _first_role, {', '.join(f"'{c}', {c}" for c in counts)}), _t) AS _f"
     slices = instants.groupBy("conversation_id", "_slice").agg(
-        F.min("_t").alias("_first_t"),
-        F.max("_t").alias("_last_t"),
-        F.max("created_at").alias("ended_at"),
-        F.min_by(F.struct("created_at", "_min_role", "_first_role", *counts), "_t").alias("_f"),
-        *[F.sum(c).alias(c) for c in counts],
+        *[
+            F.expr(e)
+            for e in ["min(_t) AS _first_t", "max(_t) AS _last_t", "max(created_at) AS ended_at", first]
+            + [f"sum({c}) AS {c}" for c in counts]
+        ]
     )
     # 3. split the slice into the rows inside the running-sum frame of its
     #    first message and the rows outside it: same instant, smaller role
     #    (only possible with the (created_at, role) order)
-    f = F.col("_f")
     if tie_break == "role":
-        out_n = {c: F.when(F.lit(r) < f["_first_role"], f[c]).otherwise(0) for c, r in _COUNTS}
-        out_exists = f["_min_role"] < f["_first_role"]
+        out_n = {c: f"CASE WHEN '{r}' < _f._first_role THEN _f.{c} ELSE 0 END" for c, r in _COUNTS}
+        out_exists = "_f._min_role < _f._first_role"
     else:
-        out_n = {c: F.lit(0).cast("long") for c in counts}
-        out_exists = F.lit(False)
-    inside = F.struct(
-        F.lit(1).alias("_in"),
-        f["created_at"].alias("started_at"),
-        F.col("ended_at").alias("ended_at"),
-        *[(F.col(c) - out_n[c]).alias(c) for c in counts],
-    )
-    outside = F.struct(
-        F.lit(0).alias("_in"),
-        f["created_at"].alias("started_at"),
-        f["created_at"].alias("ended_at"),
-        *[out_n[c].alias(c) for c in counts],
-    )
-    parts = F.when(out_exists, F.array(inside, outside)).otherwise(F.array(inside))
-    groups = slices.select("conversation_id", "_slice", "_first_t", "_last_t", F.explode(parts).alias("g")).select(
-        "conversation_id", "_slice", "_first_t", "_last_t", "g.*"
-    )
+        out_n = {c: "CAST(0 AS BIGINT)" for c in counts}
+        out_exists = "false"
+    inside = "named_struct('_in', 1, 'started_at', _f.created_at, 'ended_at', ended_at, " + ", ".join(
+        f"'{c}', {c} - ({out_n[c]})" for c in counts
+    ) + ")"
+    outside = "named_struct('_in', 0, 'started_at', _f.created_at, 'ended_at', _f.created_at, " + ", ".join(
+        f"'{c}', {out_n[c]}" for c in counts
+    ) + ")"
+    keys = ["conversation_id", "_slice", "_first_t", "_last_t"]
+    groups = slices.selectExpr(
+        *keys, f"explode(CASE WHEN {out_exists} THEN array({inside}, {outside}) ELSE array({inside}) END) AS g"
+    ).selectExpr(*keys, "g.*")
     # 4. number sessions across slices: a slice starts a session when the
     #    previous slice's last message is more than the gap earlier
-    before = Window.partitionBy("conversation_id").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
-    prev_last = F.max("_last_t").over(before)
-    groups = groups.withColumn("_tf", F.when(prev_last.isNull() | (F.col("_first_t") - prev_last > gap_us), 1).otherwise(0))
-    starts_before = F.coalesce(F.sum(F.when(F.col("_in") == 1, F.col("_tf"))).over(before), F.lit(0))
-    groups = groups.withColumn("session_index", starts_before + F.col("_tf") * F.col("_in"))
+    before = "OVER (PARTITION BY conversation_id ORDER BY _slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    groups = groups.selectExpr(
+        "*", f"CASE WHEN max(_last_t) {before} IS NULL OR _first_t - max(_last_t) {before} > {gap_us} THEN 1 ELSE 0 END AS _tf"
+    ).selectExpr("*", f"coalesce(sum(CASE WHEN _in = 1 THEN _tf END) {before}, 0) + _tf * _in AS session_index")
     return groups.groupBy("conversation_id", "session_index").agg(
-        F.min("started_at").alias("started_at"),
-        F.max("ended_at").alias("ended_at"),
-        *[F.sum(c).alias(c) for c in counts],
+        *[F.expr(e) for e in ["min(started_at) AS started_at", "max(ended_at) AS ended_at"] + [f"sum({c}) AS {c}" for c in counts]]
     )
 
 

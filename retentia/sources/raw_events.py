@@ -90,18 +90,28 @@ def facts(raw: DataFrame, strict_json: bool = True) -> DataFrame:
     ``u`` is the user identity (top-level ``user_id`` unless blank, else the
     client-session context's ``userId``, else ''); ``''`` is one user.
     """
-    if strict_json:
-        v = jsonx.parse("event")
-        s = lambda p: jsonx.variant_str(v, p)
-        user = jsonx.identity(v, USER_ID_PATH, SESSION_CONTEXT_USER_PATH)
-        prop = jsonx.parse(s("$.se_property"))
-        infl, itype = jsonx.variant_str(prop, "$.influencer_id"), jsonx.variant_str(prop, "$.influencer_type")
-    else:
-        s = lambda p: jsonx.json_str("event", p, strict=False)
-        user = F.coalesce(F.nullif(s(USER_ID_PATH), F.lit("")), s(SESSION_CONTEXT_USER_PATH))
-        infl = jsonx.json_str(s("$.se_property"), "$.influencer_id", strict=False)
-        itype = jsonx.json_str(s("$.se_property"), "$.influencer_type", strict=False)
     extra = [c for c in (MONTH_COL, INGEST_BATCH_COL) if c in raw.columns]
+    if strict_json:
+        v = "try_parse_json(event)"
+        s = lambda p: jsonx.variant_str_sql(v, p)
+        prop = f"try_parse_json({s('$.se_property')})"
+        return raw.selectExpr(
+            "event_id",
+            "event_name",
+            "collector_tstamp AS ts",
+            "platform",
+            f"{jsonx.identity_sql(v, USER_ID_PATH, SESSION_CONTEXT_USER_PATH)} AS u",
+            f"{s('$.se_category')} AS se_category",
+            f"{s('$.se_action')} AS se_action",
+            f"{s(APP_VERSION_PATH)} AS app_version",
+            f"{jsonx.variant_str_sql(prop, '$.influencer_id')} AS influencer",
+            f"{jsonx.variant_str_sql(prop, '$.influencer_type')} AS itype",
+            *extra,
+        )
+    s = lambda p: jsonx.json_str("event", p, strict=False)
+    user = F.coalesce(F.nullif(s(USER_ID_PATH), F.lit("")), s(SESSION_CONTEXT_USER_PATH))
+    infl = jsonx.json_str(s("$.se_property"), "$.influencer_id", strict=False)
+    itype = jsonx.json_str(s("$.se_property"), "$.influencer_type", strict=False)
     return raw.select(
         "event_id",
         "event_name",

@@ -21,7 +21,7 @@ Mapping (fixed values):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import ensure_utc, spread
@@ -40,34 +40,29 @@ def events(spark: SparkSession, sf_dir: str, spread_scan: bool = False) -> DataF
     return (spread(df) if spread_scan else df).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _conversation_num(ev: DataFrame) -> Column:
-    return ev.user_id * 2 + ev.event_id % 2
+CONV = "(user_id * 2 + event_id % 2)"
+ROLE = "CASE WHEN event_type IN ('click', 'view') THEN 'user' WHEN event_type = 'error' THEN 'system' ELSE 'assistant' END"
+ACTION = "CASE WHEN event_type = 'view' THEN 'item_viewed' ELSE event_type END"
+ITYPE = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN user_id % 7 % 2 = 0 THEN 'persona' ELSE 'assistant' END"
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    role = (
-        F.when(ev.event_type.isin("click", "view"), "user")
-        .when(ev.event_type == "error", "system")
-        .otherwise("assistant")
-    )
-    return ev.select(
-        ev.event_id.alias("id"),
-        _conversation_num(ev).cast("string").alias("conversation_id"),
-        role.alias("role"),
-        ev.ts.alias("created_at"),
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS id",
+        f"CAST({CONV} AS STRING) AS conversation_id",
+        f"{ROLE} AS role",
+        "ts AS created_at",
     )
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    conv = _conversation_num(ev)
     return (
-        ev.select(
-            conv.cast("string").alias("id"),
-            ev.user_id.cast("string").alias("user_id"),
-            (conv % 7).cast("string").alias("influencer_id"),
-            F.when(conv % 10 == 0, "human").otherwise("ai_chat").alias("conversation_type"),
+        events(spark, sf_dir)
+        .selectExpr(
+            f"CAST({CONV} AS STRING) AS id",
+            "CAST(user_id AS STRING) AS user_id",
+            f"CAST({CONV} % 7 AS STRING) AS influencer_id",
+            f"CASE WHEN {CONV} % 10 = 0 THEN 'human' ELSE 'ai_chat' END AS conversation_type",
         )
         .distinct()
     )
@@ -75,43 +70,30 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_events`` rows as the ingest job writes them (ms timestamps, JSON payload)."""
-    ev = events(spark, sf_dir, spread_scan=True)
-    ts = F.date_trunc("MILLISECOND", ev.ts)
-    uid = ev.user_id.cast("string")
-    influencer = (ev.user_id % 7).cast("string")
-    itype = (
-        F.when(ev.event_id % 11 == 0, F.lit(None).cast("string"))
-        .when(ev.user_id % 7 % 2 == 0, "persona")
-        .otherwise("assistant")
-    )
-    se_property = F.to_json(F.struct(influencer.alias("influencer_id"), itype.alias("influencer_type")))
-    payload = F.to_json(
-        F.struct(
-            ev.event_id.cast("string").alias("event_id"),
-            F.lit("event").alias("event_name"),
-            F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("collector_tstamp"),
-            F.when(~(ev.user_id % 10).isin(0, 1), uid).alias("user_id"),
-            F.concat(F.lit("cat_"), (ev.event_id % 4).cast("string")).alias("se_category"),
-            F.when(ev.event_type == "view", "item_viewed").otherwise(ev.event_type).alias("se_action"),
-            se_property.alias("se_property"),
-            F.when(ev.user_id % 10 == 1, F.array(F.struct(uid.alias("userId")))).alias(
-                "contexts_com_snowplowanalytics_mobile_client_session_1"
-            ),
-            F.array(F.struct((ev.event_id % 5).cast("string").alias("version"))).alias(
-                "contexts_com_snowplowanalytics_mobile_application_1"
-            ),
-        )
-    )
-    return ev.select(
-        ev.event_id.cast("string").alias("event_id"),
-        F.lit("event").alias("event_name"),
-        ts.alias("collector_tstamp"),
-        ts.alias("derived_tstamp"),
-        F.lit("app").alias("app_id"),
-        (ev.event_id % 3).cast("string").alias("platform"),
-        F.lit("").alias("domain_userid"),
-        F.lit("").alias("domain_sessionid"),
-        payload.alias("event"),
+    ts = "date_trunc('MILLISECOND', ts)"
+    uid = "CAST(user_id AS STRING)"
+    payload = f"""to_json(named_struct(
+        'event_id', CAST(event_id AS STRING),
+        'event_name', 'event',
+        'collector_tstamp', date_format({ts}, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        'user_id', CASE WHEN user_id % 10 NOT IN (0, 1) THEN {uid} END,
+        'se_category', 'cat_' || CAST(event_id % 4 AS STRING),
+        'se_action', {ACTION},
+        'se_property', to_json(named_struct('influencer_id', CAST(user_id % 7 AS STRING), 'influencer_type', {ITYPE})),
+        'contexts_com_snowplowanalytics_mobile_client_session_1',
+            CASE WHEN user_id % 10 = 1 THEN array(named_struct('userId', {uid})) END,
+        'contexts_com_snowplowanalytics_mobile_application_1',
+            array(named_struct('version', CAST(event_id % 5 AS STRING)))))"""
+    return events(spark, sf_dir, spread_scan=True).selectExpr(
+        "CAST(event_id AS STRING) AS event_id",
+        "'event' AS event_name",
+        f"{ts} AS collector_tstamp",
+        f"{ts} AS derived_tstamp",
+        "'app' AS app_id",
+        "CAST(event_id % 3 AS STRING) AS platform",
+        "'' AS domain_userid",
+        "'' AS domain_sessionid",
+        f"{payload} AS event",
     )
 
 
