@@ -28,8 +28,15 @@ from ..context import ensure_utc, spread
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a lazy DataFrame. The resolved scan (file listing and
+    footer schema) is kept per session and path, so the several views built
+    over one table do not list and resolve it again; no data is cached."""
     ensure_utc(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    memo = spark.__dict__.setdefault("_retentia_scans", {})
+    if path not in memo:
+        memo[path] = spark.read.parquet(path)
+    return memo[path]
 
 
 def events(spark: SparkSession, sf_dir: str, spread_scan: bool = False) -> DataFrame:
