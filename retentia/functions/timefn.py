@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,10 @@ def floor_div(col: Column, width: int) -> Column:
     """Exact integer floor(col / width) for a bigint column (also below zero)."""
     w = F.lit(int(width)).cast("long")
     return ((col - F.pmod(col, w)) / w).cast("long")
+
+
+def sorted_small(df: DataFrame, *order) -> DataFrame:
+    """Total order for a result whose size is bounded by a parameter (days in
+    a window, cohort weeks, depth buckets): one partition and a local sort,
+    instead of a sampled range-partitioning shuffle."""
+    return df.coalesce(1).sortWithinPartitions(*order)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import ts_lit
-from ..functions.timefn import minus_seconds, monday, pct_half_even, weeks_between
+from ..functions.timefn import minus_seconds, monday, pct_half_even, sorted_small, weeks_between
 from ..model import (
     ENGAGED_MIN_USER_TURNS,
     EVENT_COHORT_WEEKS,
@@ -32,10 +32,11 @@ def cohort_table(cohort: DataFrame, activity: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("active_users"))
     )
     sizes = cohort.groupBy("cohort_week").agg(F.count(F.lit(1)).alias("cohort_size"))
-    return (
-        sizes.join(cells, "cohort_week", "left")
-        .select("cohort_week", "cohort_size", "week_offset", "active_users")
-        .orderBy(F.col("cohort_week").desc(), F.col("week_offset").asc_nulls_last())
+    # at most (weeks + 1)^2 rows
+    return sorted_small(
+        sizes.join(cells, "cohort_week", "left").select("cohort_week", "cohort_size", "week_offset", "active_users"),
+        F.col("cohort_week").desc(),
+        F.col("week_offset").asc_nulls_last(),
     )
 
 
@@ -99,7 +100,7 @@ def _grid(long: DataFrame, max_col_of, cell_for_missing, as_of, threshold: int)
         "cohort_size",
         (F.col("cohort_size") >= threshold).alias("trusted"),
         *cols,
-    ).orderBy(F.col("cohort_week").desc())
+    ).sortWithinPartitions(F.col("cohort_week").desc())  # already one partition (window above)
 
 
 def session_grid(long: DataFrame, as_of=None, threshold: int = SMALL_SAMPLE_THRESHOLD) -> DataFrame:

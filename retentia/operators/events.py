@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..context import ts_lit
-from ..functions.timefn import hour_boundaries, minus_seconds, ratio
+from ..functions.timefn import hour_boundaries, minus_seconds, ratio, sorted_small
 from ..model import (
     ACTIONS_K,
     CHAT_START_ACTION,
@@ -48,18 +48,18 @@ def active_users(ev: DataFrame, as_of=None) -> DataFrame:
 
 
 def dau_trend(ev: DataFrame, as_of=None, days: int = 30) -> DataFrame:
-    return (
+    return sorted_small(
         since(ev, as_of, days * _DAY)
         .select(F.to_date("ts").alias("d"), "u")
         .distinct()
         .groupBy("d")
-        .agg(F.count(F.lit(1)).alias("dau"))
-        .orderBy("d")
+        .agg(F.count(F.lit(1)).alias("dau")),
+        "d",
     )
 
 
 def event_volume(ev: DataFrame, as_of=None, days: int = 30) -> DataFrame:
-    return since(ev, as_of, days * _DAY).groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("events")).orderBy("d")
+    return sorted_small(since(ev, as_of, days * _DAY).groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("events")), "d")
 
 
 def total_events(volume: DataFrame) -> DataFrame:
@@ -143,12 +143,8 @@ def message_depth(ev: DataFrame, message_action: str = MESSAGE_ACTION) -> DataFr
     bucket = F.when(c == 1, DEPTH_BUCKETS[0]).when(c <= 5, DEPTH_BUCKETS[1]).when(c <= 20, DEPTH_BUCKETS[2]).otherwise(DEPTH_BUCKETS[3])
     rank = F.when(c == 1, 0).when(c <= 5, 1).when(c <= 20, 2).otherwise(3)
     per_user = ev.where(F.col("se_action") == message_action).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
-    return (
-        per_user.groupBy(bucket.alias("bucket"), rank.alias("_rank"))
-        .agg(F.count(F.lit(1)).alias("users"))
-        .orderBy("_rank")
-        .select("bucket", "users")
-    )
+    per_bucket = per_user.groupBy(bucket.alias("bucket"), rank.alias("_rank")).agg(F.count(F.lit(1)).alias("users"))
+    return sorted_small(per_bucket, "_rank").select("bucket", "users")
 
 
 def returning_user_rate(ev: DataFrame) -> DataFrame:
