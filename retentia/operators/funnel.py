@@ -117,10 +117,12 @@ def funnel_levels(
     window_days: int = FUNNEL_WINDOW_DAYS,
     bucket_seconds: int | None = 3600,
     window_seconds: int | None = None,
+    include_anonymous: bool = True,
 ) -> DataFrame:
     """(u, level) for every user with at least one step event in the last
     ``window_days`` days. The chain window is ``window_days`` days unless
-    ``window_seconds`` is given.
+    ``window_seconds`` is given. Events without a user id belong to the one
+    user ''; ``include_anonymous=False`` leaves them out.
 
     Default plan (aggregation only): per (user, second) a bitmask of the steps
     seen (hash aggregate, map-side combined), turned into a one-second summary;
@@ -136,6 +138,8 @@ def funnel_levels(
         raise ValueError("at most 62 funnel steps")
     window = window_days * 86400 if window_seconds is None else int(window_seconds)
     rows = _step_rows(ev, steps, as_of, window_days)
+    if not include_anonymous:
+        rows = rows.where(F.col("u") != "")
     if not bucket_seconds:
         return _bucket_summary(rows, ["u"], n, window).select("u", F.col("L").alias("level"))
     seconds = rows.groupBy("u", "sec").agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), k - 1)")).alias("_mask"))
@@ -182,6 +186,9 @@ def window_funnel(
     window_days: int = FUNNEL_WINDOW_DAYS,
     bucket_seconds: int | None = 3600,
     window_seconds: int | None = None,
+    include_anonymous: bool = True,
 ) -> DataFrame:
-    return funnel_steps(funnel_levels(ev, steps, as_of, window_days, bucket_seconds, window_seconds), steps)
+    return funnel_steps(
+        funnel_levels(ev, steps, as_of, window_days, bucket_seconds, window_seconds, include_anonymous), steps
+    )
 

@@ -92,3 +92,11 @@ def test_fewer_steps_and_wide_window_match_brute_force(spark):
         for b in (None, 60, 1800):
             got = funnel.funnel_levels(ev_df(spark, rows), steps, "2024-01-08", 7, b, window)
             assert {r.u: r.level for r in got.collect()} == want, (nsteps, window, b)
+
+
+def test_anonymous_user_can_be_left_out(spark):
+    rows = [("", "2024-01-05 00:00:00", "s1"), ("", "2024-01-05 00:00:01", "s2"), ("a", "2024-01-05 00:00:00", "s1")]
+    ev = ev_df(spark, rows)
+    both = {r.u: r.level for r in funnel.funnel_levels(ev, STEPS, "2024-01-08", 7).collect()}
+    named = {r.u: r.level for r in funnel.funnel_levels(ev, STEPS, "2024-01-08", 7, include_anonymous=False).collect()}
+    assert both == {"": 2, "a": 1} and named == {"a": 1}
