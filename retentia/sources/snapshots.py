@@ -61,6 +61,15 @@ class SnapshotTable:
         self._fs.create(self._Path(f"{self.base}/_commits/{v}"), False).close()
         return v
 
+    def ensure(self) -> int:
+        """Idempotent create: publish an empty snapshot with the declared schema
+        when the table has no version yet, so readers find a table from the
+        start. Returns the latest version."""
+        v = self.latest_version()
+        if v is None:
+            v = self.publish(self.spark.createDataFrame([], self.schema))
+        return v
+
     def vacuum(self, keep: int = 3) -> list[int]:
         """Delete all but the newest ``keep`` committed versions."""
         old = self.versions()[:-keep] if keep > 0 else []

@@ -59,3 +59,12 @@ def test_session_marts_job(spark, tmp_path):
     assert all(r.ok for r in st.collect())
     grid = spark.read.parquet(str(tmp_path / "sm" / "cohort_grid"))
     assert grid.count() == catalog.q_cohort_grid(spark, SF).count()
+
+
+def test_ensure_then_first_refresh_is_a_full_build(spark, tmp_path):
+    from retentia.plans.refresh import refresh_sessions, sessions_table
+
+    t = sessions_table(spark, str(tmp_path / "e"))
+    assert t.ensure() == 1 and t.ensure() == 1 and t.read().count() == 0
+    n = refresh_sessions(t, tv.messages(spark, SF), tv.conversations(spark, SF), gap_minutes=24 * 60)
+    assert n == catalog.q_sessionize_24h(spark, SF).count() and t.versions() == [1, 2]
