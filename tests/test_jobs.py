@@ -68,3 +68,22 @@ def test_ensure_then_first_refresh_is_a_full_build(spark, tmp_path):
     assert t.ensure() == 1 and t.ensure() == 1 and t.read().count() == 0
     n = refresh_sessions(t, tv.messages(spark, SF), tv.conversations(spark, SF), gap_minutes=24 * 60)
     assert n == catalog.q_sessionize_24h(spark, SF).count() and t.versions() == [1, 2]
+
+
+def test_cli_jobs(spark, tmp_path):
+    from retentia.plans import cli
+
+    msgs, convs = str(tmp_path / "messages"), str(tmp_path / "conversations")
+    tv.messages(spark, SF).write.parquet(msgs)
+    tv.conversations(spark, SF).write.parquet(convs)
+    sess = str(tmp_path / "sessions")
+    out = cli.run(["refresh", "--messages", msgs, "--conversations", convs, "--sessions", sess, "--gap-minutes", "1440"], spark)
+    assert out["rows"] == catalog.q_sessionize_24h(spark, SF).count() and out["version"] == 1
+    again = cli.run(["refresh", "--messages", msgs, "--conversations", convs, "--sessions", sess, "--gap-minutes", "1440"], spark)
+    assert again["version"] == 2
+    sm = cli.run(["session-marts", "--sessions", sess, "--out", str(tmp_path / "sm"), "--as-of", catalog.AS_OF, "--min-turns", "2"], spark)
+    assert sm["failed"] == []
+    store = run_ingest(spark, SF)["raw_events"]
+    em = cli.run(["event-marts", "--store", store, "--out", str(tmp_path / "em"), "--as-of", catalog.AS_OF], spark)
+    assert em["failed"] == []
+    assert cli.run(["expire", "--store", store, "--as-of", "2024-02-01 00:00:00"], spark)["removed"] == 0
