@@ -180,14 +180,23 @@ def to_raw_events(good: DataFrame) -> DataFrame:
     )
 
 
-def write_batch(batch: DataFrame, batch_id: int, sink: str, dead_letter: str, metrics: str) -> None:
+ROWS_PER_FILE = 1_000_000
+
+
+def write_batch(
+    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, metrics: str, rows_per_file: int = ROWS_PER_FILE
+) -> None:
     """Idempotent per-batch write: every output lives under its batch id and
-    is overwritten on replay."""
+    is overwritten on replay. The good rows are written in about one file per
+    ``rows_per_file`` rows (the batch is cached, so counting it is cheap),
+    not one small file per input partition."""
     batch = batch.persist()
     try:
         good = batch.where(F.col("_reason").isNull())
+        files = max(1, -(-good.count() // rows_per_file))  # coalesce never raises the count
         (
             to_raw_events(good)
+            .coalesce(files)
             .sortWithinPartitions("collector_tstamp", "event_name", "event_id")
             .write.mode("overwrite")
             .partitionBy(MONTH_COL)
