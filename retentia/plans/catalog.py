@@ -41,10 +41,11 @@ def _sessions(spark: SparkSession, sf: str, gap: float = DAY_GAP, stored: bool =
     return out
 
 
-def _ev(spark: SparkSession, sf: str, stored: bool = False) -> DataFrame:
+def _ev(spark: SparkSession, sf: str, stored: bool = False, dedup: bool = True) -> DataFrame:
     """The event view; ``stored`` materialises it once (the marts job writes
-    it as a table) for queries that read it several times."""
-    out = rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF)
+    it as a table) for queries that read it several times. ``dedup=False`` for
+    cards that count distinct users or days only."""
+    out = rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF, dedup=dedup)
     if stored:
         ensure_checkpoint_dir(spark)
         out = out.checkpoint()
@@ -100,11 +101,11 @@ def q_cohort_grid(spark, sf):
 
 
 def q_active_users(spark, sf):
-    return events.active_users(_ev(spark, sf), AS_OF)
+    return events.active_users(_ev(spark, sf, dedup=False), AS_OF)
 
 
 def q_dau_trend(spark, sf):
-    return events.dau_trend(_ev(spark, sf), AS_OF)
+    return events.dau_trend(_ev(spark, sf, dedup=False), AS_OF)
 
 
 def q_event_volume(spark, sf):
@@ -140,11 +141,11 @@ def q_message_depth(spark, sf):
 
 
 def q_returning_user_rate(spark, sf):
-    return events.returning_user_rate(_ev(spark, sf))
+    return events.returning_user_rate(_ev(spark, sf, dedup=False))
 
 
 def q_event_retention(spark, sf):
-    return cohorts.event_retention(_ev(spark, sf), AS_OF)
+    return cohorts.event_retention(_ev(spark, sf, dedup=False), AS_OF)
 
 
 def q_event_retention_grid(spark, sf):

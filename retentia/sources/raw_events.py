@@ -127,13 +127,19 @@ def facts(raw: DataFrame, strict_json: bool = True) -> DataFrame:
     )
 
 
-def event_view(raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS, strict_json: bool = True) -> DataFrame:
+def event_view(
+    raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS, strict_json: bool = True, dedup: bool = True
+) -> DataFrame:
     """Retained, deduplicated, projected events: the input of every card.
 
     Retention filters first (pushed to the scan), the payload is parsed once,
-    and deduplication shuffles only the narrow projected rows.
+    and deduplication shuffles only the narrow projected rows. ``dedup=False``
+    skips that shuffle for cards that count distinct users or days only,
+    which repeated copies of an event cannot change.
     """
     f = facts(retained(raw, as_of, ttl_days), strict_json)
+    if not dedup:
+        return f.drop(INGEST_BATCH_COL)
     keys = ["ts", "event_name", "event_id"] + ([MONTH_COL] if MONTH_COL in f.columns else [])
     if INGEST_BATCH_COL not in f.columns:
         return f.dropDuplicates(keys)

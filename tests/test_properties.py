@@ -48,3 +48,20 @@ def test_marts_cards_equal_registered_queries(spark, tmp_path):
         got = sorted(map(tuple, spark.read.parquet(f"{out}/{card}").collect()))
         want = sorted(map(tuple, catalog.QUERIES[card](spark, SF).collect()))
         assert got == want, card
+
+
+def test_distinct_user_cards_ignore_replayed_copies(spark):
+    from retentia.operators import cohorts, events
+    from retentia.sources import raw_events as rawv
+
+    raw = tv.raw_events(spark, SF)
+    twice = raw.unionByName(raw)  # every event delivered twice
+    clean = rawv.event_view(raw, catalog.AS_OF)
+    copies = rawv.event_view(twice, catalog.AS_OF, dedup=False)
+    for card in (
+        lambda ev: events.active_users(ev, catalog.AS_OF),
+        lambda ev: events.dau_trend(ev, catalog.AS_OF),
+        events.returning_user_rate,
+        lambda ev: cohorts.event_retention(ev, catalog.AS_OF),
+    ):
+        assert sorted(map(tuple, card(copies).collect())) == sorted(map(tuple, card(clean).collect()))
