@@ -48,4 +48,8 @@ def variant_str_sql(v: str, path: str) -> str:
 
 
 def identity_sql(v: str, user_path: str, fallback_path: str) -> str:
-    return f"coalesce(nullif({variant_str_sql(v, user_path)}, ''), {variant_str_sql(v, fallback_path)})"
+    # CASE rather than coalesce(nullif(..)): nullif is planned as a separate
+    # projection, which would parse the payload twice per row; inside one
+    # projection the repeated parse is a common subexpression, computed once
+    top = variant_str_sql(v, user_path)
+    return f"CASE WHEN {top} = '' THEN {variant_str_sql(v, fallback_path)} ELSE {top} END"

@@ -145,7 +145,9 @@ def q_returning_user_rate(spark, sf):
 
 
 def q_event_retention(spark, sf):
-    return cohorts.event_retention(_ev(spark, sf, dedup=False), AS_OF)
+    # three branches read the view: the dedup exchange is shared by all three
+    # (reused), so keeping it is cheaper than parsing the payload three times
+    return cohorts.event_retention(_ev(spark, sf), AS_OF)
 
 
 def q_event_retention_grid(spark, sf):
