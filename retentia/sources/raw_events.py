@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..context import ensure_utc, ts_lit
+from ..context import ensure_utc, spread, ts_lit
 from ..functions import jsonx
 from ..model import (
     APP_VERSION_PATH,
@@ -137,7 +137,9 @@ def event_view(
     skips that shuffle for cards that count distinct users or days only,
     which repeated copies of an event cannot change.
     """
-    f = facts(retained(raw, as_of, ttl_days), strict_json)
+    # the payload parse is the heavy per-row step: spread an input that scans
+    # as fewer tasks than cores (a no-op for a normal multi-file store)
+    f = facts(spread(retained(raw, as_of, ttl_days)), strict_json)
     if not dedup:
         return f.drop(INGEST_BATCH_COL)
     keys = ["ts", "event_name", "event_id"] + ([MONTH_COL] if MONTH_COL in f.columns else [])

@@ -180,11 +180,13 @@ def to_raw_events(good: DataFrame) -> DataFrame:
     )
 
 
-ROWS_PER_FILE = 1_000_000
+# about one file per micro-batch at the default per-trigger cap (20,000 rows),
+# several parallel writers for a large catch-up batch
+ROWS_PER_FILE = 50_000
 
 
 def write_batch(
-    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, metrics: str, rows_per_file: int = ROWS_PER_FILE
+    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, metrics: str, rows_per_file: int | None = None
 ) -> None:
     """Idempotent per-batch write: every output lives under its batch id and
     is overwritten on replay. The good rows are written in about one file per
@@ -193,7 +195,7 @@ def write_batch(
     batch = batch.persist()
     try:
         good = batch.where(F.col("_reason").isNull())
-        files = max(1, -(-good.count() // rows_per_file))  # coalesce never raises the count
+        files = max(1, -(-good.count() // (rows_per_file or ROWS_PER_FILE)))  # coalesce never raises the count
         (
             to_raw_events(good)
             .coalesce(files)
