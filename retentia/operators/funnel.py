@@ -5,21 +5,27 @@ t1 <= t2 <= ... <= tk exist (one per step, in order, other events in between
 allowed) with tk - t1 <= window. Times are truncated to whole seconds; events
 in the same second are taken in step order.
 
-Plan. Only step rows are kept. The greedy scan "latest chain start that
-reaches level j" is a running max, so it splits over time: per (user, time
-bucket) the rows are scanned with window functions (one exchange + one sort),
-each bucket is reduced to a small summary, and the summaries of a user are
-folded in time order with ``aggregate`` over the user's bucket list (at most
-range / bucket_seconds entries). A user holding a large share of all events is
-therefore spread over many tasks instead of one. Bucket summary:
-
-  L     best level reached by chains inside the bucket
-  c_j   latest start of a chain inside the bucket that reaches level j
-  e_i_j earliest completion inside the bucket of steps i+1..j in order
-
-Folding a bucket into the state a_j (latest start reaching level j so far):
-  level = max(level, L, j for every e_i_j with e_i_j - a_i <= window)
-  a_j   = max(a_j, c_j, a_i for every i < j with e_i_j present)
+Plan (aggregation only). Only step rows are kept. Events in one second are
+ordered by step alone, so each (user, second) reduces to a bitmask of the
+steps seen: a hash aggregate, combined map-side, so even a user holding a
+third of all events is collapsed before the shuffle. Each second becomes a
+summary of a time span:
+
+  L     best level reached by chains inside the span
+  c_j   latest start of a chain inside the span that reaches level j
+  e_i_j earliest completion inside the span of steps i+1..j in order
+
+Summaries compose associatively (X earlier, Y later):
+  L     = max(X.L, Y.L, j for every i < j with Y.e_i_j - X.c_i <= window)
+  c_j   = max(X.c_j, Y.c_j, X.c_i for every i < j with Y.e_i_j present)
+  e_i_j = X.e_i_j, else Y.e_m_j for the largest m with X.e_i_m present
+          (as much as possible done in X; m = i when nothing is)
+and are folded in time order with ``aggregate`` per (user, minute), per
+(user, bucket) and per user: lists of at most 60, bucket/60 and
+range/bucket entries. The chain with the latest start is always the best
+one to extend, which is why the latest starts and earliest completions are
+enough. ``bucket_seconds=None`` runs the direct per-user window scan instead
+(reference path, used in tests).
 """
 
 from __future__ import annotations
