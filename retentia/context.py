@@ -88,6 +88,9 @@ def spread(df: DataFrame) -> DataFrame:
     on one core. Only when the scan has fewer partitions than the default
     parallelism is it spread; a normal multi-file input is left untouched, so
     at scale this adds no shuffle.
+
+    Apply it to a plain scan only: asking a plan that already contains a
+    shuffle for its partition count makes adaptive execution run that shuffle.
     """
     try:
         target = df.sparkSession.sparkContext.defaultParallelism

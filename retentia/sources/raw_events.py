@@ -40,7 +40,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     declared schema. A missing store reads as an empty table."""
     ensure_utc(spark)
     try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
+        # the payload parse is heavy per-row work before the first shuffle:
+        # spread a store that scans as fewer tasks than cores (a no-op for a
+        # normal multi-file store; on a plain scan this only plans, never runs)
+        return spread(spark.read.schema(STORE_SCHEMA).parquet(path))
     except Exception as exc:  # noqa: BLE001 - only "path does not exist" is expected
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
@@ -137,9 +140,7 @@ def event_view(
     skips that shuffle for cards that count distinct users or days only,
     which repeated copies of an event cannot change.
     """
-    # the payload parse is the heavy per-row step: spread an input that scans
-    # as fewer tasks than cores (a no-op for a normal multi-file store)
-    f = facts(spread(retained(raw, as_of, ttl_days)), strict_json)
+    f = facts(retained(raw, as_of, ttl_days), strict_json)
     if not dedup:
         return f.drop(INGEST_BATCH_COL)
     keys = ["ts", "event_name", "event_id"] + ([MONTH_COL] if MONTH_COL in f.columns else [])
