@@ -1,10 +1,11 @@
-"""Job entry points for ``spark-submit``.
-
-    spark-submit -m retentia.plans.cli refresh --messages M --conversations C --sessions S
-    spark-submit -m retentia.plans.cli session-marts --sessions S --out O [--as-of T]
-    spark-submit -m retentia.plans.cli event-marts --store R --out O [--as-of T]
-    spark-submit -m retentia.plans.cli ingest --bootstrap B --topic T --store R --dead-letter D --metrics M --checkpoint K
-    spark-submit -m retentia.plans.cli expire --store R [--as-of T]
+"""Job entry points (``spark-submit run_job.py <job> ...`` or
+``python -m retentia.plans.cli <job> ...``):
+
+    refresh --messages M --conversations C --sessions S
+    session-marts --sessions S --out O [--as-of T]
+    event-marts --store R --out O [--as-of T]
+    ingest --bootstrap B --topic T --fields F --store R --dead-letter D --metrics M --checkpoint K
+    expire --store R [--as-of T]
 
 Cluster settings (executors, shuffle partitions, ``spark.checkpoint.dir``)
 come from spark-submit; nothing here overrides them except pinning the
