@@ -120,6 +120,7 @@ def main() -> None:
     )
 
     total = round(sum(v for v in out.values() if v is not None), 3)
+    n_events = tv.events(spark, SF).count()  # = messages in the chat mapping
     print(
         json.dumps(
             {
@@ -129,6 +130,7 @@ def main() -> None:
                 "queries": out,
                 "sf": SF.rstrip("/").rsplit("sf", 1)[-1],
                 "cpus": CPUS,
+                "input_rows": {"events": n_events, "messages": n_events},
                 "errors": ERRORS,
             }
         )
