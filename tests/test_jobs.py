@@ -87,3 +87,23 @@ def test_cli_jobs(spark, tmp_path):
     em = cli.run(["event-marts", "--store", store, "--out", str(tmp_path / "em"), "--as-of", catalog.AS_OF], spark)
     assert em["failed"] == []
     assert cli.run(["expire", "--store", store, "--as-of", "2024-02-01 00:00:00"], spark)["removed"] == 0
+
+
+def test_recent_logins_and_missing_tables(spark, tmp_path):
+    import datetime as dt
+
+    from retentia.model import LOGIN_AUDIT_SCHEMA, MESSAGES_SCHEMA
+    from retentia.sources import tables
+
+    rows = [
+        (i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i % 50), f"u{i}@x.org", "x.org", i % 3 != 0, None, "ua")
+        for i in range(300)
+    ]
+    audit = spark.createDataFrame(rows, LOGIN_AUDIT_SCHEMA)
+    got = marts.recent_logins(audit, k=100).collect()
+    assert len(got) == 100 and "id" not in marts.recent_logins(audit).columns
+    assert [r.attempted_at for r in got] == sorted((r.attempted_at for r in got), reverse=True)
+    assert got[0].attempted_at == dt.datetime(2024, 1, 1, 0, 49)
+    missing = str(tmp_path / "nothing-here")
+    assert tables.messages(spark, missing).schema == MESSAGES_SCHEMA and tables.messages(spark, missing).count() == 0
+    assert rawv.read_store(spark, missing).count() == 0
