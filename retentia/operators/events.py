@@ -156,7 +156,8 @@ def returning_user_rate(ev: DataFrame) -> DataFrame:
 
 def wow(ev: DataFrame, as_of=None) -> DataFrame:
     """This 7 days vs the 7 before: users, events and relative change
-    ((this − last) / last, NULL when last = 0)."""
+    ((this − last) / last, NULL when last = 0), plus the change as a signed
+    whole percent for display."""
     split = _ago(as_of, 7 * _DAY)
     per_user = since(ev, as_of, 14 * _DAY).groupBy("u").agg(
         F.count_if(F.col("ts") >= split).alias("e_this"),
@@ -172,6 +173,9 @@ def wow(ev: DataFrame, as_of=None) -> DataFrame:
     def delta(this: str, last: str):
         return ratio(F.col(this) - F.col(last), F.col(last))
 
+    def pct(c: str):  # signed whole percent for the badge, ties to even
+        return F.bround(F.col(c) * 100.0, 0).cast("int")
+
     return out.select(
         "users_this",
         "users_last",
@@ -179,7 +183,7 @@ def wow(ev: DataFrame, as_of=None) -> DataFrame:
         "events_this",
         "events_last",
         delta("events_this", "events_last").alias("events_delta"),
-    )
+    ).select("*", pct("users_delta").alias("users_delta_pct"), pct("events_delta").alias("events_delta_pct"))
 
 
 def recent_activity(ev: DataFrame, as_of=None) -> DataFrame:
