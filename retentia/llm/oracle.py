@@ -34,8 +34,8 @@ pref AS (
 cand AS (SELECT DISTINCT a.f AS s, b.f AS t FROM pref a JOIN pref b USING (w) WHERE a.f > b.f),
 later AS (
   SELECT DISTINCT s FROM (
-    SELECT s, a.n + b.n AS both, len(list_intersect(a.k, b.k)) AS x
-    FROM cand JOIN sets a ON a.f = s JOIN sets b ON b.f = t) WHERE 5 * x >= 4 * (both - x)),
+    SELECT s, a.n + b.n AS total, len(list_intersect(a.k, b.k)) AS x
+    FROM cand JOIN sets a ON a.f = s JOIN sets b ON b.f = t) WHERE 5 * x >= 4 * (total - x)),
 gone AS (
   SELECT bags.doc_id, bags.no FROM bags JOIN sets USING (k)
   WHERE f <> (bags.doc_id, bags.no) OR f IN (SELECT s FROM later)),
