@@ -33,6 +33,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_blanks(text: str) -> str:
+    """SQL of ``text`` with the rarer ASCII white space as blanks (line feeds stay); most texts hold none."""
+    return (
+        f"CASE WHEN contains({text}, '\\t') OR contains({text}, '\\r') OR contains({text}, '\\u000b') OR contains({text}, '\\u000c')"
+        f" THEN translate({text}, '{SPACES}', '    ') ELSE {text} END"
+    )
+
+
 def bucket(col: str, n: int) -> Column:
     """crc32 of the id as text, mod ``n``: the folds the contracts fix."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
