@@ -11,9 +11,11 @@ bound, two linked sketches agree on a block (pigeonhole).
   band below (as the larger side); each band fixes the sketch's width.
 * Equal sets collapse to their smallest doc_id first.
 * Documents that share a block are first checked against the block's smallest
-  document only. Connected components of those links settle groups of copies
-  without pairing their members. Members of one block that are still in
-  different components are then all checked, so no link that matters is lost.
+  document only, the lead of their group. Connected components of those links
+  settle groups of copies without pairing their members. Members of a group
+  that are still in different components can only link if their differences
+  from the lead overlap; a prefix and positional filter on those differences
+  finds all such pairs, and no others but a few, for the check.
 * Every link is verified on the full shingle sets.
 
 Defined cases: null, empty and blank texts have no shingles and are their own
@@ -103,15 +105,42 @@ def _arrays(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
+def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) with both shingle sets x and y and ``linked``, the exact verdict."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rows = docs.filter(maybe_in(ids, "doc_id", "doc_id")).join(ids, "doc_id", "left_semi")
     sets = rows.mapInPandas(_arrays(width), "doc_id bigint, h array<bigint>")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
-    common = "size(array_intersect(x, y))"
-    return both.filter(f"100 * {common} >= {percent} * (size(x) + size(y) - {common})").select("a", "b").distinct()
+    common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return common.withColumn("linked", F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)"))
+
+
+def _most_apart(n: str, percent: int) -> str:
+    """Largest symmetric difference of linked sets, of which one has n shingles."""
+    return f"cast(floor({n} * {100 - percent} / {percent}D + 1e-9) as int)"
+
+
+def _within_groups(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one lead's group that may link and have different roots.
+
+    With u and v the members' differences from the lead, the symmetric
+    difference of the members is that of u and v. A link needs an overlap of u
+    and v of (|u| + |v| - most apart) / 2, at least 1 for members that the lead
+    does not link. So they share an element of their first (most apart + 1)
+    elements in any common order; shingles foreign to the lead, the rare ones,
+    come first. The positional filter is that of the first shared element.
+    """
+    named = star.join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").join(
+        roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
+    named = named.select("a", "b", "n", "m", "e", F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
+    open_ = named.groupBy("a").agg(F.min(F.least("root", "lead_root")).alias("lo"), F.max(F.greatest("root", "lead_root")).alias("hi"))
+    rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "root", F.posexplode("e").alias("p", "el"))
+    one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("u"))
+    two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("v"))
+    need = f"greatest(1, ceil((u.m + v.m - {_most_apart('least(u.n, v.n)', percent)}) / 2D))"
+    near = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND least(u.m - u.p, v.m - v.p) >= {need}"
+    return one.join(two, ["a", "el"]).filter(f"u.b < v.b AND u.root <> v.root AND {near}").selectExpr("u.b AS a", "v.b AS b").distinct()
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -121,25 +150,21 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
     heads = full.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = heads.select("doc_id", "n", F.explode("blocks").alias("block"))
+    rows = heads.select("doc_id", F.explode("blocks").alias("block"))
     # A count of doc_ids would shuffle them; smallest <> largest says as much.
     stats = rows.groupBy("block").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last")
-    shared = saved(rows.join(stats.select("block", "lead"), "block").select("block", "doc_id", "n", "lead"), "blocks")
-
-    star = saved(shared.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
-    links = saved(_verified(star, d, percent, width), "links")
+    shared = saved(rows.join(stats.select("block", "lead"), "block").select("doc_id", "lead").distinct(), "blocks")
+
+    pairs = saved(shared.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    own = "concat(array_except(y, x), array_except(x, y))"
+    star = saved(
+        _compared(pairs, d, percent, width).select("a", "b", "linked", F.size("y").alias("n"), F.expr("size(x) + size(y) - 2 * common").alias("m"),
+            F.expr(f"slice({own}, 1, {_most_apart('size(y)', percent)} + 1)").alias("e")), "star")
+    links = star.filter("linked").select("a", "b")
     roots = components(links)
-
-    # What the first round left apart: members of one block in different components.
-    root = F.coalesce("root", "doc_id").alias("root")
-    named = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("block", "doc_id", "n", "lead", root)
-    open_blocks = named.groupBy("block").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("block")
-    left = saved(named.join(open_blocks, "block", "left_semi"), "open")
-    a = left.select("block", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "lead")
-    b = left.select("block", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    rest = a.join(b, "block").filter(f"a < b AND ra <> rb AND a <> lead AND {near}").select("a", "b").distinct()
-    more = _verified(saved(rest, "rest"), d, percent, width)
+    # What that left apart: members of one group in different components.
+    rest = saved(_within_groups(star, roots, percent), "rest")
+    more = saved(_compared(rest, d, percent, width).filter("linked").select("a", "b"), "more")
     roots = components(links.union(more))
 
     out = sets.select("doc_id", "n", "k1", "k2").join(
