@@ -38,8 +38,9 @@ END_ID = 1
 GAP = 1e-3
 TURNS = 40
 SALTS = 256
-MEMO = 200_000  # words whose ids a worker keeps
+MEMO = 800_000  # words whose ids a worker keeps
 WORDS = 2_000  # words in one call of the tokenizer
+MARK = "<|startoftext|>"  # a special token, cut out of any text first: it keeps words apart
 
 
 class WordIds:
@@ -53,6 +54,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tok, self.memo = tokenizer(path), {}
+        self.mark = self.tok.token_to_id(MARK)
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
         memo = self.memo
@@ -60,9 +62,18 @@ class WordIds:
             memo.clear()
         words = [t.split() for t in texts]
         new = list({w for ws in words for w in ws if w not in memo})
-        for i in range(0, len(new), WORDS):
-            for w, e in zip(new[i : i + WORDS], self.tok.encode_batch_fast(new[i : i + WORDS], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, dtype=np.uint32).tobytes()
+        plain = [w for w in new if MARK not in w]
+        for i in range(0, len(plain), WORDS):
+            part = plain[i : i + WORDS]
+            ids = np.array(self.tok.encode(MARK.join(part), add_special_tokens=False).ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep the mark apart")
+            for w, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)]):
+                memo[w] = ids[a:b].tobytes()
+        for w in new:
+            if w not in memo:
+                memo[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
         last = np.array([end], dtype=np.uint32).tobytes()
         return [np.frombuffer(b"".join([memo[w] for w in ws]) + last, dtype="<u4") for ws in words]
 
