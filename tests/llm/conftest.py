@@ -1,0 +1,32 @@
+import pytest
+
+from conftest import spark  # noqa: F401
+
+
+@pytest.fixture(scope="session")
+def docs(spark):  # noqa: F811
+    """A small table of edge cases with a clashing extra column."""
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog today\nshort line", "en", "a", 60, "x"),
+        (2, "The quick brown fox jumps over the lazy dog now\nanother line of quite many different words", "en", "a", 80, "y"),
+        (3, None, None, None, None, None),
+        (4, "", "en", "a", 0, None),
+        (5, " \n\t ", "de", None, 4, None),
+        (6, "the quick BROWN fox jumps over the lazy dog today\nshort line", "en", "b", 60, "x"),
+        (7, "w " * 40_000 + "end", "de", "b", 80_003, None),
+        (8, "ein Wort", "de", "b", 8, None),
+        (8, "ein Wort", "de", "b", 8, None),
+        (None, "no id but the quick brown fox jumps over the lazy dog today", "en", "b", 60, None),
+        (9, "a\x0bb\x0cc\rd\te f　g", "fr", "c", 13, "z"),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string")
+
+
+@pytest.fixture(scope="session")
+def empty(docs):
+    return docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def labels(spark):  # noqa: F811
+    return spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
