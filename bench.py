@@ -85,7 +85,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     msgs, convs = tv.messages(spark, SF), tv.conversations(spark, SF)
-    early = msgs.where(F.col("created_at") < F.lit("2024-01-29 00:00:00").cast("timestamp"))
+    early = msgs.where(F.col("created_at") < F.lit("2024-01-30 18:00:00").cast("timestamp"))
 
     def fresh_table():
         return sessions_table(spark, f"{scratch}/sessions-{uuid.uuid4().hex[:6]}")

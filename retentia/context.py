@@ -47,10 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a shared folder (HDFS/object store) and is
     only read here. A fresh temporary folder is set only when it is unset,
-    which happens in local tests.
+    which happens in local tests; on a cluster that is an error, because a
+    machine-local folder is lost with its machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="retentia-ckpt-", dir=os.environ.get("RETENTIA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:

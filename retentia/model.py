@@ -30,7 +30,6 @@ PLATFORM_K = 30
 INFLUENCER_K = 30
 ACTIONS_K = 20
 AUDIT_K = 100
-BATCH_ROWS = 1000
 BATCH_SECONDS = 5
 BUFFER_CAP = 20000
 USER_ID_PATH = "$.user_id"
@@ -86,6 +85,7 @@ RAW_EVENTS_SCHEMA = T.StructType(
 
 # Extra columns the streaming sink adds: the micro-batch that wrote the row
 # (replay key, newest wins on dedup) and the month partition.
+INGEST_RUN_COL = "ingest_run"  # names the stream's checkpoint, ascending with its start
 INGEST_BATCH_COL = "ingest_batch"
 MONTH_COL = "yyyymm"
 

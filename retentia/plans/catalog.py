@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..context import ensure_checkpoint_dir
 from ..operators import cohorts, events, funnel, headline, sessions
 from ..sources import raw_events as rawv
 from ..sources import testviews as tv
@@ -22,7 +21,7 @@ from . import marts
 
 AS_OF = "2024-01-31 00:00:00"
 TODAY_AS_OF = "2024-01-30 12:00:00"
-REFRESH_CUT = "2024-01-20 00:00:00"
+REFRESH_CUT = "2024-01-30 18:00:00"
 TTL_AS_OF = "2024-04-15 00:00:00"
 DAY_GAP = 24 * 60
 ENGAGED = 2
@@ -30,26 +29,14 @@ FUNNEL = ["item_viewed", "click", "signup", "purchase"]
 START_ACTION, MESSAGE_ACTION = "signup", "purchase"
 
 
-def _sessions(spark: SparkSession, sf: str, gap: float = DAY_GAP, stored: bool = False) -> DataFrame:
-    """Sessions built from the messages. ``stored``: materialise them once in
-    the checkpoint folder (a reliable checkpoint, like the published sessions
-    table the cards read in production) for queries that read them twice."""
-    out = sessions.sessionize(tv.messages(spark, sf), tv.conversations(spark, sf), gap_minutes=gap)
-    if stored:
-        ensure_checkpoint_dir(spark)
-        out = out.checkpoint()
-    return out
+def _sessions(spark: SparkSession, sf: str, gap: float = DAY_GAP) -> DataFrame:
+    """Sessions built from the messages (lazy; a production card reads the published table)."""
+    return sessions.sessionize(tv.messages(spark, sf), tv.conversations(spark, sf), gap_minutes=gap)
 
 
-def _ev(spark: SparkSession, sf: str, stored: bool = False, dedup: bool = True) -> DataFrame:
-    """The event view; ``stored`` materialises it once (the marts job writes
-    it as a table) for queries that read it several times. ``dedup=False`` for
-    cards that count distinct users or days only."""
-    out = rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF, dedup=dedup)
-    if stored:
-        ensure_checkpoint_dir(spark)
-        out = out.checkpoint()
-    return out
+def _ev(spark: SparkSession, sf: str) -> DataFrame:
+    """The deduplicated event view (lazy; the marts job writes it as a table)."""
+    return rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF)
 
 
 def q_sessionize_20m(spark, sf):
@@ -64,8 +51,7 @@ def _before_cut(spark, sf):
     """The sessions table as an earlier refresh left it: built from the
     messages that existed at REFRESH_CUT."""
     msgs = tv.messages(spark, sf).where(F.col("created_at") < F.lit(REFRESH_CUT).cast("timestamp"))
-    ensure_checkpoint_dir(spark)
-    return sessions.sessionize(msgs, tv.conversations(spark, sf), gap_minutes=DAY_GAP).checkpoint()
+    return sessions.sessionize(msgs, tv.conversations(spark, sf), gap_minutes=DAY_GAP)
 
 
 def q_changed_conversations(spark, sf):
@@ -89,11 +75,11 @@ def q_second_message_rate(spark, sf):
 
 
 def q_w1_return_rate(spark, sf):
-    return headline.w1_return_rate(_sessions(spark, sf, stored=True), as_of=AS_OF, min_turns=ENGAGED)
+    return headline.w1_return_rate(_sessions(spark, sf), as_of=AS_OF, min_turns=ENGAGED)
 
 
 def q_cohort_retention(spark, sf):
-    return cohorts.cohort_retention(_sessions(spark, sf, stored=True), as_of=AS_OF, min_turns=ENGAGED)
+    return cohorts.cohort_retention(_sessions(spark, sf), as_of=AS_OF, min_turns=ENGAGED)
 
 
 def q_cohort_grid(spark, sf):
@@ -101,11 +87,11 @@ def q_cohort_grid(spark, sf):
 
 
 def q_active_users(spark, sf):
-    return events.active_users(_ev(spark, sf, dedup=False), AS_OF)
+    return events.active_users(_ev(spark, sf), AS_OF)
 
 
 def q_dau_trend(spark, sf):
-    return events.dau_trend(_ev(spark, sf, dedup=False), AS_OF)
+    return events.dau_trend(_ev(spark, sf), AS_OF)
 
 
 def q_event_volume(spark, sf):
@@ -141,7 +127,7 @@ def q_message_depth(spark, sf):
 
 
 def q_returning_user_rate(spark, sf):
-    return events.returning_user_rate(_ev(spark, sf, dedup=False))
+    return events.returning_user_rate(_ev(spark, sf))
 
 
 def q_event_retention(spark, sf):
@@ -179,7 +165,7 @@ def q_funnel_dropoff(spark, sf):
 
 
 def q_kpi_glance(spark, sf):
-    ev = _ev(spark, sf, stored=True)
+    ev = _ev(spark, sf)
     return marts.kpi_glance(
         funnel.window_funnel(ev, FUNNEL, AS_OF), events.active_users(ev, AS_OF), events.returning_user_rate(ev)
     )

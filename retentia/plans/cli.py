@@ -68,7 +68,7 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--encoding", choices=["base64", "raw"], default="base64")
     i.add_argument("--trigger-seconds", type=int, default=BATCH_SECONDS)
     i.add_argument("--max-per-trigger", type=int, default=BUFFER_CAP)
-    i.add_argument("--dedup-delay", default=None)
+    i.add_argument("--dedup-batch", action="store_true")
 
     x = sub.add_parser("expire", help="delete month partitions past the TTL")
     x.add_argument("--store", required=True)
@@ -112,7 +112,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
             args.checkpoint,
             encoding=args.encoding,
             trigger_seconds=args.trigger_seconds,
-            dedup_delay=args.dedup_delay,
+            dedup_batch=args.dedup_batch,
         )
         q.awaitTermination()
         return {"job": "ingest"}

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..context import ensure_utc, spread, ts_lit
+from ..context import ensure_utc, ts_lit
 from ..functions import jsonx
 from ..model import (
     APP_VERSION_PATH,
     EVENT_TTL_DAYS,
     INGEST_BATCH_COL,
+    INGEST_RUN_COL,
     MONTH_COL,
     RAW_EVENTS_SCHEMA,
     SESSION_CONTEXT_USER_PATH,
@@ -31,7 +32,7 @@ DEDUP_KEY = ["collector_tstamp", "event_name", "event_id"]
 
 STORE_SCHEMA = T.StructType(
     list(RAW_EVENTS_SCHEMA.fields)
-    + [T.StructField(INGEST_BATCH_COL, T.LongType()), T.StructField(MONTH_COL, T.IntegerType())]
+    + [T.StructField(INGEST_RUN_COL, T.StringType()), T.StructField(INGEST_BATCH_COL, T.LongType()), T.StructField(MONTH_COL, T.IntegerType())]
 )
 
 
@@ -40,30 +41,29 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     declared schema. A missing store reads as an empty table."""
     ensure_utc(spark)
     try:
-        # the payload parse is heavy per-row work before the first shuffle:
-        # spread a store that scans as fewer tasks than cores (a no-op for a
-        # normal multi-file store; on a plain scan this only plans, never runs)
-        return spread(spark.read.schema(STORE_SCHEMA).parquet(path))
+        return spark.read.schema(STORE_SCHEMA).parquet(path)
     except Exception as exc:  # noqa: BLE001 - only "path does not exist" is expected
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
         return spark.createDataFrame([], STORE_SCHEMA)
 
 
+def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: that of the latest run and batch; copies within a
+    batch are ordered by all their columns, so a retried task cannot change
+    the choice. Copies combine map-side before the shuffle."""
+    when = [c for c in (INGEST_RUN_COL, INGEST_BATCH_COL) if c in df.columns]
+    others = [c for c in df.columns if c not in keys and c not in when]
+    newest = F.max_by(F.struct(*others), F.struct(*when, *others)).alias("_row")
+    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+
+
 def dedup(raw: DataFrame) -> DataFrame:
-    """One row per dedup key. With an ingest-batch column the newest copy
-    wins; otherwise copies are taken as identical. Both forms are hash
-    aggregates with map-side combine, so a key with many copies is collapsed
-    before the shuffle instead of landing in one task."""
+    """One row per dedup key, chosen by the rule of ``_newest``."""
     keys = list(DEDUP_KEY)
     if MONTH_COL in raw.columns:
         keys.append(MONTH_COL)  # implied by the timestamp; keeps month pruning below the aggregate
-    if INGEST_BATCH_COL not in raw.columns:
-        return raw.dropDuplicates(keys)
-    others = [c for c in raw.columns if c not in keys and c != INGEST_BATCH_COL]
-    order = F.struct(F.col(INGEST_BATCH_COL), *[F.col(c) for c in others])
-    newest = F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_row")
-    return raw.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+    return _newest(raw, keys)
 
 
 def retained(raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS) -> DataFrame:
@@ -93,7 +93,7 @@ def facts(raw: DataFrame, strict_json: bool = True) -> DataFrame:
     ``u`` is the user identity (top-level ``user_id`` unless blank, else the
     client-session context's ``userId``, else ''); ``''`` is one user.
     """
-    extra = [c for c in (MONTH_COL, INGEST_BATCH_COL) if c in raw.columns]
+    extra = [c for c in (MONTH_COL, INGEST_RUN_COL, INGEST_BATCH_COL) if c in raw.columns]
     if strict_json:
         v = "try_parse_json(event)"
         s = lambda p: jsonx.variant_str_sql(v, p)
@@ -130,25 +130,15 @@ def facts(raw: DataFrame, strict_json: bool = True) -> DataFrame:
     )
 
 
-def event_view(
-    raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS, strict_json: bool = True, dedup: bool = True
-) -> DataFrame:
+def event_view(raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS, strict_json: bool = True) -> DataFrame:
     """Retained, deduplicated, projected events: the input of every card.
 
     Retention filters first (pushed to the scan), the payload is parsed once,
-    and deduplication shuffles only the narrow projected rows. ``dedup=False``
-    skips that shuffle for cards that count distinct users or days only,
-    which repeated copies of an event cannot change.
+    and copies of an event are resolved by the rule of ``dedup`` on the narrow
+    projected rows.
     """
     f = facts(retained(raw, as_of, ttl_days), strict_json)
-    if not dedup:
-        return f.drop(INGEST_BATCH_COL)
-    keys = ["ts", "event_name", "event_id"] + ([MONTH_COL] if MONTH_COL in f.columns else [])
-    if INGEST_BATCH_COL not in f.columns:
-        return f.dropDuplicates(keys)
-    others = [c for c in f.columns if c not in keys and c != INGEST_BATCH_COL]
-    newest = F.max_by(F.struct(*others), F.col(INGEST_BATCH_COL)).alias("_row")
-    return f.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+    return _newest(f, ["ts", "event_name", "event_id"] + ([MONTH_COL] if MONTH_COL in f.columns else []))
 
 
 def expire_months(spark: SparkSession, store: str, as_of, ttl_days: int = EVENT_TTL_DAYS) -> list[str]:
@@ -162,7 +152,7 @@ def expire_months(spark: SparkSession, store: str, as_of, ttl_days: int = EVENT_
     jvm = spark._jvm
     Path = jvm.org.apache.hadoop.fs.Path
     fs = Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(Path(f"{store.rstrip('/')}/{INGEST_BATCH_COL}=*/{MONTH_COL}=*")) or []
+    statuses = fs.globStatus(Path(f"{store.rstrip('/')}/{INGEST_RUN_COL}=*/{INGEST_BATCH_COL}=*/{MONTH_COL}=*")) or []
     removed = []
     for st in statuses:
         month = st.getPath().getName().split("=", 1)[1]

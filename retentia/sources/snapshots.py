@@ -2,19 +2,21 @@
 
 Layout under ``base``::
 
-    v=<n>/...parquet         one full snapshot per version
-    _commits/<n>             empty marker, created after v=<n> is complete
-
-Readers take the highest committed version, so they see the old or the new
-table, never a mix, and never a half-written folder (a failed write leaves an
-uncommitted ``v=<n>`` that the next publish overwrites). The marker is created
-with overwrite disabled: of two concurrent refreshers publishing the same
-version, the second fails instead of silently interleaving. A missing table
-reads as empty with the declared schema.
+    v=<n>-<uuid>/...parquet  one full snapshot, written by one publisher
+    _commits/<n>             names the folder that is version n
+
+Readers take the highest commit and the folder it names, so they see the old
+or the new table, never a mix, and never a half-written folder. A publisher
+writes a folder of its own and then creates the commit file with overwrite
+disabled: of two concurrent refreshers one wins, the other fails, deletes its
+folder and leaves the readers' table as it is. A missing table reads as empty
+with the declared schema.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,7 +50,15 @@ class SnapshotTable:
         v = self.latest_version() if version is None else version
         if v is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/v={v}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{self._folder(v)}")
+
+    def _folder(self, version: int) -> str:
+        """The folder that a commit names."""
+        f = self._fs.open(self._Path(f"{self.base}/_commits/{version}"))
+        try:
+            return bytes(f.readAllBytes()).decode()
+        finally:
+            f.close()
 
     def publish(self, df: DataFrame, sort_by: list[str] | None = None) -> int:
         """Write ``df`` as the next version and commit it; returns the version."""
@@ -56,9 +66,22 @@ class SnapshotTable:
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         if sort_by:
             out = out.sortWithinPartitions(*sort_by)
-        out.write.mode("overwrite").parquet(f"{self.base}/v={v}")
-        self._fs.mkdirs(self._commits())
-        self._fs.create(self._Path(f"{self.base}/_commits/{v}"), False).close()
+        folder = f"v={v}-{uuid.uuid4().hex}"
+        try:
+            out.write.parquet(f"{self.base}/{folder}")
+            self._fs.mkdirs(self._commits())
+            # Written aside and renamed: a rename never replaces a commit, and the file is never seen half written.
+            mine = self._Path(f"{self.base}/_commits/_{folder}")
+            f = self._fs.create(mine, False)
+            f.write(bytearray(folder.encode()))
+            f.close()
+            target = self._Path(f"{self.base}/_commits/{v}")
+            if self._fs.exists(target) or not self._fs.rename(mine, target) or self._folder(v) != folder:
+                self._fs.delete(mine, False)
+                raise RuntimeError(f"version {v} was published by another writer")
+        except Exception:
+            self._fs.delete(self._Path(f"{self.base}/{folder}"), True)
+            raise
         return v
 
     def ensure(self) -> int:
@@ -71,11 +94,13 @@ class SnapshotTable:
         return v
 
     def vacuum(self, keep: int = 3) -> list[int]:
-        """Delete all but the newest ``keep`` committed versions."""
+        """Delete all but the newest ``keep`` committed versions: the commit first,
+        so that no reader is sent to a folder that is going, then its data."""
         old = self.versions()[:-keep] if keep > 0 else []
         for v in old:
-            self._fs.delete(self._Path(f"{self.base}/v={v}"), True)
+            folder = self._folder(v)
             self._fs.delete(self._Path(f"{self.base}/_commits/{v}"), False)
+            self._fs.delete(self._Path(f"{self.base}/{folder}"), True)
         return old
 
 

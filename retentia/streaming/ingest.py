@@ -16,8 +16,8 @@ One Structured Streaming query replaces the poll/buffer/insert/commit loop:
 * project (I4/I5): the typed raw_events columns ('' for missing strings,
   timestamps truncated to ms) plus the compact JSON payload;
 * sink (I8/I11): ``foreachBatch`` writes the batch under
-  ``ingest_batch=<id>/yyyymm=<month>``; a replayed batch id overwrites its own
-  folder, so replay after a failure is idempotent, and offsets are committed
+  ``ingest_run=<checkpoint>/ingest_batch=<id>/yyyymm=<month>``; a replayed batch
+  id of the same checkpoint overwrites its own folder, so replay after a failure is idempotent, and offsets are committed
   by the checkpoint only after the write;
 * metrics (I12): ``observe`` on the stream plus one metrics row per batch.
 
@@ -27,10 +27,15 @@ cap (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``).
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import BATCH_SECONDS, BUFFER_CAP, INGEST_BATCH_COL, MONTH_COL
+from ..model import BATCH_SECONDS, INGEST_BATCH_COL, INGEST_RUN_COL, MONTH_COL
+from ..sources.raw_events import dedup
 
 TYPED = ["event_id", "event_name", "app_id", "platform", "domain_userid", "domain_sessionid"]
 CONTEXT_FIELDS = ("contexts", "derived_contexts")
@@ -43,21 +48,24 @@ def kafka_source(
     servers: str,
     topic: str,
     starting_offsets: str = "latest",
-    max_per_trigger: int = BUFFER_CAP,
+    max_per_trigger: int | None = None,
+    fail_on_data_loss: bool = True,
 ) -> DataFrame:
     """Kafka topic as a stream of ``value`` (binary). Needs the Kafka connector
     on the classpath. The first start reads from ``starting_offsets``; later
-    starts resume from the checkpoint."""
-    return (
+    starts resume from the checkpoint. Offsets that the topic no longer holds
+    stop the query unless ``fail_on_data_loss`` is False. ``max_per_trigger``
+    caps a micro-batch; without it each takes all that has arrived."""
+    r = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", starting_offsets)
-        .option("maxOffsetsPerTrigger", max_per_trigger)
-        .option("failOnDataLoss", "false")
-        .load()
-        .select("value")
+        .option("failOnDataLoss", str(fail_on_data_loss).lower())
     )
+    if max_per_trigger:
+        r = r.option("maxOffsetsPerTrigger", max_per_trigger)
+    return r.load().select("value")
 
 
 def file_source(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
@@ -148,14 +156,16 @@ def parse(lines: DataFrame, fields: list[str], line_col: str = "line") -> DataFr
     )
 
 
-def dead_letter_reason() -> Column:
-    """NULL for a good row, else why it was rejected (I3)."""
+def dead_letter_reason(derived: Column) -> Column:
+    """NULL for a good row, else why it was rejected (I3). An empty
+    ``derived_tstamp`` is allowed, an unreadable one is not."""
     return (
         F.when(F.col("line").isNull(), "decode")
         .when(~F.col("_ok_count"), "field_count")
         .when(F.col("event_id").isNull(), "missing_event_id")
         .when(F.col("collector_tstamp").isNull(), "missing_collector_tstamp")
         .when(F.col("collector_ts").isNull(), "bad_collector_tstamp")
+        .when(derived.isNotNull() & F.col("derived_ts").isNull(), "bad_derived_tstamp")
     )
 
 
@@ -163,7 +173,8 @@ def prepare(values: DataFrame, fields: list[str], encoding: str = "base64") -> D
     """Stream of ``value`` → parsed rows with ``_reason`` (NULL = good)."""
     lines = values.select(F.col("value").cast("string").alias("value"), decode(F.col("value"), encoding).alias("line"))
     parsed = parse(lines, fields)
-    return parsed.withColumn("_reason", dead_letter_reason())
+    derived = F.col("derived_tstamp") if "derived_tstamp" in fields else F.lit(None).cast("string")
+    return parsed.withColumn("_reason", dead_letter_reason(derived))
 
 
 def to_raw_events(good: DataFrame) -> DataFrame:
@@ -185,30 +196,53 @@ def to_raw_events(good: DataFrame) -> DataFrame:
 ROWS_PER_FILE = 50_000
 
 
+def run_key(spark: SparkSession, checkpoint: str) -> str:
+    """The name under which a checkpoint's batches are stored, kept beside it.
+
+    Made once for each checkpoint from the time and a random part, so a new
+    checkpoint never writes into the folders of an older one and its rows count as newer.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-run")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, False)
+        out.write(bytearray(f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}".encode()))
+        out.close()
+    f = fs.open(path)
+    try:
+        return bytes(f.readAllBytes()).decode()
+    finally:
+        f.close()
+
+
 def write_batch(
-    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, metrics: str, rows_per_file: int | None = None
+    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, metrics: str, rows_per_file: int | None = None,
+    run: str = "0", dedup_batch: bool = False,
 ) -> None:
-    """Idempotent per-batch write: every output lives under its batch id and
-    is overwritten on replay. The good rows are written in about one file per
+    """Idempotent per-batch write: every output lives under its run and batch
+    id and is overwritten on replay. ``dedup_batch`` stores one row per key of
+    the batch, chosen by the rule of the dedup view. The good rows are written in about one file per
     ``rows_per_file`` rows (the batch is cached, so counting it is cheap),
     not one small file per input partition."""
+    place = f"{INGEST_RUN_COL}={run}/{INGEST_BATCH_COL}={batch_id}"
     batch = batch.persist()
     try:
         good = batch.where(F.col("_reason").isNull())
         files = max(1, -(-good.count() // (rows_per_file or ROWS_PER_FILE)))  # coalesce never raises the count
         (
-            to_raw_events(good)
+            (dedup(to_raw_events(good)) if dedup_batch else to_raw_events(good))
             .coalesce(files)
             .sortWithinPartitions("collector_tstamp", "event_name", "event_id")
             .write.mode("overwrite")
             .partitionBy(MONTH_COL)
-            .parquet(f"{sink}/{INGEST_BATCH_COL}={batch_id}")
+            .parquet(f"{sink}/{place}")
         )
         (
             batch.where(F.col("_reason").isNotNull())
             .select("value", F.col("_reason").alias("reason"))
             .write.mode("overwrite")
-            .parquet(f"{dead_letter}/{INGEST_BATCH_COL}={batch_id}")
+            .parquet(f"{dead_letter}/{place}")
         )
         (
             batch.agg(
@@ -219,7 +253,7 @@ def write_batch(
             .select(F.lit(batch_id).cast("long").alias("batch_id"), "*", F.current_timestamp().alias("written_at"))
             .coalesce(1)
             .write.mode("overwrite")
-            .parquet(f"{metrics}/{INGEST_BATCH_COL}={batch_id}")
+            .parquet(f"{metrics}/{place}")
         )
     finally:
         batch.unpersist()
@@ -235,11 +269,11 @@ def start_ingest(
     encoding: str = "base64",
     trigger_seconds: int | None = BATCH_SECONDS,
     available_now: bool = False,
-    dedup_delay: str | None = None,
+    dedup_batch: bool = False,
 ):
-    """Start the ingest query. ``dedup_delay`` (e.g. "10 minutes") drops
-    copies of a key arriving within that event-time delay before writing; the
-    batch dedup view stays the source of truth for anything later."""
+    """Start the ingest query. ``dedup_batch`` collapses copies inside each
+    micro-batch before writing; copies across batches are resolved by the
+    dedup view, so no event is dropped for being late."""
     rows = prepare(values, fields, encoding)
     rows = rows.observe(
         "ingest",
@@ -247,13 +281,10 @@ def start_ingest(
         F.count_if(F.col("_reason").isNull()).alias("good_rows"),
         F.count_if(F.col("_reason").isNotNull()).alias("bad_rows"),
     )
-    if dedup_delay:
-        good = rows.where(F.col("_reason").isNull()).withWatermark("collector_ts", dedup_delay)
-        good = good.dropDuplicatesWithinWatermark(["collector_ts", "event_name", "event_id"])
-        rows = good.unionByName(rows.where(F.col("_reason").isNotNull()))
-    w = rows.writeStream.foreachBatch(lambda df, bid: write_batch(df, bid, sink, dead_letter, metrics)).option(
-        "checkpointLocation", checkpoint
-    )
+    run = run_key(values.sparkSession, checkpoint)
+    w = rows.writeStream.foreachBatch(
+        lambda df, bid: write_batch(df, bid, sink, dead_letter, metrics, run=run, dedup_batch=dedup_batch)
+    ).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     elif trigger_seconds:
@@ -265,12 +296,12 @@ class IngestProgress:
     """Driver-side ingest health (the consumer's /health counters): collects
     one record per micro-batch from the query's progress events — batch id,
     input rows, good/bad rows from the ``observe`` metrics, batch duration —
-    for a status page or a small table (``to_df``)."""
+    for a status page or a small table (``to_df``), the last ``keep`` of them."""
 
-    def __init__(self, spark: SparkSession, query_name_or_id: str | None = None):
+    def __init__(self, spark: SparkSession, query_name_or_id: str | None = None, keep: int = 1_000):
         from pyspark.sql.streaming import StreamingQueryListener
 
-        self.records: list[dict] = []
+        self.records: deque[dict] = deque(maxlen=keep)
         outer = self
 
         class _Listener(StreamingQueryListener):

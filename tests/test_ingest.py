@@ -110,16 +110,46 @@ def test_replayed_batch_id_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(out["metrics"]).count() == 1
 
 
-def test_stream_side_dedup_within_watermark(spark, tmp_path):
+def _stream(spark, tmp_path, name, recs, checkpoint, **kw):
     src = tmp_path / "in"
-    src.mkdir()
-    recs = [b64(line("e1")), b64(line("e1")), b64(line("e2")), "junk"]
-    (src / "part-0.txt").write_text("\n".join(recs) + "\n")
+    src.mkdir(exist_ok=True)
+    (src / f"{name}.txt").write_text("\n".join(recs) + "\n")
     out = {k: str(tmp_path / k) for k in ("raw", "dead", "metrics")}
     q = ingest.start_ingest(
         ingest.file_source(spark, str(src)), TEST_TSV_FIELDS, out["raw"], out["dead"], out["metrics"],
-        str(tmp_path / "ckpt"), available_now=True, dedup_delay="10 minutes",
+        str(tmp_path / checkpoint), available_now=True, **kw,
     )
     q.awaitTermination()
-    assert sorted(r.event_id for r in rawv.read_store(spark, out["raw"]).collect()) == ["e1", "e2"]
+    return out
+
+
+def test_batch_dedup_and_late_unique_events(spark, tmp_path):
+    out = _stream(spark, tmp_path, "a", [b64(line("e1")), b64(line("e1")), b64(line("e2")), "junk"], "ckpt", dedup_batch=True)
+    assert rawv.read_store(spark, out["raw"]).count() == 2
     assert spark.read.parquet(out["dead"]).count() == 1
+    late = b64(line("e0", ts="2024-01-01 00:00:00.000"))  # far behind everything seen, never delivered before
+    out = _stream(spark, tmp_path, "b", [late, b64(line("e2"))], "ckpt", dedup_batch=True)
+    view = rawv.dedup(rawv.read_store(spark, out["raw"]))
+    assert sorted(r.event_id for r in view.collect()) == ["e0", "e1", "e2"]
+
+
+def test_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    out = _stream(spark, tmp_path, "a", [b64(line("e1"))], "first")
+    (tmp_path / "in" / "a.txt").unlink()
+    out = _stream(spark, tmp_path, "b", [b64(line("e2"))], "second")
+    raw = rawv.read_store(spark, out["raw"])
+    assert sorted(r.event_id for r in raw.collect()) == ["e1", "e2"]
+    assert raw.select("ingest_run").distinct().count() == 2
+
+
+def test_unreadable_derived_tstamp_goes_to_the_dead_letter(spark):
+    at = TEST_TSV_FIELDS.index("derived_tstamp")
+
+    def with_derived(value):
+        f = line("e1").split("\t")
+        f[at] = value
+        return (b64("\t".join(f)),)
+
+    rows = spark.createDataFrame([with_derived(""), with_derived("not a time")], "value string")
+    got = sorted(str(r["_reason"]) for r in ingest.prepare(rows, TEST_TSV_FIELDS).collect())
+    assert got == ["None", "bad_derived_tstamp"]

@@ -107,3 +107,21 @@ def test_recent_logins_and_missing_tables(spark, tmp_path):
     missing = str(tmp_path / "nothing-here")
     assert tables.messages(spark, missing).schema == MESSAGES_SCHEMA and tables.messages(spark, missing).count() == 0
     assert rawv.read_store(spark, missing).count() == 0
+
+
+def test_losing_publisher_leaves_the_table_alone(spark, tmp_path):
+    import pytest
+    from conftest import T
+
+    one = spark.createDataFrame([("c", 1, "u", "i", T("2024-01-01 00:00:00"), T("2024-01-01 00:00:00"), 1, 0, 0)], SESSIONS_SCHEMA)
+    base = str(tmp_path / "t")
+    a, b = SnapshotTable(spark, base, SESSIONS_SCHEMA), SnapshotTable(spark, base, SESSIONS_SCHEMA)
+    a.publish(one)
+    seen = a.latest_version()
+    b.latest_version = lambda: seen - 1 or None  # b took its version before a's commit
+    with pytest.raises(RuntimeError):
+        b.publish(one.limit(0))
+    assert a.read().count() == 1 and a.versions() == [1]
+    assert len(list((tmp_path / "t").glob("v=*"))) == 1
+    a.publish(one.union(one))
+    assert a.read().count() == 2 and a.vacuum(keep=1) == [1] and a.read().count() == 2
