@@ -117,21 +117,19 @@ def each(frames: Iterator[pd.DataFrame], f) -> Iterator[pd.DataFrame]:
 def maybe_in(ids: DataFrame, col: str, probe: str, words: int = 1 << 16) -> Column:
     """A test that holds for every value of ``ids[col]`` and for few others.
 
-    A one-hash bitmap of fixed size (64 bits in each of ``words`` longs)
-    reaches the driver and goes into the plan as a literal. It only spares
-    work: a join still decides. ``probe`` is the SQL of the value to test.
+    A one-hash bitmap of fixed size (64 bits in each of ``words`` longs) is
+    made by a scalar subquery. It only spares work: a join still decides.
+    ``probe`` is the SQL of the value to test.
     """
     def slot(x: str) -> str:
         return f"pmod(xxhash64({x}), {words * 64})"
 
-    bits = ids.groupBy(F.expr(f"cast(shiftright({slot(col)}, 6) as int)").alias("w")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast({slot(col)} & 63 as int)))").alias("bits"))
-    found = {r["w"]: r["bits"] for r in bits.collect()}
-    table = ",".join(str(found.get(w, 0)) for w in range(words))
-    return F.expr(
-        f"(shiftright(get(cast(split('{table}', ',') as array<bigint>), cast(shiftright({slot(probe)}, 6) as int)),"
-        f" cast({slot(probe)} & 63 as int)) & 1) = 1"
-    )
+    every = ids.sparkSession.range(words).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("bigint").alias("bit"))
+    bits = ids.select(F.expr(f"cast(shiftright({slot(col)}, 6) as int) AS w"), F.expr(f"shiftleft(1L, cast({slot(col)} & 63 as int)) AS bit"))
+    one = bits.union(every).groupBy("w").agg(F.expr("bit_or(bit) AS bits")).agg(
+        F.expr("transform(sort_array(collect_list(struct(w, bits))), x -> x.bits) AS map"))
+    word = F.get(one.scalar(), F.expr(f"cast(shiftright({slot(probe)}, 6) as int)"))
+    return F.call_function("shiftright", word, F.expr(f"cast({slot(probe)} & 63 as int)")).bitwiseAND(F.lit(1)) == 1
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

@@ -121,7 +121,7 @@ def _most_apart(n: str, percent: int) -> str:
     return f"cast(floor({n} * {100 - percent} / {percent}D + 1e-9) as int)"
 
 
-def _within_groups(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool) -> DataFrame:
     """Pairs (a, b) of members of one lead's group that may link and have different roots.
 
     With u and v the members' differences from the lead, the symmetric
@@ -130,6 +130,7 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     does not link. So they share an element of their first (most apart + 1)
     elements in any common order; shingles foreign to the lead, the rare ones,
     come first. The positional filter is that of the first shared element.
+    With ``first``, members meet only the smallest one that has the element.
     """
     named = star.join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").join(
         roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
@@ -138,6 +139,8 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "root", F.posexplode("e").alias("p", "el"))
     one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("u"))
     two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("v"))
+    if first:
+        one = one.groupBy("a", "el").agg(F.min("u").alias("u"))
     need = f"greatest(1, ceil((u.m + v.m - {_most_apart('least(u.n, v.n)', percent)}) / 2D))"
     near = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND least(u.m - u.p, v.m - v.p) >= {need}"
     return one.join(two, ["a", "el"]).filter(f"u.b < v.b AND u.root <> v.root AND {near}").selectExpr("u.b AS a", "v.b AS b").distinct()
@@ -162,10 +165,11 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
             F.expr(f"slice({own}, 1, {_most_apart('size(y)', percent)} + 1)").alias("e")), "star")
     links = star.filter("linked").select("a", "b")
     roots = components(links)
-    # What that left apart: members of one group in different components.
-    rest = saved(_within_groups(star, roots, percent), "rest")
-    more = saved(_compared(rest, d, percent, width).filter("linked").select("a", "b"), "more")
-    roots = components(links.union(more))
+    # What that left apart: members of one group in different components, again by leads first.
+    for first in (True, False):
+        rest = saved(_within_groups(star, roots, percent, first), "rest")
+        links = links.union(saved(_compared(rest, d, percent, width).filter("linked").select("a", "b"), "more"))
+        roots = components(links)
 
     out = sets.select("doc_id", "n", "k1", "k2").join(
         classes.withColumnsRenamed({"k1": "c1", "k2": "c2", "n": "cn"}),
