@@ -10,8 +10,17 @@ text from its start on. So if the left chunk, right up to there, and the right
 chunk both start a pre-token at p, then the left encoding up to p and the right
 one from p on are those of the whole text. Special strings are found before
 that: p keeps ``margin`` characters (their longest length) from either end of
-the overlap, so that neither chunk can have cut one that matters. Pre-token
-starts come from the encodings' word numbers and offsets.
+the overlap, so that neither chunk can have cut one that matters.
+
+Encoding itself is spared for words seen before. A byte-level tokenizer's
+pre-token holds a blank or line feed at its start or among other white space
+only, and none of its rules looks back, so a text may be cut before each blank
+or line feed that follows another character than white space, and before a
+comma or stop that follows a plain letter: the segments' encodings make up the
+text's (``Segments``). Counts of short segments are kept
+in each worker's bounded memo, and segment starts are pre-token starts. Long segments give
+their pre-token starts by word numbers and offsets of the encoding. Tokenizers
+with other rules (``cuttable``) encode each text or chunk as one segment.
 
 Documents with an overlap that holds no common boundary are cut again, with
 chunk and overlap four times as long, until a chunk holds all.
@@ -22,6 +31,8 @@ its row; repeated rows give repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +47,14 @@ CHUNK = 16_384  # characters
 OVERLAP = 512
 WIDEN = 4
 BATCH = 64
+LONG = 64  # characters; longer segments are not memoised
+MEMO = 800_000  # segments
+
+#: A run of white space and what follows, up to a comma or stop after plain letters or the next blank or line feed after another character.
+_SEGMENT = re.compile(r"\s*[A-Za-z]++(?=[.,])|\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+")
 
 _MADE: dict = {}
+_SEEN: dict = {}  # token counts of segments, by tokenizer
 
 
 def tokenizer(path: str):
@@ -65,14 +82,63 @@ def _clean(t) -> str:
     return t if isinstance(t, str) else ""
 
 
+def cuttable(tok) -> bool:
+    """Byte-level rules without a normaliser, and no special string that a cut may part."""
+    spec = json.loads(tok.to_str())
+    pre = spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return plain and not any(
+        a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s|[A-Za-z][.,]", a["content"]) for a in spec["added_tokens"])
+
+
+class Segments:
+    """Segments of texts and the number of tokens of each."""
+
+    def __init__(self, path: str):
+        self.tok, self.memo = tokenizer(path), _SEEN.setdefault(path, {})
+        self.cut = _SEGMENT.findall if cuttable(self.tok) else lambda t: [t] if t else []
+
+    def counts(self, lists: list[list[str]]) -> list[list[int]]:
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        got = [list(map(memo.get, segs)) for segs in lists]
+        fresh = list({s for segs, n in zip(lists, got) if None in n for s, c in zip(segs, n) if c is None})
+        for s, e in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False)):
+            memo[s] = len(e)
+        out = [list(map(memo.get, segs)) if None in n else n for segs, n in zip(lists, got)]
+        for s in fresh:
+            if len(s) > LONG:
+                del memo[s]
+        return out
+
+    def starts(self, piece: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """Tokens in all; positions of pre-token starts (of segments, and inside long ones) and the tokens before each."""
+        segs = self.cut(piece)
+        n = np.array(self.counts([segs])[0], dtype=np.int64)
+        at = np.cumsum([0, *map(len, segs)])[:-1]
+        before = np.cumsum(np.append(0, n))[:-1]
+        at_all, before_all = [at], [before]
+        for i, s in enumerate(segs):
+            if len(s) > LONG:
+                e = self.tok.encode(s, add_special_tokens=False)
+                words = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
+                inner = np.flatnonzero(words[1:] != words[:-1]) + 1
+                at_all.append(at[i] + np.array([o[0] for o in e.offsets], dtype=np.int64)[inner])
+                before_all.append(before[i] + inner)
+        at, before = np.concatenate(at_all).astype(np.int64), np.concatenate(before_all).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        return int(n.sum()), at[order], before[order]
+
+
 def _short(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = tokenizer(path)
+        segments = Segments(path)
 
         def f(d: pd.DataFrame) -> pd.DataFrame:
             texts, n = [_clean(t) for t in d["text"]], []
             for i in range(0, len(texts), BATCH):
-                n += [len(e) for e in tok.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
+                n += map(sum, segments.counts([segments.cut(t) for t in texts[i : i + BATCH]]))
             return pd.DataFrame({"doc_id": d["doc_id"], "n_bytes": d["n_bytes"], "n_tokens": n})
 
         yield from each(frames, f)
@@ -95,20 +161,16 @@ def _boundaries(path: str, chunk: int, overlap: int):
     """For each chunk: tokens in all, and pre-token starts in its head and tail overlap with the tokens before."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, m = tokenizer(path), margin(path)
+        segments, m = Segments(path), margin(path)
 
         def f(d: pd.DataFrame) -> pd.DataFrame:
             out = []
             for key, i, last, piece in zip(d["key"], d["i"], d["last"], d["piece"]):
-                e = tok.encode(piece, add_special_tokens=False)
-                words = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
-                at = np.array([o[0] for o in e.offsets], dtype=np.int64)
-                start = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.empty(0, np.int64)
-                pos = at[start]
+                n, pos, before = segments.starts(piece)
                 head = (pos >= m) & (pos <= overlap - m) & (i > 0)
                 tail = (pos >= chunk + m) & (pos <= chunk + overlap - m) & (not last)
                 base = int(i) * chunk
-                out.append((key, i, last, len(words), pos[head] + base, start[head], pos[tail] + base, start[tail]))
+                out.append((key, i, last, n, pos[head] + base, before[head], pos[tail] + base, before[tail]))
             return pd.DataFrame(out, columns=["key", "i", "last", "n", "head", "head_n", "tail", "tail_n"])
 
         yield from each(frames, f)
