@@ -48,12 +48,44 @@ CORRELATED = 0.25
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
+def _forms(words) -> set[str]:
+    return {"=" + w for w in words} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+
+
 def entries(text) -> set[str]:
     """Distinct words (``=word``) and stems (``stem*``) of a whole text."""
     if not isinstance(text, str):
         return set()
-    words = set(_WORD.findall(text.lower()))
-    return {"=" + w for w in words} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    return _forms(set(_WORD.findall(text.lower())))
+
+
+class Held:
+    """The entries among ``wanted`` that a text holds.
+
+    Words never span white space, so each distinct blank-delimited string is
+    looked up by itself, with a bounded memo of the short ones.
+    """
+
+    def __init__(self, wanted, limit: int = 500_000):
+        self.wanted, self.limit, self.memo = set(wanted), limit, {}
+
+    def __call__(self, text) -> set[str]:
+        out: set[str] = set()
+        if not isinstance(text, str):
+            return out
+        memo = self.memo
+        for part in {part.strip(".,") for part in text.lower().split()}:
+            got = memo.get(part)
+            if got is None:
+                words = [part] if part.isalnum() else _WORD.findall(part)
+                got = _forms(words) & self.wanted
+                if len(part) <= 64:
+                    if len(memo) >= self.limit:
+                        memo.clear()
+                    memo[part] = got
+            if got:
+                out |= got
+        return out
 
 
 def _thin(rows: DataFrame, most: int, salt: int) -> DataFrame:
@@ -72,9 +104,11 @@ def mine(toxic: Iterator[str], clean: Iterator[str]) -> list[str]:
             pos.update(entries(t))
     least = max(4, int(0.006 * n_pos))
     pos = Counter({e: c for e, c in pos.items() if c >= least})
+    held = Held(pos)
     for t in clean:
         n_neg += 1
-        neg.update(e for e in entries(t) if e in pos)
+        neg.update(held(t))
+
     def lift(e: str) -> float:
         return (pos[e] + 0.5) / (n_pos + 1) / ((neg[e] + 0.5) / (n_neg + 1))
     good = [e for e in pos if lift(e) >= LIFT]
@@ -97,9 +131,10 @@ def voters(found: list[str]) -> dict[str, list[int]]:
 N_VOTERS = WORD_VOTERS + STEM_VOTERS + 1
 
 
-def vote(text, fires: dict[str, list[int]]) -> np.ndarray:
+def vote(held: set[str], fires: dict[str, list[int]]) -> np.ndarray:
+    """Votes on a text that holds the entries ``held``."""
     v = np.zeros(N_VOTERS)
-    for e in entries(text) & fires.keys():
+    for e in held:
         v[fires[e]] = 1
     return v
 
@@ -108,11 +143,11 @@ def moments(docs: DataFrame, fires: dict[str, list[int]]) -> tuple[int, np.ndarr
     """Rows and the sums of vote products (the diagonal has the hits), added up in Spark."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = 0, np.zeros((N_VOTERS, N_VOTERS))
+        n, total, held = 0, np.zeros((N_VOTERS, N_VOTERS)), Held(fires)
         for d in frames:
             for t in d["text"]:
-                v = vote(t, fires)
-                if v.any():
+                if got := held(t):
+                    v = vote(got, fires)
                     total += np.outer(v, v)
             n += len(d)
         yield pd.DataFrame({"k": np.arange(N_VOTERS**2 + 1), "s": np.append(total.ravel(), n)})
@@ -173,9 +208,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400)
 class Scorer:
     def __init__(self, found: list[str], w: np.ndarray, b: float):
         self.index, self.b = {e: float(x) for e, x in zip(found, w)}, b
+        self.held = Held(self.index)
 
     def __call__(self, text) -> float:
-        z = self.b + sum(self.index[e] for e in entries(text) & self.index.keys())
+        z = self.b + sum(self.index[e] for e in sorted(self.held(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -196,9 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[Scorer, Labe
     at = {e: i for i, e in enumerate(found)}
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Held(fires)
+
         def f(x: pd.DataFrame) -> pd.DataFrame:
-            es = [entries(t) for t in x["text"]]
-            votes = np.array([vote(t, fires) for t in x["text"]])
+            es = [held(t) for t in x["text"]]
+            votes = np.array([vote(s, fires) for s in es])
             return pd.DataFrame({"p": model.posterior(votes), "on": [sorted(at[e] for e in s & at.keys()) for s in es]})
 
         yield from each(frames, f)
