@@ -137,6 +137,26 @@ def test_token_counts_equal_the_library(spark):
     assert got == {i: len(tok.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
 
 
+def test_segments_encode_as_the_whole_text():
+    segments = token_counts.Segments(COUNT)
+    assert token_counts.cuttable(segments.tok)
+    rng = random.Random(3)
+    parts = ["a", "ab", "Zo", "'s", "1", "\u00bd", "e\u0301", "\u4e2d", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1c", "\x85", "\u00a0",
+             "\u200b", "\u2028", ",", ".", ",.", "!", "<|endoftext|>", "<|endo", "text|>", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 16))) for _ in range(4000)]
+    cut = [segments.cut(t) for t in texts]
+    assert ["".join(c) for c in cut] == texts
+    want = [len(e) for e in segments.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(map(sum, segments.counts(cut))) == want
+
+
+def test_held_entries_are_those_of_the_text():
+    texts = ["Idiot, idiots. x\u0301y-z idiot", "", None, "\x1cIDIOTIC\x1c.,", "a" * 300]
+    for t in texts:
+        every = toxicity.entries(t)
+        assert toxicity.Held(every | {"=other"})(t) == every
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(8)
     texts = [" ".join(f"Word{rng.randrange(99)}, it's" for _ in range(rng.randrange(0, 1500))) for _ in range(60)]
