@@ -15,7 +15,8 @@ bound, two linked sketches agree on a block (pigeonhole).
   settle groups of copies without pairing their members. Members of a group
   that are still in different components can only link if their differences
   from the lead overlap; a prefix and positional filter on those differences
-  finds all such pairs, and no others but a few, for the check.
+  and the Hamming distance of fixed-width sketches find all such pairs, and
+  no others but a few, for the check.
 * Every link is verified on the full shingle sets.
 
 Defined cases: null, empty and blank texts have no shingles and are their own
@@ -39,6 +40,7 @@ from .common import WordHash, ascii_words, components, each, maybe_in, mix, save
 WIDTH = 3
 PERCENT = 90
 BLOCK_WORDS = 3  # 64-bit words in a block: about 13 set bits at these widths
+SKETCH_WORDS = 8  # longs of the sketch that two members of a group compare
 
 
 def bands(longest: int, percent: int = PERCENT) -> list[int]:
@@ -96,22 +98,33 @@ def _sets(percent: int, width: int):
     return run
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity sketch of ``SKETCH_WORDS`` longs, the same width for every set."""
+    bits = SKETCH_WORDS * 64
+    odd = (np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return signed(np.packbits(odd).view(np.uint64))
+
+
 def _arrays(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
-        yield from each(frames, lambda d: pd.DataFrame({
-            "doc_id": d["doc_id"], "h": [signed(shingles(hashed(ascii_words(t)), width)) for t in text_bytes(d["text"])]}))
+
+        def f(d: pd.DataFrame) -> pd.DataFrame:
+            sets = [shingles(hashed(ascii_words(t)), width) for t in text_bytes(d["text"])]
+            return pd.DataFrame({"doc_id": d["doc_id"], "h": [signed(h) for h in sets], "sig": [sketch(h) for h in sets]})
+
+        yield from each(frames, f)
 
     return run
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) with both shingle sets x and y and ``linked``, the exact verdict."""
+    """Pairs (a, b) with both shingle sets x and y, the sketch of y and ``linked``, the exact verdict."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rows = docs.filter(maybe_in(ids, "doc_id", "doc_id")).join(ids, "doc_id", "left_semi")
-    sets = rows.mapInPandas(_arrays(width), "doc_id bigint, h array<bigint>")
+    sets = rows.mapInPandas(_arrays(width), "doc_id bigint, h array<bigint>, sig array<bigint>")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
+        sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y"), "sig"), "b")
     common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return common.withColumn("linked", F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)"))
 
@@ -130,19 +143,23 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool)
     does not link. So they share an element of their first (most apart + 1)
     elements in any common order; shingles foreign to the lead, the rare ones,
     come first. The positional filter is that of the first shared element.
+    The Hamming distance of the members' sketches never exceeds their
+    symmetric difference, so it may not exceed the most apart either.
     With ``first``, members meet only the smallest one that has the element.
     """
     named = star.join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").join(
         roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
-    named = named.select("a", "b", "n", "m", "e", F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
+    named = named.select("a", "b", "n", "m", "sig", "e", F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
     open_ = named.groupBy("a").agg(F.min(F.least("root", "lead_root")).alias("lo"), F.max(F.greatest("root", "lead_root")).alias("hi"))
-    rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "root", F.posexplode("e").alias("p", "el"))
-    one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("u"))
-    two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("v"))
+    rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "sig", "root", F.posexplode("e").alias("p", "el"))
+    one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p", "sig").alias("u"))
+    two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p", "sig").alias("v"))
     if first:
         one = one.groupBy("a", "el").agg(F.min("u").alias("u"))
-    need = f"greatest(1, ceil((u.m + v.m - {_most_apart('least(u.n, v.n)', percent)}) / 2D))"
-    near = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND least(u.m - u.p, v.m - v.p) >= {need}"
+    apart = _most_apart("least(u.n, v.n)", percent)
+    need = f"greatest(1, ceil((u.m + v.m - {apart}) / 2D))"
+    hamming = " + ".join(f"bit_count(u.sig[{i}] ^ v.sig[{i}])" for i in range(SKETCH_WORDS))
+    near = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND least(u.m - u.p, v.m - v.p) >= {need} AND {hamming} <= {apart}"
     return one.join(two, ["a", "el"]).filter(f"u.b < v.b AND u.root <> v.root AND {near}").selectExpr("u.b AS a", "v.b AS b").distinct()
 
 
@@ -162,7 +179,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     own = "concat(array_except(y, x), array_except(x, y))"
     star = saved(
         _compared(pairs, d, percent, width).select("a", "b", "linked", F.size("y").alias("n"), F.expr("size(x) + size(y) - 2 * common").alias("m"),
-            F.expr(f"slice({own}, 1, {_most_apart('size(y)', percent)} + 1)").alias("e")), "star")
+            F.expr(f"slice({own}, 1, {_most_apart('size(y)', percent)} + 1)").alias("e"), "sig"), "star")
     links = star.filter("linked").select("a", "b")
     roots = components(links)
     # What that left apart: members of one group in different components, again by leads first.
