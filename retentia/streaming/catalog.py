@@ -29,28 +29,77 @@ def run_ingest(spark: SparkSession, sf: str) -> dict:
     """Write the tracker lines as text files, ingest them with the streaming
     job, and return the output locations."""
     ensure_utc(spark)
-    base = scratch(spark, "ingest")
-    tv.tracker_lines(spark, sf).write.text(f"{base}/in")
-    paths = {k: f"{base}/{k}" for k in ("raw_events", "dead_letter", "metrics", "checkpoint")}
+    paths = _paths(scratch(spark, "ingest"))
+    _deliver(spark, tv.tracker_lines(spark, sf), paths, "0")
+    return paths
+
+
+def _paths(base: str) -> dict:
+    return {k: f"{base}/{k}" for k in ("in", "raw_events", "dead_letter", "metrics", "checkpoint")}
+
+
+def _deliver(spark: SparkSession, lines, paths: dict, run: str, max_files: int | None = None, dedup_batch: bool = False) -> None:
+    """Ingest ``lines`` into the store of ``paths`` under the checkpoint of ``run``."""
+    lines.write.text(f"{paths['in']}/{run}")
     q = ingest.start_ingest(
-        ingest.file_source(spark, f"{base}/in"),
+        ingest.file_source(spark, f"{paths['in']}/{run}", max_files_per_trigger=max_files),
         TEST_TSV_FIELDS,
         paths["raw_events"],
         paths["dead_letter"],
         paths["metrics"],
-        paths["checkpoint"],
+        f"{paths['checkpoint']}/{run}",
         available_now=True,
+        dedup_batch=dedup_batch,
     )
     q.awaitTermination()
-    return paths
 
 
-def q_ingest_stream(spark: SparkSession, sf: str):
-    paths = run_ingest(spark, sf)
+def _stored_events(spark: SparkSession, paths: dict):
     ev = rawv.event_view(rawv.read_store(spark, paths["raw_events"]), as_of=AS_OF)
     return ev.select("event_id", "ts", "u", "se_category", "se_action", "platform", "app_version", "influencer", "itype")
 
 
+def q_ingest_stream(spark: SparkSession, sf: str):
+    return _stored_events(spark, run_ingest(spark, sf))
+
+
+def _with_id(spark: SparkSession, sf: str):
+    """Tracker lines with their text and event id."""
+    lines = tv.tracker_lines(spark, sf).toDF("value")
+    lines = lines.withColumn("line", F.unbase64("value").cast("string"))
+    return lines.withColumn("id", F.substring_index("line", "\t", 1).cast("long"))
+
+
+def q_ingest_replay(spark: SparkSession, sf: str):
+    """Two deliveries into one store, the second under a new checkpoint, in
+    several micro-batches each: it brings late events of its own (every third)
+    and copies of events that the first has stored (every second)."""
+    ensure_utc(spark)
+    paths, lines = _paths(scratch(spark, "replay")), _with_id(spark, sf)
+    first = lines.where("id % 3 <> 0").select("value").repartition(3)
+    again = lines.where("id % 3 = 0 OR id % 2 = 0").select("value").repartition(3)
+    _deliver(spark, first, paths, "0", max_files=1)
+    _deliver(spark, again, paths, "1", max_files=1, dedup_batch=True)
+    return _stored_events(spark, paths)
+
+
+def q_ingest_dead_letter(spark: SparkSession, sf: str):
+    """Rejected rows by reason, of a stream in which four lines in ten are broken."""
+    ensure_utc(spark)
+    paths, lines = _paths(scratch(spark, "dead")), _with_id(spark, sf)
+    text = lambda c: F.base64(c.cast("binary"))
+    broken = (
+        F.when(F.expr("id % 10 = 1"), F.lit("%%%"))
+        .when(F.expr("id % 10 = 2"), text(F.concat("line", F.lit("\textra"))))
+        .when(F.expr("id % 10 = 3"), text(F.regexp_replace("line", "^[^\t]*", "")))
+        .when(F.expr("id % 10 = 4"), text(F.regexp_replace("line", "^([^\t]*\t[^\t]*\t)[^\t]*", "$1never")))
+        .otherwise(F.col("value"))
+    )
+    _deliver(spark, lines.select(F.regexp_replace(broken, "\\s", "").alias("value")), paths, "0")
+    rejected = spark.read.schema("value string, reason string").parquet(paths["dead_letter"])
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_live_sessions(spark: SparkSession, sf: str):
     ensure_utc(spark)
     base = scratch(spark, "live")
@@ -80,4 +129,9 @@ def q_live_sessions(spark: SparkSession, sf: str):
     return spark.read.parquet(f"{base}/out")
 
 
-QUERIES = {"ingest_stream": q_ingest_stream, "live_sessions": q_live_sessions}
+QUERIES = {
+    "ingest_stream": q_ingest_stream,
+    "ingest_replay": q_ingest_replay,
+    "ingest_dead_letter": q_ingest_dead_letter,
+    "live_sessions": q_live_sessions,
+}
