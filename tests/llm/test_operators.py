@@ -113,6 +113,16 @@ def test_ngram_components_equal_brute_force(spark):
     assert len(set(root)) < len(texts) - 10
 
 
+def test_sketches_stay_within_the_symmetric_difference():
+    rng = np.random.default_rng(3)
+    for n, edits in ((1, 1), (40, 4), (900, 90), (900, 0)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, dtype=np.uint64)]))
+        x, y = (ngram_join.sketch(h).view(np.uint64) for h in (a, b))
+        assert len(x) == ngram_join.SKETCH_WORDS
+        assert sum(int(w).bit_count() for w in x ^ y) <= len(np.setxor1d(a, b))
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(4)
     items = [" ".join(f"q{rng.randrange(200)}" for _ in range(rng.randrange(3, 50))) for _ in range(30)]
