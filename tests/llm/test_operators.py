@@ -269,3 +269,21 @@ def test_pipeline_stages_keep_document_columns(spark):
     assert counts == sorted(counts, reverse=True) and 0.5 * counts[0] < counts[-1] < counts[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, left, sf)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_line_rules_remove_lines_and_reject_depleted_documents_at_production_parameters(spark, tmp_path):
+    import duckdb
+
+    from retentia.llm import oracle
+
+    boiler = " ".join(f"b{k}" for k in range(70))
+    texts = [" ".join(f"d{i}x{k}" for k in range(60 if i % 2 else 90)) + "\n" + boiler for i in range(240)]
+    rows = [(i, t, "en", "host" if i < 200 else "small", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    cols = "doc_id, n_words, removed_words, base_failed, kept"
+    got = {tuple(r) for r in queries.op9_line_rules(spark, str(tmp_path)).selectExpr(*cols.split(", ")).collect()}
+    want = {(i, 160 - 30 * (i % 2), 70 if 0 < i < 200 else 0, False, not (0 < i < 200 and i % 2)) for i in range(240)}
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.sql(f"SELECT {cols} FROM ({oracle.OP9})").fetchall()) == want
