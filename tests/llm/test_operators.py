@@ -287,3 +287,34 @@ def test_line_rules_remove_lines_and_reject_depleted_documents_at_production_par
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert set(con.sql(f"SELECT {cols} FROM ({oracle.OP9})").fetchall()) == want
+
+
+def test_lm_trains_on_every_share_and_grows_its_outcomes(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the cat", "ran fast", f"x{rng.randrange(900)}"]) for _ in range(400)) for _ in range(120)]
+    seen = spark.sparkContext.accumulator(0)
+    fit = lbl_lm.nce_fit
+
+    def counted(p, context, slot, inner, *rest):
+        seen.add(len(slot))
+        return fit(p, context, slot, inner, *rest)
+
+    monkeypatch.setattr(lbl_lm, "nce_fit", counted)
+    docs = frame(spark, texts)
+    stats = lbl_lm.Stats(lbl_lm.count_tokens(docs))
+    p = lbl_lm.train(docs, stats)
+    assert seen.value == stats.n
+    n = Counter(w for t in texts for w in t.split())
+    frequent = [w.encode() for w in n if n[w] >= lbl_lm.MIN_COUNT]
+    assert len(frequent) > 1.5 * lbl_lm.VOCAB
+    words = [*frequent, b"nowhere"]
+    h, cls = np.array([lbl_lm.token_hash(w) for w in words]), np.array([lbl_lm.suffix_class(w) for w in words])
+    _, slot, inner = stats.look(h, cls)
+    own = (inner == -1) | (inner != stats.starts[cls])
+    assert own[:-1].all() and not own[-1]
+    assert len(set(zip(slot[:-1], inner[:-1]))) == len(frequent)
+    # Both levels together are normalised.
+    every = np.concatenate([[(i, -1) for i in range(lbl_lm.VOCAB)], *[
+        [(lbl_lm.VOCAB + k, i) for i in range(stats.starts[k], stats.starts[k + 1])] for k in range(lbl_lm.SUFFIXES)]])
+    got = p.scores(np.repeat([[1, lbl_lm.TOP + 1, 0]], len(every), axis=0), every[:, 0], every[:, 1])
+    assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
