@@ -318,3 +318,25 @@ def test_lm_trains_on_every_share_and_grows_its_outcomes(spark, monkeypatch):
         [(lbl_lm.VOCAB + k, i) for i in range(stats.starts[k], stats.starts[k + 1])] for k in range(lbl_lm.SUFFIXES)]])
     got = p.scores(np.repeat([[1, lbl_lm.TOP + 1, 0]], len(every), axis=0), every[:, 0], every[:, 1])
     assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_pipeline_near_duplicates_equal_brute_force_on_five_words(spark):
+    import corpus_pipeline
+
+    texts = near_copies(11) + [None, "", "a b", "A  b", "a b c d e f g h", "a b c d e f g h i"]
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(set(zip(*(w[i:] for i in range(5)))) if len(w) > 4 else ({tuple(w)} if w else set()))
+
+    def kept(sets, percent):
+        root = list(range(len(sets)))
+        for i, s in enumerate(sets):
+            for j in range(i):
+                if s and 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        return {i for i, r in enumerate(root) if i == r}
+
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts), "").collect()}
+    assert got == kept(sets, 80) and got != kept(sets, 90)
