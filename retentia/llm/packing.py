@@ -21,6 +21,7 @@ empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,18 @@ WORDS = 2_000  # words in one call of the tokenizer
 MARK = "<|startoftext|>"  # a special token, cut out of any text first: it keeps words apart
 
 
+#: The tokenizer's white space is Unicode's; Python's holds U+001C to U+001F besides, which the tokenizer makes tokens of.
+MORE_SPACE = "\x1c\x1d\x1e\x1f"
+_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in MORE_SPACE) + "]+")
+
+
+def blank_separated(text: str) -> list[str]:
+    """Words between the tokenizer's white space."""
+    if any(c in text for c in MORE_SPACE):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
+
+
 class WordIds:
     """Ids of whole texts from the ids of their blank-separated words.
 
@@ -60,7 +73,7 @@ class WordIds:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        words = [t.split() for t in texts]
+        words = [blank_separated(t) for t in texts]
         new = list({w for ws in words for w in ws if w not in memo})
         plain = [w for w in new if MARK not in w]
         for i in range(0, len(plain), WORDS):

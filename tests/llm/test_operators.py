@@ -340,3 +340,12 @@ def test_pipeline_near_duplicates_equal_brute_force_on_five_words(spark):
 
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts), "").collect()}
     assert got == kept(sets, 80) and got != kept(sets, 90)
+
+
+def test_packing_keeps_separators_that_the_tokenizer_keeps(spark):
+    texts = ["a\x1cb", "\x1c \x1d\x1e a\x1f\x1fb \x85c d e　f\x1c", "a\x0b\x0c\t\r\nb", "\x1c", "     x\x1d<|startoftext|>\x1e"]
+    tok = token_counts.tokenizer(PACK)
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(frame(spark, texts), PACK).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
