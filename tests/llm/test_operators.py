@@ -349,3 +349,15 @@ def test_packing_keeps_separators_that_the_tokenizer_keeps(spark):
     for i, t in enumerate(texts):
         ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], dtype="<u4")
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_pipeline_lines_remove_short_repeats(spark):
+    import corpus_pipeline
+
+    texts = ["All rights reserved.\nspam spam spam spam spam\na b c d e", "all  rights reserved.\n\nown", "spam\na b c d\na b c", "own\na b c\nb a", None, " \n "]
+    sets = [((i, n), frozenset(WORD.findall(line.lower()))) for i, t in enumerate(texts) if t is not None for n, line in enumerate(t.split("\n"))]
+    sets = [(k, s) for k, s in sets if s]
+    gone = {k for j, (k, s) in enumerate(sets) if any(5 * len(s & u) >= 4 * len(s | u) for _, u in sets[:j])}
+    want = {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame(spark, texts), "").collect()} == want
+    assert want[1] == "\nown" and want[2] == "a b c"
