@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,15 @@ class _Index:
         return np.union1d(item[hit], np.array(short, dtype=np.int64)).astype(np.int64)
 
 
+def _matches(items: list[tuple[int | None, np.ndarray]], index: _Index, h: np.ndarray, containment: float):
+    """(item_id, shared, item_shingles) of the items that a text with the shingles ``h`` holds."""
+    for i in index.candidates(h) if len(h) else ():
+        item, s = items[i]
+        n = int(np.isin(s, h, assume_unique=True).sum())
+        if n and n >= containment * len(s) - 1e-9:
+            yield item, n, len(s)
+
+
 def _search(items: list[tuple[int | None, np.ndarray]], containment: float, width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed, index = WordHash(), _Index(items)
@@ -91,14 +101,8 @@ def _search(items: list[tuple[int | None, np.ndarray]], containment: float, widt
         def f(d: pd.DataFrame) -> pd.DataFrame:
             out = []
             for doc, t in zip(d["doc_id"], text_bytes(d["text"])):
-                h = shingles(hashed(plain_words(t)), width)
-                if len(h) == 0:
-                    continue
-                for i in index.candidates(h):
-                    item, s = items[i]
-                    n = int(np.isin(s, h, assume_unique=True).sum())
-                    if n and n >= containment * len(s) - 1e-9:
-                        out.append((None if pd.isna(doc) else int(doc), item, n, len(s)))
+                for item, n, size in _matches(items, index, shingles(hashed(plain_words(t)), width), containment):
+                    out.append((None if pd.isna(doc) else int(doc), item, n, size))
             return pd.DataFrame(out, columns=["doc_id", "item_id", "shared", "item_shingles"]).astype(
                 {"doc_id": "Int64", "item_id": "Int64", "shared": "int64", "item_shingles": "int64"})
 
@@ -107,23 +111,40 @@ def _search(items: list[tuple[int | None, np.ndarray]], containment: float, widt
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles, containment): every contaminated pair."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _item_blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """The items with their shingles, a block of ``BLOCK_BYTES`` of text at a time."""
     b = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // BLOCK_BYTES
-    schema = "doc_id bigint, item_id bigint, shared bigint, item_shingles bigint"
-    out, hashed = None, WordHash()
+    n, hashed = 1 + size // BLOCK_BYTES, WordHash()
     for k in range(n):
         rows = b.filter(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}")).collect()
-        items = [(r["item_id"], shingles(hashed(plain_words(t)), width)) for r, t in zip(rows, text_bytes([r["text"] for r in rows]))]
+        yield [(r["item_id"], shingles(hashed(plain_words(t)), width)) for r, t in zip(rows, text_bytes([r["text"] for r in rows]))]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment): every contaminated pair."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id bigint, item_id bigint, shared bigint, item_shingles bigint"
+    out = None
+    for items in _item_blocks(benchmark, width):
         part = d.mapInPandas(_search(items, containment, width), schema)
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
+def _clean(items: list[tuple[int | None, np.ndarray]], containment: float, width: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, index = WordHash(), _Index(items)
+        for batch in batches:
+            texts = text_bytes(batch.column(at).cast(pa.string()).to_pylist())
+            sets = (shingles(hashed(plain_words(t)), width) for t in texts)
+            yield batch.filter(pa.array([next(_matches(items, index, h, containment), None) is None for h in sets], pa.bool_()))
+
+    return run
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
-    """``docs`` without those that hold a benchmark item."""
-    leaks = find_leaks(docs, benchmark, containment, width).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__id"), "left_anti")
+    """``docs`` without the rows that hold a benchmark item, whatever their doc_id."""
+    for items in _item_blocks(benchmark, width):
+        docs = docs.mapInArrow(_clean(items, containment, width, docs.columns.index("text")), docs.schema)
+    return docs

@@ -361,3 +361,10 @@ def test_pipeline_lines_remove_short_repeats(spark):
     want = {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)}
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame(spark, texts), "").collect()} == want
     assert want[1] == "\nown" and want[2] == "a b c"
+
+
+def test_leaking_rows_without_id_go(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, "x " + item, 1), (None, "clean", None), (1, item, 2), (1, "clean too", 3)], "doc_id long, text string, n int")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {tuple(r) for r in decontam.drop_leaks(docs, b).collect()} == {(None, "clean", None), (1, "clean too", 3)}
