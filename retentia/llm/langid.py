@@ -10,8 +10,9 @@ frequencies, so a score is a mean of weights over the text and needs no vector.
   to the larger sum of margins.
 
 Families are given (``FAMILIES``); a language outside them is a family of its
-own. The models are fitted on at most ``MAX_ROWS`` labelled rows, taken by
-hash of the id, on whole texts; they have a fixed size.
+own. The models are fitted on about ``MAX_ROWS`` labelled rows, the same number
+of each language (all rows of a rarer one, ``MIN_LANG_ROWS`` at least where
+there are so many), on whole texts; they have a fixed size per language.
 
 Defined cases: null text or no letter gives ``und`` with score 0; a null lang
 is never learned from; without any labelled row all are ``und``; a null doc_id
@@ -41,6 +42,8 @@ FAMILY_OF = {lang: f for f, langs in FAMILIES.items() for lang in langs}
 
 BITS = 13
 MAX_ROWS = 4_000
+MIN_LANG_ROWS = 50
+HASHES = 1 << 40
 SLICE = 1 << 16  # bytes hashed at once
 EPOCHS = 12
 
@@ -148,11 +151,19 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, max_rows: int = MAX_ROWS) -> Model | None:
-    """A model from at most ``max_rows`` rows that ``train`` holds for, by hash of the id."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    keep = rows.filter(F.expr(f"pmod(xxhash64(doc_id, 11L), 1000000) < {int(1e6 * min(1, max_rows / max(n, 1)))}"))
-    got = [(r["text"], r["lang"]) for r in keep.select(F.col("text").cast("string"), F.col("lang").cast("string")).toLocalIterator()]
+    """A model from rows that ``train`` holds for, of each language its share of ``max_rows``, by hash of id and text.
+
+    A language of no more rows than the share, or than ``MIN_LANG_ROWS``, is taken whole, so that none falls out of a larger input.
+    """
+    rows = docs.filter(train).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    bound = max(max_rows // max(len(number), 1), MIN_LANG_ROWS)
+    limit = {s: HASHES * bound // n for s, n in number.items() if n > bound}
+    limits = docs.sparkSession.createDataFrame(list(limit.items()), "lang string, lim bigint")
+    hashed = F.expr(f"pmod(xxhash64(doc_id, text, 11L), {HASHES})")
+    keep = rows.join(F.broadcast(limits), "lang", "left").filter(F.col("lim").isNull() | (hashed < F.col("lim")))
+    got = [(r["text"], r["lang"]) for r in keep.select("text", "lang").toLocalIterator()]
     got = [(t, s) for t, s in got if _LETTER.search(t)]
     return Model([t for t, _ in got], [s for _, s in got]) if got else None
 

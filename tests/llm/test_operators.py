@@ -368,3 +368,13 @@ def test_leaking_rows_without_id_go(spark):
     docs = spark.createDataFrame([(None, "x " + item, 1), (None, "clean", None), (1, item, 2), (1, "clean too", 3)], "doc_id long, text string, n int")
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {tuple(r) for r in decontam.drop_leaks(docs, b).collect()} == {(None, "clean", None), (1, "clean too", 3)}
+
+
+def test_rare_languages_are_learned_at_every_size(spark):
+    rng = random.Random(4)
+    words = {"en": ["the", "house", "with", "that", "water"], "fr": ["le", "maison", "avec", "que", "eau"], "ru": ["дом", "вода", "что", "как", "это"]}
+    langs = ["en"] * 3000 + ["fr"] * 3000 + ["ru"] * 3
+    rows = [(i, " ".join(rng.choices(words[s], k=8)), s) for i, s in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, common.crc_mod("doc_id", 4) != 99, max_rows=200)
+    assert model.langs == ["en", "fr", "ru"] and model.predict("это вода")[0] == "ru"
