@@ -98,4 +98,59 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3, "op5_ngram_join": OP5, "op6_decontamination": OP6, "op9_line_rules": OP9}
+#: crc32 of a short ASCII text, bit by bit.
+_CRC = """
+  xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split({0}, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+def _leaf(n_chars: str) -> str:
+    parts = (f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in (f"cast({c} AS varchar)" for c in ("doc_id", "source", "lang", n_chars, "text")))
+    return f"sha256({' || '.join(parts)})"
+
+
+def _levels(name: str, start: str) -> str:
+    """CTE of all nodes of the trees over ``start`` (tree, idx, size, h)."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS lvl, idx, size, h FROM {start}
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE size > 1
+  GROUP BY tree, lvl, idx // 2, size)"""
+
+
+def _climb(name: str, start: str, levels: str) -> str:
+    """CTE of what the leaves of ``start`` (no, tree, idx, size, folded, proof) meet on the way up."""
+    return f"""
+{name} AS (
+  SELECT no, tree, 0 AS lvl, idx, size, folded, proof FROM {start}
+  UNION ALL
+  SELECT no, c.tree, c.lvl + 1, c.idx // 2, (c.size + 1) // 2,
+         sha256(CASE WHEN c.idx % 2 = 0 THEN folded || coalesce(s.h, '') ELSE s.h || folded END), proof || coalesce(s.h, '')
+  FROM {name} c LEFT JOIN {levels} s ON s.tree IS NOT DISTINCT FROM c.tree AND s.lvl = c.lvl AND s.idx = xor(c.idx, 1) WHERE c.size > 1)"""
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang AS tree, {_leaf("n_chars")} AS h, '' AS proof,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC.format("cast(doc_id AS varchar)")} % 7 = 0 THEN {_leaf("n_chars::hugeint + 1")} ELSE {_leaf("n_chars")} END AS folded
+  FROM documents),
+l AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, h) AS no, count(*) OVER (PARTITION BY tree) AS size,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx
+  FROM d),
+{_levels("nodes", "l")},
+{_climb("up", "l", "nodes")},
+s AS (
+  SELECT 0 AS tree, tree AS lang, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx, count(*) OVER () AS size
+  FROM nodes WHERE size = 1),
+{_levels("tops", "s")},
+mid AS (
+  SELECT no, s.tree, s.idx, s.size, folded, proof FROM up JOIN s ON s.lang IS NOT DISTINCT FROM up.tree WHERE up.size = 1),
+{_climb("way", "mid", "tops")}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, tops.h AS root, sha256(way.proof) AS proof_sha256, way.folded AS folded_root,
+       way.folded = tops.h AS verified
+FROM way JOIN l USING (no) JOIN s ON s.lang IS NOT DISTINCT FROM l.tree JOIN tops ON tops.size = 1 WHERE way.size = 1
+"""
+
+ORACLE_SQL = {"op3_line_dedup": OP3, "op5_ngram_join": OP5, "op6_decontamination": OP6, "op9_line_rules": OP9, "op13_merkle": OP13}
