@@ -15,7 +15,9 @@ with them up to the root.
 * Climbing. A leaf row already holds its way through its own block; each step
   of the recursive query joins the climbing rows with the stored row of the
   parent, of which there are about n / FAN^STRIDE. The tree of the subroots is
-  stored the same way, under levels below zero.
+  stored the same way, under levels below zero. Nodes above the first stored
+  level stand for many leaves; they are stored SALTS times, and a leaf joins
+  the copy of its salt. Digests travel as 32 bytes, and as hex only into hashes.
 
 Results in the odd cases: a null is encoded as ``-`` and an empty text as
 ``0:``; a null lang is a tree of its own, the first one; null ids come first
@@ -39,6 +41,8 @@ from .common import saved
 #: Nodes of a run that become one, and levels that one block folds.
 FAN = 2
 STRIDE = 10
+#: Copies of the stored nodes that more than one block's leaves climb through.
+SALTS = 64
 #: Levels of the tree of subroots: ROOT, ROOT - 1, ...
 ROOT = -1
 
@@ -48,7 +52,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 def _digest(**instead: str) -> Column:
     """Hash of the five fields: ``-`` for null, else byte count, colon, value."""
     texts = [f"cast({instead.get(f, f)} AS string)" for f in FIELDS]
-    return F.expr(f"sha2(concat({', '.join(f"coalesce(concat(octet_length({t}), ':', {t}), '-')" for t in texts)}), 256)")
+    return F.expr(f"unhex(sha2(concat({', '.join(f"coalesce(concat(octet_length({t}), ':', {t}), '-')" for t in texts)}), 256))")
 
 
 def leaves(docs: DataFrame, tampered: Column) -> DataFrame:
@@ -74,7 +78,7 @@ def _folder(width: int, fan: int, stride: int):
     def fold(block: pa.Table) -> pa.Table:
         """The block's nodes with the digests beside their paths, level by level, and its top."""
         block = block.sort_by("idx")
-        level = block["hash"].to_pylist()
+        level = [h.hex() for h in block["hash"].to_pylist()]
         n, whole = len(level), block["size"][0].as_py() <= width
         lefts, rights, under = [[] for _ in level], [[] for _ in level], 1
         for _ in range(stride):
@@ -83,13 +87,13 @@ def _folder(width: int, fan: int, stride: int):
             for at in range(n):
                 k = at // under
                 first = k - k % fan
-                lefts[at].append("".join(level[first:k]))
-                rights[at].append("".join(level[k + 1 : first + fan]))
+                lefts[at].append(bytes.fromhex("".join(level[first:k])))
+                rights[at].append(bytes.fromhex("".join(level[k + 1 : first + fan])))
             level = [hashlib.sha256("".join(level[k : k + fan]).encode()).hexdigest() for k in range(0, len(level), fan)]
             under *= fan
         for name, column in (("lefts", lefts), ("rights", rights)):
-            block = block.append_column(name, pa.array(column, pa.list_(pa.string())))
-        return block.append_column("top", pa.array(level * n, pa.string()))
+            block = block.append_column(name, pa.array(column, pa.list_(pa.binary())))
+        return block.append_column("top", pa.array([bytes.fromhex(level[0])] * n, pa.binary()))
 
     return fold
 
@@ -105,7 +109,7 @@ def build(rows: DataFrame, level: int, step: int, fan: int = FAN, stride: int =
     while True:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         nodes = rows.groupBy("tree", F.expr(f"idx div {width}")).applyInArrow(
-            _folder(width, fan, stride), f"{schema}, lefts array<string>, rights array<string>, top string")
+            _folder(width, fan, stride), f"{schema}, lefts array<binary>, rights array<binary>, top binary")
         nodes = saved(nodes, "merkle-nodes").selectExpr(
             "*", f"{level} AS level", f"CASE WHEN size > {width} THEN {level + step} END AS up_level", f"CASE WHEN size > {width} THEN idx div {width} END AS up_idx")
         out.append(nodes)
@@ -117,19 +121,19 @@ def build(rows: DataFrame, level: int, step: int, fan: int = FAN, stride: int =
 
 
 _CLIMB = """
-WITH RECURSIVE climb(doc_id, tree, leaf, up_tree, up_level, up_idx, beside, folded) AS (
-  SELECT doc_id, tree, hash, tree, up_level, up_idx, {beside},
-         {folded}
+WITH RECURSIVE climb(doc_id, tree, leaf, salt, up_tree, up_level, up_idx, beside, folded) AS (
+  SELECT doc_id, tree, hash, idx % {salts}, tree, up_level, up_idx, {beside},
+         aggregate(arrays_zip(n.lefts, n.rights), coalesce(n.altered, n.hash), {fold})
   FROM {{leaves}} AS n
   UNION ALL
-  SELECT c.doc_id, c.tree, c.leaf, n.up_tree, n.up_level, n.up_idx, concat(c.beside, {beside}),
-         {again}
-  FROM climb c JOIN {{upper}} n ON c.up_tree <=> n.tree AND c.up_level = n.level AND c.up_idx = n.idx)
+  SELECT c.doc_id, c.tree, c.leaf, c.salt, n.up_tree, n.up_level, n.up_idx, c.beside || {beside},
+         aggregate(arrays_zip(n.lefts, n.rights), c.folded, {fold})
+  FROM climb c JOIN {{upper}} n
+    ON c.up_tree <=> n.tree AND c.up_level = n.level AND c.up_idx = n.idx AND n.salt = CASE WHEN c.up_level = 1 THEN 0 ELSE c.salt END)
 SELECT doc_id, tree, leaf, beside, folded FROM climb WHERE up_level IS NULL
 """.format(
-    beside="array_join(zip_with(n.lefts, n.rights, (l, r) -> l || r), '')",
-    folded="aggregate(arrays_zip(n.lefts, n.rights), coalesce(n.altered, n.hash), (f, s) -> sha2(s.lefts || f || s.rights, 256))",
-    again="aggregate(arrays_zip(n.lefts, n.rights), c.folded, (f, s) -> sha2(s.lefts || f || s.rights, 256))",
+    salts=SALTS, beside="aggregate(zip_with(n.lefts, n.rights, (l, r) -> l || r), X'', (a, b) -> a || b)",
+    fold="(f, s) -> unhex(sha2(lower(hex(s.lefts || f || s.rights)), 256))",
 )
 
 
@@ -138,18 +142,18 @@ def manifest(docs: DataFrame, tampered: Column, fan: int = FAN, stride: int = ST
     spark = docs.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a climb has as many rows as there are leaves
     trees = build(numbered(leaves(docs, tampered), "doc_id", "hash"), 0, 1, fan, stride)
-    link = ("tree", "level", "idx", "lefts", "rights", "up_tree", "up_level", "up_idx")
-    done = f"coalesce(up_level, {ROOT}) AS up_level", "coalesce(up_idx, 0) AS up_idx"
     subroots = reduce(DataFrame.unionAll, [t.filter("up_level IS NULL AND idx = 0").selectExpr("tree AS lang", "top AS hash") for t in trees])
     roots = build(numbered(subroots.selectExpr("cast(null AS string) AS tree", "lang", "hash"), "lang"), ROOT, -1, fan, stride)
-    upper = [t.selectExpr("tree", "level", "idx", "lefts", "rights", "tree AS up_tree", *done) for t in trees[1:]]
+    path, up = ("level", "idx", "lefts", "rights"), (f"coalesce(up_level, {ROOT}) AS up_level", "coalesce(up_idx, 0) AS up_idx")
+    upper = [t.selectExpr("tree", *path, "tree AS up_tree", *up) for t in trees[1:]]
     upper.append(roots[0].selectExpr("lang AS tree", "level", "0L AS idx", "lefts", "rights", "cast(null AS string) AS up_tree", "up_level", "up_idx"))
-    upper += [t.selectExpr(*link[:5], "tree AS up_tree", *link[6:]) for t in roots[1:]]
-    climbed = spark.sql(
-        _CLIMB, leaves=trees[0].selectExpr("doc_id", "tree", "hash", "altered", "lefts", "rights", *done), upper=reduce(DataFrame.unionAll, upper))
+    upper += [t.selectExpr("tree", *path, "tree AS up_tree", "up_level", "up_idx") for t in roots[1:]]
+    salted = reduce(DataFrame.unionAll, upper).withColumn("salt", F.expr(f"explode(sequence(0L, CASE WHEN level = 1 THEN 0L ELSE {SALTS - 1}L END))"))
+    climbed = spark.sql(_CLIMB, leaves=trees[0].selectExpr("doc_id", "tree", "altered", "hash", *path, *up), upper=salted)
     root = roots[-1].filter("up_level IS NULL AND idx = 0").agg(F.first("top")).scalar()
     subroots = subroots.selectExpr("lang", "hash AS subroot")
     out = climbed.join(subroots, F.col("tree").eqNullSafe(F.col("lang")), "left").withColumn("root", root)
+    text = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root", "beside", "folded")}
     return out.select(
-        "doc_id", "leaf", "subroot", "root", F.sha2("beside", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"),
-        (F.col("folded") == F.col("root")).alias("verified"))
+        "doc_id", text["leaf"].alias("leaf"), text["subroot"].alias("subroot"), text["root"].alias("root"),
+        F.sha2(text["beside"], 256).alias("proof_sha256"), text["folded"].alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
