@@ -153,3 +153,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if now == last:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         last = now
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/retentia-{name}-{uuid.uuid4().hex}"

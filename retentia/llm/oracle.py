@@ -98,6 +98,15 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """
 
+_NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, {_NORMAL} AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept,
+       sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
 #: crc32 of a short ASCII text, bit by bit.
 _CRC = """
   xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split({0}, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
@@ -153,4 +162,4 @@ SELECT l.doc_id, l.h AS leaf, s.h AS subroot, tops.h AS root, sha256(way.proof)
 FROM way JOIN l USING (no) JOIN s ON s.lang IS NOT DISTINCT FROM l.tree JOIN tops ON tops.size = 1 WHERE way.size = 1
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3, "op5_ngram_join": OP5, "op6_decontamination": OP6, "op9_line_rules": OP9, "op13_merkle": OP13}
+ORACLE_SQL = {"op3_line_dedup": OP3, "op5_ngram_join": OP5, "op6_decontamination": OP6, "op9_line_rules": OP9, "op11_exact_dedup": OP11, "op13_merkle": OP13}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lbl_lm, line_dedup, line_rules, merkle, ngram_join, packing, quality_cotrain, token_counts, toxicity
-from .common import bucket, crc_mod, table
+from . import decontam, langid, lbl_lm, line_dedup, line_rules, merkle, ngram_join, packing, quality_cotrain, stream_dedup, token_counts, toxicity
+from .common import bucket, crc_mod, scratch, table
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_lm.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "exact-dedup")
+    stream_dedup.absorb(stream_dedup.document_stream(spark, f"{sf_dir}/documents.parquet"), folder)
+    return stream_dedup.decisions(table(spark, sf_dir, "documents"), stream_dedup.groups(spark, folder))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.coalesce(bucket("doc_id", 7) == 0, F.lit(False)))
 
@@ -73,5 +79,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_line_dedup, op4_quality, op5_ngram_join,
     op6_decontamination, op7_packing, op8_language, op9_line_rules, op10_lm_score,
-    op13_merkle,
+    op11_exact_dedup, op13_merkle,
 )}
