@@ -38,7 +38,12 @@ from .common import maybe_in, saved
 
 #: What is deleted before texts are compared: the ASCII white space.
 BLANKS = r"[\\x20\\x09-\\x0D]"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Batches upload what they changed, and a store takes the disk that it fills, not 4 MB ahead.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Files that one micro-batch takes.
 FILES_A_BATCH = 64
 
@@ -47,13 +52,15 @@ SHA256 = f"unhex(sha2({NORMAL}, 256))"
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, new: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def located(docs: DataFrame, digest: str = SHA256) -> DataFrame:
@@ -80,7 +87,7 @@ def absorb(stream: DataFrame, folder: str, digest: str = SHA256) -> None:
     def store(touched: DataFrame, batch: int) -> None:
         touched.write.mode("overwrite").parquet(f"{folder}/groups/batch={batch}")
 
-    with _setting(stream.sparkSession, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with _settings(stream.sparkSession, STATE):
         query = groups.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         query.awaitTermination()
 
