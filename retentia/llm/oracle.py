@@ -113,6 +113,76 @@ _CRC = """
     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
 
 
+_SPACES = r"[\x20\x09-\x0D]"
+_NEVER = 1 << 40
+
+
+def _edit(then: str, cost: str, letter: str, line: str = "''") -> str:
+    """The cheapest way to the end ``then`` with one edit before it: cost, audit, lines behind line feeds."""
+    return f"{{'c': {then}.c + {cost}, 'a': '{letter}' || {then}.a, 'r': {line} || {then}.r}}"
+
+
+def _state(q: str) -> str:
+    """Least of deleting, keeping and retyping row x in state q, given s0, ss, su, sa behind the row."""
+    cut, whole = "CASE WHEN x.fault = 3 THEN 5 ELSE 0 END", "x.fault NOT IN (1, 2)"
+    ways = [_edit(f"y.s{q}", "2", "D")]
+    for initial, to in (("s", "s"), ("u", "u"), ("a", "a")):
+        if q in {"s": "0", "u": "0sa", "a": "u"}[initial]:
+            kept = _edit(f"y.s{to}", cut, "K", "chr(10) || x.role || ':' || x.text")
+            ways.append(f"CASE WHEN {whole} AND x.role[1] = '{initial}' THEN {kept} ELSE never END")
+    to, role = ("a", "assistant") if q == "u" else ("u", "user")
+    ways.append(f"CASE WHEN {whole} THEN {_edit(f'y.s{to}', f'1 + {cut}', 'R', f"chr(10) || '{role}:' || x.text")} ELSE never END")
+    return f"list_min([{', '.join(ways)}])"
+
+
+_IN_U, _IN_A = (_edit("{0}", "5", "I", f"chr(10) || '{r}:'") for r in ("user", "assistant"))
+
+
+def _least(own: str, insert: str, then: str) -> str:
+    return f"list_min([{own}, {insert.replace('{0}', then)}])"
+
+
+OP12 = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ') AS k FROM conversations),
+hit AS (SELECT *, {_CRC.format("k")} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hit WHERE kind <> 0),
+numbered AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '{_SPACES}+$', '') AS t
+  FROM damaged),
+rows AS (
+  SELECT *, CASE WHEN t = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+                 WHEN t[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv ORDER BY i) || role[1] AS pair
+  FROM numbered),
+stats AS (
+  SELECT conv_id, conv, count(*) AS n, coalesce(max(turn)::hugeint - min(turn) + 1 - count(DISTINCT turn), 0)::bigint AS gaps,
+         count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id, conv),
+step AS (
+  SELECT conv, n + 1 AS i, {{'c': {_NEVER}::bigint, 'a': 'Z', 'r': ''}} AS never, {{'c': 0::bigint, 'a': '', 'r': ''}} AS s0,
+         {{'c': 10::bigint, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS ss,
+         {{'c': 5::bigint, 'a': 'I', 'r': chr(10) || 'assistant:'}} AS su, {{'c': 0::bigint, 'a': '', 'r': ''}} AS sa
+  FROM stats
+  UNION ALL
+  SELECT conv, i, never, {_least("b0", _IN_U, "cu")}, {_least("bs", _IN_U, "cu")}, cu, ca FROM (
+    SELECT *, {_least("bu", _IN_A, "ba")} AS cu, {_least("ba", _IN_U, "bu")} AS ca FROM (
+      SELECT y.conv, x.i, never, {_state("0")} AS b0, {_state("s")} AS bs, {_state("u")} AS bu, {_state("a")} AS ba
+      FROM step y JOIN rows x ON x.conv = y.conv AND x.i = y.i - 1)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN step ON step.conv = stats.conv AND step.i = 1
+"""
+
+
 def _leaf(n_chars: str) -> str:
     parts = (f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in (f"cast({c} AS varchar)" for c in ("doc_id", "source", "lang", n_chars, "text")))
     return f"sha256({' || '.join(parts)})"
@@ -162,4 +232,7 @@ SELECT l.doc_id, l.h AS leaf, s.h AS subroot, tops.h AS root, sha256(way.proof)
 FROM way JOIN l USING (no) JOIN s ON s.lang IS NOT DISTINCT FROM l.tree JOIN tops ON tops.size = 1 WHERE way.size = 1
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3, "op5_ngram_join": OP5, "op6_decontamination": OP6, "op9_line_rules": OP9, "op11_exact_dedup": OP11, "op13_merkle": OP13}
+ORACLE_SQL = {
+    "op3_line_dedup": OP3, "op5_ngram_join": OP5, "op6_decontamination": OP6, "op9_line_rules": OP9,
+    "op11_exact_dedup": OP11, "op12_conversations": OP12, "op13_merkle": OP13,
+}

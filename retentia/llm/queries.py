@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lbl_lm, line_dedup, line_rules, merkle, ngram_join, packing, quality_cotrain, stream_dedup, token_counts, toxicity
+from . import conversation_repair, decontam, langid, lbl_lm, line_dedup, line_rules, merkle, ngram_join, packing, quality_cotrain, stream_dedup, token_counts, toxicity
 from .common import bucket, crc_mod, scratch, table
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.decisions(table(spark, sf_dir, "documents"), stream_dedup.groups(spark, folder))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.coalesce(bucket("doc_id", 7) == 0, F.lit(False)))
 
@@ -79,5 +83,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_line_dedup, op4_quality, op5_ngram_join,
     op6_decontamination, op7_packing, op8_language, op9_line_rules, op10_lm_score,
-    op11_exact_dedup, op13_merkle,
+    op11_exact_dedup, op12_conversations, op13_merkle,
 )}
