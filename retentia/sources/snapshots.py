@@ -7,14 +7,15 @@ Layout under ``base``::
 
 Readers take the highest commit and the folder it names, so they see the old
 or the new table, never a mix, and never a half-written folder. A publisher
-writes a folder of its own and then creates the commit file with overwrite
-disabled: of two concurrent refreshers one wins, the other fails, deletes its
-folder and leaves the readers' table as it is. A missing table reads as empty
+writes a folder of its own and then commits it (see ``commits``): of two concurrent
+refreshers one wins, the other fails, deletes its folder and leaves the
+readers' table as it is. A missing table reads as empty
 with the declared schema.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..context import ensure_utc
+from .commits import CommitConflict, CommitLog
 
 
 class SnapshotTable:
@@ -29,58 +31,37 @@ class SnapshotTable:
         self.spark = ensure_utc(spark)
         self.base = base.rstrip("/")
         self.schema = schema
-        jvm = spark._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _commits(self):
-        return self._Path(f"{self.base}/_commits")
+        self.log = CommitLog(spark, self.base)
 
     def versions(self) -> list[int]:
-        d = self._commits()
-        if not self._fs.exists(d):
-            return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(d) if s.getPath().getName().isdigit())
+        return self.log.versions()
 
     def latest_version(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
+        return self.log.latest()
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.latest_version() if version is None else version
         if v is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{self._folder(v)}")
-
-    def _folder(self, version: int) -> str:
-        """The folder that a commit names."""
-        f = self._fs.open(self._Path(f"{self.base}/_commits/{version}"))
-        try:
-            return bytes(f.readAllBytes()).decode()
-        finally:
-            f.close()
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{self.log.read(v)}")
 
     def publish(self, df: DataFrame, sort_by: list[str] | None = None) -> int:
-        """Write ``df`` as the next version and commit it; returns the version."""
+        """Write ``df`` as the next version and commit it; returns the version.
+
+        Only a writer that certainly lost deletes its folder. After any other
+        error the folder stays: it may have been committed. ``sweep`` removes
+        what no commit names.
+        """
         v = (self.latest_version() or 0) + 1
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         if sort_by:
             out = out.sortWithinPartitions(*sort_by)
         folder = f"v={v}-{uuid.uuid4().hex}"
+        out.write.parquet(f"{self.base}/{folder}")
         try:
-            out.write.parquet(f"{self.base}/{folder}")
-            self._fs.mkdirs(self._commits())
-            # Written aside and renamed: a rename never replaces a commit, and the file is never seen half written.
-            mine = self._Path(f"{self.base}/_commits/_{folder}")
-            f = self._fs.create(mine, False)
-            f.write(bytearray(folder.encode()))
-            f.close()
-            target = self._Path(f"{self.base}/_commits/{v}")
-            if self._fs.exists(target) or not self._fs.rename(mine, target) or self._folder(v) != folder:
-                self._fs.delete(mine, False)
-                raise RuntimeError(f"version {v} was published by another writer")
-        except Exception:
-            self._fs.delete(self._Path(f"{self.base}/{folder}"), True)
+            self.log.commit(v, folder)
+        except CommitConflict:
+            self.log.delete(folder)
             raise
         return v
 
@@ -98,11 +79,21 @@ class SnapshotTable:
         so that no reader is sent to a folder that is going, then its data."""
         old = self.versions()[:-keep] if keep > 0 else []
         for v in old:
-            folder = self._folder(v)
-            self._fs.delete(self._Path(f"{self.base}/_commits/{v}"), False)
-            self._fs.delete(self._Path(f"{self.base}/{folder}"), True)
+            folder = self.log.read(v)
+            self.log.forget(v)
+            self.log.delete(folder)
         return old
 
+    def sweep(self, older_than_hours: float = 24) -> list[str]:
+        """Delete folders of crashed publishers: named by no commit and older
+        than any publish takes."""
+        named = {self.log.read(v) for v in self.versions()}
+        before = (time.time() - older_than_hours * 3600) * 1000
+        gone = [f for f, t in self.log.folders() if f.startswith("v=") and f not in named and t <= before]
+        for f in gone:
+            self.log.delete(f)
+        return gone
+
 
 def count_on_write(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
     """Attach a row counter that is filled in by the write itself (no second pass)."""

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..context import ensure_checkpoint_dir, ensure_utc
 from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
-from ..plans.catalog import AS_OF
+from ..plans.bucketed import BucketedSessions
+from ..plans.catalog import AS_OF, DAY_GAP, REFRESH_CUT
 from ..sources import raw_events as rawv
 from ..sources import testviews as tv
 from . import ingest
@@ -41,6 +42,10 @@ def _paths(base: str) -> dict:
 def _deliver(spark: SparkSession, lines, paths: dict, run: str, max_files: int | None = None, dedup_batch: bool = False) -> None:
     """Ingest ``lines`` into the store of ``paths`` under the checkpoint of ``run``."""
     lines.write.text(f"{paths['in']}/{run}")
+    _run(spark, paths, run, max_files, dedup_batch)
+
+
+def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = None, dedup_batch: bool = False) -> None:
     q = ingest.start_ingest(
         ingest.file_source(spark, f"{paths['in']}/{run}", max_files_per_trigger=max_files),
         TEST_TSV_FIELDS,
@@ -83,6 +88,20 @@ def q_ingest_replay(spark: SparkSession, sf: str):
     return _stored_events(spark, paths)
 
 
+def q_ingest_lost_checkpoint(spark: SparkSession, sf: str):
+    """A delivery, then the checkpoint folder is lost, then a second delivery
+    from the same folders and the same checkpoint path: nothing stored goes."""
+    ensure_utc(spark)
+    paths, lines = _paths(scratch(spark, "lost")), _with_id(spark, sf)
+    _deliver(spark, lines.where("id % 3 <> 0").select("value"), paths, "0")
+    checkpoint = spark._jvm.org.apache.hadoop.fs.Path(f"{paths['checkpoint']}/0")
+    checkpoint.getFileSystem(spark._jsc.hadoopConfiguration()).delete(checkpoint, True)
+    again = lines.where("id % 3 = 0 OR id % 5 = 0").select("value")
+    again.write.mode("overwrite").text(f"{paths['in']}/0")
+    _run(spark, paths, "0")
+    return _stored_events(spark, paths)
+
+
 def q_ingest_dead_letter(spark: SparkSession, sf: str):
     """Rejected rows by reason, of a stream in which four lines in ten are broken."""
     ensure_utc(spark)
@@ -129,9 +148,39 @@ def q_live_sessions(spark: SparkSession, sf: str):
     return spark.read.parquet(f"{base}/out")
 
 
+def run_refresh(spark: SparkSession, sf: str, buckets: int = 16):
+    """Three hours of the bucketed refresh: most messages before the cut; later
+    ones together with old ones that came late; nothing. Returns the table and
+    the runs' logs."""
+    ensure_utc(spark)
+    base = scratch(spark, "refresh")
+    msgs, late = tv.messages(spark, sf), F.expr(f"created_at >= TIMESTAMP '{REFRESH_CUT}' OR id % 50 = 7")
+    table, logs = BucketedSessions(spark, f"{base}/table", buckets, gap_minutes=DAY_GAP), []
+    for delivery in (msgs.where(~late), msgs.where(late), None):
+        if delivery is not None:
+            delivery.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(MESSAGES_SCHEMA).parquet(f"{base}/in")
+        logs.append(table.refresh(source, lambda: tv.conversations(spark, sf), f"{base}/checkpoint"))
+    return table, logs
+
+
+def q_refresh_job(spark: SparkSession, sf: str):
+    """The sessions table after the three runs."""
+    return run_refresh(spark, sf)[0].read()
+
+
+def q_refresh_log(spark: SparkSession, sf: str):
+    """What each run published: conversations touched and session rows recomputed."""
+    rows = [(n, len(log), sum(e["conversations"] for e in log), sum(e["rows"] for e in log)) for n, log in enumerate(run_refresh(spark, sf)[1], 1)]
+    return spark.createDataFrame(rows, "run int, commits int, conversations long, session_rows long")
+
+
 QUERIES = {
     "ingest_stream": q_ingest_stream,
     "ingest_replay": q_ingest_replay,
+    "ingest_lost_checkpoint": q_ingest_lost_checkpoint,
     "ingest_dead_letter": q_ingest_dead_letter,
     "live_sessions": q_live_sessions,
+    "refresh_job": q_refresh_job,
+    "refresh_log": q_refresh_log,
 }

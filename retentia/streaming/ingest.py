@@ -197,18 +197,26 @@ ROWS_PER_FILE = 50_000
 
 
 def run_key(spark: SparkSession, checkpoint: str) -> str:
-    """The name under which a checkpoint's batches are stored, kept beside it.
+    """The name under which a checkpoint's batches are stored, kept inside it.
 
-    Made once for each checkpoint from the time and a random part, so a new
-    checkpoint never writes into the folders of an older one and its rows count as newer.
+    Made once for each checkpoint from the time and a random part. It lives and
+    goes with the checkpoint: whoever starts over, at a new path or at the old
+    one after the folder was lost, writes into folders of its own and never
+    over stored rows, and its rows count as newer. Written aside and renamed,
+    so a crash leaves no empty key.
     """
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-run")
+    Path = jvm.org.apache.hadoop.fs.Path
+    path = Path(f"{checkpoint.rstrip('/')}/ingest-run")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        out = fs.create(path, False)
+        fs.mkdirs(path.getParent())
+        aside = Path(f"{path}-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
         out.write(bytearray(f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}".encode()))
         out.close()
+        if fs.exists(path) or not fs.rename(aside, path):
+            fs.delete(aside, False)
     f = fs.open(path)
     try:
         return bytes(f.readAllBytes()).decode()
