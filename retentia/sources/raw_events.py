@@ -48,22 +48,32 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STORE_SCHEMA)
 
 
-def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
+#: Orders the copies of an event that one batch holds: a hash of the raw row, the same
+#: for whoever reads it, so raw rows and projected facts agree on the copy that stays.
+RANK = "_rank"
+
+
+def _ranked(raw: DataFrame) -> F.Column:
+    return F.xxhash64(*[c for c in RAW_EVENTS_SCHEMA.fieldNames() if c in raw.columns]).alias(RANK)
+
+
+def _newest(df: DataFrame, keys: list[str], origin: bool = False) -> DataFrame:
     """One row per key: that of the latest run and batch; copies within a
-    batch are ordered by all their columns, so a retried task cannot change
-    the choice. Copies combine map-side before the shuffle."""
-    when = [c for c in (INGEST_RUN_COL, INGEST_BATCH_COL) if c in df.columns]
+    batch are ordered by ``RANK``. Copies combine map-side before the shuffle."""
+    when = [c for c in (INGEST_RUN_COL, INGEST_BATCH_COL, RANK) if c in df.columns]
     others = [c for c in df.columns if c not in keys and c not in when]
-    newest = F.max_by(F.struct(*others), F.struct(*when, *others)).alias("_row")
+    stay = others + [c for c in when if origin and c != RANK]
+    newest = F.max_by(F.struct(*stay), F.struct(*when, *others)).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
-def dedup(raw: DataFrame) -> DataFrame:
-    """One row per dedup key, chosen by the rule of ``_newest``."""
+def dedup(raw: DataFrame, origin: bool = False) -> DataFrame:
+    """One row per dedup key, chosen by the rule of ``_newest``; ``origin`` keeps
+    the run and batch that it came with."""
     keys = list(DEDUP_KEY)
     if MONTH_COL in raw.columns:
         keys.append(MONTH_COL)  # implied by the timestamp; keeps month pruning below the aggregate
-    return _newest(raw, keys)
+    return _newest(raw.select("*", _ranked(raw)), keys, origin)
 
 
 def retained(raw: DataFrame, as_of=None, ttl_days: int = EVENT_TTL_DAYS) -> DataFrame:
@@ -93,7 +103,8 @@ def facts(raw: DataFrame, strict_json: bool = True) -> DataFrame:
     ``u`` is the user identity (top-level ``user_id`` unless blank, else the
     client-session context's ``userId``, else ''); ``''`` is one user.
     """
-    extra = [c for c in (MONTH_COL, INGEST_RUN_COL, INGEST_BATCH_COL) if c in raw.columns]
+    raw = raw.select("*", _ranked(raw))
+    extra = [c for c in (MONTH_COL, INGEST_RUN_COL, INGEST_BATCH_COL, RANK) if c in raw.columns]
     if strict_json:
         v = "try_parse_json(event)"
         s = lambda p: jsonx.variant_str_sql(v, p)

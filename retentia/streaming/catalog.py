@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..context import ensure_checkpoint_dir, ensure_utc
 from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
 from ..plans.bucketed import BucketedSessions
-from ..plans.catalog import AS_OF, DAY_GAP, REFRESH_CUT
+from ..plans.catalog import AS_OF, DAY_GAP, REFRESH_CUT, TTL_AS_OF
 from ..sources import raw_events as rawv
 from ..sources import testviews as tv
+from ..sources.event_store import EventStore
 from . import ingest
 from .live_sessions import live_sessions
 
@@ -148,6 +149,34 @@ def q_live_sessions(spark: SparkSession, sf: str):
     return spark.read.parquet(f"{base}/out")
 
 
+def run_compaction(spark: SparkSession, sf: str) -> EventStore:
+    """Deliveries with copies of one another under three checkpoints, two of
+    them compacted (the older batches are deleted), the third still pending."""
+    ensure_utc(spark)
+    paths, lines = _paths(base := scratch(spark, "compact")), _with_id(spark, sf)
+    store = EventStore(spark, paths["raw_events"], f"{base}/days")
+    for n, rule in enumerate(("id % 3 <> 0", "id % 4 = 0", "id % 3 = 0 OR id % 5 = 0")):
+        _deliver(spark, lines.where(rule).select("value").repartition(2), paths, str(n), max_files=1)
+        if n < 2:
+            store.compact()
+            store.vacuum(keep=1)
+    return store
+
+
+def q_compacted_events(spark: SparkSession, sf: str):
+    """The event view over the compacted store."""
+    ev = rawv.event_view(run_compaction(spark, sf).read(AS_OF), as_of=AS_OF)
+    return ev.select("event_id", "ts", "u", "se_category", "se_action", "platform", "app_version", "influencer", "itype")
+
+
+def q_compacted_days(spark: SparkSession, sf: str):
+    """Rows a day that the store itself holds once all is compacted and old days have expired."""
+    store = run_compaction(spark, sf)
+    store.compact()
+    store.expire(TTL_AS_OF)
+    return store.days.read().groupBy(F.to_date("collector_tstamp").alias("day")).agg(F.count("*").alias("n_events"))
+
+
 def run_refresh(spark: SparkSession, sf: str, buckets: int = 16):
     """Three hours of the bucketed refresh: most messages before the cut; later
     ones together with old ones that came late; nothing. Returns the table and
@@ -181,6 +210,8 @@ QUERIES = {
     "ingest_lost_checkpoint": q_ingest_lost_checkpoint,
     "ingest_dead_letter": q_ingest_dead_letter,
     "live_sessions": q_live_sessions,
+    "compacted_events": q_compacted_events,
+    "compacted_days": q_compacted_days,
     "refresh_job": q_refresh_job,
     "refresh_log": q_refresh_log,
 }
