@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..context import ts_lit
-from ..functions.timefn import hour_boundaries, minus_seconds, ratio, sorted_small
+from ..functions.timefn import hour_boundaries, ratio, sorted_small
 from ..model import (
     ACTIONS_K,
     CHAT_START_ACTION,
@@ -32,7 +32,8 @@ _DAY = 86400
 
 
 def _ago(as_of, seconds: int):
-    return minus_seconds(ts_lit(as_of), seconds)
+    """``seconds`` before the whole second of ``as_of``, as ``since`` counts."""
+    return F.timestamp_seconds(F.unix_seconds(ts_lit(as_of)) - seconds)
 
 
 def active_users(ev: DataFrame, as_of=None) -> DataFrame:

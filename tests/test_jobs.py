@@ -125,3 +125,41 @@ def test_losing_publisher_leaves_the_table_alone(spark, tmp_path):
     assert len(list((tmp_path / "t").glob("v=*"))) == 1
     a.publish(one.union(one))
     assert a.read().count() == 2 and a.vacuum(keep=1) == [1] and a.read().count() == 2
+
+
+def test_cli_stream_refresh_and_compaction(spark, tmp_path):
+    from retentia.plans import cli
+
+    msgs, convs, table, k = (str(tmp_path / n) for n in ("messages", "conversations", "table", "k"))
+    tv.messages(spark, SF).write.parquet(msgs)
+    tv.conversations(spark, SF).write.parquet(convs)
+    job = ["refresh-stream", "--messages", msgs, "--conversations", convs, "--table", table, "--checkpoint", k, "--gap-minutes", "1440", "--buckets", "8"]
+    out = cli.run(job, spark)
+    assert out["rows"] == catalog.q_sessionize_24h(spark, SF).count() and out["version"] == 1
+    assert cli.run(job, spark) == {"job": "refresh-stream", "rows": 0, "version": 1}
+    sm = cli.run(["session-marts", "--table", table, "--out", str(tmp_path / "sm"), "--as-of", catalog.AS_OF, "--min-turns", "2"], spark)
+    assert sm["failed"] == []
+    store, days = run_ingest(spark, SF)["raw_events"], str(tmp_path / "days")
+    job = ["compact", "--store", store, "--days", days, "--as-of", catalog.AS_OF]
+    assert cli.run(job, spark) == {"job": "compact", "merged": 1, "expired": 0}
+    assert cli.run(job, spark) == {"job": "compact", "merged": 0, "expired": 0}
+    em = cli.run(["event-marts", "--store", store, "--days", days, "--out", str(tmp_path / "em"), "--as-of", catalog.AS_OF], spark)
+    assert em["failed"] == []
+    assert tuple(spark.read.parquet(str(tmp_path / "em" / "active_users")).first()) == tuple(catalog.q_active_users(spark, SF).first())
+    args = cli._parser().parse_args("ingest --bootstrap b --topic t --fields f --store s --dead-letter d --metrics m --checkpoint c --starting-offsets earliest --allow-data-loss".split())
+    assert args.starting_offsets == "earliest" and args.allow_data_loss and args.max_per_trigger == cli.MAX_PER_TRIGGER
+
+
+def test_whole_second_now(spark):
+    """A sub-second instant counts as its second: an event exactly a day before that second is inside the day."""
+    import datetime as dt
+
+    from retentia.operators import events
+
+    at = dt.datetime(2024, 1, 31, 12, 0, 0)
+    ev = spark.createDataFrame([("a", at - dt.timedelta(days=1)), ("b", at - dt.timedelta(minutes=15)), ("c", at - dt.timedelta(days=7))], "u string, ts timestamp")
+    now = at + dt.timedelta(microseconds=700_000)
+    assert events.active_users(ev, now).first()[:3] == events.active_users(ev, at).first()[:3] == (2, 3, 3)
+    assert events.recent_activity(ev, now).first() == events.recent_activity(ev, at).first()
+    assert events.recent_activity(ev, now).first().events_15m == 1
+    assert events.wow(ev, now).first().users_this == 3
