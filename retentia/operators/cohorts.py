@@ -2,14 +2,20 @@
 grids the dashboards draw from them.
 
 Long form: (cohort_week, cohort_size, week_offset, active_users), ordered by
-cohort_week desc, week_offset asc. Every user has one cohort week and each
-(user, active_week) pair is distinct, so a cell's distinct-user count is a
-plain count after the join: no distinct aggregation is needed.
+cohort_week desc, week_offset asc.
+
+One aggregate per user gives the first time and the active weeks as bits of a
+few longs (map-side combined by ``bit_or``). Users that share a cohort and a
+mask are then counted together, so what follows is as small as the number of
+different masks: bits are read off and counted, with no join of users to their
+activity and no second pass over the input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import ts_lit
@@ -23,18 +29,43 @@ from ..model import (
 )
 
 
-def cohort_table(cohort: DataFrame, activity: DataFrame) -> DataFrame:
-    """cohort: (user, cohort_week) one row per user; activity: distinct (user, active_week)."""
-    cells = (
-        cohort.join(activity, "user")
-        .where(F.col("active_week") >= F.col("cohort_week"))
-        .groupBy("cohort_week", weeks_between(F.col("active_week"), F.col("cohort_week")).alias("week_offset"))
-        .agg(F.count(F.lit(1)).alias("active_users"))
-    )
-    sizes = cohort.groupBy("cohort_week").agg(F.count(F.lit(1)).alias("cohort_size"))
-    # at most (weeks + 1)^2 rows
+#: Weeks that one long holds, and weeks past today that are still counted (clocks run ahead).
+WORD = 64
+AHEAD_WEEKS = 52
+
+
+def _words(as_of, weeks: int) -> int:
+    """Longs for the weeks from the oldest cohort to ``AHEAD_WEEKS`` from today."""
+    if as_of is None:
+        behind = 0
+    elif isinstance(as_of, Column):
+        behind = 10 * 53
+    else:
+        day = as_of if isinstance(as_of, dt.date) else dt.datetime.fromisoformat(str(as_of))
+        behind = max(0, (dt.date.today() - (day.date() if isinstance(day, dt.datetime) else day)).days // 7 + 1)
+    return -(-(weeks + 1 + behind + AHEAD_WEEKS) // WORD)
+
+
+def cohort_table(rows: DataFrame, user: str, day: Column, first: Column, floor: Column, words: int) -> DataFrame:
+    """Cells of the cohorts whose week is ``floor`` (a Monday) or later.
+
+    A user's cohort is the week of the least ``first``, activity any ``day``.
+    Weeks count from the floor; a user whose first lies before it is in no cohort.
+    """
+    week = F.floor(F.datediff(day, floor) / 7).cast("int")
+    masks = [F.expr(f"bit_or(CASE WHEN _week div {WORD} = {w} AND _week >= 0 THEN shiftleft(1L, cast(_week % {WORD} AS int)) ELSE 0L END) AS _m{w}") for w in range(words)]
+    users = rows.select(F.col(user).alias("_user"), first.alias("_first"), week.alias("_week")).groupBy("_user").agg(F.min("_first").alias("_first"), *masks)
+    cohort = F.floor(F.datediff(monday(F.col("_first")), floor) / 7).cast("int")
+    groups = users.select(cohort.alias("_cohort"), *[f"_m{w}" for w in range(words)]).where("_cohort >= 0")
+    groups = groups.groupBy(*groups.columns).agg(F.count(F.lit(1)).alias("_n"))
+    active = F.expr("concat(" + ", ".join(
+        f"filter(transform(sequence(0, {WORD - 1}), b -> CASE WHEN shiftright(_m{w}, b) & 1 = 1 THEN b + {w * WORD} END), b -> b >= _cohort)" for w in range(words)) + ")")
+    cells = groups.select("_cohort", "_n", F.explode(active).alias("_week")).groupBy("_cohort", (F.col("_week") - F.col("_cohort")).alias("week_offset")).agg(
+        F.sum("_n").alias("active_users"))
+    # Every user is active in the week of the first time, so offset 0 is the cohort's size. At most (weeks + 1) cohorts.
+    size = F.max(F.when(F.col("week_offset") == 0, F.col("active_users"))).over(Window.partitionBy("_cohort"))
     return sorted_small(
-        sizes.join(cells, "cohort_week", "left").select("cohort_week", "cohort_size", "week_offset", "active_users"),
+        cells.select(F.date_add(floor, F.col("_cohort") * 7).alias("cohort_week"), size.alias("cohort_size"), "week_offset", "active_users"),
         F.col("cohort_week").desc(),
         F.col("week_offset").asc_nulls_last(),
     )
@@ -48,29 +79,15 @@ def cohort_retention(
 ) -> DataFrame:
     """Cohort = Monday of a user's first engaged session, kept when that first
     session is on/after the Monday of (as_of − weeks); activity = any session."""
-    floor = F.date_trunc("week", minus_seconds(ts_lit(as_of), weeks * 7 * 86400))
-    first = (
-        sessions.where(F.col("user_turns") >= min_turns)
-        .groupBy(F.col("user_id").alias("user"))
-        .agg(F.min("started_at").alias("first_at"))
-        .where(F.col("first_at") >= floor)
-        .select("user", monday(F.col("first_at")).alias("cohort_week"))
-    )
-    activity = sessions.select(F.col("user_id").alias("user"), monday(F.col("started_at")).alias("active_week")).distinct()
-    return cohort_table(first, activity)
+    floor = monday(minus_seconds(ts_lit(as_of), weeks * 7 * 86400))
+    engaged = F.when(F.col("user_turns") >= min_turns, F.col("started_at"))
+    return cohort_table(sessions, "user_id", F.to_date("started_at"), engaged, floor, _words(as_of, weeks))
 
 
 def event_retention(events: DataFrame, as_of=None, weeks: int = EVENT_COHORT_WEEKS) -> DataFrame:
     """Cohort = Monday of a user's first event date, kept when ≥ Monday(as_of) − weeks."""
     floor = F.date_sub(monday(ts_lit(as_of)), weeks * 7)
-    first = (
-        events.groupBy(F.col("u").alias("user"))
-        .agg(F.min(F.to_date("ts")).alias("first_day"))
-        .select("user", monday(F.col("first_day")).alias("cohort_week"))
-        .where(F.col("cohort_week") >= floor)
-    )
-    activity = events.select(F.col("u").alias("user"), monday(F.to_date("ts")).alias("active_week")).distinct()
-    return cohort_table(first, activity)
+    return cohort_table(events, "u", F.to_date("ts"), F.col("ts"), floor, _words(as_of, weeks))
 
 
 def _grid(long: DataFrame, max_col_of, cell_for_missing, as_of, threshold: int) -> DataFrame:

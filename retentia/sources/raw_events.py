@@ -48,13 +48,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STORE_SCHEMA)
 
 
-#: Orders the copies of an event that one batch holds: a hash of the raw row, the same
-#: for whoever reads it, so raw rows and projected facts agree on the copy that stays.
+#: Orders the copies of an event that one batch holds: by platform, then by a hash of the raw row,
+#: the same for whoever reads it, so raw rows and projected facts agree on the copy that stays.
 RANK = "_rank"
 
 
 def _ranked(raw: DataFrame) -> F.Column:
-    return F.xxhash64(*[c for c in RAW_EVENTS_SCHEMA.fieldNames() if c in raw.columns]).alias(RANK)
+    return F.struct("platform", F.xxhash64(*[c for c in RAW_EVENTS_SCHEMA.fieldNames() if c in raw.columns])).alias(RANK)
 
 
 def _newest(df: DataFrame, keys: list[str], origin: bool = False) -> DataFrame:
