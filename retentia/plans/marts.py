@@ -3,7 +3,10 @@ that materialises every card as a table."""
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from ..model import (
 )
 from ..operators import cohorts, events, funnel, headline
 from ..sources import raw_events as rawv
+from ..sources.commits import CommitLog
 from ..sources.snapshots import count_on_write
 
 
@@ -52,6 +56,10 @@ def recent_logins(audit: DataFrame, k: int = AUDIT_K) -> DataFrame:
 
 
 # ---- marts job --------------------------------------------------------------
+#
+# A run writes each card into a folder of its own and then commits one manifest
+# for the whole dashboard. A reader of a version sees the cards of one run; a
+# card that failed is served from its last good run, and the status says so.
 
 STATUS_SCHEMA = T.StructType(
     [
@@ -60,38 +68,88 @@ STATUS_SCHEMA = T.StructType(
         T.StructField("error", T.StringType()),
         T.StructField("rows", T.LongType()),
         T.StructField("seconds", T.DoubleType()),
+        T.StructField("served_run", T.StringType()),  # the run whose rows are served: an older one, or none, if not ok
     ]
 )
 
 
-def _run_card(spark: SparkSession, name: str, build, out: str) -> tuple:
+class Derived:
+    """A card made from cards already written: ``build`` gets a function that reads one by name."""
+
+    def __init__(self, build):
+        self.build = build
+
+
+class Board:
+    """The cards below ``out`` as of one commit (the latest by default)."""
+
+    def __init__(self, spark: SparkSession, out: str, version: int | None = None):
+        self.spark, self.out, self.log = spark, out.rstrip("/"), CommitLog(spark, out)
+        self.version = self.log.latest() if version is None else version
+        self.manifest = json.loads(self.log.read(self.version)) if self.version else {"cards": {}, "status": []}
+
+    def read(self, card: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.out}/{self.manifest['cards'][card]}")
+
+    def status(self) -> DataFrame:
+        return self.spark.createDataFrame([tuple(r) for r in self.manifest["status"]], STATUS_SCHEMA)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Forget all but the newest ``keep`` commits and delete the card folders that only they named."""
+        versions = self.log.versions()
+        old, new = (versions[:-keep], versions[-keep:]) if keep > 0 else ([], versions)
+        cards = lambda vs: {f for v in vs for f in Board(self.spark, self.out, v).manifest["cards"].values()}
+        gone = cards(old) - cards(new)
+        for v in old:
+            self.log.forget(v)
+        for f in gone:
+            self.log.delete(f)
+        return len(gone)
+
+
+def _run_card(name: str, build, out: str, run: str) -> tuple:
     t0 = time.time()
     try:
         df, obs = count_on_write(build())
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        df.write.parquet(f"{out}/{name}/run={run}")
         return (name, True, None, int(obs.get["rows"]), time.time() - t0)
     except Exception as exc:  # noqa: BLE001 - per-card isolation is the point
-        try:
-            spark.createDataFrame([], build().schema).write.mode("overwrite").parquet(f"{out}/{name}")
-        except Exception:  # noqa: BLE001
-            pass
         return (name, False, f"{type(exc).__name__}: {str(exc)[:500]}", 0, time.time() - t0)
 
 
 def run_cards(spark: SparkSession, cards: dict, out: str, parallel: int = 4) -> DataFrame:
-    """Write each card to ``out/<card>``. A failing card gets an empty table
-    (its schema when it can still be planned) and a status row with the error;
-    the other cards still land. Cards are independent Spark jobs and are
-    submitted from ``parallel`` threads, so small cards do not wait on each
-    other's job latency. Status goes to ``out/_status``."""
-    from concurrent.futures import ThreadPoolExecutor
+    """Write the cards of one run and commit them together; returns the status.
+
+    A failing card does not stop the others and never takes its last good
+    version away; without one it is served as an empty table when its schema
+    can still be planned. Cards are independent Spark jobs and are submitted
+    from ``parallel`` threads, so small cards do not wait on each other's job
+    latency; ``Derived`` cards follow and read the written ones.
+    """
+    out, run, before = out.rstrip("/"), uuid.uuid4().hex, Board(spark, out)
+    served = {c: f for c, f in before.manifest["cards"].items() if c in cards}
+    status = []
+
+    def read(card: str) -> DataFrame:
+        return spark.read.parquet(f"{out}/{served[card]}")
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = [pool.submit(_run_card, spark, name, build, out) for name, build in cards.items()]
-        status = [f.result() for f in futures]
-    st = spark.createDataFrame(status, STATUS_SCHEMA)
-    st.coalesce(1).write.mode("overwrite").parquet(f"{out}/_status")
-    return st
+        for derived in (False, True):
+            group = {n: (lambda c=c: c.build(read)) if derived else c for n, c in cards.items() if isinstance(c, Derived) == derived}
+            done = list(pool.map(lambda item: _run_card(item[0], item[1], out, run), group.items()))
+            for name, ok, *_ in done:
+                if not ok and name not in served:
+                    try:
+                        spark.createDataFrame([], group[name]().schema).write.mode("overwrite").parquet(f"{out}/{name}/run={run}")
+                        ok = True
+                    except Exception:  # noqa: BLE001 - it cannot even be planned: no such card yet
+                        pass
+                if ok:
+                    served[name] = f"{name}/run={run}"
+            status += done
+    status = [(*s, served[s[0]].rsplit("=", 1)[1] if s[0] in served else None) for s in status]
+    before.log.commit((before.version or 0) + 1, json.dumps({"cards": served, "status": status}))
+    return spark.createDataFrame(status, STATUS_SCHEMA)
 
 
 def materialize_event_view(raw: DataFrame, path: str, as_of=None, strict_json: bool = True) -> DataFrame:
@@ -122,7 +180,7 @@ def event_cards(
         "active_users": lambda: events.active_users(ev, as_of),
         "dau_trend": lambda: events.dau_trend(ev, as_of),
         "event_volume": vol,
-        "total_events": lambda: events.total_events(vol()),
+        "total_events": Derived(lambda read: events.total_events(read("event_volume"))),
         "top_events": lambda: events.top_events(ev, as_of),
         "top_views": lambda: events.top_views(ev, as_of),
         "platform_breakdown": lambda: events.platform_breakdown(ev, as_of),
@@ -134,16 +192,16 @@ def event_cards(
         "message_depth": lambda: events.message_depth(ev, message_action=message_action),
         "returning_user_rate": lambda: events.returning_user_rate(ev),
         "event_retention": ret,
-        "event_retention_grid": lambda: cohorts.event_grid(ret(), as_of),
+        "event_retention_grid": Derived(lambda read: cohorts.event_grid(read("event_retention"), as_of)),
         "wow": lambda: events.wow(ev, as_of),
         "events_by_action": lambda: events.events_by_action(ev, as_of),
         "recent_activity": lambda: events.recent_activity(ev, as_of),
-        "kpi_glance": lambda: kpi_glance(fun(), events.active_users(ev, as_of), events.returning_user_rate(ev)),
+        "kpi_glance": Derived(lambda read: kpi_glance(read("funnel"), read("active_users"), read("returning_user_rate"))),
     }
 
 
 def run_event_marts(spark: SparkSession, raw: DataFrame, out: str, as_of=None, **card_args) -> DataFrame:
-    ev = materialize_event_view(raw, f"{out}/_event_view", as_of=as_of)
+    ev = materialize_event_view(raw, f"{out.rstrip('/')}/_event_view", as_of=as_of)
     return run_cards(spark, event_cards(ev, as_of, **card_args), out)
 
 
@@ -154,7 +212,7 @@ def session_cards(sessions: DataFrame, as_of=None, today=None, min_turns: int =
         "second_message_rate": lambda: headline.second_message_rate(sessions, as_of, second_days),
         "w1_return_rate": lambda: headline.w1_return_rate(sessions, as_of, min_turns),
         "cohort_retention": ret,
-        "cohort_grid": lambda: cohorts.session_grid(ret(), as_of),
+        "cohort_grid": Derived(lambda read: cohorts.session_grid(read("cohort_retention"), as_of)),
     }
 
 

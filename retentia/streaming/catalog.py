@@ -8,12 +8,14 @@ as a batch DataFrame. Scratch folders live under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import ensure_checkpoint_dir, ensure_utc
 from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
+from ..plans import marts
 from ..plans.bucketed import BucketedSessions
 from ..plans.catalog import AS_OF, DAY_GAP, REFRESH_CUT, TTL_AS_OF
 from ..sources import raw_events as rawv
@@ -204,6 +206,21 @@ def q_refresh_log(spark: SparkSession, sf: str):
     return spark.createDataFrame(rows, "run int, commits int, conversations long, session_rows long")
 
 
+def q_marts_board(spark: SparkSession, sf: str):
+    """Two runs of four cards, one of which fails in the second: what each card
+    says, and how many rows are served."""
+    ensure_utc(spark)
+    out, ev = scratch(spark, "board"), rawv.event_view(tv.raw_events(spark, sf), as_of=AS_OF)
+    cards = {c: f for c, f in marts.event_cards(ev, AS_OF).items() if c in ("active_users", "dau_trend", "event_volume", "total_events")}
+    marts.run_cards(spark, cards, out)
+    cards["event_volume"] = lambda: ev.select(F.raise_error(F.lit("card down")).alias("x"))
+    marts.run_cards(spark, cards, out)
+    board = marts.Board(spark, out)
+    parts = [board.read(c).select(F.lit(c).alias("card")) for c in sorted(cards)]
+    served = reduce(DataFrame.unionAll, parts).groupBy("card").agg(F.count("*").alias("served_rows"))
+    return board.status().join(served, "card").select("card", "ok", "rows", "served_rows")
+
+
 QUERIES = {
     "ingest_stream": q_ingest_stream,
     "ingest_replay": q_ingest_replay,
@@ -212,6 +229,7 @@ QUERIES = {
     "live_sessions": q_live_sessions,
     "compacted_events": q_compacted_events,
     "compacted_days": q_compacted_days,
+    "marts_board": q_marts_board,
     "refresh_job": q_refresh_job,
     "refresh_log": q_refresh_log,
 }

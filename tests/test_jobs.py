@@ -19,7 +19,7 @@ def test_event_marts_job_writes_every_card(spark, tmp_path):
     rows = {r.card: r for r in st.collect()}
     assert all(r.ok for r in rows.values()), [r.error for r in rows.values() if not r.ok]
     assert rows["active_users"].rows == 1 and rows["funnel"].rows == 4
-    got = spark.read.parquet(f"{out}/active_users").first()
+    got = marts.Board(spark, out).read("active_users").first()
     want = catalog.q_active_users(spark, SF).first()
     assert tuple(got) == tuple(want)
 
@@ -29,7 +29,34 @@ def test_failing_card_is_isolated(spark, tmp_path):
     cards = {"good": lambda: ev.groupBy().count(), "bad": lambda: ev.select("no_such_column")}
     st = {r.card: r for r in marts.run_cards(spark, cards, str(tmp_path / "m")).collect()}
     assert st["good"].ok and not st["bad"].ok and "no_such_column" in st["bad"].error
-    assert spark.read.parquet(str(tmp_path / "m" / "good")).count() == 1
+    assert marts.Board(spark, str(tmp_path / "m")).read("good").count() == 1
+
+
+def test_failed_card_keeps_its_last_good_version(spark, tmp_path):
+    import pytest
+
+    out, n = str(tmp_path / "m"), spark.range(5)
+    cards = {"a": lambda: n, "b": lambda: n.where("id > 2"), "sum": marts.Derived(lambda read: read("b").agg(F.sum("id").alias("s")))}
+    marts.run_cards(spark, cards, out)
+    first = marts.Board(spark, out)
+    broken = {"a": lambda: n.limit(1), "b": lambda: n.select(F.raise_error(F.lit("boom")).alias("id")), "sum": cards["sum"]}
+    st = {r.card: r for r in marts.run_cards(spark, broken, out).collect()}
+    now = marts.Board(spark, out)
+    assert not st["b"].ok and "boom" in st["b"].error and st["a"].ok and st["sum"].ok
+    assert now.read("a").count() == 1 and now.read("b").count() == 2 and now.read("sum").first().s == 7
+    assert st["b"].served_run != st["a"].served_run and {r.card: r.ok for r in now.status().collect()} == {"a": True, "b": False, "sum": True}
+    assert first.read("a").count() == 5  # a reader of the older commit still sees that run
+    # a run that dies before its commit changes nothing for readers
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(marts.CommitLog, "commit", lambda self, v, c: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            marts.run_cards(spark, {"a": lambda: n.limit(3)}, out)
+    assert marts.Board(spark, out).read("a").count() == 1
+    assert marts.Board(spark, out).vacuum(keep=1) == 2 and marts.Board(spark, out).read("b").count() == 2
+    # a card that fails on its first run is empty when it can be planned, absent when not
+    st = marts.run_cards(spark, {"x": broken["b"], "y": lambda: n.select("no")}, str(tmp_path / "new")).collect()
+    assert [r.ok for r in st] == [False, False] and marts.Board(spark, str(tmp_path / "new")).read("x").count() == 0
+    assert "y" not in marts.Board(spark, str(tmp_path / "new")).manifest["cards"]
 
 
 def test_snapshot_versions_and_vacuum(spark, tmp_path):
@@ -57,7 +84,7 @@ def test_session_marts_job(spark, tmp_path):
     sessions = catalog.q_sessionize_24h(spark, SF)
     st = marts.run_session_marts(spark, sessions, str(tmp_path / "sm"), as_of=catalog.AS_OF, today=catalog.TODAY_AS_OF, min_turns=2)
     assert all(r.ok for r in st.collect())
-    grid = spark.read.parquet(str(tmp_path / "sm" / "cohort_grid"))
+    grid = marts.Board(spark, str(tmp_path / "sm")).read("cohort_grid")
     assert grid.count() == catalog.q_cohort_grid(spark, SF).count()
 
 
@@ -145,7 +172,7 @@ def test_cli_stream_refresh_and_compaction(spark, tmp_path):
     assert cli.run(job, spark) == {"job": "compact", "merged": 0, "expired": 0}
     em = cli.run(["event-marts", "--store", store, "--days", days, "--out", str(tmp_path / "em"), "--as-of", catalog.AS_OF], spark)
     assert em["failed"] == []
-    assert tuple(spark.read.parquet(str(tmp_path / "em" / "active_users")).first()) == tuple(catalog.q_active_users(spark, SF).first())
+    assert tuple(marts.Board(spark, str(tmp_path / "em")).read("active_users").first()) == tuple(catalog.q_active_users(spark, SF).first())
     args = cli._parser().parse_args("ingest --bootstrap b --topic t --fields f --store s --dead-letter d --metrics m --checkpoint c --starting-offsets earliest --allow-data-loss".split())
     assert args.starting_offsets == "earliest" and args.allow_data_loss and args.max_per_trigger == cli.MAX_PER_TRIGGER
 
