@@ -75,6 +75,15 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Login attempts: one per event, an error is a refusal."""
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS id", "ts AS attempted_at", "concat('u', user_id, '@d', user_id % 3, '.org') AS email",
+        "concat('d', user_id % 3, '.org') AS domain", "event_type <> 'error' AS allowed",
+        "CASE WHEN event_id % 4 <> 0 THEN concat('10.0.', user_id % 256, '.', event_id % 256) END AS ip", "event_type AS user_agent",
+    )
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_events`` rows as the ingest job writes them (ms timestamps, JSON payload)."""
     ts = "date_trunc('MILLISECOND', ts)"

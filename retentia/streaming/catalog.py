@@ -17,8 +17,11 @@ from ..context import ensure_checkpoint_dir, ensure_utc
 from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
 from ..plans import marts
 from ..plans.bucketed import BucketedSessions
+from ..operators import sessions
 from ..plans.catalog import AS_OF, DAY_GAP, REFRESH_CUT, TTL_AS_OF
+from ..plans.refresh import sessions_table
 from ..sources import raw_events as rawv
+from ..sources import tables
 from ..sources import testviews as tv
 from ..sources.event_store import EventStore
 from . import ingest
@@ -107,6 +110,17 @@ def q_ingest_lost_checkpoint(spark: SparkSession, sf: str):
 
 def q_ingest_dead_letter(spark: SparkSession, sf: str):
     """Rejected rows by reason, of a stream in which four lines in ten are broken."""
+    rejected = spark.read.schema("value string, reason string").parquet(_run_broken(spark, sf)["dead_letter"])
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_ingest_metrics(spark: SparkSession, sf: str):
+    """The metrics rows of the same stream, summed over its batches."""
+    rows = spark.read.parquet(_run_broken(spark, sf)["metrics"])
+    return rows.agg(*[F.sum(c).alias(c) for c in ("input_rows", "inserted", "parse_errors")])
+
+
+def _run_broken(spark: SparkSession, sf: str) -> dict:
     ensure_utc(spark)
     paths, lines = _paths(scratch(spark, "dead")), _with_id(spark, sf)
     text = lambda c: F.base64(c.cast("binary"))
@@ -117,9 +131,8 @@ def q_ingest_dead_letter(spark: SparkSession, sf: str):
         .when(F.expr("id % 10 = 4"), text(F.regexp_replace("line", "^([^\t]*\t[^\t]*\t)[^\t]*", "$1never")))
         .otherwise(F.col("value"))
     )
-    _deliver(spark, lines.select(F.regexp_replace(broken, "\\s", "").alias("value")), paths, "0")
-    rejected = spark.read.schema("value string, reason string").parquet(paths["dead_letter"])
-    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+    _deliver(spark, lines.select(F.regexp_replace(broken, "\\s", "").alias("value")).repartition(3), paths, "0", max_files=1)
+    return paths
 
 
 def q_live_sessions(spark: SparkSession, sf: str):
@@ -221,11 +234,35 @@ def q_marts_board(spark: SparkSession, sf: str):
     return board.status().join(served, "card").select("card", "ok", "rows", "served_rows")
 
 
+def q_snapshot_sessions(spark: SparkSession, sf: str):
+    """The snapshot table from its empty first version on: an early and a full
+    publish, a read of the older version in between, old versions vacuumed."""
+    ensure_utc(spark)
+    table = sessions_table(spark, scratch(spark, "snapshots"))
+    full = sessions.sessionize(tv.messages(spark, sf), tv.conversations(spark, sf), gap_minutes=DAY_GAP)
+    assert table.ensure() == 1 and table.ensure() == 1
+    table.publish(full.where("session_index = 1"))
+    table.publish(table.read().unionByName(full.where("session_index <> 1")))
+    table.vacuum(keep=1)
+    return table.read()
+
+
+def q_recent_logins(spark: SparkSession, sf: str):
+    """The newest login attempts of an audit table written from the events."""
+    ensure_utc(spark)
+    path = scratch(spark, "audit")
+    tv.logins(spark, sf).write.parquet(path)
+    return marts.recent_logins(tables.login_audit(spark, path))
+
+
 QUERIES = {
     "ingest_stream": q_ingest_stream,
     "ingest_replay": q_ingest_replay,
     "ingest_lost_checkpoint": q_ingest_lost_checkpoint,
     "ingest_dead_letter": q_ingest_dead_letter,
+    "ingest_metrics": q_ingest_metrics,
+    "snapshot_sessions": q_snapshot_sessions,
+    "recent_logins": q_recent_logins,
     "live_sessions": q_live_sessions,
     "compacted_events": q_compacted_events,
     "compacted_days": q_compacted_days,
