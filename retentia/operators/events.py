@@ -59,8 +59,14 @@ def dau_trend(ev: DataFrame, as_of=None, days: int = 30) -> DataFrame:
     )
 
 
-def event_volume(ev: DataFrame, as_of=None, days: int = 30) -> DataFrame:
-    return sorted_small(since(ev, as_of, days * _DAY).groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("events")), "d")
+def _events(weight: str | None, condition=None):
+    """Number of events: rows, or the sum of ``weight`` where rows stand for several events."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    return F.coalesce(F.sum(n if condition is None else F.when(condition, n)), F.lit(0)).cast("long")
+
+
+def event_volume(ev: DataFrame, as_of=None, days: int = 30, weight: str | None = None) -> DataFrame:
+    return sorted_small(since(ev, as_of, days * _DAY).groupBy(F.to_date("ts").alias("d")).agg(_events(weight).alias("events")), "d")
 
 
 def total_events(volume: DataFrame) -> DataFrame:
@@ -140,10 +146,14 @@ def influencer_engagement(
 def message_depth(ev: DataFrame, message_action: str = MESSAGE_ACTION) -> DataFrame:
     """Users by number of messages sent: 1, 2-5, 6-20, 21+ (fixed order; empty
     buckets absent). Over all retained rows."""
+    return depth_buckets(ev.where(F.col("se_action") == message_action).groupBy("u").agg(F.count(F.lit(1)).alias("c")))
+
+
+def depth_buckets(per_user: DataFrame) -> DataFrame:
+    """Users per bucket of their count ``c``."""
     c = F.col("c")
     bucket = F.when(c == 1, DEPTH_BUCKETS[0]).when(c <= 5, DEPTH_BUCKETS[1]).when(c <= 20, DEPTH_BUCKETS[2]).otherwise(DEPTH_BUCKETS[3])
     rank = F.when(c == 1, 0).when(c <= 5, 1).when(c <= 20, 2).otherwise(3)
-    per_user = ev.where(F.col("se_action") == message_action).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
     per_bucket = per_user.groupBy(bucket.alias("bucket"), rank.alias("_rank")).agg(F.count(F.lit(1)).alias("users"))
     return sorted_small(per_bucket, "_rank").select("bucket", "users")
 
@@ -155,14 +165,14 @@ def returning_user_rate(ev: DataFrame) -> DataFrame:
     return out.select(ratio(F.col("returning_users"), F.col("n")).alias("rate"), "returning_users", "n")
 
 
-def wow(ev: DataFrame, as_of=None) -> DataFrame:
+def wow(ev: DataFrame, as_of=None, weight: str | None = None) -> DataFrame:
     """This 7 days vs the 7 before: users, events and relative change
     ((this − last) / last, NULL when last = 0), plus the change as a signed
     whole percent for display."""
     split = _ago(as_of, 7 * _DAY)
     per_user = since(ev, as_of, 14 * _DAY).groupBy("u").agg(
-        F.count_if(F.col("ts") >= split).alias("e_this"),
-        F.count_if(F.col("ts") < split).alias("e_last"),
+        _events(weight, F.col("ts") >= split).alias("e_this"),
+        _events(weight, F.col("ts") < split).alias("e_last"),
     )
     out = per_user.agg(
         F.count_if(F.col("e_this") > 0).alias("users_this"),

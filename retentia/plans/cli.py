@@ -7,6 +7,7 @@
     event-marts --store R [--days D] --out O [--as-of T]
     ingest --bootstrap B --topic T --fields F --store R --dead-letter D --metrics M --checkpoint K
     compact --store R --days D [--as-of T]
+    daily-cards --store R --days D --state S --out O [--as-of T]
     expire --store R [--as-of T]
 
 Cluster settings (executors, shuffle partitions, ``spark.checkpoint.dir``)
@@ -35,6 +36,7 @@ from ..sources import tables
 from ..sources.event_store import EventStore
 from . import marts
 from .bucketed import BUCKETS, BucketedSessions
+from .daily import DailyUsers
 from .refresh import refresh_sessions, sessions_table
 
 #: Rows that a micro-batch of the deployed ingest takes at most. A cap on memory
@@ -99,6 +101,11 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--ttl-days", type=int, default=EVENT_TTL_DAYS)
     c.add_argument("--keep-versions", type=int, default=2)
 
+    d = sub.add_parser("daily-cards", help="take new days into the daily user state and write its cards")
+    for name in ("store", "days", "state", "out"):
+        d.add_argument(f"--{name}", required=True)
+    d.add_argument("--as-of", default=None)
+
     x = sub.add_parser("expire", help="delete month partitions past the TTL")
     x.add_argument("--store", required=True)
     x.add_argument("--as-of", default=None)
@@ -163,6 +170,12 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
         store.vacuum(args.keep_versions)
         store.days.sweep()
         return {"job": "compact", "merged": merged["merged"] if merged else 0, "expired": len(expired)}
+    if args.job == "daily-cards":
+        state = DailyUsers(spark, args.state, EventStore(spark, args.store, args.days))
+        days = state.update()
+        state.table.vacuum()
+        st = marts.run_cards(spark, state.cards(as_of), args.out)
+        return {"job": "daily-cards", "days": len(days), "failed": [r.card for r in st.collect() if not r.ok]}
     if args.job == "expire":
         removed = rawv.expire_months(spark, args.store, as_of, args.ttl_days)
         return {"job": "expire", "removed": len(removed)}

@@ -18,7 +18,8 @@ from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
 from ..plans import marts
 from ..plans.bucketed import BucketedSessions
 from ..operators import sessions
-from ..plans.catalog import AS_OF, DAY_GAP, REFRESH_CUT, TTL_AS_OF
+from ..plans.catalog import AS_OF, DAY_GAP, MESSAGE_ACTION, REFRESH_CUT, TTL_AS_OF
+from ..plans.daily import DailyUsers
 from ..plans.refresh import sessions_table
 from ..sources import raw_events as rawv
 from ..sources import tables
@@ -255,6 +256,27 @@ def q_recent_logins(spark: SparkSession, sf: str):
     return marts.recent_logins(tables.login_audit(spark, path))
 
 
+def q_daily_cards(spark: SparkSession, sf: str):
+    """Cards from the daily state, which took in two deliveries, the second with
+    late events; stacked as (card, what, value)."""
+    ensure_utc(spark)
+    base, raw = scratch(spark, "daily"), tv.raw_events(spark, sf).withColumn("yyyymm", F.date_format("collector_tstamp", "yyyyMM").cast("int"))
+    store = EventStore(spark, f"{base}/raw", f"{base}/days")
+    state = DailyUsers(spark, f"{base}/state", store, MESSAGE_ACTION)
+    for n, rule in enumerate(("collector_tstamp < TIMESTAMP '2024-01-20' AND CAST(event_id AS long) % 9 <> 0", "collector_tstamp >= TIMESTAMP '2024-01-20' OR CAST(event_id AS long) % 9 = 0")):
+        raw.where(rule).write.partitionBy("yyyymm").parquet(f"{base}/raw/ingest_run=0/ingest_batch={n}")
+        store.compact()
+        state.update()
+    cards = state.cards(AS_OF)
+    number = lambda card, what, value: cards[card]().select(F.lit(card).alias("card"), what.cast("string").alias("what"), F.col(value).cast("long").alias("value"))
+    parts = [number("active_users", F.lit(c), c) for c in ("dau", "wau", "mau")]
+    parts += [number("dau_trend", F.col("d"), "dau"), number("event_volume", F.col("d"), "events"), number("message_depth", F.col("bucket"), "users")]
+    parts += [number("returning_user_rate", F.lit("returning"), "returning_users"), number("returning_user_rate", F.lit("n"), "n")]
+    parts += [number("wow", F.lit(c), c) for c in ("users_this", "users_last", "events_this", "events_last")]
+    parts.append(number("event_retention", F.concat_ws("/", "cohort_week", "week_offset"), "active_users"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 QUERIES = {
     "ingest_stream": q_ingest_stream,
     "ingest_replay": q_ingest_replay,
@@ -266,6 +288,7 @@ QUERIES = {
     "live_sessions": q_live_sessions,
     "compacted_events": q_compacted_events,
     "compacted_days": q_compacted_days,
+    "daily_cards": q_daily_cards,
     "marts_board": q_marts_board,
     "refresh_job": q_refresh_job,
     "refresh_log": q_refresh_log,

@@ -173,6 +173,9 @@ def test_cli_stream_refresh_and_compaction(spark, tmp_path):
     em = cli.run(["event-marts", "--store", store, "--days", days, "--out", str(tmp_path / "em"), "--as-of", catalog.AS_OF], spark)
     assert em["failed"] == []
     assert tuple(marts.Board(spark, str(tmp_path / "em")).read("active_users").first()) == tuple(catalog.q_active_users(spark, SF).first())
+    job = ["daily-cards", "--store", store, "--days", days, "--state", str(tmp_path / "st"), "--out", str(tmp_path / "dc"), "--as-of", catalog.AS_OF]
+    first = cli.run(job, spark)
+    assert first["days"] > 0 and first["failed"] == [] and cli.run(job, spark)["days"] == 0
     args = cli._parser().parse_args("ingest --bootstrap b --topic t --fields f --store s --dead-letter d --metrics m --checkpoint c --starting-offsets earliest --allow-data-loss".split())
     assert args.starting_offsets == "earliest" and args.allow_data_loss and args.max_per_trigger == cli.MAX_PER_TRIGGER
 
