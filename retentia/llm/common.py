@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentia.context import ensure_checkpoint_dir
 
@@ -114,6 +115,19 @@ def each(frames: Iterator[pd.DataFrame], f) -> Iterator[pd.DataFrame]:
             yield f(frame)
 
 
+def through_pandas(df: DataFrame, run, schema: str | T.StructType, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``mapInPandas`` that hands the columns ``carry`` through unchanged.
+
+    A null among integers makes floats of all in its batch, and those above
+    2^53 lose digits. So carried integers travel as text and come back as they were.
+    """
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = {f.name: f.dataType for f in df.schema if f.name in carry and isinstance(f.dataType, T.IntegralType)}
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in whole else f for f in out])
+    rows = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole}).mapInPandas(run, as_text)
+    return rows.withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in whole.items()})
+
+
 def maybe_in(ids: DataFrame, col: str, probe: str, words: int = 1 << 16) -> Column:
     """A test that holds for every value of ``ids[col]`` and for few others.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, each, shingles, text_bytes
+from .common import WordHash, each, shingles, text_bytes, through_pandas
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -102,9 +102,9 @@ def _search(items: list[tuple[int | None, np.ndarray]], containment: float, widt
             out = []
             for doc, t in zip(d["doc_id"], text_bytes(d["text"])):
                 for item, n, size in _matches(items, index, shingles(hashed(plain_words(t)), width), containment):
-                    out.append((None if pd.isna(doc) else int(doc), item, n, size))
+                    out.append((doc, item, n, size))
             return pd.DataFrame(out, columns=["doc_id", "item_id", "shared", "item_shingles"]).astype(
-                {"doc_id": "Int64", "item_id": "Int64", "shared": "int64", "item_shingles": "int64"})
+                {"item_id": "Int64", "shared": "int64", "item_shingles": "int64"})
 
         yield from each(frames, f)
 
@@ -127,7 +127,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTA
     schema = "doc_id bigint, item_id bigint, shared bigint, item_shingles bigint"
     out = None
     for items in _item_blocks(benchmark, width):
-        part = d.mapInPandas(_search(items, containment, width), schema)
+        part = through_pandas(d, _search(items, containment, width), schema)
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 

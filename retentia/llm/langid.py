@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each
+from .common import each, through_pandas
 
 #: Languages by family.
 FAMILIES = {
@@ -179,4 +179,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
         yield from each(frames, f)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return through_pandas(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, lang_pred string, score double")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_words, components, each, maybe_in, mix, saved, shingles, signed, text_bytes
+from .common import WordHash, ascii_words, components, each, maybe_in, mix, saved, shingles, signed, text_bytes, through_pandas
 
 WIDTH = 3
 PERCENT = 90
@@ -122,7 +122,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     """Pairs (a, b) with both shingle sets x and y, the sketch of y and ``linked``, the exact verdict."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rows = docs.filter(maybe_in(ids, "doc_id", "doc_id")).join(ids, "doc_id", "left_semi")
-    sets = rows.mapInPandas(_arrays(width), "doc_id bigint, h array<bigint>, sig array<bigint>")
+    sets = through_pandas(rows, _arrays(width), "doc_id bigint, h array<bigint>, sig array<bigint>")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y"), "sig"), "b")
     common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -166,7 +166,7 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool)
 def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id: a row per input row."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = saved(d.mapInPandas(_sets(percent, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets")
+    sets = saved(through_pandas(d, _sets(percent, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets")
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
     heads = full.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")

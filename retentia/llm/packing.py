@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, saved
+from .common import each, saved, through_pandas
 from .token_counts import tokenizer
 
 SIZE = 2048
@@ -227,7 +227,7 @@ def pack(
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    pieces = saved(d.mapInPandas(_pieces(path, size, end_id), schema), "pieces")
+    pieces = saved(through_pandas(d, _pieces(path, size, end_id), schema), "pieces")
     pieces = pieces.withColumn("c", F.expr(f"cast(ceil(length / {grain}) as int)")).withColumn(
         "salt", F.expr(f"cast(pmod(xxhash64(doc_id, start, ids_crc32), {salts}) as int)"))
     hist = pieces.groupBy("c", "salt").agg(F.count("*").alias("n"))
@@ -252,6 +252,6 @@ def pack(
 
         yield from each(frames, f)
 
-    placed = ranked.drop("r", "before", "salt").mapInPandas(assign, f"{schema}, sequence_id bigint, slot bigint")
+    placed = through_pandas(ranked.drop("r", "before", "salt"), assign, f"{schema}, sequence_id bigint, slot bigint")
     offset = F.expr("coalesce(sum(length) OVER (PARTITION BY sequence_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     return placed.withColumn("offset", offset.cast("bigint")).drop("slot")

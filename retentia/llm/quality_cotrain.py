@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, each
+from .common import crc_mod, each, through_pandas
 
 MAX_LABELLED = 8_000
 MAX_POOL = 8_000
@@ -195,7 +195,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         yield from each(frames, f)
 
-    out = _columns(docs).mapInPandas(run, f"doc_id {kind}, content_score double, metadata_score double, score double")
+    out = through_pandas(_columns(docs), run, f"doc_id {kind}, content_score double, metadata_score double, score double")
     return out.withColumn("kept", F.col("score") >= 0.5)
 
 
@@ -213,4 +213,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         yield from each(frames, f)
 
-    return docs.mapInPandas(run, schema)
+    return through_pandas(docs, run, schema, tuple(docs.columns))

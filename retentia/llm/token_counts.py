@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, saved
+from .common import each, saved, through_pandas
 
 LIMIT = 512
 CHUNK = 16_384  # characters
@@ -212,7 +212,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    short = d.filter(F.length("text") <= chunk).mapInPandas(_short(path), f"{kind}, n_bytes bigint, n_tokens bigint")
+    short = through_pandas(d.filter(F.length("text") <= chunk), _short(path), f"{kind}, n_bytes bigint, n_tokens bigint")
     long = d.filter(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
     counts = _long(long.select("key", "text"), path, chunk, overlap)
     spliced = long.select("doc_id", "n_bytes", "key").join(counts, "key").select("doc_id", "n_bytes", "n_tokens")

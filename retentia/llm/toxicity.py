@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each
+from .common import each, through_pandas
 
 #: Plain insults, a hand-written voter.
 INSULTS = "clown disgusting dumb fool freak garbage hate idiot jerk kill loser moron pathetic scum shut stupid sucks trash ugly worthless".split()
@@ -257,4 +257,4 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from each(frames, lambda d: pd.DataFrame({"doc_id": d["doc_id"], "score": [scorer(t) for t in d["text"]]}))
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return through_pandas(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, score double")
