@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, saved, through_pandas
+from .common import each, maybe_in, saved, through_pandas
 
 LIMIT = 512
 CHUNK = 16_384  # characters
@@ -201,7 +201,7 @@ def _long(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         bad = counts.filter("failed > 0").select("key")
         if bad.isEmpty():
             return done
-        texts = texts.join(bad, "key", "left_semi")
+        texts = texts.filter(maybe_in(bad, "key", "key")).join(bad, "key", "left_semi")
         chunk, overlap = chunk * WIDEN, overlap * WIDEN
 
 
