@@ -64,6 +64,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def rocksdb_state(spark: SparkSession) -> SparkSession:
+    """Keeps the state of streams started from now on in RocksDB (on the executors' disks, changes in the checkpoint)
+    unless the session names another provider than the default: large keyed state does not fit the default one's heap."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(key):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return spark
+
+
 def ts_lit(value: str | _dt.datetime | _dt.date | Column | None) -> Column:
     """An ``as_of`` instant as a TIMESTAMP column (UTC session).
 

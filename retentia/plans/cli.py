@@ -93,6 +93,7 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--starting-offsets", default="latest", help="earliest, latest or a JSON of offsets; first start only")
     i.add_argument("--allow-data-loss", action="store_true", help="go on when the topic no longer holds the next offsets")
     i.add_argument("--dedup-batch", action="store_true")
+    i.add_argument("--remember", default=None, help="drop copies that arrive up to this long after the first, such as '2 days'")
 
     c = sub.add_parser("compact", help="merge finished ingest batches into deduplicated days, drop days past the TTL")
     c.add_argument("--store", required=True)
@@ -160,6 +161,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
             encoding=args.encoding,
             trigger_seconds=args.trigger_seconds,
             dedup_batch=args.dedup_batch,
+            remember=args.remember,
         )
         q.awaitTermination()
         return {"job": "ingest"}

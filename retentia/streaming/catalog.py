@@ -46,13 +46,13 @@ def _paths(base: str) -> dict:
     return {k: f"{base}/{k}" for k in ("in", "raw_events", "dead_letter", "metrics", "checkpoint")}
 
 
-def _deliver(spark: SparkSession, lines, paths: dict, run: str, max_files: int | None = None, dedup_batch: bool = False) -> None:
+def _deliver(spark: SparkSession, lines, paths: dict, run: str, max_files: int | None = None, **how) -> None:
     """Ingest ``lines`` into the store of ``paths`` under the checkpoint of ``run``."""
-    lines.write.text(f"{paths['in']}/{run}")
-    _run(spark, paths, run, max_files, dedup_batch)
+    lines.write.mode("append").text(f"{paths['in']}/{run}")
+    _run(spark, paths, run, max_files, **how)
 
 
-def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = None, dedup_batch: bool = False) -> None:
+def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = None, **how) -> None:
     q = ingest.start_ingest(
         ingest.file_source(spark, f"{paths['in']}/{run}", max_files_per_trigger=max_files),
         TEST_TSV_FIELDS,
@@ -61,7 +61,7 @@ def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = Non
         paths["metrics"],
         f"{paths['checkpoint']}/{run}",
         available_now=True,
-        dedup_batch=dedup_batch,
+        **how,
     )
     q.awaitTermination()
 
@@ -109,6 +109,21 @@ def q_ingest_lost_checkpoint(spark: SparkSession, sf: str):
     return _stored_events(spark, paths)
 
 
+def q_ingest_dedup_stream(spark: SparkSession, sf: str):
+    """What the store itself holds, without the dedup view, after two deliveries
+    to one checkpoint in several micro-batches each: the second brings copies of
+    stored events, each twice, and late events of its own. Stored rows and
+    distinct events a day."""
+    ensure_utc(spark)
+    paths, lines = _paths(scratch(spark, "dedup")), _with_id(spark, sf)
+    again = lines.where("id % 3 = 0 OR id % 2 = 0").select("value").repartition(2)
+    _deliver(spark, lines.where("id % 3 <> 0").select("value").repartition(2), paths, "0", max_files=1, remember="2 days")
+    _deliver(spark, again.unionAll(again), paths, "0", max_files=1, remember="2 days")
+    stored = rawv.read_store(spark, paths["raw_events"])
+    return stored.groupBy(F.to_date("collector_tstamp").alias("day")).agg(
+        F.count("*").alias("stored_rows"), F.countDistinct("collector_tstamp", "event_name", "event_id").alias("n_events"))
+
+
 def q_ingest_dead_letter(spark: SparkSession, sf: str):
     """Rejected rows by reason, of a stream in which four lines in ten are broken."""
     rejected = spark.read.schema("value string, reason string").parquet(_run_broken(spark, sf)["dead_letter"])
@@ -281,6 +296,7 @@ QUERIES = {
     "ingest_stream": q_ingest_stream,
     "ingest_replay": q_ingest_replay,
     "ingest_lost_checkpoint": q_ingest_lost_checkpoint,
+    "ingest_dedup_stream": q_ingest_dedup_stream,
     "ingest_dead_letter": q_ingest_dead_letter,
     "ingest_metrics": q_ingest_metrics,
     "snapshot_sessions": q_snapshot_sessions,

@@ -19,6 +19,8 @@ One Structured Streaming query replaces the poll/buffer/insert/commit loop:
   ``ingest_run=<checkpoint>/ingest_batch=<id>/yyyymm=<month>``; a replayed batch
   id of the same checkpoint overwrites its own folder, so replay after a failure is idempotent, and offsets are committed
   by the checkpoint only after the write;
+* deduplication (I9, optional): copies of an event that arrive within a given
+  time of the first are dropped in the stream, from keyed state that expires;
 * metrics (I12): ``observe`` on the stream plus one metrics row per batch.
 
 Flush cadence (I6) is the trigger interval, backpressure (I7) the per-trigger
@@ -34,6 +36,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..context import rocksdb_state
 from ..model import BATCH_SECONDS, INGEST_BATCH_COL, INGEST_RUN_COL, MONTH_COL
 from ..sources.raw_events import dedup
 
@@ -177,6 +180,24 @@ def prepare(values: DataFrame, fields: list[str], encoding: str = "base64") -> D
     return parsed.withColumn("_reason", dead_letter_reason(derived))
 
 
+def first_copies(rows: DataFrame, remember: str) -> DataFrame:
+    """Parsed rows without the copies of an event that arrive up to ``remember``
+    (such as ``"2 days"``) after its first one; rejected rows all pass.
+
+    The watermark runs on the arrival time, which is one instant for each
+    micro-batch, and not on the event's own time. No row is ever late for it,
+    so an event passes however old it is, while a key leaves the state once
+    ``remember`` has gone by: the state holds the keys of that time and no more. A copy
+    that comes later is stored again and left to the dedup view, as are copies
+    from other checkpoints. Which copy of one micro-batch passes is open; a
+    rejected row has a key of its own (a random one), since it has no event id.
+    """
+    own = F.when(F.col("_reason").isNotNull(), F.expr("uuid()"))
+    arrived = rows.select("*", F.current_timestamp().alias("_arrived"), own.alias("_own")).withWatermark("_arrived", remember)
+    first = arrived.dropDuplicatesWithinWatermark(["collector_ts", "event_name", "event_id", "_own"])
+    return first.drop("_arrived", "_own")
+
+
 def to_raw_events(good: DataFrame) -> DataFrame:
     """Typed raw_events projection (I4/I5) + month partition column (I11)."""
     missing = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in good.columns else F.lit("").alias(c) for c in TYPED]
@@ -278,10 +299,14 @@ def start_ingest(
     trigger_seconds: int | None = BATCH_SECONDS,
     available_now: bool = False,
     dedup_batch: bool = False,
+    remember: str | None = None,
 ):
     """Start the ingest query. ``dedup_batch`` collapses copies inside each
     micro-batch before writing; copies across batches are resolved by the
-    dedup view, so no event is dropped for being late."""
+    dedup view, so no event is dropped for being late. ``remember`` drops
+    copies across micro-batches too (``first_copies``); the metrics rows then
+    count what is left, the observed ones what came in. A checkpoint keeps the
+    choice it was started with."""
     rows = prepare(values, fields, encoding)
     rows = rows.observe(
         "ingest",
@@ -289,6 +314,9 @@ def start_ingest(
         F.count_if(F.col("_reason").isNull()).alias("good_rows"),
         F.count_if(F.col("_reason").isNotNull()).alias("bad_rows"),
     )
+    if remember:
+        rocksdb_state(values.sparkSession)
+        rows = first_copies(rows, remember)
     run = run_key(values.sparkSession, checkpoint)
     w = rows.writeStream.foreachBatch(
         lambda df, bid: write_batch(df, bid, sink, dead_letter, metrics, run=run, dedup_batch=dedup_batch)

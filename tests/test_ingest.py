@@ -25,14 +25,14 @@ def b64(s: str | bytes) -> str:
     return base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
 
 
-def run(spark, tmp_path, records, name="in", checkpoint=None):
+def run(spark, tmp_path, records, name="in", checkpoint=None, **how):
     src = tmp_path / name
     src.mkdir(exist_ok=True)
     (src / f"part-{len(list(src.iterdir()))}.txt").write_text("\n".join(records) + "\n")
     out = {k: str(tmp_path / k) for k in ("raw", "dead", "metrics")}
     q = ingest.start_ingest(
         ingest.file_source(spark, str(src)), TEST_TSV_FIELDS, out["raw"], out["dead"], out["metrics"],
-        checkpoint or str(tmp_path / "ckpt"), available_now=True,
+        checkpoint or str(tmp_path / "ckpt"), available_now=True, **how,
     )
     q.awaitTermination()
     return q, out
@@ -153,3 +153,27 @@ def test_unreadable_derived_tstamp_goes_to_the_dead_letter(spark):
     rows = spark.createDataFrame([with_derived(""), with_derived("not a time")], "value string")
     got = sorted(str(r["_reason"]) for r in ingest.prepare(rows, TEST_TSV_FIELDS).collect())
     assert got == ["None", "bad_derived_tstamp"]
+
+
+def test_copies_across_batches_are_dropped_and_late_events_pass(spark, tmp_path):
+    stored = lambda out: sorted(r.event_id for r in rawv.read_store(spark, out["raw"]).collect())
+    run(spark, tmp_path, [b64(line("e1")), b64(line("e1")), b64(line("e2")), "junk", "junk"], remember="1 day")
+    _, out = run(spark, tmp_path, [b64(line("e2")), b64(line("e1", ts="2019-03-01 00:00:00")), b64(line("e3")), "junk"], remember="1 day")
+    assert stored(out) == ["e1", "e1", "e2", "e3"]  # the second e1 is another event: years old, not late
+    assert spark.read.parquet(out["dead"]).count() == 3
+    # a new checkpoint knows nothing of the first: the dedup view settles its copies
+    _, out = run(spark, tmp_path, [b64(line("e2"))], name="in2", checkpoint=str(tmp_path / "other"), remember="1 day")
+    assert stored(out).count("e2") == 2 and rawv.event_view(rawv.read_store(spark, out["raw"]), as_of="2024-01-31").count() == 3
+
+
+def test_stream_state_forgets_keys(spark, tmp_path):
+    import time
+
+    run(spark, tmp_path, [b64(line("e1"))], remember="1 second")
+    time.sleep(3)
+    run(spark, tmp_path, [b64(line("e2"))], remember="1 second")  # moves the watermark past e1
+    q, out = run(spark, tmp_path, [b64(line("e1")), b64(line("e2"))], remember="1 second")
+    rows = [r.event_id for r in rawv.read_store(spark, out["raw"]).collect()]
+    assert sorted(rows) == ["e1", "e1", "e2"]  # e1 was forgotten, e2 not yet
+    state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert state and all(p["numRowsTotal"] <= 2 for p in state)
