@@ -75,23 +75,28 @@ WHERE 5 * shared >= 4 * item_shingles
 """
 
 OP9 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
-tri AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM tri) WHERE c > 1),
-cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+tri AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
 lines AS (
-  SELECT doc_id, source, l, regexp_extract_all(lower(l), '{_WORD}') AS ws FROM (
-    SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_WORD}')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
-freq AS (SELECT source, ws, min(doc_id) AS f FROM lines GROUP BY source, ws HAVING count(DISTINCT doc_id) > 100),
+  SELECT r, doc_id, source, l, regexp_extract_all(lower(l), '{_WORD}') AS ws FROM (
+    SELECT r, doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_WORD}')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT [doc_id]) AS n FROM d GROUP BY source),
+freq AS (
+  SELECT f.source, ws, f FROM (
+    SELECT source, ws, min(doc_id) AS f, count(DISTINCT [doc_id]) AS c FROM lines GROUP BY source, ws HAVING count(DISTINCT [doc_id]) > 5) f
+  JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE 100 * c > n),
 gone AS (
-  SELECT lines.doc_id, sum(len(lines.ws)) AS n FROM lines
-  JOIN freq ON lines.source IS NOT DISTINCT FROM freq.source AND lines.ws = freq.ws AND lines.doc_id <> freq.f GROUP BY ALL),
+  SELECT lines.r, sum(len(lines.ws)) AS n FROM lines
+  JOIN freq ON lines.source IS NOT DISTINCT FROM freq.source AND lines.ws = freq.ws AND lines.doc_id IS DISTINCT FROM freq.f GROUP BY ALL),
 base AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
          coalesce(cov.n, 0) AS n_repeat_words, cast(coalesce(gone.n, 0) AS bigint) AS removed_words
-  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN gone USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 50
        AND 2 * (n_words - removed_words) >= n_words AS kept

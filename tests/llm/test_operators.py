@@ -199,7 +199,7 @@ def test_column_generation_meets_the_bound():
 
 def test_line_rules_equal_brute_force(spark):
     texts = [t + "\nshared boiler line here\n" + t.split(" ")[0] * 2 for t in near_copies(9, 2, 8)] + [None, "", "a b c " * 30, "#q|\n#q|"]
-    got = {r.doc_id: r for r in line_rules.quality_rules(frame(spark, texts), max_docs=3).collect()}
+    got = {r.doc_id: r for r in line_rules.quality_rules(frame(spark, texts), min_docs=3, max_percent=1).collect()}
     norm = lambda s: tuple(WORD.findall(s.lower()))
     where = {}
     for i, t in enumerate(texts):
@@ -278,15 +278,23 @@ def test_line_rules_remove_lines_and_reject_depleted_documents_at_production_par
 
     boiler = " ".join(f"b{k}" for k in range(70))
     texts = [" ".join(f"d{i}x{k}" for k in range(60 if i % 2 else 90)) + "\n" + boiler for i in range(240)]
-    rows = [(i, t, "en", "host" if i < 200 else "small", len(t)) for i, t in enumerate(texts)]
+    host = lambda i: "host" if i < 200 else "small" if i < 205 else "large"
+    texts += [" ".join(f"e{i}x{k}" for k in range(60)) + ("\n" + boiler if i % 100 == 1 else "") for i in range(240, 1240)]  # 45 of 1,035
+    texts += [boiler.upper() + "\n" + " ".join(f"f{k}" for k in range(80))] * 8  # too few of a host's 2,000
+    texts += [" ".join(f"g{i}x{k}" for k in range(50)) for i in range(1992)]
+    rows = [(i, t, "en", host(i) if i < 1240 else "huge", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[7], (7, "other " + texts[8], "en", "host", None), (None, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     cols = "doc_id, n_words, removed_words, base_failed, kept"
     got = {tuple(r) for r in queries.op9_line_rules(spark, str(tmp_path)).selectExpr(*cols.split(", ")).collect()}
-    want = {(i, 160 - 30 * (i % 2), 70 if 0 < i < 200 else 0, False, not (0 < i < 200 and i % 2)) for i in range(240)}
-    assert got == want
+    assert {r for r in got if r[0] in range(205) and r[0] != 7} == {
+        (i, 160 - 30 * (i % 2), 70 if 0 < i < 200 else 0, False, not (0 < i < 200 and i % 2)) for i in range(205) if i != 7}
+    assert {r for r in got if r[0] == 7} == {(7, 130, 70, False, False), (7, 161, 70, False, True)}
+    assert {r[2] for r in got if 205 < (r[0] or 0) < 240} == {70} and {r[2] for r in got if (r[0] or 0) >= 1240} == {0}
+    assert (None, 0, 0, True, False) in got
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert set(con.sql(f"SELECT {cols} FROM ({oracle.OP9})").fetchall()) == want
+    assert set(con.sql(f"SELECT {cols} FROM ({oracle.OP9})").fetchall()) == got
 
 
 def test_lm_trains_on_every_share_and_grows_its_outcomes(spark, monkeypatch):
