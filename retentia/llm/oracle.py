@@ -24,7 +24,7 @@ WITH lines AS (
       SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
 bags AS (
   SELECT doc_id, no, list_sort(list_distinct(regexp_extract_all(lower(line), '{_WORD}'))) AS k FROM lines),
-sets AS (SELECT k, len(k) AS n, min((doc_id, no)) AS f FROM bags WHERE len(k) >= 5 GROUP BY k),
+sets AS (SELECT k, len(k) AS n, min((doc_id, no)) AS f FROM bags WHERE len(k) > 0 GROUP BY k),
 words AS (SELECT f, n, unnest(k) AS w FROM sets),
 df AS (SELECT w, count(*) AS c FROM words GROUP BY w),
 pref AS (

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retentia.llm import (
     common, decontam, langid, lbl_lm, line_dedup, line_rules, ngram_join, packing, quality_cotrain, queries, token_counts, toxicity,
@@ -90,12 +91,36 @@ def test_missing_languages_are_und(docs):
 def test_line_dedup_equals_brute_force(spark, seed):
     texts = ["\n".join(near_copies(seed * 10 + i, 2, 3)) for i in range(12)] + [None, "", "a b", "x y z\nx y z"]
     sets = [((i, n), frozenset(WORD.findall(line.lower()))) for i, t in enumerate(texts) if t is not None for n, line in enumerate(t.split("\n"))]
-    sets = [(k, s) for k, s in sets if len(s) >= 5]
+    sets = [(k, s) for k, s in sets if s]
     want = {k for j, (k, s) in enumerate(sets) if any(5 * len(s & u) >= 4 * len(s | u) for _, u in sets[:j])}
     got = line_dedup.similar_lines(frame(spark, texts)).collect()
     assert {(r.doc_id, n) for r in got for n in r.line_nos} == want and want
 
 
+def test_line_dedup_of_wide_ids_repeats_and_many_lines(spark):
+    big, line = 2**62, "one two three four five six"
+    long = "\n".join(f"r{k} s{k} t{k}" for k in range(3_000)) + "\n" + "w " * 3_000_000 + "\n" + line
+    rows = [
+        (big, long, "x", 1), (big + 1, line + " \nkeep this", "x", 1), (-big, "One two", None, None), (5, "one TWO\ntwo", None, None),
+        (8, "quite alone here", "a", 1), (8, line + "\nlast of eight", "b", 1), (8, line + "\nlast of eight", "b", 1),
+        (None, line, None, None), (9, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, lines_removed int")
+    assert line_dedup.line_id(docs) == line_dedup.WIDE_ID
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "__id", "lines_removed"]
+    kept = Counter((r.doc_id, r.text, r["__id"], r.lines_removed) for r in got.collect())
+    assert kept == Counter([
+        (big, "\n".join(long.split("\n")[:-1]), "x", 1), (big + 1, "keep this", "x", 1), (-big, "One two", None, 0), (5, "two", None, 1),
+        (8, "quite alone here", "a", 0), (8, line + "\nlast of eight", "b", 0), (8, line + "\nlast of eight", "b", 0),
+        (None, line, None, 0), (9, None, None, 0)])
+    # the short form decides alike
+    few = docs.filter("doc_id IS NULL OR doc_id <> 8")
+    assert line_dedup.line_id(few.filter(f"abs(doc_id) < {big}")) != line_dedup.WIDE_ID
+    small = few.withColumn("doc_id", F.expr(f"CASE WHEN doc_id >= {big} THEN doc_id - {big} + 100 WHEN doc_id = -{big} THEN -7 ELSE doc_id END"))
+    assert line_dedup.line_id(small) != line_dedup.WIDE_ID
+    assert {(r.doc_id, r.lines_removed) for r in line_dedup.dedup_lines(small).collect()} == {(100, 0), (101, 1), (-7, 0), (5, 1), (None, 0), (9, 0)}
+
+
 def test_ngram_components_equal_brute_force(spark):
     texts = near_copies(3) + [None, "", " ", "a", "a b", "A  B", "a b c"]
     sets = []
