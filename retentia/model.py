@@ -118,3 +118,18 @@ TEST_TSV_FIELDS = [
     "se_property",
     "contexts",
 ]
+
+# fixed values: tracker fields that are not text, by the public tracker protocol
+INT_FIELDS = (
+    "br_viewheight", "br_viewwidth", "doc_height", "doc_width", "domain_sessionidx", "dvce_screenheight", "dvce_screenwidth",
+    "page_urlport", "pp_xoffset_max", "pp_xoffset_min", "pp_yoffset_max", "pp_yoffset_min", "refr_urlport", "ti_quantity", "txn_id",
+)
+DOUBLE_FIELDS = (
+    "geo_latitude", "geo_longitude", "se_value", "ti_price", "ti_price_base", "tr_shipping", "tr_shipping_base", "tr_tax",
+    "tr_tax_base", "tr_total", "tr_total_base",
+)
+BOOLEAN_FIELDS = (
+    "br_cookies", "br_features_director", "br_features_flash", "br_features_gears", "br_features_java", "br_features_pdf",
+    "br_features_quicktime", "br_features_realplayer", "br_features_silverlight", "br_features_windowsmedia", "dvce_ismobile",
+)
+FIELD_TYPES = {**dict.fromkeys(INT_FIELDS, "bigint"), **dict.fromkeys(DOUBLE_FIELDS, "double"), **dict.fromkeys(BOOLEAN_FIELDS, "boolean")}

@@ -52,10 +52,10 @@ def _deliver(spark: SparkSession, lines, paths: dict, run: str, max_files: int |
     _run(spark, paths, run, max_files, **how)
 
 
-def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = None, **how) -> None:
+def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = None, fields: list[str] = TEST_TSV_FIELDS, **how) -> None:
     q = ingest.start_ingest(
         ingest.file_source(spark, f"{paths['in']}/{run}", max_files_per_trigger=max_files),
-        TEST_TSV_FIELDS,
+        fields,
         paths["raw_events"],
         paths["dead_letter"],
         paths["metrics"],
@@ -124,6 +124,29 @@ def q_ingest_dedup_stream(spark: SparkSession, sf: str):
         F.count("*").alias("stored_rows"), F.countDistinct("collector_tstamp", "event_name", "event_id").alias("n_events"))
 
 
+def q_ingest_payload(spark: SparkSession, sf: str):
+    """Numbers, flags, a self-describing event and contexts of two fields, read from the stored payloads with their types."""
+    ensure_utc(spark)
+    paths, lines = _paths(scratch(spark, "payload")), _with_id(spark, sf)
+    item = "named_struct('schema', 'iglu:com.acme/{0}/jsonschema/2-0-1', 'data', named_struct('n', id))"
+    more = lines.select(F.concat_ws(
+        "\t", "line", F.expr("CAST(id % 8 / 4.0D AS string)"), F.expr("CASE WHEN id % 5 > 0 THEN CAST(id AS string) ELSE '' END"), F.expr("CAST(id % 2 AS string)"),
+        F.expr(f"to_json(named_struct('data', {item.format('itemBought')}))"),
+        F.expr(f"to_json(named_struct('data', array({item.format('geo-hint')}, {item.format('geo-hint')})))")).alias("line"))
+    value = F.regexp_replace(F.base64(F.encode("line", "UTF-8")), "\\s", "").alias("value")
+    fields = [*TEST_TSV_FIELDS, "se_value", "domain_sessionidx", "br_cookies", "unstruct_event", "derived_contexts"]
+    _deliver(spark, more.select(value), paths, "0", fields=fields)
+    v = F.try_parse_json("event")
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    shape = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return rawv.read_store(spark, paths["raw_events"]).select(
+        "event_id", get("$.se_value", "double").alias("se_value"), get("$.domain_sessionidx", "bigint").alias("session_no"),
+        get("$.br_cookies", "boolean").alias("cookies"), (shape("$.br_cookies") == "BOOLEAN").alias("is_flag"),
+        (shape("$.domain_sessionidx") == "BIGINT").alias("is_number"), get("$.unstruct_event_com_acme_item_bought_2.n", "bigint").alias("bought"),
+        get("$.contexts_com_acme_geo_hint_2[1].n", "bigint").alias("hint"),
+        get("$.contexts_com_snowplowanalytics_mobile_application_1[0].version", "string").alias("app_version"))
+
+
 def q_ingest_dead_letter(spark: SparkSession, sf: str):
     """Rejected rows by reason, of a stream in which four lines in ten are broken."""
     rejected = spark.read.schema("value string, reason string").parquet(_run_broken(spark, sf)["dead_letter"])
@@ -297,6 +320,7 @@ QUERIES = {
     "ingest_replay": q_ingest_replay,
     "ingest_lost_checkpoint": q_ingest_lost_checkpoint,
     "ingest_dedup_stream": q_ingest_dedup_stream,
+    "ingest_payload": q_ingest_payload,
     "ingest_dead_letter": q_ingest_dead_letter,
     "ingest_metrics": q_ingest_metrics,
     "snapshot_sessions": q_snapshot_sessions,

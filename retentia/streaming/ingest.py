@@ -8,11 +8,13 @@ One Structured Streaming query replaces the poll/buffer/insert/commit loop:
 * decode (I1): ``try_to_binary(value, 'base64')`` + ``try_validate_utf8``:
   bad base64 or bad UTF-8 gives NULL, never a failed query;
 * parse (I2): split the tab-separated line by a caller-given field list; the
-  field count must match; empty fields are "not populated"; context fields
-  (``{"data": [{"schema": iglu-uri, "data": {...}}]}``) are expanded into
-  ``contexts_<vendor>_<name>_<major>`` arrays;
-* validate (I3): rows without event_id or a parseable collector_tstamp go to
-  the dead-letter table with a reason;
+  field count must match; empty fields are "not populated"; numbers and flags
+  keep their type; context fields (``{"data": [{"schema": iglu-uri, "data":
+  {...}}]}``) are expanded into ``contexts_<vendor>_<name>_<major>`` arrays, the
+  self-describing event (``{"data": {"schema": ..., "data": {...}}}``) into one
+  ``unstruct_event_<vendor>_<name>_<major>`` object;
+* validate (I3): rows without event_id or a parseable collector_tstamp, or with
+  text where a number or flag belongs, go to the dead-letter table with a reason;
 * project (I4/I5): the typed raw_events columns ('' for missing strings,
   timestamps truncated to ms) plus the compact JSON payload;
 * sink (I8/I11): ``foreachBatch`` writes the batch under
@@ -37,12 +39,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import rocksdb_state
-from ..model import BATCH_SECONDS, INGEST_BATCH_COL, INGEST_RUN_COL, MONTH_COL
+from ..model import BATCH_SECONDS, FIELD_TYPES, INGEST_BATCH_COL, INGEST_RUN_COL, MONTH_COL
 from ..sources.raw_events import dedup
 
 TYPED = ["event_id", "event_name", "app_id", "platform", "domain_userid", "domain_sessionid"]
 CONTEXT_FIELDS = ("contexts", "derived_contexts")
+EVENT_FIELD = "unstruct_event"
 _CTX_SCHEMA = "data array<struct<schema string, data string>>"
+_EVENT_SCHEMA = "data struct<schema string, data string>"
 _ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -101,17 +105,17 @@ def _context_key(schema: Column) -> Column:
     return F.concat_ws("_", F.regexp_replace(vendor, r"[.\-]", "_"), F.regexp_replace(snake, "-", "_"), major)
 
 
-def _context_pairs(field: str, text: Column) -> Column:
-    """JSON members ``"<field>_<key>":[{...},...]`` for one context column."""
-    entries = F.transform(
-        F.coalesce(F.from_json(text, _CTX_SCHEMA).getField("data"), F.array()),
-        lambda e: F.struct(_context_key(e["schema"]).alias("k"), e["data"].alias("d")),
-    )
+def _context_pairs(texts: list[Column]) -> Column:
+    """JSON members ``"contexts_<key>":[{...},...]``, the entries of all context columns under one key together."""
+    entries = F.array()
+    for text in texts:
+        found = F.coalesce(F.from_json(text, _CTX_SCHEMA).getField("data"), F.array())
+        entries = F.concat(entries, F.transform(found, lambda e: F.struct(_context_key(e["schema"]).alias("k"), e["data"].alias("d"))))
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     return F.transform(
         keys,
         lambda k: F.concat(
-            F.lit(f'"{field}_'),
+            F.lit('"contexts_'),
             k,
             F.lit('":['),
             F.array_join(F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["d"]), ","),
@@ -120,28 +124,49 @@ def _context_pairs(field: str, text: Column) -> Column:
     )
 
 
-def parse(lines: DataFrame, fields: list[str], line_col: str = "line") -> DataFrame:
+def _event_pair(text: Column) -> Column:
+    """The JSON member ``"unstruct_event_<key>":{...}`` in an array, which is empty without one."""
+    e = F.from_json(text, _EVENT_SCHEMA).getField("data")
+    member = F.concat(F.lit(f'"{EVENT_FIELD}_'), _context_key(e["schema"]), F.lit('":'), e["data"])
+    return F.array_compact(F.array(member))
+
+
+def _typed(value: Column, kind: str) -> Column:
+    """The value of a field of this type, NULL where the text is none; flags are ``1`` and ``0``."""
+    if kind == "boolean":
+        return F.when(value == "1", True).when(value == "0", False)
+    return value.try_cast(kind)
+
+
+def parse(lines: DataFrame, fields: list[str], line_col: str = "line", types: dict[str, str] = FIELD_TYPES) -> DataFrame:
     """Split lines into named string columns (I2) and build the payload (I4).
 
-    Output columns: the decoded line, ``_ok_count`` (field count matches), one
+    Output columns: the decoded line, ``_ok_count`` (field count matches),
+    ``_ok_values`` (every populated field of ``types`` reads as its type), one
     column per field (NULL when empty), ``collector_ts``/``derived_ts`` parsed
-    timestamps, and ``event`` (JSON of the populated fields, contexts expanded,
-    timestamps in ISO-8601 UTC).
+    timestamps, and ``event`` (JSON of the populated fields, numbers and flags
+    by ``types``, contexts and the self-describing event expanded, timestamps
+    in ISO-8601 UTC). A context or event that is no such JSON is left out.
     """
     parts = F.split(F.col(line_col), "\t", -1)
     cols = [F.nullif(F.get(parts, i), F.lit("")).alias(f) for i, f in enumerate(fields)]
     df = lines.select("*", (F.size(parts) == len(fields)).alias("_ok_count"), *cols)
     ts = {f: F.date_trunc("MILLISECOND", F.try_to_timestamp(F.col(f))) for f in fields if f.endswith("_tstamp")}
+    typed = {f: _typed(F.col(f), types[f]) for f in fields if f in types}
+    ok = F.lit(True)
+    for f, value in typed.items():
+        ok = ok & (F.col(f).isNull() | value.isNotNull())
     scalar = [
-        (F.date_format(ts[f], _ISO_MS) if f in ts else F.col(f)).alias(f)
+        (F.date_format(ts[f], _ISO_MS) if f in ts else typed.get(f, F.col(f))).alias(f)
         for f in fields
-        if f not in CONTEXT_FIELDS
+        if f not in CONTEXT_FIELDS and f != EVENT_FIELD
     ]
     base = F.to_json(F.struct(*scalar))
-    pairs = F.array()
-    for f in fields:
-        if f in CONTEXT_FIELDS:
-            pairs = F.concat(pairs, _context_pairs(f, F.col(f)))
+    pairs = F.array().cast("array<string>")
+    if contexts := [F.col(f) for f in fields if f in CONTEXT_FIELDS]:
+        pairs = F.concat(pairs, _context_pairs(contexts))
+    if EVENT_FIELD in fields:
+        pairs = F.concat(pairs, _event_pair(F.col(EVENT_FIELD)))
     members = F.array_join(pairs, ",")
     payload = F.when(F.size(pairs) == 0, base).otherwise(
         F.concat(
@@ -156,6 +181,7 @@ def parse(lines: DataFrame, fields: list[str], line_col: str = "line") -> DataFr
         ts.get("collector_tstamp", F.lit(None).cast("timestamp")).alias("collector_ts"),
         ts.get("derived_tstamp", F.lit(None).cast("timestamp")).alias("derived_ts"),
         payload.alias("event"),
+        ok.alias("_ok_values"),
     )
 
 
@@ -169,6 +195,7 @@ def dead_letter_reason(derived: Column) -> Column:
         .when(F.col("collector_tstamp").isNull(), "missing_collector_tstamp")
         .when(F.col("collector_ts").isNull(), "bad_collector_tstamp")
         .when(derived.isNotNull() & F.col("derived_ts").isNull(), "bad_derived_tstamp")
+        .when(~F.col("_ok_values"), "bad_value")
     )
 
 

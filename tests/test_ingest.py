@@ -177,3 +177,28 @@ def test_stream_state_forgets_keys(spark, tmp_path):
     assert sorted(rows) == ["e1", "e1", "e2"]  # e1 was forgotten, e2 not yet
     state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
     assert state and all(p["numRowsTotal"] <= 2 for p in state)
+
+
+def test_typed_payload(spark):
+    fields = ["event_id", "event_name", "collector_tstamp", "txn_id", "tr_total", "dvce_ismobile", "contexts", "unstruct_event", "derived_contexts"]
+    one = lambda schema, data: {"schema": f"iglu:{schema}/jsonschema/1-0-0", "data": data}
+    ctx = lambda *entries: json.dumps({"schema": "iglu:a/contexts/jsonschema/1-0-0", "data": list(entries)})
+    event = json.dumps({"schema": "iglu:a/unstruct/jsonschema/1-0-0", "data": one("com.acme-x/linkClick", {"url": "a\"b", "n": 1.5})})
+    t = "2024-01-05 10:00:00.123"
+    rows = [
+        ["e1", "ev", t, "12", "1.25", "1", ctx(one("org.w3/page", {"id": 1})), event, ctx(one("org.w3/page", {"id": 2}), one("b/c", {}))],
+        ["e2", "ev", t, "", "", "0", "", "", ""],
+        ["e3", "ev", t, "x", "", "", "", "", ""],
+        ["e4", "ev", t, "", "1,5", "", "", "", ""],
+        ["e5", "ev", t, "", "", "yes", "", "", ""],
+        ["e6", "ev", t, "-3", "1e3", "", "{", "[]", ctx()],
+    ]
+    df = ingest.prepare(spark.createDataFrame([(b64("\t".join(r)),) for r in rows], "value string"), fields)
+    got = {r.event_id: r for r in df.collect()}
+    assert {k: r["_reason"] for k, r in got.items()} == {"e1": None, "e2": None, "e3": "bad_value", "e4": "bad_value", "e5": "bad_value", "e6": None}
+    head = lambda k: {"event_id": k, "event_name": "ev", "collector_tstamp": "2024-01-05T10:00:00.123Z"}
+    assert json.loads(got["e1"].event) == {
+        **head("e1"), "txn_id": 12, "tr_total": 1.25, "dvce_ismobile": True, "contexts_org_w3_page_1": [{"id": 1}, {"id": 2}], "contexts_b_c_1": [{}],
+        "unstruct_event_com_acme_x_link_click_1": {"url": "a\"b", "n": 1.5}}
+    assert json.loads(got["e2"].event) == {**head("e2"), "dvce_ismobile": False}
+    assert json.loads(got["e6"].event) == {**head("e6"), "txn_id": -3, "tr_total": 1000.0}
