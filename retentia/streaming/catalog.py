@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import ensure_checkpoint_dir, ensure_utc
-from ..model import MESSAGES_SCHEMA, TEST_TSV_FIELDS
+from ..model import MESSAGES_SCHEMA, RAW_EVENTS_SCHEMA, TEST_TSV_FIELDS
 from ..plans import marts
 from ..plans.bucketed import BucketedSessions
 from ..operators import sessions
@@ -26,7 +26,10 @@ from ..sources import tables
 from ..sources import testviews as tv
 from ..sources.event_store import EventStore
 from . import ingest
-from .live_sessions import live_sessions
+from .activity import activity, activity_windows
+from .live_sessions import current_sessions, live_sessions, session_updates
+
+LIVE_CUT = "2024-01-20 12:00:00"  # where the second delivery of the live queries starts
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -203,6 +206,41 @@ def q_live_sessions(spark: SparkSession, sf: str):
     return spark.read.parquet(f"{base}/out")
 
 
+def _append(rows: DataFrame, base: str, *partitions: str) -> None:
+    """Run a streaming result into parquet until its source is read."""
+    out = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    if partitions:
+        out = out.partitionBy(*partitions)
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def q_open_sessions(spark: SparkSession, sf: str):
+    """Numbered sessions, open ones too, after two deliveries; the second brings
+    every fifth message of the day and a half before the cut, which joins
+    sessions that the first had told apart."""
+    ensure_utc(spark)
+    base, msgs, convs = scratch(spark, "open"), tv.messages(spark, sf), tv.conversations(spark, sf)
+    late = F.expr(f"created_at >= TIMESTAMP '{LIVE_CUT}' OR (id % 5 = 0 AND created_at >= TIMESTAMP '{LIVE_CUT}' - INTERVAL 36 HOURS)")
+    for delivery in (msgs.where(~late), msgs.where(late)):
+        delivery.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(MESSAGES_SCHEMA).parquet(f"{base}/in")
+        _append(session_updates(source, convs, gap_minutes=DAY_GAP, delay="2 days"), base)
+    return current_sessions(spark.read.parquet(f"{base}/out"), convs)
+
+
+def q_activity_mart(spark: SparkSession, sf: str):
+    """The recent-activity card at every minute, from a stream in two deliveries;
+    the second repeats the five minutes before the cut and old events."""
+    ensure_utc(spark)
+    base, raw = scratch(spark, "activity"), tv.raw_events(spark, sf)
+    cut = f"TIMESTAMP '{LIVE_CUT}'"
+    for rule in (f"collector_tstamp < {cut}", f"collector_tstamp >= {cut} - INTERVAL 5 MINUTES OR CAST(event_id AS long) % 50 = 0"):
+        raw.where(rule).write.mode("append").parquet(f"{base}/in")
+        source = rawv.facts(spark.readStream.schema(RAW_EVENTS_SCHEMA).parquet(f"{base}/in"))
+        _append(activity_windows(source, delay="10 minutes"), base, "day")
+    return activity(spark.read.parquet(f"{base}/out"))
+
+
 def run_compaction(spark: SparkSession, sf: str) -> EventStore:
     """Deliveries with copies of one another under three checkpoints, two of
     them compacted (the older batches are deleted), the third still pending."""
@@ -326,6 +364,8 @@ QUERIES = {
     "snapshot_sessions": q_snapshot_sessions,
     "recent_logins": q_recent_logins,
     "live_sessions": q_live_sessions,
+    "open_sessions": q_open_sessions,
+    "activity_mart": q_activity_mart,
     "compacted_events": q_compacted_events,
     "compacted_days": q_compacted_days,
     "daily_cards": q_daily_cards,

@@ -3,14 +3,20 @@
 Sessions are event-time session windows per conversation: a message within
 ``gap_minutes`` of the previous one (exactly the gap included) extends the
 session. The watermark bounds state; in append mode a session is emitted once
-the watermark passes its end, so still-open sessions are withheld. There is
-no session index in the stream; number sessions in a batch read if needed.
+the watermark passes its end, so still-open sessions are withheld, and there
+is no session index. :func:`session_updates` keeps state of its own per
+conversation instead: it reports open sessions too, and numbers them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..model import SESSION_GAP_MINUTES
 
@@ -41,3 +47,114 @@ def live_sessions(
     return sessions.join(chats, "conversation_id").select(
         "conversation_id", "user_id", "influencer_id", "started_at", "ended_at", "user_turns", "bot_turns", "system_turns"
     )
+
+
+#: Messages of one conversation are collapsed by this much time before they are shuffled to their state.
+PIECE_SECONDS = 60
+
+_UPDATE = (
+    "conversation_id string, session_index int, started_at timestamp, ended_at timestamp, "
+    "user_turns int, bot_turns int, system_turns int, status string, version bigint"
+)
+_STATE = "closed bigint, version bigint, starts array<bigint>, ends array<bigint>, users array<bigint>, bots array<bigint>, systems array<bigint>"
+_ROLES = ("user", "assistant", "system")
+
+
+def _pieces(piece_us: int):
+    """Rows (conversation_id, role, t) -> one row per conversation and piece of time, for each Arrow batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in frames:
+            turns = {n: (d["role"] == r).astype("int64") for n, r in enumerate(_ROLES)}
+            d = pd.DataFrame({"conversation_id": d["conversation_id"], "piece": d["t"] // piece_us, "first": d["t"], "last": d["t"], **turns})
+            out = d.groupby(["conversation_id", "piece"], sort=False).agg({"first": "min", "last": "max", 0: "sum", 1: "sum", 2: "sum"})
+            yield out.reset_index().drop(columns="piece").set_axis(["conversation_id", "first", "last", "users", "bots", "systems"], axis=1)
+
+    return run
+
+
+def merge_runs(rows: np.ndarray, gap_us: int) -> np.ndarray:
+    """Rows (first, last, counts…) merged wherever one starts at most the gap after all before it have ended."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    reach = np.maximum.accumulate(rows[:, 1])
+    heads = np.flatnonzero(np.concatenate(([True], rows[1:, 0] - reach[:-1] > gap_us)))
+    last = np.maximum.reduceat(rows[:, 1], heads)
+    return np.column_stack([rows[heads, 0], last, np.add.reduceat(rows[:, 2:], heads, axis=0)])
+
+
+def _advance(gap_us: int, piece_us: int):
+    """The state of one conversation: sessions that a message may still reach, and how many lie before them."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        closed, version, *lists = state.get if state.exists else (0, 0, [], [], [], [], [])
+        held = np.array(lists, dtype=np.int64).T.reshape(-1, 5)
+        fresh = [] if state.hasTimedOut else [d[["first", "last", "users", "bots", "systems"]].to_numpy(np.int64) for d in frames]
+        now = merge_runs(np.concatenate([held, *fresh]), gap_us)
+        until = now[:, 1] + gap_us + piece_us  # from here on no message can reach the session
+        done = int(np.searchsorted(until, state.getCurrentWatermarkMs() * 1000, side="right"))
+
+        shown = [(*row, "open") for row in held.tolist()]
+        told = [(*row, "closed" if i < done else "open") for i, row in enumerate(now.tolist())]
+        rows = [(closed + i + 1, *row) for i, row in enumerate(told) if i >= len(shown) or row != shown[i]]
+        rows += [(closed + i + 1, *row[:5], "gone") for i, row in enumerate(shown) if i >= len(told)]
+        state.update((closed + done, version + bool(rows), *now[done:].T.tolist()))
+        if done < len(now):
+            state.setTimeoutTimestamp(int(-(-until[done] // 1000)))
+        if rows:
+            out = pd.DataFrame(rows, columns=["session_index", "started_at", "ended_at", "user_turns", "bot_turns", "system_turns", "status"])
+            for c in ("started_at", "ended_at"):
+                out[c] = pd.to_datetime(out[c], unit="us")
+            out.insert(0, "conversation_id", key[0])
+            yield out.assign(version=version + 1)
+
+    return run
+
+
+def session_updates(
+    messages: DataFrame,
+    conversations: DataFrame,
+    gap_minutes: float = SESSION_GAP_MINUTES,
+    delay: str = "1 hour",
+    chat_type: str = "ai_chat",
+) -> DataFrame:
+    """Streaming ``messages`` → append-only updates of numbered sessions, open ones included.
+
+    A row says what session ``session_index`` (1, 2, … by time) of a
+    conversation is as of ``version`` (ascending per conversation): ``open``,
+    ``closed`` (the watermark says that no message can reach it any more) or
+    ``gone`` (a late message joined two sessions, so the last number is no
+    longer used). :func:`current_sessions` folds the updates.
+
+    * Messages of other chat types are dropped first, by a semi join with the
+      static ``conversations``.
+    * Each task collapses its messages by conversation and minute before the
+      shuffle, so a conversation with a third of all messages sends one row a
+      task and minute.
+    * State per conversation: the sessions that a message may still reach (those
+      of the last ``delay`` + gap) and two counters, which never expire: the
+      numbering depends on them. An event-time timer closes sessions of
+      conversations that fall silent.
+    * Messages without time or conversation are dropped, messages behind the
+      watermark as well. Instants that tie belong to one session, as with
+      ``sessionize(tie_break="id")``.
+    """
+    gap_us = int(gap_minutes * 60_000_000)
+    piece_us = max(1, min(PIECE_SECONDS * 1_000_000, gap_us))
+    chats = conversations.where(F.col("conversation_type") == chat_type).select(F.col("id").alias("conversation_id"))
+    chat = messages.where("created_at IS NOT NULL").join(chats, "conversation_id", "left_semi")
+    pieces = chat.select("conversation_id", "role", F.unix_micros("created_at").alias("t")).mapInPandas(
+        _pieces(piece_us), "conversation_id string, first bigint, last bigint, users bigint, bots bigint, systems bigint")
+    timed = pieces.withColumn("seen_at", F.timestamp_micros("last")).withWatermark("seen_at", delay)
+    return timed.groupBy("conversation_id").applyInPandasWithState(
+        _advance(gap_us, piece_us), _UPDATE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def current_sessions(updates: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The newest state of every session of :func:`session_updates`, with its chat's user and influencer."""
+    keys = ["conversation_id", "session_index"]
+    rest = [c for c in updates.columns if c not in keys]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_row")).select(*keys, "_row.*")
+    chats = conversations.select(F.col("id").alias("conversation_id"), "user_id", "influencer_id")
+    return newest.where("status <> 'gone'").drop("version").join(chats, "conversation_id")
