@@ -7,9 +7,14 @@ then at most the symmetric difference. Cut into one block more than that
 bound, two linked sketches agree on a block (pigeonhole).
 
 * Size bands: a linked partner lies in the same band or the next, so a
-  document emits blocks for its own band (as the smaller side) and for the
-  band below (as the larger side); each band fixes the sketch's width.
+  document emits blocks for its own band (as the smaller side) and, if a
+  linked set may lie there, for the band below (as the larger side); each band
+  fixes the sketch's width.
 * Equal sets collapse to their smallest doc_id first.
+* Block rows are shuffled once, by block. Blocks that hold over a
+  ``HOT_SHARE``-th of the block rows of a sample are few, so their leads are
+  broadcast and their rows stay where they are. The sample only chooses
+  between two ways to the same pairs.
 * Documents that share a block are first checked against the block's smallest
   document only, the lead of their group. Connected components of those links
   settle groups of copies without pairing their members. Members of a group
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, ascii_words, components, each, maybe_in, mix, saved, shingles, signed, text_bytes, through_pandas
@@ -41,6 +46,8 @@ WIDTH = 3
 PERCENT = 90
 BLOCK_WORDS = 3  # 64-bit words in a block: about 13 set bits at these widths
 SKETCH_WORDS = 8  # longs of the sketch that two members of a group compare
+HOT_SHARE = 10_000  # at most so many blocks are hot
+BATCH = 1_000  # sets that a task holds at once
 
 
 def bands(longest: int, percent: int = PERCENT) -> list[int]:
@@ -66,12 +73,17 @@ def _blocks(h: np.ndarray, slot: int, top: int, percent: int) -> np.ndarray:
 
 
 def block_keys(h: np.ndarray, tops: list[int], percent: int = PERCENT) -> np.ndarray:
-    """All block keys of a set: its own band, and the band below."""
+    """All block keys of a set: its own band, and the band below if a linked set may lie there."""
     band = int(np.searchsorted(tops, len(h)))
-    if band == 0 and percent >= 50:
-        return np.empty(0, np.int64) if len(h) < tops[0] + 1 else _blocks(h, 0, tops[0], percent)
-    keys = [_blocks(h, k, tops[k], percent) for k in (band, band - 1) if k >= 1]
-    return np.concatenate(keys)
+    slots = [band] if band else []
+    if band > 1 and len(h) * percent <= 100 * tops[band - 1]:
+        slots.append(band - 1)
+    return np.concatenate([np.empty(0, np.int64), *(_blocks(h, k, tops[k], percent) for k in slots)])
+
+
+def _few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield from (frame.iloc[i : i + BATCH] for i in range(0, len(frame), BATCH))
 
 
 def _sets(percent: int, width: int):
@@ -93,7 +105,7 @@ def _sets(percent: int, width: int):
                 blocks.append(block_keys(h, tops, percent) if len(h) else np.empty(0, np.int64))
             return pd.DataFrame({"doc_id": d["doc_id"], "n": n, "k1": k1, "k2": k2, "blocks": blocks})
 
-        yield from each(frames, f)
+        yield from each(_few(frames), f)
 
     return run
 
@@ -113,18 +125,20 @@ def _arrays(width: int):
             sets = [shingles(hashed(ascii_words(t)), width) for t in text_bytes(d["text"])]
             return pd.DataFrame({"doc_id": d["doc_id"], "h": [signed(h) for h in sets], "sig": [sketch(h) for h in sets]})
 
-        yield from each(frames, f)
+        yield from each(_few(frames), f)
 
     return run
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) with both shingle sets x and y, the sketch of y and ``linked``, the exact verdict."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.filter(maybe_in(ids, "doc_id", "doc_id")).join(ids, "doc_id", "left_semi")
-    sets = through_pandas(rows, _arrays(width), "doc_id bigint, h array<bigint>, sig array<bigint>")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y"), "sig"), "b")
+    def sets(side: str) -> DataFrame:
+        ids = pairs.select(F.col(side).alias("doc_id")).distinct()
+        rows = docs.filter(maybe_in(ids, "doc_id", "doc_id")).join(ids, "doc_id", "left_semi")
+        return through_pandas(rows, _arrays(width), "doc_id bigint, h array<bigint>, sig array<bigint>")
+
+    both = pairs.join(sets("a").select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(
+        sets("b").select(F.col("doc_id").alias("b"), F.col("h").alias("y"), "sig"), "b")
     common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return common.withColumn("linked", F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)"))
 
@@ -163,19 +177,29 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool)
     return one.join(two, ["a", "el"]).filter(f"u.b < v.b AND u.root <> v.root AND {near}").selectExpr("u.b AS a", "v.b AS b").distinct()
 
 
+def _led(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """Pairs (a, b): b shares a block with a, the smallest document that has the block. Both hold (doc_id, block)."""
+    seen = sample.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    hot = saved(seen.filter((F.col("n") > 1) & (F.col("n") * HOT_SHARE > seen.agg(F.sum("n")).scalar())).select("block"), "hot")
+    cold = rows.join(F.broadcast(hot), "block", "left_anti").withColumn("lead", F.min("doc_id").over(Window.partitionBy("block")))
+    few = rows.join(F.broadcast(hot), "block", "left_semi")
+    leads = few.groupBy("block").agg(F.min("doc_id").alias("lead"))  # a row per hot block, HOT_SHARE at most
+    both = cold.select("doc_id", "lead").union(few.join(F.broadcast(leads), "block").select("doc_id", "lead"))
+    return both.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id: a row per input row."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = saved(through_pandas(d, _sets(percent, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets")
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
-    heads = full.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = heads.select("doc_id", F.explode("blocks").alias("block"))
-    # A count of doc_ids would shuffle them; smallest <> largest says as much.
-    stats = rows.groupBy("block").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last")
-    shared = saved(rows.join(stats.select("block", "lead"), "block").select("doc_id", "lead").distinct(), "blocks")
-
-    pairs = saved(shared.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    # Nearly all documents lead a class, so the others are kept: their ids are few unless copies are many.
+    heads = classes.select(F.col("class_id").alias("doc_id"))
+    copies = saved(full.select("doc_id").join(heads, "doc_id", "left_anti").distinct(), "copies")
+    rows = full.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("blocks").alias("block"))
+    sample = full.filter("pmod(xxhash64(doc_id), 128) = 0").select("doc_id", F.explode("blocks").alias("block"))
+    pairs = saved(_led(rows, sample), "pairs")
     own = "concat(array_except(y, x), array_except(x, y))"
     star = saved(
         _compared(pairs, d, percent, width).select("a", "b", "linked", F.size("y").alias("n"), F.expr("size(x) + size(y) - 2 * common").alias("m"),
