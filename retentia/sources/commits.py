@@ -74,5 +74,12 @@ class CommitLog:
             return []
         return [(s.getPath().getName(), s.getModificationTime()) for s in self.fs.listStatus(at) if s.isDirectory()]
 
+    def files(self, *names) -> int:
+        """How many data files lie below ``names``."""
+        at = self.path(*names) if names else self.Path(self.base)
+        if not self.fs.exists(at):
+            return 0
+        return sum(s.isFile() and not s.getPath().getName().startswith(("_", ".")) for s in self.fs.listStatus(at))
+
     def delete(self, *names) -> None:
         self.fs.delete(self.path(*names), True)

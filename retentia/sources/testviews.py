@@ -21,7 +21,7 @@ Mapping (fixed values):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import ensure_utc, spread
@@ -113,9 +113,9 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tracker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as enriched tab-separated tracker lines, base64
-    encoded, one per event: the stream the ingest job consumes in tests.
+def tracker_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as enriched tab-separated tracker lines, one per
+    event, beside the event's id: a filter on ``id`` reaches the scan and builds no line.
 
     Field order is ``model.TEST_TSV_FIELDS``; the user id travels top-level or
     in the client-session context by the same rule as :func:`raw_events`, and
@@ -163,5 +163,14 @@ def tracker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         se_property,
         contexts,
     )
-    # base64 may be MIME-chunked with line breaks; one record must stay one line
-    return ev.select(F.regexp_replace(F.base64(F.encode(line, "UTF-8")), r"[\r\n]", "").alias("value"))
+    return ev.select(ev.event_id.alias("id"), line.alias("line"))
+
+
+def encoded(line) -> Column:
+    """Lines as the stream's records. base64 may be MIME-chunked with line breaks; one record must stay one line."""
+    return F.regexp_replace(F.base64(F.encode(line, "UTF-8")), r"[\r\n]", "")
+
+
+def tracker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`tracker_text` base64 encoded: the stream the ingest job consumes in tests."""
+    return tracker_text(spark, sf_dir).select(encoded("line").alias("value"))

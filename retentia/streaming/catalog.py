@@ -24,6 +24,7 @@ from ..plans.refresh import sessions_table
 from ..sources import raw_events as rawv
 from ..sources import tables
 from ..sources import testviews as tv
+from ..sources.commits import CommitLog
 from ..sources.event_store import EventStore
 from . import ingest
 from .activity import activity, activity_windows
@@ -49,10 +50,15 @@ def _paths(base: str) -> dict:
     return {k: f"{base}/{k}" for k in ("in", "raw_events", "dead_letter", "metrics", "checkpoint")}
 
 
-def _deliver(spark: SparkSession, lines, paths: dict, run: str, max_files: int | None = None, **how) -> None:
-    """Ingest ``lines`` into the store of ``paths`` under the checkpoint of ``run``."""
-    lines.write.mode("append").text(f"{paths['in']}/{run}")
-    _run(spark, paths, run, max_files, **how)
+def _deliver(spark: SparkSession, lines, paths: dict, run: str, batches: int | None = None, **how) -> None:
+    """Ingest ``lines`` into the store of ``paths`` under the checkpoint of ``run``, in about as many
+    micro-batches as ``batches`` says: of several files each, which all cores write and read."""
+    if batches and spark.sparkContext.defaultParallelism < batches:
+        lines = lines.repartition(batches)
+    folder = CommitLog(spark, f"{paths['in']}/{run}")
+    before = folder.files()
+    lines.write.mode("append").text(folder.base)
+    _run(spark, paths, run, batches and -(-(folder.files() - before) // batches), **how)
 
 
 def _run(spark: SparkSession, paths: dict, run: str, max_files: int | None = None, fields: list[str] = TEST_TSV_FIELDS, **how) -> None:
@@ -80,9 +86,7 @@ def q_ingest_stream(spark: SparkSession, sf: str):
 
 def _with_id(spark: SparkSession, sf: str):
     """Tracker lines with their text and event id."""
-    lines = tv.tracker_lines(spark, sf).toDF("value")
-    lines = lines.withColumn("line", F.unbase64("value").cast("string"))
-    return lines.withColumn("id", F.substring_index("line", "\t", 1).cast("long"))
+    return tv.tracker_text(spark, sf).withColumn("value", tv.encoded("line"))
 
 
 def q_ingest_replay(spark: SparkSession, sf: str):
@@ -91,10 +95,10 @@ def q_ingest_replay(spark: SparkSession, sf: str):
     and copies of events that the first has stored (every second)."""
     ensure_utc(spark)
     paths, lines = _paths(scratch(spark, "replay")), _with_id(spark, sf)
-    first = lines.where("id % 3 <> 0").select("value").repartition(3)
-    again = lines.where("id % 3 = 0 OR id % 2 = 0").select("value").repartition(3)
-    _deliver(spark, first, paths, "0", max_files=1)
-    _deliver(spark, again, paths, "1", max_files=1, dedup_batch=True)
+    first = lines.where("id % 3 <> 0").select("value")
+    again = lines.where("id % 3 = 0 OR id % 2 = 0").select("value")
+    _deliver(spark, first, paths, "0", batches=3)
+    _deliver(spark, again, paths, "1", batches=3, dedup_batch=True)
     return _stored_events(spark, paths)
 
 
@@ -119,9 +123,9 @@ def q_ingest_dedup_stream(spark: SparkSession, sf: str):
     distinct events a day."""
     ensure_utc(spark)
     paths, lines = _paths(scratch(spark, "dedup")), _with_id(spark, sf)
-    again = lines.where("id % 3 = 0 OR id % 2 = 0").select("value").repartition(2)
-    _deliver(spark, lines.where("id % 3 <> 0").select("value").repartition(2), paths, "0", max_files=1, remember="2 days")
-    _deliver(spark, again.unionAll(again), paths, "0", max_files=1, remember="2 days")
+    again = lines.where("id % 3 = 0 OR id % 2 = 0").select("value")
+    _deliver(spark, lines.where("id % 3 <> 0").select("value"), paths, "0", batches=2, remember="2 days")
+    _deliver(spark, again.unionAll(again), paths, "0", batches=4, remember="2 days")
     stored = rawv.read_store(spark, paths["raw_events"])
     return stored.groupBy(F.to_date("collector_tstamp").alias("day")).agg(
         F.count("*").alias("stored_rows"), F.countDistinct("collector_tstamp", "event_name", "event_id").alias("n_events"))
@@ -173,7 +177,7 @@ def _run_broken(spark: SparkSession, sf: str) -> dict:
         .when(F.expr("id % 10 = 4"), text(F.regexp_replace("line", "^([^\t]*\t[^\t]*\t)[^\t]*", "$1never")))
         .otherwise(F.col("value"))
     )
-    _deliver(spark, lines.select(F.regexp_replace(broken, "\\s", "").alias("value")).repartition(3), paths, "0", max_files=1)
+    _deliver(spark, lines.select(F.regexp_replace(broken, "\\s", "").alias("value")), paths, "0", batches=3)
     return paths
 
 
@@ -248,7 +252,7 @@ def run_compaction(spark: SparkSession, sf: str) -> EventStore:
     paths, lines = _paths(base := scratch(spark, "compact")), _with_id(spark, sf)
     store = EventStore(spark, paths["raw_events"], f"{base}/days")
     for n, rule in enumerate(("id % 3 <> 0", "id % 4 = 0", "id % 3 = 0 OR id % 5 = 0")):
-        _deliver(spark, lines.where(rule).select("value").repartition(2), paths, str(n), max_files=1)
+        _deliver(spark, lines.where(rule).select("value"), paths, str(n), batches=2)
         if n < 2:
             store.compact()
             store.vacuum(keep=1)

@@ -105,12 +105,18 @@ def _context_key(schema: Column) -> Column:
     return F.concat_ws("_", F.regexp_replace(vendor, r"[.\-]", "_"), F.regexp_replace(snake, "-", "_"), major)
 
 
-def _context_pairs(texts: list[Column]) -> Column:
-    """JSON members ``"contexts_<key>":[{...},...]``, the entries of all context columns under one key together."""
+def _context_entries(texts: list[Column]) -> Column:
+    """The entries of all context columns, each as its key ``k`` and its JSON ``d``."""
     entries = F.array()
     for text in texts:
         found = F.coalesce(F.from_json(text, _CTX_SCHEMA).getField("data"), F.array())
         entries = F.concat(entries, F.transform(found, lambda e: F.struct(_context_key(e["schema"]).alias("k"), e["data"].alias("d"))))
+    return entries
+
+
+def _context_pairs(entries: Column) -> Column:
+    """JSON members ``"contexts_<key>":[{...},...]``, the entries under one key together. ``entries`` has
+    to be a column of the rows: an expression here is computed again for every key."""
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     return F.transform(
         keys,
@@ -124,9 +130,8 @@ def _context_pairs(texts: list[Column]) -> Column:
     )
 
 
-def _event_pair(text: Column) -> Column:
+def _event_pair(e: Column) -> Column:
     """The JSON member ``"unstruct_event_<key>":{...}`` in an array, which is empty without one."""
-    e = F.from_json(text, _EVENT_SCHEMA).getField("data")
     member = F.concat(F.lit(f'"{EVENT_FIELD}_'), _context_key(e["schema"]), F.lit('":'), e["data"])
     return F.array_compact(F.array(member))
 
@@ -161,28 +166,31 @@ def parse(lines: DataFrame, fields: list[str], line_col: str = "line", types: di
         for f in fields
         if f not in CONTEXT_FIELDS and f != EVENT_FIELD
     ]
-    base = F.to_json(F.struct(*scalar))
+    read = df.select(
+        "*",
+        ts.get("collector_tstamp", F.lit(None).cast("timestamp")).alias("collector_ts"),
+        ts.get("derived_tstamp", F.lit(None).cast("timestamp")).alias("derived_ts"),
+        ok.alias("_ok_values"),
+        F.to_json(F.struct(*scalar)).alias("_base"),
+        _context_entries([F.col(f) for f in fields if f in CONTEXT_FIELDS]).alias("_entries"),
+        (F.from_json(EVENT_FIELD, _EVENT_SCHEMA).getField("data") if EVENT_FIELD in fields else F.lit(None)).alias("_event"),
+    )
+    # Each JSON text is read once: what several expressions use is a column by itself.
     pairs = F.array().cast("array<string>")
-    if contexts := [F.col(f) for f in fields if f in CONTEXT_FIELDS]:
-        pairs = F.concat(pairs, _context_pairs(contexts))
+    if any(f in CONTEXT_FIELDS for f in fields):
+        pairs = F.concat(pairs, _context_pairs(F.col("_entries")))
     if EVENT_FIELD in fields:
-        pairs = F.concat(pairs, _event_pair(F.col(EVENT_FIELD)))
-    members = F.array_join(pairs, ",")
+        pairs = F.concat(pairs, _event_pair(F.col("_event")))
+    base, pairs, joined = F.col("_base"), F.col("_pairs"), read.select("*", pairs.alias("_pairs"))
     payload = F.when(F.size(pairs) == 0, base).otherwise(
         F.concat(
             F.regexp_replace(base, r"\}$", ""),
             F.when(base == "{}", F.lit("")).otherwise(F.lit(",")),
-            members,
+            F.array_join(pairs, ","),
             F.lit("}"),
         )
     )
-    return df.select(
-        "*",
-        ts.get("collector_tstamp", F.lit(None).cast("timestamp")).alias("collector_ts"),
-        ts.get("derived_tstamp", F.lit(None).cast("timestamp")).alias("derived_ts"),
-        payload.alias("event"),
-        ok.alias("_ok_values"),
-    )
+    return joined.select(*df.columns, "collector_ts", "derived_ts", payload.alias("event"), "_ok_values")
 
 
 def dead_letter_reason(derived: Column) -> Column:
@@ -225,8 +233,8 @@ def first_copies(rows: DataFrame, remember: str) -> DataFrame:
     return first.drop("_arrived", "_own")
 
 
-def to_raw_events(good: DataFrame) -> DataFrame:
-    """Typed raw_events projection (I4/I5) + month partition column (I11)."""
+def to_raw_events(good: DataFrame, *more: Column) -> DataFrame:
+    """Typed raw_events projection (I4/I5) + month partition column (I11), then ``more`` columns."""
     missing = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in good.columns else F.lit("").alias(c) for c in TYPED]
     return good.select(
         missing[0],
@@ -236,6 +244,7 @@ def to_raw_events(good: DataFrame) -> DataFrame:
         *missing[2:],
         "event",
         F.date_format("collector_ts", "yyyyMM").cast("int").alias(MONTH_COL),
+        *more,
     )
 
 
@@ -279,15 +288,19 @@ def write_batch(
     """Idempotent per-batch write: every output lives under its run and batch
     id and is overwritten on replay. ``dedup_batch`` stores one row per key of
     the batch, chosen by the rule of the dedup view. The good rows are written in about one file per
-    ``rows_per_file`` rows (the batch is cached, so counting it is cheap),
-    not one small file per input partition."""
+    ``rows_per_file`` rows, not one small file per input partition. The batch is
+    cached for that, as the columns that are stored only: one pass makes and
+    counts it, one writes the good rows, and one the rejected rows if there are any."""
     place = f"{INGEST_RUN_COL}={run}/{INGEST_BATCH_COL}={batch_id}"
-    batch = batch.persist()
+    bad = F.col("_reason").isNotNull()
+    rows = to_raw_events(batch, F.col("_reason"), F.when(bad, F.col("value")).alias("value")).persist()
     try:
-        good = batch.where(F.col("_reason").isNull())
-        files = max(1, -(-good.count() // (rows_per_file or ROWS_PER_FILE)))  # coalesce never raises the count
+        counts = rows.agg(
+            F.count(F.lit(1)).alias("input_rows"), F.count_if(~bad).alias("inserted"), F.count_if(bad).alias("parse_errors")).first()
+        files = max(1, -(-counts["inserted"] // (rows_per_file or ROWS_PER_FILE)))  # coalesce never raises the count
+        good = rows.where(~bad).drop("_reason", "value")
         (
-            (dedup(to_raw_events(good)) if dedup_batch else to_raw_events(good))
+            (dedup(good) if dedup_batch else good)
             .coalesce(files)
             .sortWithinPartitions("collector_tstamp", "event_name", "event_id")
             .write.mode("overwrite")
@@ -295,24 +308,24 @@ def write_batch(
             .parquet(f"{sink}/{place}")
         )
         (
-            batch.where(F.col("_reason").isNotNull())
+            rows.where(bad if counts["parse_errors"] else F.lit(False))
             .select("value", F.col("_reason").alias("reason"))
             .write.mode("overwrite")
             .parquet(f"{dead_letter}/{place}")
         )
         (
-            batch.agg(
-                F.count(F.lit(1)).alias("input_rows"),
-                F.count_if(F.col("_reason").isNull()).alias("inserted"),
-                F.count_if(F.col("_reason").isNotNull()).alias("parse_errors"),
+            batch.sparkSession.range(1)
+            .select(
+                F.lit(batch_id).cast("long").alias("batch_id"),
+                *[F.lit(n).cast("long").alias(c) for c, n in counts.asDict().items()],
+                F.current_timestamp().alias("written_at"),
             )
-            .select(F.lit(batch_id).cast("long").alias("batch_id"), "*", F.current_timestamp().alias("written_at"))
             .coalesce(1)
             .write.mode("overwrite")
             .parquet(f"{metrics}/{place}")
         )
     finally:
-        batch.unpersist()
+        rows.unpersist()
 
 
 def start_ingest(
