@@ -51,12 +51,17 @@ def live_sessions(
 
 #: Messages of one conversation are collapsed by this much time before they are shuffled to their state.
 PIECE_SECONDS = 60
+#: The state of conversations whose ids share a hash is one row: a call of the state function costs milliseconds, however little it does.
+BUCKETS = 1024
 
 _UPDATE = (
     "conversation_id string, session_index int, started_at timestamp, ended_at timestamp, "
     "user_turns int, bot_turns int, system_turns int, status string, version bigint"
 )
-_STATE = "closed bigint, version bigint, starts array<bigint>, ends array<bigint>, users array<bigint>, bots array<bigint>, systems array<bigint>"
+_STATE = (
+    "ids array<string>, closed array<bigint>, versions array<bigint>, owners array<bigint>, "
+    "starts array<bigint>, ends array<bigint>, users array<bigint>, bots array<bigint>, systems array<bigint>"
+)
 _ROLES = ("user", "assistant", "system")
 
 
@@ -75,39 +80,71 @@ def _pieces(piece_us: int):
 
 def merge_runs(rows: np.ndarray, gap_us: int) -> np.ndarray:
     """Rows (first, last, counts…) merged wherever one starts at most the gap after all before it have ended."""
+    return merge_owned_runs(np.column_stack([np.zeros(len(rows), np.int64), rows]), gap_us)[:, 1:]
+
+
+def merge_owned_runs(rows: np.ndarray, gap_us: int) -> np.ndarray:
+    """``merge_runs`` for the rows (owner, first, last, counts…) of each owner by itself, sorted by owner and time."""
     if not len(rows):
         return rows
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    reach = np.maximum.accumulate(rows[:, 1])
-    heads = np.flatnonzero(np.concatenate(([True], rows[1:, 0] - reach[:-1] > gap_us)))
-    last = np.maximum.reduceat(rows[:, 1], heads)
-    return np.column_stack([rows[heads, 0], last, np.add.reduceat(rows[:, 2:], heads, axis=0)])
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    reach = pd.Series(rows[:, 2]).groupby(rows[:, 0]).cummax().to_numpy()
+    heads = np.flatnonzero(np.concatenate(([True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] - reach[:-1] > gap_us))))
+    last = np.maximum.reduceat(rows[:, 2], heads)
+    return np.column_stack([rows[heads, 0], rows[heads, 1], last, np.add.reduceat(rows[:, 3:], heads, axis=0)])
+
+
+def _places(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by owner: how many each owner has, where they begin, and each row's place among them."""
+    count = np.bincount(owner, minlength=n)
+    begin = np.cumsum(count) - count
+    return count, begin, np.arange(len(owner)) - begin[owner]
 
 
 def _advance(gap_us: int, piece_us: int):
-    """The state of one conversation: sessions that a message may still reach, and how many lie before them."""
+    """The state of a bucket of conversations: of each, the sessions that a message may still reach, and how many lie before them."""
+    columns = ["first", "last", "users", "bots", "systems"]
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        closed, version, *lists = state.get if state.exists else (0, 0, [], [], [], [], [])
-        held = np.array(lists, dtype=np.int64).T.reshape(-1, 5)
-        fresh = [] if state.hasTimedOut else [d[["first", "last", "users", "bots", "systems"]].to_numpy(np.int64) for d in frames]
-        now = merge_runs(np.concatenate([held, *fresh]), gap_us)
-        until = now[:, 1] + gap_us + piece_us  # from here on no message can reach the session
-        done = int(np.searchsorted(until, state.getCurrentWatermarkMs() * 1000, side="right"))
-
-        shown = [(*row, "open") for row in held.tolist()]
-        told = [(*row, "closed" if i < done else "open") for i, row in enumerate(now.tolist())]
-        rows = [(closed + i + 1, *row) for i, row in enumerate(told) if i >= len(shown) or row != shown[i]]
-        rows += [(closed + i + 1, *row[:5], "gone") for i, row in enumerate(shown) if i >= len(told)]
-        state.update((closed + done, version + bool(rows), *now[done:].T.tolist()))
-        if done < len(now):
-            state.setTimeoutTimestamp(int(-(-until[done] // 1000)))
-        if rows:
-            out = pd.DataFrame(rows, columns=["session_index", "started_at", "ended_at", "user_turns", "bot_turns", "system_turns", "status"])
-            for c in ("started_at", "ended_at"):
-                out[c] = pd.to_datetime(out[c], unit="us")
-            out.insert(0, "conversation_id", key[0])
-            yield out.assign(version=version + 1)
+        ids, closed, version, *lists = state.get if state.exists else ([], [], [], [], [], [], [], [], [])
+        held = np.array(lists, dtype=np.int64).T.reshape(-1, 6)
+        came = pd.DataFrame({"conversation_id": [], **{c: [] for c in columns}}) if state.hasTimedOut else pd.concat(frames, ignore_index=True)
+        codes, ids = pd.factorize(pd.Series([*ids, *came["conversation_id"]], dtype=object))
+        n, fresh = len(ids), codes[len(closed):]
+        closed, version = (np.pad(np.array(a, dtype=np.int64), (0, n - len(a))) for a in (closed, version))
+        now = merge_owned_runs(np.concatenate([held, np.column_stack([fresh, came[columns].to_numpy(np.int64)])]), gap_us)
+
+        # A conversation moves on when messages came or the watermark has passed its first open session.
+        watermark = state.getCurrentWatermarkMs()
+        moved = np.zeros(n, dtype=bool)
+        moved[fresh] = True
+        moved[held[-(-(held[:, 2] + gap_us + piece_us) // 1000) < watermark, 0]] = True
+        until = now[:, 2] + gap_us + piece_us  # from here on no message can reach the session
+        done = moved[now[:, 0]] & (until <= watermark * 1000)
+
+        n_held, begin, held_place = _places(held[:, 0], n)
+        n_now, _, place = _places(now[:, 0], n)
+        known = place < n_held[now[:, 0]]
+        news = done | ~known
+        news[known] |= (now[known] != held[begin[now[known, 0]] + place[known]]).any(axis=1)
+        gone = held_place >= n_now[held[:, 0]]
+        rows = np.concatenate([now[news], held[gone]])
+        index = closed[rows[:, 0]] + np.concatenate([place[news], held_place[gone]]) + 1
+        told = np.zeros(n, dtype=np.int64)
+        told[rows[:, 0]] = 1
+        version = version + told
+        closed = closed + np.bincount(now[done, 0], minlength=n)
+        state.update((list(ids), closed.tolist(), version.tolist(), *now[~done].T.tolist()))
+        if not done.all():
+            state.setTimeoutTimestamp(int(-(-until[~done].min() // 1000)))
+        if len(rows):
+            yield pd.DataFrame({
+                "conversation_id": ids[rows[:, 0]], "session_index": index,
+                "started_at": pd.to_datetime(rows[:, 1], unit="us"), "ended_at": pd.to_datetime(rows[:, 2], unit="us"),
+                "user_turns": rows[:, 3], "bot_turns": rows[:, 4], "system_turns": rows[:, 5],
+                "status": np.concatenate([np.where(done[news], "closed", "open"), np.full(gone.sum(), "gone")]),
+                "version": version[rows[:, 0]],
+            })
 
     return run
 
@@ -118,6 +155,7 @@ def session_updates(
     gap_minutes: float = SESSION_GAP_MINUTES,
     delay: str = "1 hour",
     chat_type: str = "ai_chat",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming ``messages`` → append-only updates of numbered sessions, open ones included.
 
@@ -135,7 +173,10 @@ def session_updates(
     * State per conversation: the sessions that a message may still reach (those
       of the last ``delay`` + gap) and two counters, which never expire: the
       numbering depends on them. An event-time timer closes sessions of
-      conversations that fall silent.
+      conversations that fall silent. The conversations of a hash bucket
+      share one row of the state store and one call a micro-batch; a stream
+      with many millions of conversations wants more ``buckets``. A checkpoint
+      keeps the number it was started with.
     * Messages without time or conversation are dropped, messages behind the
       watermark as well. Instants that tie belong to one session, as with
       ``sessionize(tie_break="id")``.
@@ -147,7 +188,8 @@ def session_updates(
     pieces = chat.select("conversation_id", "role", F.unix_micros("created_at").alias("t")).mapInPandas(
         _pieces(piece_us), "conversation_id string, first bigint, last bigint, users bigint, bots bigint, systems bigint")
     timed = pieces.withColumn("seen_at", F.timestamp_micros("last")).withWatermark("seen_at", delay)
-    return timed.groupBy("conversation_id").applyInPandasWithState(
+    bucketed = timed.withColumn("bucket", F.pmod(F.hash("conversation_id"), F.lit(buckets)))
+    return bucketed.groupBy("bucket").applyInPandasWithState(
         _advance(gap_us, piece_us), _UPDATE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

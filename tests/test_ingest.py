@@ -202,3 +202,42 @@ def test_typed_payload(spark):
         "unstruct_event_com_acme_x_link_click_1": {"url": "a\"b", "n": 1.5}}
     assert json.loads(got["e2"].event) == {**head("e2"), "dvce_ismobile": False}
     assert json.loads(got["e6"].event) == {**head("e6"), "txn_id": -3, "tr_total": 1000.0}
+
+
+def test_each_json_text_is_read_once_a_row(spark):
+    fields = [*TEST_TSV_FIELDS, "unstruct_event", "derived_contexts"]
+    df = ingest.prepare(spark.createDataFrame([(b64(line("e1")),)], "value string"), fields)
+    plan = df.select("event", "_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3  # two context fields and the self-describing event
+
+
+def test_batch_caches_the_stored_columns_only(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    cached, persist = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: cached.append(self.columns) or persist(self, *a))
+    batch = ingest.prepare(spark.createDataFrame([(b64(line("e1")),), ("bad",)], "value string"), TEST_TSV_FIELDS)
+    ingest.write_batch(batch, 1, *(str(tmp_path / k) for k in ("raw", "dead", "metrics")))
+    assert len(cached) == 1 and "line" not in cached[0] and "contexts" not in cached[0]
+    assert [r.value for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["bad"]
+
+
+def test_deliveries_are_written_by_all_cores_in_few_batches(spark, tmp_path):
+    from retentia.streaming import catalog
+
+    lines = spark.range(0, 1200, numPartitions=12).selectExpr("CAST(id AS string) AS value")
+    paths = catalog._paths(str(tmp_path))
+    for n in range(2):  # the second delivery comes to the same checkpoint
+        catalog._deliver(spark, lines, paths, "0", batches=3)
+    assert len(list((tmp_path / "in" / "0").glob("part-*"))) == 24
+    assert spark.read.parquet(paths["metrics"]).select("batch_id", "input_rows").orderBy("batch_id").collect() == [(n, 400) for n in range(6)]
+
+
+def test_filter_by_id_builds_no_tracker_line(spark, tmp_path):
+    from retentia.streaming import catalog
+
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, id AS user_id, 'click' AS event_type, 1.0D AS value, '' AS props FROM range(9)"
+              ).write.parquet(str(tmp_path / "events.parquet"))
+    some = catalog._with_id(spark, str(tmp_path)).where("id % 3 <> 0").select("value")
+    filters = [p for p in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in p]
+    assert some.count() == 6 and filters and not any("concat_ws" in p for p in filters)

@@ -121,3 +121,19 @@ def test_activity_equals_the_card_at_every_minute(spark, few, tmp_path):
     for m in (T("2024-01-01 01:00:00"), T("2024-01-01 02:07:00"), T("2024-01-02 12:00:00")):
         batch = events.recent_activity(ev.where(F.col("ts") < F.lit(m)), str(m)).first()
         assert tuple(activity_at(mart, str(m)).first()) == tuple(batch)
+
+
+def test_conversations_share_rows_of_the_state(spark, few, tmp_path):
+    """Sixty conversations in four buckets: four state rows, each conversation numbered and closed by itself."""
+    convs = spark.createDataFrame([(f"c{i}", f"u{i}", None, "ai_chat") for i in range(60)], CONVS)
+    early = [(i, f"c{i}", "user", T("2024-01-01 10:00:00") + dt.timedelta(seconds=i)) for i in range(60)]
+    apart = [(100 + i, f"c{i}", "assistant", T("2024-01-01 10:40:00")) for i in range(0, 60, 2)]
+    joins = [(200 + i, f"c{i}", "system", T("2024-01-01 10:20:00") + dt.timedelta(seconds=i)) for i in range(0, 60, 4)]
+    later = [(300, "c1", "user", T("2024-01-01 23:00:00"))]
+    out = deliver(spark, str(tmp_path), MESSAGES, [early + apart, joins, later], lambda m: session_updates(m, convs, buckets=4))
+    got = current_sessions(out, convs)
+    want = sessions.sessionize(spark.createDataFrame(early + apart + joins + later, MESSAGES), convs, tie_break="id")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert [tuple(r) for r in got.where("status = 'open'").select("conversation_id", "session_index").collect()] == [("c1", 2)]
+    state = spark.read.format("statestore").load(f"{tmp_path}/ckpt")
+    assert state.count() <= 4
