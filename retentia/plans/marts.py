@@ -60,6 +60,8 @@ def recent_logins(audit: DataFrame, k: int = AUDIT_K) -> DataFrame:
 # A run writes each card into a folder of its own and then commits one manifest
 # for the whole dashboard. A reader of a version sees the cards of one run; a
 # card that failed is served from its last good run, and the status says so.
+# After the commit, ``out/<card>`` gets a plain copy of what is served, for
+# readers that take one card by its path and need no common version.
 
 STATUS_SCHEMA = T.StructType(
     [
@@ -107,16 +109,32 @@ class Board:
         return len(gone)
 
 
+def _folder(name: str, run: str) -> str:
+    return f"_runs/{name}/run={run}"
+
+
 def _run_card(name: str, build, out: str, run: str) -> tuple:
     t0 = time.time()
     try:
         df, obs = count_on_write(build())
-        df.write.parquet(f"{out}/{name}/run={run}")
+        df.write.parquet(f"{out}/{_folder(name, run)}")
         return (name, True, None, int(obs.get["rows"]), time.time() - t0)
     except Exception as exc:  # noqa: BLE001 - per-card isolation is the point
         return (name, False, f"{type(exc).__name__}: {str(exc)[:500]}", 0, time.time() - t0)
 
 
+def _copy_cards(spark: SparkSession, out: str, names: list[str], parallel: int) -> None:
+    """Plain copies of the cards just committed. Folders of the older layout, ``<card>/run=…``, stay while a commit names them."""
+    board = Board(spark, out)
+    named = {f.split("/")[0] for v in board.log.versions() for f in Board(spark, out, v).manifest["cards"].values()}
+
+    def copy(name: str) -> None:
+        board.read(name).write.mode("overwrite").parquet(f"{out}/{name}")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        list(pool.map(copy, [n for n in names if n not in named]))
+
+
 def run_cards(spark: SparkSession, cards: dict, out: str, parallel: int = 4) -> DataFrame:
     """Write the cards of one run and commit them together; returns the status.
 
@@ -140,15 +158,16 @@ def run_cards(spark: SparkSession, cards: dict, out: str, parallel: int = 4) ->
             for name, ok, *_ in done:
                 if not ok and name not in served:
                     try:
-                        spark.createDataFrame([], group[name]().schema).write.mode("overwrite").parquet(f"{out}/{name}/run={run}")
+                        spark.createDataFrame([], group[name]().schema).write.mode("overwrite").parquet(f"{out}/{_folder(name, run)}")
                         ok = True
                     except Exception:  # noqa: BLE001 - it cannot even be planned: no such card yet
                         pass
                 if ok:
-                    served[name] = f"{name}/run={run}"
+                    served[name] = _folder(name, run)
             status += done
     status = [(*s, served[s[0]].rsplit("=", 1)[1] if s[0] in served else None) for s in status]
     before.log.commit((before.version or 0) + 1, json.dumps({"cards": served, "status": status}))
+    _copy_cards(spark, out, [n for n, f in served.items() if f == _folder(n, run)], parallel)
     return spark.createDataFrame(status, STATUS_SCHEMA)
 
 
