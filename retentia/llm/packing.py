@@ -21,8 +21,10 @@ empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ GAP = 1e-3
 TURNS = 40
 SALTS = 256
 MEMO = 800_000  # words whose ids a worker keeps
+PIECES = 400_000  # pieces of words whose ids a worker keeps
 WORDS = 2_000  # words in one call of the tokenizer
 MARK = "<|startoftext|>"  # a special token, cut out of any text first: it keeps words apart
 
@@ -56,25 +59,67 @@ def blank_separated(text: str) -> list[str]:
     return text.split()
 
 
+#: The steps before the library's BPE model that ``WordIds._pieces`` takes itself, as a tokenizer file states them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_LATIN = re.compile("[!-~\xa1-\xff]+")  # Latin-1 without blanks and controls: NFC leaves it as it is
+_PLAIN_BYTES = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHAR = {b: chr(b) for b in _PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
+_BYTE_CHARS = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
 class WordIds:
     """Ids of whole texts from the ids of their blank-separated words.
 
     The tokenizer of this operator drops white space and never joins across
     it (its pattern matches no white space and its normaliser works within a
     word), so a text's ids are its words' ids in a row. Distinct words go to the
-    library once and stay in a bounded memo.
+    library once and stay in a bounded memo. Words of Latin-1 characters are
+    lower-cased and cut by the tokenizer's pattern here, and their distinct pieces
+    go to the library's BPE model; all other words, and all words if the tokenizer
+    file states other steps, go through its whole pipeline.
     """
 
     def __init__(self, path: str):
-        self.tok, self.memo = tokenizer(path), {}
-        self.mark = self.tok.token_to_id(MARK)
+        self.tok, self.memo, self.piece_ids = tokenizer(path), {}, {}
+        self.mark, self.model = self.tok.token_to_id(MARK), self.tok.model
+        made = json.loads(self.tok.to_str())
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.latin = (
+            made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == _PRE_TOKENIZER
+            and made["post_processor"] is None and all("<|" in c for c in self.special))
+
+    def _pieces(self, word: str) -> bytes:
+        """The ids of a word of Latin-1 characters."""
+        known, out = self.piece_ids, []
+        for piece in _PIECE.findall(word.lower()):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) > PIECES:
+                    known.clear()
+                text = piece if piece.isascii() else piece.translate(_BYTE_CHARS)
+                ids = known[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         words = [blank_separated(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in memo})
+        known = [list(map(memo.get, ws)) for ws in words]
+        new = {w for ws, ids in zip(words, known) if None in ids for w, i in zip(ws, ids) if i is None}
+        if self.latin:
+            for w in new:
+                if _LATIN.fullmatch(w) and "<|" not in w:
+                    memo[w] = self._pieces(w)
+        new = [w for w in new if w not in memo]
         plain = [w for w in new if MARK not in w]
         for i in range(0, len(plain), WORDS):
             part = plain[i : i + WORDS]
@@ -88,7 +133,10 @@ class WordIds:
             if w not in memo:
                 memo[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
         last = np.array([end], dtype=np.uint32).tobytes()
-        return [np.frombuffer(b"".join([memo[w] for w in ws]) + last, dtype="<u4") for ws in words]
+        for ws, ids in zip(words, known):
+            if None in ids:
+                ids[:] = [memo[w] if i is None else i for w, i in zip(ws, ids)]
+        return [np.frombuffer(b"".join(ids) + last, dtype="<u4") for ids in known]
 
 
 def _pieces(path: str, size: int, end: int):

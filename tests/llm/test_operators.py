@@ -384,6 +384,24 @@ def test_packing_keeps_separators_that_the_tokenizer_keeps(spark):
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_packing_cuts_latin_words_as_the_library():
+    tok, rng = token_counts.tokenizer(PACK), random.Random(4)
+    ids_of = packing.WordIds(PACK)
+    assert ids_of.latin
+    calls = []
+    ids_of.tok = type("Counted", (), {"encode": lambda self, text, **how: calls.append(text) or tok.encode(text, **how)})()
+    plain = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x100)]]
+    texts = [a + b for a in plain for b in ("", "s", "É", "'ll", "²")]
+    texts += ["".join(rng.choices(plain + ["'S", "'re", " "], k=9)).replace("<|", "") for _ in range(3000)]
+    got = ids_of(texts, 1)
+    assert not calls  # words of Latin-1 take the model only
+    texts += ["a<|endoftext|>b", "<|startoftext|>", "e\u0301\u0130\u03a3", "\x85a\x7fb\x00", "\ufb01n \u4e2d"]
+    got += ids_of(texts[len(got):], 1)
+    assert calls
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def test_pipeline_lines_remove_short_repeats(spark):
     import corpus_pipeline
 
