@@ -63,8 +63,9 @@ def _newest(df: DataFrame, keys: list[str], origin: bool = False) -> DataFrame:
     when = [c for c in (INGEST_RUN_COL, INGEST_BATCH_COL, RANK) if c in df.columns]
     others = [c for c in df.columns if c not in keys and c not in when]
     stay = others + [c for c in when if origin and c != RANK]
-    newest = F.max_by(F.struct(*stay), F.struct(*when, *others)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+    # The order's struct holds all that stays, so its maximum is the row, sorted and shuffled once and not beside a copy of itself.
+    newest = F.max(F.struct(*when, *others)).alias("_row")
+    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col("_row").getField(c).alias(c) for c in stay])
 
 
 def dedup(raw: DataFrame, origin: bool = False) -> DataFrame:

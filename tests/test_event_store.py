@@ -105,3 +105,18 @@ def test_store_of_many_checkpoints_is_bounded(spark):
     assert 0 < len(folders) <= 31 and all(len(f) == 1 for f in folders.values())
     assert store.days.read().count() == store.days.read().select("event_id").distinct().count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert store.days.read().agg(F.countDistinct("ingest_run")).first()[0] > 1
+
+
+def test_dedup_moves_a_row_once_and_keeps_its_rule(spark):
+    t = T("2024-01-05 10:00:00")
+    rows = [("k", "e", t, t, "a", p, "", "", f'{{"n":{n}}}', run, b) for n, (p, run, b) in enumerate(
+        [("web", "1", 2), ("app", "1", 10), ("web", "1", 10), (None, "1", 10), ("zzz", "0", 99), ("zzz", None, 99)])]
+    rows += [(None, "e", t, None, None, None, None, None, "x", None, None)] * 2
+    schema = rawv.T.StructType([*RAW_EVENTS_SCHEMA.fields, rawv.T.StructField("ingest_run", rawv.T.StringType()), rawv.T.StructField("ingest_batch", rawv.T.LongType())])
+    raw = spark.createDataFrame(rows, schema)
+    for origin in (False, True):
+        out = rawv.dedup(raw, origin=origin)
+        assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()  # it would hold each row twice
+        got = {r.event_id: r for r in out.collect()}
+        assert len(got) == 2 and got["k"].event == '{"n":2}' and got["k"].platform == "web" and got[None].event == "x"
+        assert ("ingest_batch" in out.columns) == origin and "_rank" not in out.columns
