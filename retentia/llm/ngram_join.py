@@ -163,18 +163,22 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool)
     """
     named = star.join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").join(
         roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
-    named = named.select("a", "b", "n", "m", "sig", "e", F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
+    named = named.select("a", "b", "n", "m", "e", F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
     open_ = named.groupBy("a").agg(F.min(F.least("root", "lead_root")).alias("lo"), F.max(F.greatest("root", "lead_root")).alias("hi"))
-    rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "sig", "root", F.posexplode("e").alias("p", "el"))
-    one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p", "sig").alias("u"))
-    two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p", "sig").alias("v"))
+    rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "root", F.posexplode("e").alias("p", "el"))
+    one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("u"))
+    two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("v"))
     if first:
         one = one.groupBy("a", "el").agg(F.min("u").alias("u"))
     apart = _most_apart("least(u.n, v.n)", percent)
     need = f"greatest(1, ceil((u.m + v.m - {apart}) / 2D))"
-    hamming = " + ".join(f"bit_count(u.sig[{i}] ^ v.sig[{i}])" for i in range(SKETCH_WORDS))
-    near = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND least(u.m - u.p, v.m - v.p) >= {need} AND {hamming} <= {apart}"
-    return one.join(two, ["a", "el"]).filter(f"u.b < v.b AND u.root <> v.root AND {near}").selectExpr("u.b AS a", "v.b AS b").distinct()
+    near = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND least(u.m - u.p, v.m - v.p) >= {need}"
+    met = one.join(two, ["a", "el"]).filter(f"u.b < v.b AND u.root <> v.root AND {near}").selectExpr("u.b AS a", "v.b AS b", f"{apart} AS apart").distinct()
+    # Sketches are wide: they meet the pairs that are left, and do not travel with every element.
+    sigs = star.groupBy("b").agg(F.any_value("sig").alias("sig"))
+    both = met.join(sigs.select(F.col("b").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select("b", F.col("sig").alias("t")), "b")
+    hamming = " + ".join(f"bit_count(s[{i}] ^ t[{i}])" for i in range(SKETCH_WORDS))
+    return both.filter(f"{hamming} <= apart").select("a", "b")
 
 
 def _led(rows: DataFrame, sample: DataFrame) -> DataFrame:

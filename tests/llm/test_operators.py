@@ -384,6 +384,18 @@ def test_packing_keeps_separators_that_the_tokenizer_keeps(spark):
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_members_meet_without_their_sketches(spark):
+    sketch = [0] * ngram_join.SKETCH_WORDS
+    star = [(1, b, 100, m, [*sketch[1:], sig], e) for b, m, sig, e in ((2, 12, 1, [7, 8]), (3, 12, 3, [8, 9]), (4, 12, (1 << 20) - 1, [8, 7]))]
+    star = spark.createDataFrame(star, "a long, b long, n int, m int, sig array<bigint>, e array<bigint>")
+    roots = spark.createDataFrame([], "node long, root long")
+    for first, want in ((True, {(2, 3)}), (False, {(2, 3)})):
+        pairs = ngram_join._within_groups(star, roots, 90, first)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"named_struct\([^)]*sig", plan)  # a row per element, each with eight longs besides
+        assert {tuple(r) for r in pairs.collect()} == want
+
+
 def test_packing_cuts_latin_words_as_the_library():
     tok, rng = token_counts.tokenizer(PACK), random.Random(4)
     ids_of = packing.WordIds(PACK)
