@@ -112,7 +112,8 @@ def test_dedup_moves_a_row_once_and_keeps_its_rule(spark):
     rows = [("k", "e", t, t, "a", p, "", "", f'{{"n":{n}}}', run, b) for n, (p, run, b) in enumerate(
         [("web", "1", 2), ("app", "1", 10), ("web", "1", 10), (None, "1", 10), ("zzz", "0", 99), ("zzz", None, 99)])]
     rows += [(None, "e", t, None, None, None, None, None, "x", None, None)] * 2
-    schema = rawv.T.StructType([*RAW_EVENTS_SCHEMA.fields, rawv.T.StructField("ingest_run", rawv.T.StringType()), rawv.T.StructField("ingest_batch", rawv.T.LongType())])
+    fields = [*RAW_EVENTS_SCHEMA.fields, rawv.T.StructField("ingest_run", rawv.T.StringType()), rawv.T.StructField("ingest_batch", rawv.T.LongType())]
+    schema = rawv.T.StructType([rawv.T.StructField(f.name, f.dataType) for f in fields])
     raw = spark.createDataFrame(rows, schema)
     for origin in (False, True):
         out = rawv.dedup(raw, origin=origin)
