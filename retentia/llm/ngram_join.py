@@ -21,7 +21,9 @@ bound, two linked sketches agree on a block (pigeonhole).
   that are still in different components can only link if their differences
   from the lead overlap; a prefix and positional filter on those differences
   and the Hamming distance of fixed-width sketches find all such pairs, and
-  no others but a few, for the check.
+  no others but a few, for the check. In groups of more than ``FEW`` members
+  the elements that most members share come last, so that a lead unlike all
+  its members does not make them meet each other.
 * Every link is verified on the full shingle sets.
 
 Defined cases: null, empty and blank texts have no shingles and are their own
@@ -33,6 +35,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +51,8 @@ BLOCK_WORDS = 3  # 64-bit words in a block: about 13 set bits at these widths
 SKETCH_WORDS = 8  # longs of the sketch that two members of a group compare
 HOT_SHARE = 10_000  # at most so many blocks are hot
 BATCH = 1_000  # sets that a task holds at once
+LEADS = 256  # sets of leads that a task keeps
+FEW = 32  # members of a group that may meet on any element
 
 
 def bands(longest: int, percent: int = PERCENT) -> list[int]:
@@ -117,13 +122,27 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return signed(np.packbits(odd).view(np.uint64))
 
 
-def _arrays(width: int):
+def _verdicts(percent: int, width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
 
+        def set_of(text: bytes) -> np.ndarray:
+            return shingles(hashed(ascii_words(text)), width)
+
+        lead = lru_cache(maxsize=LEADS)(set_of)  # a lead of many comes again and again
+
         def f(d: pd.DataFrame) -> pd.DataFrame:
-            sets = [shingles(hashed(ascii_words(t)), width) for t in text_bytes(d["text"])]
-            return pd.DataFrame({"doc_id": d["doc_id"], "h": [signed(h) for h in sets], "sig": [sketch(h) for h in sets]})
+            out = []
+            for s, t in zip(text_bytes(d["s"]), text_bytes(d["t"])):
+                x, y = lead(s), set_of(t)
+                foreign = y[np.isin(y, x, assume_unique=True, invert=True)]
+                common = len(y) - len(foreign)
+                own = np.concatenate([foreign, x[np.isin(x, y, assume_unique=True, invert=True)]])
+                linked = 100 * common >= percent * (len(x) + len(y) - common)
+                out.append((linked, len(y), len(own), signed(own), sketch(y)))
+            got = pd.DataFrame(out, columns=["linked", "n", "m", "e", "sig"], index=d.index)
+            got["e"] = [e if whole else e[: most_apart(n, percent) + 1] for e, n, whole in zip(got["e"], got["n"], d["many"])]
+            return pd.concat([d[["a", "b", "many"]], got], axis=1)
 
         yield from each(_few(frames), f)
 
@@ -131,23 +150,58 @@ def _arrays(width: int):
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) with both shingle sets x and y, the sketch of y and ``linked``, the exact verdict."""
-    def sets(side: str) -> DataFrame:
-        ids = pairs.select(F.col(side).alias("doc_id")).distinct()
-        rows = docs.filter(maybe_in(ids, "doc_id", "doc_id")).join(ids, "doc_id", "left_semi")
-        return through_pandas(rows, _arrays(width), "doc_id bigint, h array<bigint>, sig array<bigint>")
+    """Pairs (a, b, many) with ``linked``, the exact verdict on their shingle sets x and y.
 
-    both = pairs.join(sets("a").select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(
-        sets("b").select(F.col("doc_id").alias("b"), F.col("h").alias("y"), "sig"), "b")
-    common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return common.withColumn("linked", F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)"))
+    Besides: n, the size of y; m, that of the symmetric difference; e, its
+    elements (with ``many`` all, else a prefix), those foreign to x before the
+    others; the sketch of y. Texts are what travels: they take less than half
+    the bytes of their sets.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = docs.filter(maybe_in(ids, "doc_id", "doc_id"))  # read once, for both sides
+    both = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(
+        rows.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    return both.select("a", "b", "many", "s", "t").mapInPandas(
+        _verdicts(percent, width), "a bigint, b bigint, many boolean, linked boolean, n int, m int, e array<bigint>, sig array<bigint>")
 
 
-def _most_apart(n: str, percent: int) -> str:
+def most_apart(n: int, percent: int) -> int:
     """Largest symmetric difference of linked sets, of which one has n shingles."""
+    return n * (100 - percent) // percent
+
+
+def _most_apart(n: str, percent: int) -> str:
+    """``most_apart`` in SQL."""
     return f"cast(floor({n} * {100 - percent} / {percent}D + 1e-9) as int)"
 
 
+def _open(star: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
+    """(a, b, ``cols``, root) of the groups whose members, lead included, have different roots."""
+    named = star.select("a", "b", *cols).join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").join(
+        roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
+    named = named.select("a", "b", *cols, F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
+    open_ = named.groupBy("a").agg(F.min(F.least("root", "lead_root")).alias("lo"), F.max(F.greatest("root", "lead_root")).alias("hi"))
+    return named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").drop("lead_root")
+
+
+def _rarest_first(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``star`` with the prefixes of open groups of many members in another order: elements that few of the members have come first.
+
+    Any order that a group's members have in common serves the prefix filter.
+    Where the lead is the odd one out, its members share most of their
+    differences from it; such elements come last, so that members do not meet on them.
+    """
+    leads = saved(_open(star.filter("many"), roots).select("a").distinct(), "leads")
+    big = star.filter("many").join(leads, "a", "left_semi").withColumn("k", F.xxhash64("n", "m", "e"))  # an id may have several texts
+    rows = big.select("a", "b", "k", F.explode("e").alias("el"))
+    held = rows.groupBy("a", "el").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    ordered = rows.join(held, ["a", "el"]).select("a", "b", "k", "c", "el").repartition("a", "b", "k").groupBy("a", "b", "k").agg(
+        F.expr("transform(sort_array(collect_set(struct(c, el))), x -> x.el) AS e"))
+    cut = F.expr(f"slice(e, 1, {_most_apart('n', percent)} + 1) AS e")
+    big = big.drop("e").join(ordered, ["a", "b", "k"]).select("a", "b", "n", "m", cut, "sig")
+    return saved(star.filter("NOT many").select(big.columns).union(big), "ordered")
+
+
 def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool) -> DataFrame:
     """Pairs (a, b) of members of one lead's group that may link and have different roots.
 
@@ -161,11 +215,7 @@ def _within_groups(star: DataFrame, roots: DataFrame, percent: int, first: bool)
     symmetric difference, so it may not exceed the most apart either.
     With ``first``, members meet only the smallest one that has the element.
     """
-    named = star.join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").join(
-        roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
-    named = named.select("a", "b", "n", "m", "e", F.coalesce("rb", "b").alias("root"), F.coalesce("ra", "a").alias("lead_root"))
-    open_ = named.groupBy("a").agg(F.min(F.least("root", "lead_root")).alias("lo"), F.max(F.greatest("root", "lead_root")).alias("hi"))
-    rows = named.join(open_.filter("lo <> hi").select("a"), "a", "left_semi").select("a", "b", "n", "m", "root", F.posexplode("e").alias("p", "el"))
+    rows = _open(star, roots, "n", "m", "e").select("a", "b", "n", "m", "root", F.posexplode("e").alias("p", "el"))
     one = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("u"))
     two = rows.select("a", "el", F.struct("b", "n", "m", "root", "p").alias("v"))
     if first:
@@ -204,16 +254,15 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     rows = full.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("blocks").alias("block"))
     sample = full.filter("pmod(xxhash64(doc_id), 128) = 0").select("doc_id", F.explode("blocks").alias("block"))
     pairs = saved(_led(rows, sample), "pairs")
-    own = "concat(array_except(y, x), array_except(x, y))"
-    star = saved(
-        _compared(pairs, d, percent, width).select("a", "b", "linked", F.size("y").alias("n"), F.expr("size(x) + size(y) - 2 * common").alias("m"),
-            F.expr(f"slice({own}, 1, {_most_apart('size(y)', percent)} + 1)").alias("e"), "sig"), "star")
+    many = pairs.groupBy("a").agg((F.count(F.lit(1)) > FEW).alias("many"))
+    star = saved(_compared(pairs.join(many, "a"), d, percent, width), "star")
     links = star.filter("linked").select("a", "b")
     roots = components(links)
     # What that left apart: members of one group in different components, again by leads first.
+    star = _rarest_first(star, roots, percent)
     for first in (True, False):
         rest = saved(_within_groups(star, roots, percent, first), "rest")
-        links = links.union(saved(_compared(rest, d, percent, width).filter("linked").select("a", "b"), "more"))
+        links = links.union(saved(_compared(rest.withColumn("many", F.lit(False)), d, percent, width).filter("linked").select("a", "b"), "more"))
         roots = components(links)
 
     out = sets.select("doc_id", "n", "k1", "k2").join(

@@ -441,3 +441,37 @@ def test_rare_languages_are_learned_at_every_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs, common.crc_mod("doc_id", 4) != 99, max_rows=200)
     assert model.langs == ["en", "fr", "ru"] and model.predict("это вода")[0] == "ru"
+
+
+def test_members_do_not_meet_on_what_all_differ_in_from_their_lead(spark):
+    """A lead unlike all its members: most of their differences from it are common to all, and a few are a member's own."""
+    k = ngram_join.FEW + 8
+    sig = [0] * ngram_join.SKETCH_WORDS
+    own = {b: list(range(100 * b, 100 * b + 12)) for b in range(2, k)}
+    own[3] = own[2][:11] + [5000]  # these two link
+    rows = [(1, b, True, False, 100, 52, list(range(40)) + e, sig) for b, e in own.items()]
+    star = spark.createDataFrame(rows, "a long, b long, many boolean, linked boolean, n int, m int, e array<long>, sig array<long>")
+    roots = spark.createDataFrame([], "node long, root long")
+    ordered = ngram_join._rarest_first(star, roots, 90)
+    for first in (True, False):
+        assert {tuple(r) for r in ngram_join._within_groups(ordered, roots, 90, first).collect()} == {(2, 3)}
+
+
+def test_many_copies_of_an_odd_lead_link_as_by_brute_force(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:50] + [f"lead{i}" for i in range(4)] + base[54:])]
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice((1, 2, 3, 5))):
+            w[j] = f"x{i}_{j}"
+        texts.append(" ".join(w))
+    sets = [set(zip(*(t.split()[i:] for i in range(3)))) for t in texts]
+    root = list(range(len(sets)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 90 * len(s | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 3
