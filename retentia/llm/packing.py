@@ -74,6 +74,20 @@ _BYTE_CHAR = {b: chr(b) for b in _PLAIN_BYTES} | {b: chr(256 + i) for i, b in en
 _BYTE_CHARS = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
+class _Memo(dict):
+    """Ids by word; ``make`` gives those of a new word, or None, which is not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.make(word)
+        if ids is not None:
+            self[word] = ids
+        return ids
+
+
 class WordIds:
     """Ids of whole texts from the ids of their blank-separated words.
 
@@ -87,7 +101,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tok, self.memo, self.piece_ids = tokenizer(path), {}, {}
+        self.tok, self.memo, self.piece_ids, self.late = tokenizer(path), _Memo(self._own), {}, set()
         self.mark, self.model = self.tok.token_to_id(MARK), self.tok.model
         made = json.loads(self.tok.to_str())
         self.special = [t["content"] for t in made["added_tokens"]]
@@ -95,6 +109,13 @@ class WordIds:
             made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == _PRE_TOKENIZER
             and made["post_processor"] is None and all("<|" in c for c in self.special))
 
+    def _own(self, word: str) -> bytes | None:
+        """The ids of a word of Latin-1 characters; another is set aside for the whole pipeline."""
+        if self.latin and _LATIN.fullmatch(word) and "<|" not in word:
+            return self._pieces(word)
+        self.late.add(word)
+        return None
+
     def _pieces(self, word: str) -> bytes:
         """The ids of a word of Latin-1 characters."""
         known, out = self.piece_ids, []
@@ -113,13 +134,9 @@ class WordIds:
         if len(memo) > MEMO:
             memo.clear()
         words = [blank_separated(t) for t in texts]
-        known = [list(map(memo.get, ws)) for ws in words]
-        new = {w for ws, ids in zip(words, known) if None in ids for w, i in zip(ws, ids) if i is None}
-        if self.latin:
-            for w in new:
-                if _LATIN.fullmatch(w) and "<|" not in w:
-                    memo[w] = self._pieces(w)
-        new = [w for w in new if w not in memo]
+        known = [list(map(memo.__getitem__, ws)) for ws in words]
+        new = list(self.late)
+        self.late.clear()
         plain = [w for w in new if MARK not in w]
         for i in range(0, len(plain), WORDS):
             part = plain[i : i + WORDS]
@@ -133,7 +150,7 @@ class WordIds:
             if w not in memo:
                 memo[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
         last = np.array([end], dtype=np.uint32).tobytes()
-        for ws, ids in zip(words, known):
+        for ws, ids in zip(words, known) if new else ():
             if None in ids:
                 ids[:] = [memo[w] if i is None else i for w, i in zip(ws, ids)]
         return [np.frombuffer(b"".join(ids) + last, dtype="<u4") for ids in known]

@@ -475,3 +475,23 @@ def test_many_copies_of_an_odd_lead_link_as_by_brute_force(spark):
                 root = [a if r == b else r for r in root]
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
     assert got == dict(enumerate(root)) and len(set(root)) > 3
+
+
+def test_packing_looks_a_word_up_once(monkeypatch):
+    class Word(str):
+        looks = 0
+
+        def __hash__(self):
+            Word.looks += 1
+            return str.__hash__(self)
+
+    ids_of, want = packing.WordIds(PACK), packing.WordIds(PACK)
+    texts = ["One two, three's", "two 3 three's One"]
+    plain = want(texts, 1)
+    split = packing.blank_separated
+    monkeypatch.setattr(packing, "blank_separated", lambda t: [Word(w) for w in split(t)])
+    for most in (7 + 5, 7):  # five words are new and kept, then none
+        Word.looks = 0
+        got = ids_of(texts, 1)
+        assert Word.looks <= most
+        assert [x.tolist() for x in got] == [x.tolist() for x in plain]
