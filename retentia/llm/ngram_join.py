@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_words, components, each, maybe_in, mix, saved, shingles, signed, text_bytes, through_pandas
+from .common import WordHash, ascii_words, components, each, few, maybe_in, mix, removed, saved, scratch, shingles, signed, text_bytes, through_pandas
 
 WIDTH = 3
 PERCENT = 90
@@ -53,6 +53,7 @@ HOT_SHARE = 10_000  # at most so many blocks are hot
 BATCH = 1_000  # sets that a task holds at once
 LEADS = 256  # sets of leads that a task keeps
 FEW = 32  # members of a group that may meet on any element
+COMMON = 8  # an element that more than one in so many members of a larger group have comes last
 
 
 def bands(longest: int, percent: int = PERCENT) -> list[int]:
@@ -86,11 +87,6 @@ def block_keys(h: np.ndarray, tops: list[int], percent: int = PERCENT) -> np.nda
     return np.concatenate([np.empty(0, np.int64), *(_blocks(h, k, tops[k], percent) for k in slots)])
 
 
-def _few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield from (frame.iloc[i : i + BATCH] for i in range(0, len(frame), BATCH))
-
-
 def _sets(percent: int, width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
@@ -110,7 +106,7 @@ def _sets(percent: int, width: int):
                 blocks.append(block_keys(h, tops, percent) if len(h) else np.empty(0, np.int64))
             return pd.DataFrame({"doc_id": d["doc_id"], "n": n, "k1": k1, "k2": k2, "blocks": blocks})
 
-        yield from each(_few(frames), f)
+        yield from each(few(frames, BATCH), f)
 
     return run
 
@@ -144,7 +140,7 @@ def _verdicts(percent: int, width: int):
             got["e"] = [e if whole else e[: most_apart(n, percent) + 1] for e, n, whole in zip(got["e"], got["n"], d["many"])]
             return pd.concat([d[["a", "b", "many"]], got], axis=1)
 
-        yield from each(_few(frames), f)
+        yield from each(few(frames, BATCH), f)
 
     return run
 
@@ -190,15 +186,17 @@ def _rarest_first(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Any order that a group's members have in common serves the prefix filter.
     Where the lead is the odd one out, its members share most of their
     differences from it; such elements come last, so that members do not meet on them.
+    A group has at most ``COMMON`` times a member's elements of that kind, on
+    average, so they meet its members as one list, not element by element.
     """
-    leads = saved(_open(star.filter("many"), roots).select("a").distinct(), "leads")
-    big = star.filter("many").join(leads, "a", "left_semi").withColumn("k", F.xxhash64("n", "m", "e"))  # an id may have several texts
-    rows = big.select("a", "b", "k", F.explode("e").alias("el"))
-    held = rows.groupBy("a", "el").agg(F.count(F.lit(1)).cast("int").alias("c"))
-    ordered = rows.join(held, ["a", "el"]).select("a", "b", "k", "c", "el").repartition("a", "b", "k").groupBy("a", "b", "k").agg(
-        F.expr("transform(sort_array(collect_set(struct(c, el))), x -> x.el) AS e"))
-    cut = F.expr(f"slice(e, 1, {_most_apart('n', percent)} + 1) AS e")
-    big = big.drop("e").join(ordered, ["a", "b", "k"]).select("a", "b", "n", "m", cut, "sig")
+    leads = saved(_open(star.filter("many"), roots).groupBy("a").agg(F.count(F.lit(1)).alias("members")), "leads")
+    big = star.filter("many").join(leads, "a", "left_semi")
+    held = big.select("a", F.explode("e").alias("el")).groupBy("a", "el").agg(F.count(F.lit(1)).alias("c")).filter(f"{COMMON} * c > {FEW}")
+    common = held.join(leads, "a").filter(f"{COMMON} * c > members").groupBy("a").agg(
+        F.expr("transform(sort_array(collect_list(struct(c, el))), x -> x.el) AS common"))
+    ordered = "coalesce(concat(array_except(e, common), array_intersect(common, e)), e)"
+    cut = F.expr(f"slice({ordered}, 1, {_most_apart('n', percent)} + 1) AS e")
+    big = big.join(common, "a", "left").select("a", "b", "n", "m", cut, "sig")
     return saved(star.filter("NOT many").select(big.columns).union(big), "ordered")
 
 
@@ -245,15 +243,20 @@ def _led(rows: DataFrame, sample: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id: a row per input row."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = saved(through_pandas(d, _sets(percent, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets")
+    spark = docs.sparkSession
+    blocks = scratch(spark, "sets")
+    sets = saved(through_pandas(d, _sets(percent, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets", blocks)
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = saved(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     # Nearly all documents lead a class, so the others are kept: their ids are few unless copies are many.
     heads = classes.select(F.col("class_id").alias("doc_id"))
     copies = saved(full.select("doc_id").join(heads, "doc_id", "left_anti").distinct(), "copies")
     rows = full.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("blocks").alias("block"))
     sample = full.filter("pmod(xxhash64(doc_id), 128) = 0").select("doc_id", F.explode("blocks").alias("block"))
     pairs = saved(_led(rows, sample), "pairs")
+    # From here on the blocks, most of the disk, are not needed.
+    sets = saved(sets.drop("blocks"), "sizes")
+    removed(spark, blocks)
     many = pairs.groupBy("a").agg((F.count(F.lit(1)) > FEW).alias("many"))
     star = saved(_compared(pairs.join(many, "a"), d, percent, width), "star")
     links = star.filter("linked").select("a", "b")

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -495,3 +496,19 @@ def test_packing_looks_a_word_up_once(monkeypatch):
         got = ids_of(texts, 1)
         assert Word.looks <= most
         assert [x.tolist() for x in got] == [x.tolist() for x in plain]
+
+
+def test_elements_common_to_a_group_join_as_a_list(spark, monkeypatch):
+    """A row for each element of each member would grow with the square of the groups' sizes."""
+    k, sig, plans = ngram_join.FEW + 8, [0] * ngram_join.SKETCH_WORDS, []
+    rows = [(1, b, True, False, 100, 52, list(range(40)) + list(range(100 * b, 100 * b + 12)), sig) for b in range(2, k)]
+    star = spark.createDataFrame(rows, "a long, b long, many boolean, linked boolean, n int, m int, e array<long>, sig array<long>")
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return common.saved(df, *args)
+
+    monkeypatch.setattr(ngram_join, "saved", seen)
+    ordered = ngram_join._rarest_first(star, spark.createDataFrame([], "node long, root long"), 90)
+    assert not any(re.search(r"Join .*\bel#", p) for p in plans) and any("Join" in p for p in plans)
+    assert {tuple(r.e) for r in ordered.collect()} == {tuple(range(100 * b, 100 * b + 12)) for b in range(2, k)}
