@@ -512,3 +512,14 @@ def test_elements_common_to_a_group_join_as_a_list(spark, monkeypatch):
     ordered = ngram_join._rarest_first(star, spark.createDataFrame([], "node long, root long"), 90)
     assert not any(re.search(r"Join .*\bel#", p) for p in plans) and any("Join" in p for p in plans)
     assert {tuple(r.e) for r in ordered.collect()} == {tuple(range(100 * b, 100 * b + 12)) for b in range(2, k)}
+
+
+def test_line_dedup_removes_its_largest_tables_once_read(spark, monkeypatch):
+    kept = []
+    real = line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name, *at: kept.append((name, *at)) or real(df, name, *at))
+    texts = [f"one two three four five six seven eight nine ten w{i % 5}\nsolo{i} other{i}" for i in range(40)]
+    line_dedup.dedup_lines(frame(spark, texts)).collect()
+    gone = {x[0]: x[1] for x in kept if len(x) > 1}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # only within a write
+    assert gone.keys() == {"prefixes", "star"} and not any(os.path.exists(p.removeprefix("file:")) for p in gone.values())
