@@ -523,3 +523,19 @@ def test_line_dedup_removes_its_largest_tables_once_read(spark, monkeypatch):
     gone = {x[0]: x[1] for x in kept if len(x) > 1}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # only within a write
     assert gone.keys() == {"prefixes", "star"} and not any(os.path.exists(p.removeprefix("file:")) for p in gone.values())
+
+
+def test_lm_scores_few_texts_at_once(spark, monkeypatch):
+    """An executor's memory does not hold the token arrays of a whole batch of Spark's."""
+    most = spark.sparkContext.accumulator(0)
+    scores = lbl_lm.Params.scores
+
+    def counted(self, context, slot, inner):
+        most.add(int(len(slot) > 21 * lbl_lm.TEXTS))
+        return scores(self, context, slot, inner)
+
+    monkeypatch.setattr(lbl_lm.Params, "scores", counted)
+    n = 4 * lbl_lm.TEXTS
+    docs = frame(spark, [" ".join(f"w{(i * j) % 50}" for j in range(20)) for i in range(n)]).coalesce(1)
+    assert lbl_lm.score_texts(docs, F.col("doc_id") % 7 == 2).filter("n_tokens = 21").count() == n
+    assert most.value == 0
