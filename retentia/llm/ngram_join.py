@@ -2,14 +2,18 @@
 
 A document's set is its distinct 3-word shingles (64-bit hashes). Two sets
 with 100 |A and B| >= 90 |A or B| differ in at most min(|A|, |B|) / 9 shingles.
-Every shingle flips one bit of a sketch; the sketches' Hamming distance is
-then at most the symmetric difference. Cut into one block more than that
-bound, two linked sketches agree on a block (pigeonhole).
+The shingles are dealt into blocks by hash, and a block's sketch holds their
+parities (the XOR of their hashes). With more blocks than that bound, two
+linked sets agree on a block (pigeonhole).
 
 * Size bands: a linked partner lies in the same band or the next, so a
   document emits blocks for its own band (as the smaller side) and, if a
   linked set may lie there, for the band below (as the larger side); each band
-  fixes the sketch's width.
+  fixes the number of blocks.
+* Blocks without shingles are alike in all documents, so they stay out. A set
+  with more filled blocks than the bound agrees on a filled one with every set
+  linked to it; there are as many blocks as nearly all sets need for that. The
+  other sets emit all their blocks, so two of them still meet.
 * Equal sets collapse to their smallest doc_id first.
 * Block rows are shuffled once, by block. Blocks that hold over a
   ``HOT_SHARE``-th of the block rows of a sample are few, so their leads are
@@ -47,7 +51,6 @@ from .common import WordHash, ascii_words, components, each, few, maybe_in, mix,
 
 WIDTH = 3
 PERCENT = 90
-BLOCK_WORDS = 3  # 64-bit words in a block: about 13 set bits at these widths
 SKETCH_WORDS = 8  # longs of the sketch that two members of a group compare
 HOT_SHARE = 10_000  # at most so many blocks are hot
 BATCH = 1_000  # sets that a task holds at once
@@ -65,17 +68,28 @@ def bands(longest: int, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def _blocks(h: np.ndarray, slot: int, top: int, percent: int) -> np.ndarray:
-    """Block keys of a set's parity sketch in one slot."""
-    n = top * (100 - percent) // percent + 1
-    bits = n * BLOCK_WORDS * 64
-    at = ((h >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
-    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    words = np.packbits(odd).view(np.uint64).reshape(n, BLOCK_WORDS)
-    key = mix(np.arange(n, dtype=np.uint64) + np.uint64(slot << 32))
-    for j in range(BLOCK_WORDS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ words[:, j])
-    return signed(key)
+@lru_cache(maxsize=None)
+def n_blocks(low: int, top: int, percent: int) -> int:
+    """Blocks of a slot for sets of ``low`` shingles or more: so many that nearly all such sets fill over ``most_apart(top)`` of them."""
+    least = most_apart(top, percent) + 1
+    for n in range(least, 2 * least):
+        empty = n * (1 - 1 / n) ** low
+        if n - empty - 3 * empty**0.5 >= least:
+            return n
+    return 2 * least
+
+
+def _blocks(h: np.ndarray, slot: int, low: int, top: int, percent: int) -> np.ndarray:
+    """Block keys of a set in one slot; ``h`` is sorted, and so are its blocks."""
+    n = n_blocks(low, top, percent)
+    at = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    filled, odd = at[first], np.bitwise_xor.reduceat(h, first)
+    if len(filled) <= most_apart(top, percent):
+        every = np.zeros(n, np.uint64)
+        every[filled.astype(np.int64)] = odd
+        filled, odd = np.arange(n, dtype=np.uint64), every
+    return signed(mix(mix(filled + np.uint64(slot << 32)) * np.uint64(0x9E3779B97F4A7C15) ^ odd))
 
 
 def block_keys(h: np.ndarray, tops: list[int], percent: int = PERCENT) -> np.ndarray:
@@ -84,7 +98,7 @@ def block_keys(h: np.ndarray, tops: list[int], percent: int = PERCENT) -> np.nda
     slots = [band] if band else []
     if band > 1 and len(h) * percent <= 100 * tops[band - 1]:
         slots.append(band - 1)
-    return np.concatenate([np.empty(0, np.int64), *(_blocks(h, k, tops[k], percent) for k in slots)])
+    return np.concatenate([np.empty(0, np.int64), *(_blocks(h, k, tops[k - 1] + 1, tops[k], percent) for k in slots)])
 
 
 def _sets(percent: int, width: int):

@@ -539,3 +539,23 @@ def test_lm_scores_few_texts_at_once(spark, monkeypatch):
     docs = frame(spark, [" ".join(f"w{(i * j) % 50}" for j in range(20)) for i in range(n)]).coalesce(1)
     assert lbl_lm.score_texts(docs, F.col("doc_id") % 7 == 2).filter("n_tokens = 21").count() == n
     assert most.value == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_block_keys_are_shared_by_linked_sets_and_not_by_disjoint_ones(percent):
+    rng = np.random.default_rng(8)
+    tops = ngram_join.bands(4000, percent)
+
+    def some(n):
+        return np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+
+    sizes = [*range(percent // (100 - percent), 60), *rng.integers(60, 1500, 140)]
+    for n in sizes:
+        a = some(int(n))
+        gone = int(rng.integers(0, ngram_join.most_apart(len(a), percent) + 1))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], some(ngram_join.most_apart(len(a), percent) - gone)]))
+        c = len(np.intersect1d(a, b))
+        shared = np.intersect1d(ngram_join.block_keys(a, tops, percent), ngram_join.block_keys(b, tops, percent))
+        assert len(shared) or 100 * c < percent * (len(a) + len(b) - c)
+    keys = np.concatenate([ngram_join.block_keys(some(int(n)), tops, percent) for n in rng.integers(100, 1000, 300)])
+    assert len(keys) - len(np.unique(keys)) < 30  # a set with few filled blocks may emit an empty one
