@@ -10,10 +10,13 @@ linked sets agree on a block (pigeonhole).
   document emits blocks for its own band (as the smaller side) and, if a
   linked set may lie there, for the band below (as the larger side); each band
   fixes the number of blocks.
-* Blocks without shingles are alike in all documents, so they stay out. A set
-  with more filled blocks than the bound agrees on a filled one with every set
-  linked to it; there are as many blocks as nearly all sets need for that. The
-  other sets emit all their blocks, so two of them still meet.
+* Blocks of few or usual shingles are alike in documents that have little else
+  in common, and empty ones in all. So a set emits only its best blocks, one
+  more than its bound: those with the most unusual shingles, then with the most
+  shingles, then by hash. What is usual tells a sample; a block's rank depends
+  on its shingles alone, so any order would give the same links. Of two linked
+  sets, take the one that stops at the better rank: the other agrees on one of
+  the blocks that it emits, and emits that block too.
 * Equal sets collapse to their smallest doc_id first.
 * Block rows are shuffled once, by block. Blocks that hold over a
   ``HOT_SHARE``-th of the block rows of a sample are few, so their leads are
@@ -52,6 +55,8 @@ from .common import WordHash, ascii_words, components, each, few, maybe_in, mix,
 WIDTH = 3
 PERCENT = 90
 SKETCH_WORDS = 8  # longs of the sketch that two members of a group compare
+SAMPLE = 128  # one in so many documents tells which shingles are usual
+USUAL = 1 << 14  # usual shingles at most
 HOT_SHARE = 10_000  # at most so many blocks are hot
 BATCH = 1_000  # sets that a task holds at once
 LEADS = 256  # sets of leads that a task keeps
@@ -69,39 +74,59 @@ def bands(longest: int, percent: int = PERCENT) -> list[int]:
 
 
 @lru_cache(maxsize=None)
-def n_blocks(low: int, top: int, percent: int) -> int:
-    """Blocks of a slot for sets of ``low`` shingles or more: so many that nearly all such sets fill over ``most_apart(top)`` of them."""
+def n_blocks(top: int, percent: int) -> int:
+    """Blocks of a slot: so many that most sets of ``top`` shingles have two or more in over ``most_apart`` of them."""
     least = most_apart(top, percent) + 1
     for n in range(least, 2 * least):
-        empty = n * (1 - 1 / n) ** low
-        if n - empty - 3 * empty**0.5 >= least:
+        poor = n * (1 - 1 / n) ** top + top * (1 - 1 / n) ** (top - 1)
+        if n - poor - 2 * poor**0.5 >= least:
             return n
     return 2 * least
 
 
-def _blocks(h: np.ndarray, slot: int, low: int, top: int, percent: int) -> np.ndarray:
-    """Block keys of a set in one slot; ``h`` is sorted, and so are its blocks."""
-    n = n_blocks(low, top, percent)
+def _blocks(h: np.ndarray, own: np.ndarray, slot: int, top: int, percent: int) -> np.ndarray:
+    """Block keys of a set in one slot; ``h`` is sorted, and so are its blocks. ``own`` is 1 for unusual shingles, else 0."""
+    n, bound = n_blocks(top, percent), most_apart(min(len(h), top), percent)
     at = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    filled, odd = at[first], np.bitwise_xor.reduceat(h, first)
-    if len(filled) <= most_apart(top, percent):
+    block, odd = at[first], np.bitwise_xor.reduceat(h, first)
+    if len(first) <= bound:
         every = np.zeros(n, np.uint64)
-        every[filled.astype(np.int64)] = odd
-        filled, odd = np.arange(n, dtype=np.uint64), every
-    return signed(mix(mix(filled + np.uint64(slot << 32)) * np.uint64(0x9E3779B97F4A7C15) ^ odd))
-
-
-def block_keys(h: np.ndarray, tops: list[int], percent: int = PERCENT) -> np.ndarray:
-    """All block keys of a set: its own band, and the band below if a linked set may lie there."""
+        every[block.astype(np.int64)] = odd
+        block, odd = np.arange(n, dtype=np.uint64), every
+    key = mix(mix(block + np.uint64(slot << 32)) * np.uint64(0x9E3779B97F4A7C15) ^ odd)
+    if len(first) > bound:
+        many, size = (np.minimum(x, 0xFFFF).astype(np.uint64) for x in (np.add.reduceat(own, first), np.diff(first, append=len(h))))
+        rank = many << np.uint64(48) | size << np.uint64(32) | key >> np.uint64(32)
+        key = key[rank >= np.partition(rank, len(rank) - bound - 1)[len(rank) - bound - 1]]
+    return signed(key)
+
+
+def block_keys(h: np.ndarray, tops: list[int], percent: int = PERCENT, usual: np.ndarray | None = None) -> np.ndarray:
+    """All block keys of a set: its own band, and the band below if a linked set may lie there. ``usual`` is sorted."""
     band = int(np.searchsorted(tops, len(h)))
     slots = [band] if band else []
     if band > 1 and len(h) * percent <= 100 * tops[band - 1]:
         slots.append(band - 1)
-    return np.concatenate([np.empty(0, np.int64), *(_blocks(h, k, tops[k - 1] + 1, tops[k], percent) for k in slots)])
+    own = np.ones(len(h), np.int64)
+    if slots and usual is not None and len(usual):
+        own -= usual[np.minimum(np.searchsorted(usual, h), len(usual) - 1)] == h
+    return np.concatenate([np.empty(0, np.int64), *(_blocks(h, own, k, tops[k], percent) for k in slots)])
+
+
+def usual_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles in three or more documents of a sample, the ``USUAL`` most frequent at most."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = WordHash()
+        yield from each(few(frames, BATCH), lambda d: pd.DataFrame({"e": [signed(shingles(hashed(ascii_words(t)), width)) for t in text_bytes(d["text"])]}))
+
+    some = docs.filter(f"pmod(xxhash64(doc_id), {SAMPLE}) = 0").select("text").mapInPandas(run, "e array<bigint>")
+    counts = some.select(F.explode("e").alias("el")).groupBy("el").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3")
+    return np.sort(np.array([r["el"] for r in counts.orderBy(F.desc("c"), "el").limit(USUAL).collect()], np.int64).view(np.uint64))
 
 
-def _sets(percent: int, width: int):
+def _sets(percent: int, width: int, usual: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         tops = bands(1 << 12, percent)
@@ -117,7 +142,7 @@ def _sets(percent: int, width: int):
                 n.append(len(h))
                 k1.append((digest >> 64) - (1 << 63))
                 k2.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                blocks.append(block_keys(h, tops, percent) if len(h) else np.empty(0, np.int64))
+                blocks.append(block_keys(h, tops, percent, usual) if len(h) else np.empty(0, np.int64))
             return pd.DataFrame({"doc_id": d["doc_id"], "n": n, "k1": k1, "k2": k2, "blocks": blocks})
 
         yield from each(few(frames, BATCH), f)
@@ -202,14 +227,21 @@ def _rarest_first(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     differences from it; such elements come last, so that members do not meet on them.
     A group has at most ``COMMON`` times a member's elements of that kind, on
     average, so they meet its members as one list, not element by element.
+    Only groups with such an element in a member's prefix are put in order.
     """
+    size = f"{_most_apart('n', percent)} + 1"
     leads = saved(_open(star.filter("many"), roots).groupBy("a").agg(F.count(F.lit(1)).alias("members")), "leads")
     big = star.filter("many").join(leads, "a", "left_semi")
-    held = big.select("a", F.explode("e").alias("el")).groupBy("a", "el").agg(F.count(F.lit(1)).alias("c")).filter(f"{COMMON} * c > {FEW}")
-    common = held.join(leads, "a").filter(f"{COMMON} * c > members").groupBy("a").agg(
+
+    def often(members: DataFrame, elements: str) -> DataFrame:
+        held = members.select("a", F.explode(F.expr(elements)).alias("el")).groupBy("a", "el").agg(F.count(F.lit(1)).alias("c"))
+        return held.filter(f"{COMMON} * c > {FEW}").join(leads, "a").filter(f"{COMMON} * c > members")
+
+    crowded = saved(often(big, f"slice(e, 1, {size})").select("a").distinct(), "crowded")
+    common = often(big.join(crowded, "a", "left_semi"), "e").groupBy("a").agg(
         F.expr("transform(sort_array(collect_list(struct(c, el))), x -> x.el) AS common"))
     ordered = "coalesce(concat(array_except(e, common), array_intersect(common, e)), e)"
-    cut = F.expr(f"slice({ordered}, 1, {_most_apart('n', percent)} + 1) AS e")
+    cut = F.expr(f"slice({ordered}, 1, {size}) AS e")
     big = big.join(common, "a", "left").select("a", "b", "n", "m", cut, "sig")
     return saved(star.filter("NOT many").select(big.columns).union(big), "ordered")
 
@@ -259,7 +291,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     blocks = scratch(spark, "sets")
-    sets = saved(through_pandas(d, _sets(percent, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets", blocks)
+    sets = saved(through_pandas(d, _sets(percent, width, usual_shingles(d, width)), "doc_id bigint, n bigint, k1 bigint, k2 bigint, blocks array<bigint>"), "sets", blocks)
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = saved(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     # Nearly all documents lead a class, so the others are kept: their ids are few unless copies are many.

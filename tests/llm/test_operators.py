@@ -555,7 +555,24 @@ def test_block_keys_are_shared_by_linked_sets_and_not_by_disjoint_ones(percent):
         gone = int(rng.integers(0, ngram_join.most_apart(len(a), percent) + 1))
         b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], some(ngram_join.most_apart(len(a), percent) - gone)]))
         c = len(np.intersect1d(a, b))
-        shared = np.intersect1d(ngram_join.block_keys(a, tops, percent), ngram_join.block_keys(b, tops, percent))
-        assert len(shared) or 100 * c < percent * (len(a) + len(b) - c)
+        for usual in (None, some(50), np.unique(np.concatenate([a[::2], b[::3]])), np.union1d(a, b)):
+            shared = np.intersect1d(ngram_join.block_keys(a, tops, percent, usual), ngram_join.block_keys(b, tops, percent, usual))
+            assert len(shared) or 100 * c < percent * (len(a) + len(b) - c)
+    passage = some(48)
+    keys = np.concatenate([ngram_join.block_keys(np.union1d(passage, some(112)), tops, percent, passage) for _ in range(200)])
+    assert len(keys) - len(np.unique(keys)) < 20  # documents that have a usual passage in common do not meet on it
     keys = np.concatenate([ngram_join.block_keys(some(int(n)), tops, percent) for n in rng.integers(100, 1000, 300)])
     assert len(keys) - len(np.unique(keys)) < 30  # a set with few filled blocks may emit an empty one
+
+
+def test_groups_put_in_order_are_those_whose_members_would_meet(spark, monkeypatch):
+    """The differences of other groups are not counted element by element."""
+    k, sig, frames = ngram_join.FEW + 8, [0] * ngram_join.SKETCH_WORDS, {}
+    rows = [(1, b, True, False, 100, 400, [1000 * b + i for i in range(400)], sig) for b in range(2, k)]
+    rows += [(5000, 5000 + b, True, False, 100, 400, [*range(100), *[-1000 * b - i for i in range(300)]], sig) for b in range(2, k)]
+    star = spark.createDataFrame(rows, "a long, b long, many boolean, linked boolean, n int, m int, e array<long>, sig array<long>")
+    monkeypatch.setattr(ngram_join, "saved", lambda df, name, *at: frames.setdefault(name, common.saved(df, name, *at)))
+    ordered = ngram_join._rarest_first(star, spark.createDataFrame([], "node long, root long"), 90)
+    assert {r.a for r in frames["crowded"].collect()} == {5000}
+    got = {r.b: set(r.e) for r in ordered.collect()}
+    assert got == {b: {1000 * b + i for i in range(12)} for b in range(2, k)} | {5000 + b: {-1000 * b - i for i in range(12)} for b in range(2, k)}
