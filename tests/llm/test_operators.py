@@ -576,3 +576,19 @@ def test_groups_put_in_order_are_those_whose_members_would_meet(spark, monkeypat
     assert {r.a for r in frames["crowded"].collect()} == {5000}
     got = {r.b: set(r.e) for r in ordered.collect()}
     assert got == {b: {1000 * b + i for i in range(12)} for b in range(2, k)} | {5000 + b: {-1000 * b - i for i in range(12)} for b in range(2, k)}
+
+
+def test_line_dedup_meets_sets_in_compiled_arithmetic(spark, monkeypatch):
+    """No decimals and no lambda in the filters that every prefix word goes through, and its candidates are made once."""
+    plans = {}
+
+    def seen(df, name, *at):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return common.saved(df, name, *at)
+
+    monkeypatch.setattr(line_dedup, "saved", seen)
+    rows = frame(spark, [f"one two three four five six seven eight nine w{i}" for i in range(12)])
+    assert sum(len(r.line_nos) for r in line_dedup.similar_lines(rows).collect()) == 11
+    met = plans["prefixes"]
+    assert "decimal" not in met + plans["rest"] and "lambda" not in met.split("Window")[0]
+    assert met.count("bit_count") <= line_dedup.BEFORE + 1
